@@ -192,10 +192,11 @@ def recover_documents(registry: DataFrame) -> DataFrame:
 
 
 def upsert_folders(folders: DataFrame, changes: DataFrame) -> DataFrame:
-    """Folder table after ``add`` and ``disable`` requests, with what became of each.
+    """Folder table after ``add``, ``update`` and ``disable`` requests, with what became of each.
 
     One request per path. add: new path inserted, inactive one re-enabled at the
-    new level, active one rejected; a level outside 1..3 is rejected.
+    new level, active one rejected. update: active folders only. A level outside
+    1..3 is rejected.
     """
     asked = changes.select("path", "kind", F.col("access_level").alias("_asked"))
     known = F.col("access_level").isNotNull()
@@ -204,6 +205,8 @@ def upsert_folders(folders: DataFrame, changes: DataFrame) -> DataFrame:
         F.when(F.col("kind").isNull(), "keep")
         .when(F.col("kind") == "disable", F.when(known, "disable").otherwise("unknown"))
         .when(F.coalesce(bad, F.lit(True)), "reject_level")
+        .when((F.col("kind") == "update") & F.coalesce("is_active", F.lit(False)), "update")
+        .when(F.col("kind") == "update", "unknown")
         .when(~known, "insert")
         .when(F.col("is_active"), "reject_active")
         .otherwise("enable")
@@ -214,7 +217,7 @@ def upsert_folders(folders: DataFrame, changes: DataFrame) -> DataFrame:
         .select(
             "path",
             "action",
-            F.when(F.col("action").isin("insert", "enable"), F.col("_asked"))
+            F.when(F.col("action").isin("insert", "enable", "update"), F.col("_asked"))
             .otherwise(F.col("access_level")).cast("int").alias("access_level"),
             F.when(F.col("action").isin("insert", "enable"), True)
             .when(F.col("action") == "disable", False)
