@@ -48,16 +48,19 @@ def reciprocal_rank(retrieved: Column, expected: Column, k: int = RANK_DEPTH) ->
     return F.when(none, 1.0).when(place > 0, 1.0 / place).otherwise(0.0)
 
 
+def _allowed() -> Column:
+    return F.coalesce(F.bool_and(F.col("access_level") <= F.col("user_access_level")), F.lit(True))
+
+
+def _level_error() -> Column:
+    return F.when(F.bool_or(F.col("access_level").isNull()), "run_failed: hit without access level")
+
+
 def permission_check(hits: DataFrame, questions: DataFrame) -> DataFrame:
     """Per question whether every hit was allowed; no hit is fine, a hit without level is an error."""
-    seen = hits.groupBy("question_id").agg(
-        F.bool_and(F.col("access_level") <= F.col("user_access_level")).alias("_ok"),
-        F.bool_or(F.col("access_level").isNull()).alias("_unknown"),
-    )
+    seen = hits.groupBy("question_id").agg(_allowed().alias("_ok"), _level_error().alias("error"))
     return questions.select("question_id").join(seen, "question_id", "left").select(
-        "question_id",
-        F.coalesce("_ok", F.lit(True)).alias("permission_ok"),
-        F.when(F.col("_unknown"), "run_failed: hit without access level").alias("error"),
+        "question_id", F.coalesce("_ok", F.lit(True)).alias("permission_ok"), "error"
     )
 
 
@@ -72,39 +75,58 @@ def mean_or_zero(value: Column) -> Column:
 def percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation, per group: {column name: 0..100}.
 
-    Equal values are counted before they are ordered, and only the few distinct
-    values next to a wanted rank are kept. Groups are cut into value ranges that
-    are ordered on their own, so a group of any size is never one task's work:
-    ``spread`` counts per range give each range the number of rows before it.
+    A mergeable sketch first brackets each wanted rank between two values (a group
+    of up to 10,000 rows is its own bracket). Rows below the bracket are only
+    counted; the few inside it are counted per distinct value and ordered. So no
+    task ever holds or sorts a large group.
     """
+    accuracy = 10_000
+    margin = 4.0 / accuracy
+    names = list(points)
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
-    counted = rows.groupBy(*by, "x").agg(F.count("*").alias("n"))
-    span = counted.groupBy(*by).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum("n").alias("total"))
-    bins = 256
-    binned = counted.join(span, by) if by else counted.crossJoin(span)
-    binned = binned.withColumn(
-        "bin",
-        F.when(F.col("high") > F.col("low"), F.least(
-            F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1)
-        )).otherwise(F.lit(0)).cast("int"),
+
+    def edge(p: float, bound: Column) -> Column:
+        if p <= 0 or p >= 1:
+            return bound
+        return F.when(F.count("*") <= accuracy, bound).otherwise(F.percentile_approx("x", p, accuracy))
+
+    brackets = rows.groupBy(*by).agg(
+        F.count("*").alias("total"),
+        *[edge(points[n] / 100 - margin, F.min("x")).alias(f"low_{n}") for n in names],
+        *[edge(points[n] / 100 + margin, F.max("x")).alias(f"high_{n}") for n in names],
+    )
+    placed = rows.join(brackets, by)
+    below = placed.groupBy(*by, "total").agg(
+        *[F.count_if(F.col("x") < F.col(f"low_{n}")).alias(f"below_{n}") for n in names]
+    )
+    inside = F.filter(
+        F.array(
+            *[
+                F.when((F.col("x") >= F.col(f"low_{n}")) & (F.col("x") <= F.col(f"high_{n}")), F.lit(n))
+                for n in names
+            ]
+        ),
+        lambda n: n.isNotNull(),
     )
-    keys = [*by, "bin"]
-    before_bin = binned.groupBy(*keys).agg(F.sum("n").alias("in_bin")).withColumn(
-        "before",
-        F.sum("in_bin").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)),
-    ).select(*keys, F.coalesce("before", F.lit(0)).alias("before"))
-    in_order = Window.partitionBy(*keys).orderBy("x")
-    placed = binned.join(before_bin, keys).withColumn("last", F.col("before") + F.sum("n").over(in_order) - 1)
-    placed = placed.withColumn("first", F.col("last") - F.col("n") + 1)
+    near = placed.select(*by, "x", F.explode(inside).alias("point")).groupBy(*by, "point", "x").agg(
+        F.count("*").alias("times")
+    )
+    upto = F.sum("times").over(Window.partitionBy(*by, "point").orderBy("x"))
+    near = near.withColumn("upto", upto).join(below, by)
     picks = []
-    for name, p in points.items():
-        at = (F.col("total") - 1) * (p / 100.0)
+    for n in names:
+        at = (F.col("total") - 1) * (points[n] / 100.0)
         down, up = F.floor(at), F.least(F.floor(at) + 1, F.col("total") - 1)
-        low = F.max(F.when((F.col("first") <= down) & (down <= F.col("last")), F.col("x")))
-        high = F.max(F.when((F.col("first") <= up) & (up <= F.col("last")), F.col("x")))
-        share = F.max(at - down)
-        picks.append((low + (high - low) * share).alias(name))
-    return placed.groupBy(*by).agg(*picks)
+        last = F.col("upto") + F.col(f"below_{n}") - 1
+        first = last - F.col("times") + 1
+
+        def value_at(place: Column, n: str = n, first: Column = first, last: Column = last) -> Column:
+            here = (F.col("point") == n) & (first <= place) & (place <= last)
+            return F.max(F.when(here, F.col("x")))
+
+        low, high = value_at(down), value_at(up)
+        picks.append((low + (high - low) * F.max(at - down)).alias(n))
+    return near.groupBy(*by).agg(*picks)
 
 
 def judge_scores(raw: Column) -> dict[str, Column]:
@@ -146,12 +168,12 @@ def evaluate(
     """
     lists = hits.groupBy("question_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("source_file").alias("s")))), lambda e: e["s"])
-        .alias("retrieved")
+        .alias("retrieved"),
+        _allowed().alias("_ok"),
+        _level_error().alias("_level_error"),
     )
-    allowed = permission_check(hits, questions).withColumnRenamed("error", "_level_error")
     rows = (
         questions.join(lists, "question_id", "left")
-        .join(allowed, "question_id", "left")
         .join(answers.withColumnRenamed("error", "_run_error"), "question_id", "left")
     )
     if replies is None:
@@ -171,7 +193,7 @@ def evaluate(
         recall_at_k(retrieved, F.col("expected_sources")).alias("recall_at_5"),
         reciprocal_rank(retrieved, F.col("expected_sources")).alias("mrr"),
         tx.keyword_share(answer, F.col("expected_answer_keywords")).alias("correctness"),
-        "permission_ok",
+        F.coalesce("_ok", F.lit(True)).alias("permission_ok"),
         refusal_correct(F.col("should_refuse"), answer).alias("refusal_correct"),
         *[c.alias(n) for n, c in judge_scores(F.col("raw")).items()],
         F.coalesce("first_token_latency", F.lit(0.0)).alias("first_token_latency"),
@@ -245,9 +267,9 @@ def dataset_problems(questions: DataFrame, corpus: DataFrame, expected_counts: d
     ids = questions.groupBy("question_id").agg(F.count("*").alias("n"))
     repeated = ids.filter("n > 1").select(F.lit("repeated id").alias("check"), F.col("question_id").alias("subject"))
     number = F.regexp_extract("question_id", rf"\A{prefix}(\d+)\z", 1).try_cast("bigint")
-    total = questions.agg(F.count("*").alias("total"))
-    unordered = ids.join(total).filter(
-        F.coalesce((number < 1) | (number > F.col("total")), F.lit(True))
+    total = questions.agg(F.count("*").alias("total")).scalar()
+    unordered = ids.filter(
+        F.coalesce((number < 1) | (number > total), F.lit(True))
     ).select(F.lit("id out of sequence").alias("check"), F.col("question_id").alias("subject"))
     wanted = F.lit(0)
     for name, count in expected_counts.items():

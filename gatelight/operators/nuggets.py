@@ -533,15 +533,13 @@ def contradictions(scored: DataFrame) -> DataFrame:
     )
 
 
-def coverage(scored_qids: DataFrame, records: DataFrame, nuggets: DataFrame) -> DataFrame:
-    """Questions outside the score per setting: setting, qid, state excluded, missing or unknown."""
+def coverage(scored_qids: DataFrame, records: DataFrame, nuggets: DataFrame, settings: list[str]) -> DataFrame:
+    """Questions outside the score of the named settings: setting, qid, state excluded, missing or unknown."""
     excluded = scored_qids.filter("k_used = 0").select("setting", "qid", F.lit("excluded").alias("state"))
     seen = records.select("setting", "qid").distinct()
     unknown = seen.join(nuggets.select("qid"), "qid", "left_anti").select("setting", "qid", F.lit("unknown").alias("state"))
-    # Settings are few: each is asked which of the known questions it never answered.
-    settings = seen.select("setting").distinct()
-    counts = nuggets.select("qid").distinct().join(settings)
-    missing = counts.join(seen, ["setting", "qid"], "left_anti").select("setting", "qid", F.lit("missing").alias("state"))
+    due = nuggets.select("qid").distinct().withColumn("setting", F.explode(F.lit(settings)))
+    missing = due.join(seen, ["setting", "qid"], "left_anti").select("setting", "qid", F.lit("missing").alias("state"))
     return excluded.unionByName(unknown).unionByName(missing)
 
 

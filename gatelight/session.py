@@ -51,3 +51,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if len(df.inputFiles()) >= cores:
         return df
     return df.repartition(2 * cores, *keys)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, for results that several later steps read."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
