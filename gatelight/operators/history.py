@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelight.functions import text as tx
@@ -16,19 +16,17 @@ CONTENT_GONE = "(本文は現在参照できません)"
 PAGE_MAX = 500
 
 SOURCES_TYPE = "array<struct<id:int,document_id:string,chunk_index:int,source_file:string,score:double>>"
-# Items as free-form objects, for passes that must not lose unknown fields.
-ITEMS_TYPE = "array<map<string,string>>"
 CHUNKS_TYPE = (
     "array<struct<document_id:string,chunk_index:int,source_file:string,score:double,access_level:int>>"
 )
 
 
 def conversation_list(conversations: DataFrame, user_id: int | None = None) -> DataFrame:
-    """Newest first; one owner's, or every owner's with the place in their own list."""
+    """Newest first: one owner's list, or every owner's one after the other."""
+    newest = [F.desc("updated_at"), F.desc("conversation_id")]
     if user_id is not None:
-        return conversations.filter(F.col("user_id") == user_id).orderBy(F.desc("updated_at"), F.desc("conversation_id"))
-    newest = Window.partitionBy("user_id").orderBy(F.desc("updated_at"), F.desc("conversation_id"))
-    return conversations.withColumn("place", F.row_number().over(newest))
+        return conversations.filter(F.col("user_id") == user_id).orderBy(*newest)
+    return conversations.orderBy("user_id", *newest)
 
 
 def owned(rows: DataFrame, conversations: DataFrame) -> DataFrame:
@@ -207,21 +205,42 @@ def unclassified_list(registry: DataFrame) -> DataFrame:
 
 
 def scrub_sources(sources: Column) -> Column:
-    """Source lists without copied content: an item that holds content keeps its id, score and
-    whatever of document id, chunk index and file name it has; other items stay as they are.
-    A text that is no list of objects comes back unchanged."""
-    items = F.from_json(sources, ITEMS_TYPE)
+    """Source lists without copied content, as JSON text.
+
+    An item that holds content keeps its id and score, and whatever it has of
+    document id, chunk index and file name (cut to its last part). Other items and
+    texts that are no list come back unchanged.
+    """
+    items = F.from_json(sources, "array<variant>")
+    null = F.parse_json(F.lit("null"))
+
+    def fields(item: Column) -> Column:
+        return F.try_variant_get(item, "$", "map<string,variant>")
+
+    def holds(item: Column) -> Column:
+        return F.coalesce(F.map_contains_key(fields(item), "content"), F.lit(False))
 
     def clean(item: Column) -> Column:
-        kept = F.map_filter(
-            item,
-            lambda k, v: k.isin("id", "score") | (k.isin("document_id", "chunk_index", "source_file") & v.isNotNull()),
+        def entry(name: str, value: Column) -> Column:
+            return F.struct(F.lit(name).alias("k"), value.alias("v"))
+
+        def kept(name: str) -> Column:
+            value = fields(item)[name]
+            return F.when(value.isNotNull() & ~F.is_variant_null(value), entry(name, value))
+
+        name = F.try_variant_get(item, "$.source_file", "string")
+        parts = F.array(
+            entry("id", F.coalesce(fields(item)["id"], null)),
+            entry("score", F.coalesce(fields(item)["score"], null)),
+            kept("document_id"),
+            kept("chunk_index"),
+            F.when(name.isNotNull(), entry("source_file", tx.basename(name).cast("variant"))),
         )
-        return F.transform_values(kept, lambda k, v: F.when(k == "source_file", tx.basename(v)).otherwise(v))
+        return F.to_json(F.map_from_entries(F.array_compact(parts)))
 
-    holds = F.exists(items, lambda i: F.map_contains_key(i, "content"))
-    cleaned = F.transform(items, lambda i: F.when(F.map_contains_key(i, "content"), clean(i)).otherwise(i))
-    return F.when(F.coalesce(holds, F.lit(False)), F.to_json(cleaned)).otherwise(sources)
+    texts = F.transform(items, lambda i: F.when(holds(i), clean(i)).otherwise(F.to_json(i)))
+    scrubbed = F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
+    return F.when(F.coalesce(F.exists(items, holds), F.lit(False)), scrubbed).otherwise(sources)
 
 
 def scrub_answers(logs: DataFrame) -> DataFrame:
