@@ -1 +1,655 @@
-"""Queries."""
+"""Fact-level scoring and paired statistics as queries."""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from gatelight.catalog.base import query, view
+from gatelight.catalog.inputs import Inputs
+from gatelight.catalog.search_queries import _MARKED, sql_strip
+from gatelight.functions import text as tx
+from gatelight.operators import nuggets, paired
+from gatelight.session import saved
+
+# ---- inputs: three facts per labelled document, six runs of judged answers ------
+
+view("rated", "SELECT d.doc_id, d.text, d.source, d.lang, l.toxic FROM documents d JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY ALL) l USING (doc_id)")
+view("facts", """
+  SELECT doc_id, lang, 'D' || doc_id AS qid, source AS rule_id, n, 'D' || doc_id || '-n' || n AS nid, substr(text, (n - 1) * 40 + 1, 40) AS text,
+    CASE WHEN n > 1 AND (doc_id + n) % 4 = 0 THEN 'okay' ELSE 'vital' END AS importance, substr(text, (n - 1) * 40 + 1, 5) AS keyword
+  FROM (SELECT *, unnest([1, 2, 3]) AS n FROM rated WHERE length(text) >= 120)""", "rated")
+view("runs", """
+  SELECT doc_id, 'D' || doc_id AS qid, text, toxic, r, CASE WHEN r < 2 THEN 'A' WHEN r < 4 THEN 'AA' ELSE 'B' END AS setting,
+    CASE WHEN r < 2 THEN 'A' WHEN r < 4 THEN 'AA' ELSE 'B' END || (r % 2 + 1) AS run,
+    doc_id % 31 <> 0 AND (doc_id + r) % 29 <> 0 AS determined, substr(text, 1, 100) || ' run ' || r AS answer, (doc_id + r) % 9 = 0 AS against
+  FROM (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS r FROM rated) WHERE toxic = 0 OR r < 4""", "rated")
+view("pts", """
+  SELECT u.setting, u.run, u.qid, f.nid, f.text, CASE CASE WHEN u.r >= 4 THEN (u.doc_id * 5 + f.n * 3 + u.r) % 4 ELSE (u.doc_id * 7 + f.n * 3 + u.r) % 3 END
+    WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS p
+  FROM runs u JOIN facts f USING (qid) WHERE u.determined AND f.importance = 'vital'""", "runs", "facts")
+view("kws", """
+  SELECT qid, list(DISTINCT keyword) AS k FROM facts WHERE importance = 'vital' GROUP BY qid""", "facts")
+view("scored", """
+  SELECT u.setting, u.run, u.qid, u.doc_id, u.determined, f.rule_id, p.v, p.v_strict, CASE WHEN u.determined THEN u.against::INT::DOUBLE END AS c,
+    CASE WHEN u.determined THEN length(list_filter(k.k, lambda x: contains(u.answer, x))) / length(k.k)::DOUBLE END AS m6,
+    u.against, substr(u.answer, 1, 80) AS head
+  FROM runs u JOIN (SELECT DISTINCT qid, rule_id FROM facts) f USING (qid) JOIN kws k USING (qid)
+  LEFT JOIN (SELECT run, qid, avg(p) AS v, avg((p = 1)::INT) AS v_strict FROM pts GROUP BY ALL) p ON p.qid = u.qid AND p.run = u.run""",
+     "runs", "facts", "kws", "pts")
+view("per_question", """
+  SELECT setting, qid, any_value(rule_id) AS rule_id, count(*) AS k_total, count(*) FILTER (WHERE determined) AS k_used, avg(v) AS s, avg(v_strict) AS s_strict,
+    avg(c) AS c, avg(m6) AS m6, avg(against::INT) FILTER (WHERE determined) AS mean_contradiction, arg_min(head, run) FILTER (WHERE determined) AS head
+  FROM scored GROUP BY setting, qid""", "scored")
+view("lost", "SELECT setting, qid, nid, any_value(text) AS text, avg(p) AS mean_points FROM pts GROUP BY setting, qid, nid HAVING avg(p) < 1", "pts")
+
+
+def _errors(name: str, source: str, by: str, value: str, cluster: str) -> None:
+    """n, mean, variance and both standard errors of ``source`` per ``by``."""
+    view(name, f"""
+  SELECT {by}, any_value(n) AS n, any_value(m) AS mean, any_value(vs) AS variance, sqrt(any_value(vs) / any_value(n)) AS se_clt,
+    CASE WHEN any_value(n) >= 2 THEN sqrt(greatest(any_value(vs) / any_value(n) + sum(sa * sa - qa) / any_value(n) / any_value(n), 0)) END AS se_cluster
+  FROM (SELECT {by}, cl, any_value(n) AS n, any_value(m) AS m, any_value(vs) AS vs, sum(x - m) AS sa, sum((x - m) * (x - m)) AS qa
+    FROM (SELECT {by}, {cluster} AS cl, {value} AS x, count(*) OVER w AS n, avg({value}) OVER w AS m,
+            CASE WHEN count(*) OVER w >= 2 THEN var_samp({value}) OVER w END AS vs
+          FROM {source} WHERE {value} IS NOT NULL WINDOW w AS (PARTITION BY {by})) GROUP BY {by}, cl) GROUP BY {by}""", source)
+
+
+_errors("setting_errors", "per_question", "setting", "s", "rule_id")
+view("differences", """
+  SELECT o.comparison, a.qid, a.rule_id AS cluster, o.s - a.s AS d, a.s AS score_a, o.s AS score_b
+  FROM per_question a JOIN (SELECT CASE setting WHEN 'B' THEN 'B-A' ELSE 'AA-A' END AS comparison, * FROM per_question WHERE setting <> 'A') o USING (qid)
+  WHERE a.setting = 'A' AND a.s IS NOT NULL AND o.s IS NOT NULL""", "per_question")
+_errors("compared", "differences", "comparison", "d", "cluster")
+view("outside", """
+  SELECT setting, qid, 'excluded' AS state FROM per_question WHERE k_used = 0
+  UNION ALL SELECT DISTINCT setting, qid, 'unknown' FROM runs WHERE qid NOT IN (SELECT qid FROM facts)
+  UNION ALL SELECT s.setting, f.qid, 'missing' FROM (SELECT DISTINCT qid FROM facts) f, (VALUES ('A'), ('AA'), ('B')) s(setting)
+    WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.qid = f.qid AND u.setting = s.setting)""", "per_question", "runs", "facts")
+SETTINGS = ["A", "AA", "B"]
+
+
+class Scores:
+    """Facts and judged records in their Spark form."""
+
+    def __init__(self, i: Inputs):
+        self.i = i
+
+    @cached_property
+    def rated(self) -> DataFrame:
+        marks = self.i.table("labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        return self.i.table("documents").select("doc_id", "text", "source", "lang").join(marks, "doc_id")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self.fact_rows(self.rated.filter(F.length("text") >= 120)).drop("doc_id", "lang")
+
+    def fact_rows(self, rated: DataFrame) -> DataFrame:
+        doc, qid = F.col("doc_id"), F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+
+        def fact(n: int) -> Column:
+            importance = F.lit("vital") if n == 1 else F.when((doc + n) % 4 == 0, "okay").otherwise("vital")
+            part = F.substring("text", (n - 1) * 40 + 1, 40)
+            return F.struct(
+                F.concat(qid, F.lit(f"-n{n}")).alias("nid"), part.alias("text"), importance.alias("importance"), part.alias("quote"),
+                F.array(F.substring("text", (n - 1) * 40 + 1, 5)).alias("keywords"),
+            )
+
+        return rated.select(
+            "doc_id", "lang", qid.alias("qid"), F.col("source").alias("rule_id"), F.concat(F.lit("About "), qid, F.lit("?")).alias("question"),
+            F.lit("v1").alias("version"), F.array(*[fact(n) for n in (1, 2, 3)]).alias("nuggets"),
+        )
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        doc, r = F.col("doc_id"), F.col("r")
+        setting = F.when(r < 2, "A").when(r < 4, "AA").otherwise("B")
+        rows = self.rated.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("r")).filter((F.col("toxic") == 0) | (r < 4))
+        return rows.select(
+            "doc_id", "r", "text", F.concat(F.lit("D"), doc.cast("string")).alias("qid"), setting.alias("setting"),
+            F.concat(setting, (r % 2 + 1).cast("string")).alias("run"),
+            F.concat(F.substring("text", 1, 100), F.lit(" run "), r.cast("string")).alias("answer"),
+            F.when((doc % 31 != 0) & ((doc + r) % 29 != 0), "ok").otherwise("undetermined").alias("status"),
+        )
+
+    @cached_property
+    def records(self) -> DataFrame:
+        doc, r = F.col("doc_id"), F.col("r")
+
+        def level(n: int) -> Column:
+            at = F.when(r >= 4, (doc * 5 + n * 3 + r) % 4).otherwise((doc * 7 + n * 3 + r) % 3)
+            return F.when(at == 0, "full").when(at == 1, "partial").otherwise("none")
+
+        given = F.array(*[F.struct(F.concat("qid", F.lit(f"-n{n}")).alias("nid"), level(n).alias("level")) for n in (1, 2, 3)])
+        against = (doc + r) % 9 == 0
+        return self.runs.select(
+            "setting", "run", "qid", "answer", "status",
+            F.array(F.concat(F.lit("Says "), "qid"), F.lit("Second.")).alias("sentences"),
+            F.array(F.lit("vital"), F.when(against, "contradiction").otherwise("okay")).alias("labels"), given.alias("facts"),
+        )
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return nuggets.score_records(self.records, self.facts)
+
+    @cached_property
+    def per_question(self) -> DataFrame:
+        return nuggets.question_scores(self.scored)
+
+    @cached_property
+    def differences(self) -> DataFrame:
+        scores = saved(
+            self.per_question.filter("s is not null").select("setting", "qid", F.col("s").alias("score"), F.col("rule_id").alias("cluster"))
+        )
+        first = scores.filter("setting = 'A'")
+
+        def against(other: str) -> DataFrame:
+            return paired.paired_difference(first, scores.filter(F.col("setting") == other)).withColumn("comparison", F.lit(f"{other}-A"))
+
+        return against("B").unionByName(against("AA"))
+
+    @cached_property
+    def outside(self) -> DataFrame:
+        return nuggets.coverage(self.per_question, self.records.select("setting", "qid"), self.facts, SETTINGS)
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.coalesce(F.round(n, 9), F.lit(-1.0)) for n in names})
+
+
+def _r(*names: str) -> str:
+    return ", ".join(f"coalesce(round({n}, 9), -1) AS {n}" for n in names)
+
+
+# ---- fact lists -----------------------------------------------------------------
+
+
+@query(
+    "n1_verbatim_quote",
+    r"""SELECT document_id, n, contains(regexp_replace(content, '\s+', '', 'g'), q) AND q <> '' AS verbatim FROM (
+          SELECT document_id, content, n, regexp_replace(CASE n WHEN 1 THEN ' ' || substr(content, 11, 60) || chr(10) WHEN 2 THEN substr(content, 1, 5) || '#' ELSE ' ' END, '\s+', '', 'g') AS q
+          FROM corpus, (VALUES (1), (2), (3)) v(n))""",
+    ("corpus",),
+)
+def n1(i: Inputs) -> DataFrame:
+    quotes = F.array(
+        F.concat(F.lit(" "), F.substring("content", 11, 60), F.lit("\n")), F.concat(F.substring("content", 1, 5), F.lit("#")), F.lit(" ")
+    )
+    rows = i.corpus.select("document_id", "content", F.posexplode(quotes).alias("p", "quote"))
+    return rows.select("document_id", (F.col("p") + 1).alias("n"), tx.quoted_verbatim(F.col("quote"), F.col("content")).alias("verbatim"))
+
+
+view("drafted", """
+  SELECT doc_id AS row_no, CASE WHEN doc_id % 41 = 0 THEN '' WHEN doc_id % 43 = 0 THEN 'D1' ELSE 'D' || doc_id END AS qid,
+    CASE WHEN doc_id % 47 = 0 THEN 'nowhere' WHEN doc_id % 49 = 0 THEN '' ELSE 'rule' || doc_id END AS rule_id, doc_id % 53 = 0 AS bare, n, text AS body,
+    'D' || doc_id || '-n' || CASE WHEN doc_id % 59 = 0 AND n = 2 THEN 1 ELSE n END AS nid,
+    CASE WHEN doc_id % 61 = 0 AND n = 2 THEN '  ' ELSE 'fact' END AS fact,
+    CASE WHEN doc_id % 67 = 0 THEN 'maybe' WHEN doc_id % 71 = 0 THEN 'okay' ELSE 'vital' END AS importance,
+    substr(text, (n - 1) * 40 + 1, 40) || CASE WHEN doc_id % 37 = 0 AND n = 3 THEN '#x' ELSE '' END AS quote
+  FROM (SELECT *, unnest([1, 2, 3]) AS n FROM rated)""", "rated")
+
+
+@query(
+    "n2_nugget_validation",
+    r"""SELECT row_no, qid, coalesce(nid, '') AS nid, problem FROM (
+      SELECT DISTINCT row_no, qid, '' AS nid, 'qid missing' AS problem FROM drafted WHERE qid = ''
+      UNION ALL SELECT DISTINCT row_no, qid, '', 'qid repeated' FROM drafted d WHERE qid <> '' AND row_no > (SELECT min(row_no) FROM drafted e WHERE e.qid = d.qid)
+      UNION ALL SELECT DISTINCT row_no, qid, '', 'rule_id missing' FROM drafted WHERE qid <> '' AND rule_id = ''
+      UNION ALL SELECT DISTINCT row_no, qid, '', 'rule unknown' FROM drafted WHERE qid <> '' AND rule_id = 'nowhere'
+      UNION ALL SELECT DISTINCT row_no, qid, '', 'no facts' FROM drafted WHERE qid <> '' AND bare
+      UNION ALL SELECT row_no, qid, nid, 'nid repeated' FROM drafted WHERE qid <> '' AND NOT bare AND row_no % 59 = 0 AND n = 2
+      UNION ALL SELECT row_no, qid, nid, 'text empty' FROM drafted WHERE qid <> '' AND NOT bare AND trim(fact) = ''
+      UNION ALL SELECT row_no, qid, nid, 'importance unknown' FROM drafted WHERE qid <> '' AND NOT bare AND importance = 'maybe'
+      UNION ALL SELECT row_no, qid, nid, 'quote empty' FROM drafted WHERE qid <> '' AND NOT bare AND regexp_replace(quote, '\s+', '', 'g') = ''
+      UNION ALL SELECT row_no, qid, nid, 'quote not verbatim' FROM drafted WHERE qid <> '' AND NOT bare AND rule_id LIKE 'rule%'
+        AND regexp_replace(quote, '\s+', '', 'g') <> '' AND NOT contains(regexp_replace(body, '\s+', '', 'g'), regexp_replace(quote, '\s+', '', 'g'))
+      UNION ALL SELECT row_no, qid, '', 'no vital fact' FROM drafted WHERE qid <> '' AND NOT bare GROUP BY row_no, qid HAVING count(*) FILTER (WHERE importance = 'vital') = 0)""",
+    ("drafted",),
+)
+def n2(i: Inputs) -> DataFrame:
+    doc = F.col("doc_id")
+
+    def fact(n: int) -> Column:
+        same = F.when(doc % 59 == 0, 1).otherwise(n) if n == 2 else F.lit(n)
+        quote = F.substring("text", (n - 1) * 40 + 1, 40)
+        return F.struct(
+            F.concat(F.lit("D"), doc.cast("string"), F.lit("-n"), same.cast("string")).alias("nid"),
+            (F.when(doc % 61 == 0, "  ").otherwise("fact") if n == 2 else F.lit("fact")).alias("text"),
+            F.when(doc % 67 == 0, "maybe").when(doc % 71 == 0, "okay").otherwise("vital").alias("importance"),
+            (F.when(doc % 37 == 0, F.concat(quote, F.lit("#x"))).otherwise(quote) if n == 3 else quote).alias("quote"),
+            F.array().cast("array<string>").alias("keywords"),
+        )
+
+    rated = Scores(i).rated
+    listed = F.array(*[fact(n) for n in (1, 2, 3)])
+    rows = rated.select(
+        doc.alias("row_no"),
+        F.when(doc % 41 == 0, "").when(doc % 43 == 0, "D1").otherwise(F.concat(F.lit("D"), doc.cast("string"))).alias("qid"),
+        F.when(doc % 47 == 0, "nowhere").when(doc % 49 == 0, "").otherwise(F.concat(F.lit("rule"), doc.cast("string"))).alias("rule_id"),
+        F.when(doc % 53 != 0, listed).alias("nuggets"),
+    )
+    corpus = rated.select(F.concat(F.lit("rule"), doc.cast("string")).alias("rule_id"), F.col("text").alias("body"))
+    return nuggets.validate_nuggets(rows, corpus).withColumn("nid", F.coalesce("nid", F.lit("")))
+
+
+@query("n3_unreviewed", "SELECT 'D' || doc_id AS qid FROM rated WHERE lang IN ('de', 'fr')", ("rated",))
+def n3(i: Inputs) -> DataFrame:
+    by = F.when(F.col("lang") == "de", "  ").when(F.col("lang") != "fr", "me")
+    return nuggets.unreviewed(Scores(i).rated.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("qid"), by.alias("reviewed_by")))
+
+
+view("frozen", r"""
+  SELECT qid, any_value(lang) AS lang, sha256(concat_ws(chr(31), qid, any_value(rule_id), 'v1',
+    regexp_replace(string_agg(concat_ws(chr(30), nid, text, importance, text, keyword), chr(29) ORDER BY n), '\r\n?', chr(10), 'g'))) AS sha256
+  FROM facts GROUP BY qid""", "facts")
+
+
+@query("n4_freeze", "SELECT 'v1' AS version, qid, sha256 FROM frozen", ("frozen",))
+def n4(i: Inputs) -> DataFrame:
+    return nuggets.freeze(Scores(i).facts)
+
+
+@query("n4_freeze_versions", "SELECT 2 AS versions, false AS freezable FROM (SELECT count(*) FROM rated)", ("rated",))
+def n4_versions(i: Inputs) -> DataFrame:
+    rows = Scores(i).rated.select(F.when(F.col("lang") == "de", "v2").otherwise("v1").alias("version"))
+    return nuggets.freeze_versions(rows)
+
+
+@query(
+    "n4_check_freeze",
+    """SELECT qid, CASE lang WHEN 'es' THEN 'missing' WHEN 'de' THEN 'added' ELSE 'changed' END AS state FROM frozen WHERE lang IN ('es', 'de', 'fr')""",
+    ("frozen",),
+)
+def n4_check(i: Inputs) -> DataFrame:
+    s = Scores(i)
+    rows = s.fact_rows(s.rated.filter(F.length("text") >= 120))
+    manifest = nuggets.freeze(rows.filter("lang <> 'de'").drop("lang", "doc_id"))
+    now = rows.filter("lang <> 'es'").withColumn("rule_id", F.when(F.col("lang") == "fr", "moved").otherwise(F.col("rule_id")))
+    return nuggets.check_freeze(manifest, now.drop("lang", "doc_id"))
+
+
+@query(
+    "n5_answer_sentences",
+    f"""SELECT document_id, array_to_string(list_filter(list_transform(
+          flatten(list_transform({_MARKED}, lambda s: string_split_regex(s, '[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'))),
+          lambda s: {sql_strip('s')}), lambda s: s <> ''), chr(2)) AS sentences FROM corpus""",
+    ("corpus",),
+)
+def n5(i: Inputs) -> DataFrame:
+    return i.corpus.select("document_id", F.array_join(tx.sentence_lines(F.col("content")), "\u0002").alias("sentences"))
+
+
+# ---- judge replies --------------------------------------------------------------
+
+view("asked", """
+  SELECT doc_id, r, run, qid, doc_id % 17 = 0 AS silent, (doc_id + r) % 5 AS kind, (doc_id + r) % 3 AS form FROM runs WHERE qid IN (SELECT qid FROM facts)""", "runs", "facts")
+_GOOD = '{"labels": ["必須", "補足"]}'
+_FENCED = '```json\n["vital", {"label": "okay"}]\n```'
+_TALK = 'Sure: {"labels": [{"ラベル": "定型"}, " 相反 "]} see [1]'
+_SHORT = '{"labels": ["必須"]}'
+_ODD = '{"labels": ["必須", "other"]}'
+
+
+def _label_raw() -> Column:
+    kind = (F.col("doc_id") + F.col("r")) % 5
+    return F.when(kind == 0, _GOOD).when(kind == 1, _FENCED).when(kind == 2, _TALK).when(kind == 3, _SHORT).otherwise(_ODD)
+
+
+def _replies(s: Scores) -> tuple[DataFrame, DataFrame]:
+    doc, r = F.col("doc_id"), F.col("r")
+    base = s.runs.join(s.facts.select("qid", "nuggets"), "qid")
+    vitals = F.transform(nuggets.vital(F.col("nuggets")), lambda n: n["nid"])
+    form = (doc + r) % 3
+
+    def each(make) -> Column:
+        return F.array_join(F.transform(vitals, make), ", ")
+
+    objects = F.concat(F.lit('{"facts": ['), each(lambda v: F.concat(F.lit('{"nid": "'), v, F.lit('", "score": "full"}'))), F.lit("]}"))
+    bare = F.concat(F.lit("["), each(lambda v: F.lit("0.5")), F.lit("]"))
+    other = F.concat(F.lit('{"facts": ['), each(lambda v: F.concat(F.lit('{"id": "'), v, F.lit('", "verdict": "なし"}'))), F.lit("]}"))
+    facts = F.when(form == 0, objects).when(form == 1, bare).otherwise(other)
+    calls = F.array(
+        F.struct(F.lit("labels").alias("call"), F.lit(0).alias("attempt"), _label_raw().alias("raw")),
+        F.struct(F.lit("labels").alias("call"), F.lit(1).alias("attempt"), F.when((doc + r) % 5 == 3, _GOOD).otherwise("still no").alias("raw")),
+        F.struct(F.lit("facts").alias("call"), F.lit(0).alias("attempt"), facts.alias("raw")),
+    )
+    replies = base.select("qid", "run", F.inline(calls))
+    answers = base.select("qid", "run", F.when(doc % 17 == 0, " ").otherwise("Says one. Second two.").alias("answer"))
+    return answers, replies
+
+
+@query(
+    "n6_reply_json",
+    """SELECT qid, run, CASE kind WHEN 0 THEN '必須,補足' WHEN 1 THEN 'vital,okay' WHEN 2 THEN '定型, 相反 ' WHEN 3 THEN '必須' ELSE '必須,other' END AS texts FROM asked""",
+    ("asked",),
+)
+def n6(i: Inputs) -> DataFrame:
+    s = Scores(i)
+    rows = s.runs.join(s.facts.select("qid"), "qid", "left_semi").select("qid", "run", nuggets.extract_json(_label_raw()).alias("found"))
+    items = nuggets._items(F.col("found"), "labels")
+    text = F.transform(items, lambda x: F.when(nuggets._is_object(x), nuggets._field(x, "label", "ラベル")).otherwise(x))
+    return rows.select("qid", "run", F.array_join(text, ",").alias("texts"))
+
+
+@query(
+    "n7_label_parse",
+    """SELECT qid, run, CASE kind WHEN 0 THEN 'vital,okay' WHEN 1 THEN 'vital,okay' WHEN 2 THEN 'boilerplate,contradiction' ELSE '-' END AS labels,
+         CASE kind WHEN 3 THEN 'wrong number of labels' WHEN 4 THEN 'unknown label' ELSE '-' END AS error FROM asked""",
+    ("asked",),
+)
+def n7(i: Inputs) -> DataFrame:
+    s = Scores(i)
+    rows = s.runs.join(s.facts.select("qid"), "qid", "left_semi").select(
+        "qid", "run", nuggets.extract_json(_label_raw()).alias("found"), F.lit(2).alias("n_sentences")
+    )
+    return nuggets.parse_labels(rows).select(
+        "qid", "run", F.coalesce(F.array_join("labels", ","), F.lit("-")).alias("labels"), F.coalesce("label_error", F.lit("-")).alias("error")
+    )
+
+
+_LEVELS = "string_agg(f.nid || '=' || CASE a.form WHEN 0 THEN 'full' WHEN 1 THEN 'partial' ELSE 'none' END, ',' ORDER BY f.n)"
+
+
+def _fact_text(column: str = "facts") -> Column:
+    return F.array_join(F.transform(column, lambda f: F.concat(f["nid"], F.lit("="), f["level"])), ",")
+
+
+@query(
+    "n8_fact_parse",
+    f"SELECT a.qid, a.run, {_LEVELS} AS facts, '-' AS error FROM asked a JOIN facts f USING (qid) WHERE f.importance = 'vital' GROUP BY a.qid, a.run",
+    ("asked", "facts"),
+)
+def n8(i: Inputs) -> DataFrame:
+    s = Scores(i)
+    _, replies = _replies(s)
+    vitals = s.facts.select("qid", F.transform(nuggets.vital(F.col("nuggets")), lambda n: n["nid"]).alias("vital_nids"))
+    rows = replies.filter("call = 'facts'").withColumn("found", nuggets.extract_json(F.col("raw"))).join(vitals, "qid")
+    return nuggets.parse_facts(rows).select("qid", "run", _fact_text().alias("facts"), F.coalesce("fact_error", F.lit("-")).alias("error"))
+
+
+@query(
+    "n9_judged_records",
+    f"""SELECT a.qid, a.run, CASE WHEN a.silent OR a.kind <> 4 THEN 'ok' ELSE 'undetermined' END AS status,
+          CASE WHEN a.silent THEN '' WHEN a.kind IN (0, 1, 3) THEN 'vital,okay' WHEN a.kind = 2 THEN 'boilerplate,contradiction' ELSE '-' END AS labels,
+          CASE WHEN a.silent THEN string_agg(f.nid || '=none', ',' ORDER BY f.n) WHEN a.kind = 4 THEN '-' ELSE {_LEVELS} END AS facts,
+          CASE WHEN NOT a.silent AND a.kind = 4 THEN 'labels: no JSON' ELSE '-' END AS error,
+          CASE WHEN NOT a.silent AND a.kind IN (3, 4) THEN 1 ELSE 0 END AS retries
+        FROM asked a JOIN facts f USING (qid) WHERE f.importance = 'vital' GROUP BY a.qid, a.run, a.silent, a.kind, a.form""",
+    ("asked", "facts"),
+)
+def n9(i: Inputs) -> DataFrame:
+    s = Scores(i)
+    answers, replies = _replies(s)
+    records = nuggets.judge_records(answers, s.facts, replies)
+    return records.select(
+        "qid", "run", "status", F.coalesce(F.array_join("labels", ","), F.lit("-")).alias("labels"),
+        F.coalesce(_fact_text(), F.lit("-")).alias("facts"), F.coalesce("error", F.lit("-")).alias("error"), "retries",
+    )
+
+
+def _sql_fill(template: str, *values: str) -> str:
+    text = "'" + template + "'"
+    for n, value in enumerate(values, start=1):
+        mark = "d" if f"%{n}$d" in template else "s"
+        text = f"replace({text}, '%{n}${mark}', {value})"
+    return text
+
+
+@query(
+    "n10_judge_prompts",
+    f"""SELECT u.qid, u.run,
+          {_sql_fill(nuggets.LABEL_PROMPT, 'u.text', "'About ' || u.qid || '?'", 'f.all_facts', "'2'", "'1. Says one.' || chr(10) || '2. Second two.'")} AS label_prompt,
+          {_sql_fill(nuggets.FACT_PROMPT, 'u.text', "'About ' || u.qid || '?'", "'Says one. Second two.'", 'f.vitals', "u.qid || '-n1'")} AS fact_prompt
+        FROM runs u JOIN (SELECT qid, string_agg('- ' || nid || ': ' || text || '（' || CASE importance WHEN 'vital' THEN '必須' ELSE '補足' END || '）', chr(10) ORDER BY n) AS all_facts,
+          string_agg('- ' || nid || ': ' || text, chr(10) ORDER BY n) FILTER (WHERE importance = 'vital') AS vitals FROM facts GROUP BY qid) f USING (qid)""",
+    ("runs", "facts"),
+)
+def n10(i: Inputs) -> DataFrame:
+    s = Scores(i)
+    inputs = s.runs.select("qid", "run", F.col("text").alias("body"), F.lit("Says one. Second two.").alias("answer")).join(
+        s.facts.select("qid", "question", "nuggets"), "qid"
+    )
+    return nuggets.judge_prompts(inputs)
+
+
+@query(
+    "n11_judge_inputs",
+    """SELECT u.qid, u.run, f.rule_id, CASE WHEN u.doc_id % 2 = 0 THEN 'About ' || u.qid || '?' ELSE 'From file' END AS question, length(u.text) AS body_chars
+       FROM runs u JOIN (SELECT DISTINCT qid, 'rule' || doc_id AS rule_id FROM facts) f USING (qid)""",
+    ("runs", "facts"),
+)
+def n11(i: Inputs) -> DataFrame:
+    s = Scores(i)
+    number = F.substring("qid", 2, 20)
+    listed = s.facts.withColumns(
+        {"rule_id": F.concat(F.lit("rule"), number), "question": F.when(number.cast("bigint") % 2 == 0, F.col("question")).otherwise("")}
+    )
+    corpus = s.rated.select(F.concat(F.lit("rule"), F.col("doc_id").cast("string")).alias("rule_id"), F.col("text").alias("body"))
+    file = s.rated.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("qid"), F.lit("From file").alias("question"))
+    found = nuggets.judge_inputs(s.runs.select("qid", "run", "answer"), listed, corpus, file)
+    return found.select("qid", "run", "rule_id", "question", F.length("body").alias("body_chars"))
+
+
+@query("n11_skipped_answers", "SELECT run, count(*) AS skipped FROM runs WHERE qid NOT IN (SELECT qid FROM facts) GROUP BY run", ("runs", "facts"))
+def n11_skipped(i: Inputs) -> DataFrame:
+    s = Scores(i)
+    return nuggets.skipped_answers(s.runs, s.facts)
+
+
+@query(
+    "n12_foreign_records",
+    """SELECT qid, run FROM runs WHERE qid NOT IN (SELECT qid FROM facts) OR setting = 'AA'""",
+    ("runs", "facts"),
+)
+def n12(i: Inputs) -> DataFrame:
+    s = Scores(i)
+    manifest = nuggets.freeze(s.facts)
+    stamped = nuggets.stamp(s.runs.select("qid", "run", "setting"), manifest, "local", 0)
+    aged = stamped.withColumn("nuggets_sha256", F.when(F.col("setting") == "AA", "old").otherwise(F.col("nuggets_sha256")))
+    return nuggets.foreign_records(aged, manifest).select("qid", "run")
+
+
+@query("n12_judge_mix", "SELECT count(DISTINCT setting) AS judges, count(DISTINCT setting) <= 1 AS scorable FROM runs", ("runs",))
+def n12_mix(i: Inputs) -> DataFrame:
+    return nuggets.judge_mix(Scores(i).runs.select(F.lit("NJ-1").alias("judge_version"), F.col("setting").alias("judge_model")))
+
+
+@query(
+    "n13_vital_keywords",
+    """SELECT qid, string_agg(keyword, '|' ORDER BY n) AS keywords FROM (SELECT qid, keyword, min(n) AS n FROM facts WHERE importance = 'vital' GROUP BY ALL) GROUP BY qid""",
+    ("facts",),
+)
+def n13(i: Inputs) -> DataFrame:
+    return Scores(i).facts.select("qid", F.array_join(nuggets.vital_keywords(F.col("nuggets")), "|").alias("keywords"))
+
+
+# ---- scores ---------------------------------------------------------------------
+
+
+@query(
+    "n14_record_score",
+    f"""SELECT setting, run, qid, rule_id, determined, {_r('v', 'v_strict', 'c', 'm6')}, CASE WHEN determined THEN against::INT ELSE 0 END AS n_contradiction,
+          CASE WHEN determined AND NOT against THEN 1 ELSE 0 END AS n_okay, head FROM scored""",
+    ("scored",),
+)
+def n14(i: Inputs) -> DataFrame:
+    return _rounded(Scores(i).scored, "v", "v_strict", "c", "m6").select(
+        "setting", "run", "qid", "rule_id", "determined", "v", "v_strict", "c", "m6", "n_contradiction", "n_okay", "head"
+    )
+
+
+@query(
+    "n15_question_score",
+    f"SELECT setting, qid, rule_id, k_total, k_used, {_r('s', 's_strict', 'c', 'm6', 'mean_contradiction')}, coalesce(head, '-') AS head FROM per_question",
+    ("per_question",),
+)
+def n15(i: Inputs) -> DataFrame:
+    return _rounded(Scores(i).per_question, "s", "s_strict", "c", "m6", "mean_contradiction").select(
+        "setting", "qid", "rule_id", "k_total", "k_used", "s", "s_strict", "c", "m6", "mean_contradiction", F.coalesce("head", F.lit("-")).alias("head")
+    )
+
+
+@query("n15_lost_facts", f"SELECT setting, qid, nid, {_r('mean_points')} FROM lost", ("lost",))
+def n15_lost(i: Inputs) -> DataFrame:
+    return _rounded(nuggets.lost_facts(Scores(i).scored), "mean_points")
+
+
+@query(
+    "n15_contradictions",
+    "SELECT DISTINCT setting, qid, 'Second.' AS sentence, min(run) OVER (PARTITION BY setting, qid) AS run FROM scored WHERE determined AND against",
+    ("scored",),
+)
+def n15_against(i: Inputs) -> DataFrame:
+    return nuggets.contradictions(Scores(i).scored).select("setting", "qid", "sentence", "first_seen.run")
+
+
+@query("n15_coverage", "SELECT setting, qid, state FROM outside", ("outside",))
+def n15_coverage(i: Inputs) -> DataFrame:
+    return Scores(i).outside
+
+
+@query(
+    "n16_setting_summary",
+    f"""SELECT setting, any_value(e.n) AS n, count(*) FILTER (WHERE o.state = 'excluded') AS n_excluded, count(*) FILTER (WHERE o.state = 'missing') AS n_missing,
+          {', '.join(f'round(any_value({c}), 9) AS {c}' for c in ('mean_v', 'se_clt', 'se_cluster', 'mean_strict', 'contradiction_rate', 'm6', 'mean_contradiction'))}
+        FROM (SELECT *, mean AS mean_v FROM setting_errors) e
+        JOIN (SELECT setting, avg(s_strict) AS mean_strict, avg(c) AS contradiction_rate, avg(m6) AS m6, avg(mean_contradiction) AS mean_contradiction
+              FROM per_question WHERE k_used > 0 GROUP BY setting) q USING (setting) LEFT JOIN outside o USING (setting) GROUP BY setting""",
+    ("setting_errors", "per_question", "outside"),
+)
+def n16(i: Inputs) -> DataFrame:
+    s = Scores(i)
+    names = ("mean_v", "se_clt", "se_cluster", "mean_strict", "contradiction_rate", "m6", "mean_contradiction")
+    per_question = saved(s.per_question)
+    outside = nuggets.coverage(per_question, s.records.select("setting", "qid"), s.facts, SETTINGS)
+    return _rounded(nuggets.setting_summary(per_question, outside), *names).select("setting", "n", "n_excluded", "n_missing", *names)
+
+
+_STATS = ["mean", "variance", "se_clt", "se_cluster"]
+view("prices", "SELECT l_returnflag || l_linestatus AS g, l_quantity / 50 AS x, l_suppkey AS cl FROM lineitem")
+_errors("price_errors", "prices", "g", "x", "cl")
+
+
+@query("n17_standard_error", f"SELECT g, n, {_r('mean', 'variance', 'se_clt')} FROM price_errors", ("price_errors",))
+def n17(i: Inputs) -> DataFrame:
+    return _rounded(paired.mean_and_error(_prices(i), ["g"], "x"), "mean", "variance", "se_clt").drop("se_cluster")
+
+
+def _prices(i: Inputs) -> DataFrame:
+    return i.table("lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("g"), (F.col("l_quantity") / 50).alias("x"), F.col("l_suppkey").alias("cl")
+    )
+
+
+@query("n18_clustered_error", f"SELECT g, n, {_r('se_clt', 'se_cluster')} FROM price_errors", ("price_errors",))
+def n18(i: Inputs) -> DataFrame:
+    return _rounded(paired.mean_and_error(_prices(i), ["g"], "x", "cl"), "se_clt", "se_cluster").select("g", "n", "se_clt", "se_cluster")
+
+
+@query("n19_interval", "SELECT g, round(mean - 1.96 * se_clt, 9) AS low, round(mean + 1.96 * se_clt, 9) AS high FROM price_errors", ("price_errors",))
+def n19(i: Inputs) -> DataFrame:
+    low, high = paired.interval(F.col("mean"), F.col("se_clt"))
+    return paired.mean_and_error(_prices(i), ["g"], "x").select("g", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+@query("n20_paired_difference", "SELECT comparison, qid, cluster, round(d, 9) + 0.0 AS d FROM differences", ("differences",))
+def n20(i: Inputs) -> DataFrame:
+    return Scores(i).differences.select("comparison", "qid", "cluster", F.round("d", 9).alias("d"))
+
+
+@query(
+    "n21_compare",
+    f"""SELECT comparison, n, {_r('mean', 'se_clt', 'se_cluster').replace('AS mean', 'AS dbar')}, round(mean - 1.96 * se_clt, 9) AS clt_low, round(mean + 1.96 * se_clt, 9) AS clt_high,
+          round(mean - 1.96 * se_cluster, 9) AS low, round(mean + 1.96 * se_cluster, 9) AS high, 'cluster' AS main FROM compared""",
+    ("compared",),
+)
+def n21(i: Inputs) -> DataFrame:
+    names = ("dbar", "se_clt", "se_cluster", "clt_low", "clt_high", "low", "high")
+    return _rounded(paired.compare(Scores(i).differences, ["comparison"]), *names).select("comparison", "n", *names, "main")
+
+
+view("widths", "SELECT greatest(abs(mean - 1.96 * se_cluster), abs(mean + 1.96 * se_cluster)) AS w FROM compared WHERE comparison = 'AA-A'", "compared")
+
+
+@query("n22_noise_width", "SELECT round(w, 9) AS width FROM widths", ("widths",))
+def n22(i: Inputs) -> DataFrame:
+    same = paired.compare(Scores(i).differences.filter("comparison = 'AA-A'"), ["comparison"])
+    return same.select(F.round(paired.noise_width(F.col("low"), F.col("high")), 9).alias("width"))
+
+
+@query(
+    "n23_verdict",
+    f"""SELECT comparison, CASE WHEN n < 2 THEN '{paired.TOO_FEW}' WHEN NOT (mean - 1.96 * se_cluster <= 0 AND mean + 1.96 * se_cluster >= 0) AND abs(mean) > w
+          THEN '{paired.BELIEVE}' ELSE '{paired.NOISE}' END AS verdict, '{paired.NO_NOISE_BAND}' AS without_band FROM compared, widths""",
+    ("compared", "widths"),
+)
+def n23(i: Inputs) -> DataFrame:
+    table = saved(paired.compare(Scores(i).differences, ["comparison"]))
+    width = table.filter("comparison = 'AA-A'").select(paired.noise_width(F.col("low"), F.col("high"))).scalar()
+    parts = [F.col(c) for c in ("n", "dbar", "low", "high")]
+    none = F.lit(None).cast("double")
+    return table.select("comparison", paired.verdict(*parts, width).alias("verdict"), paired.verdict(*parts, none).alias("without_band"))
+
+
+@query(
+    "n24_worst_questions",
+    """SELECT d.qid, q.rule_id, round(score_a, 9) AS score_a, round(score_b, 9) AS score_b, round(d.d, 9) AS d, q.head,
+         coalesce((SELECT string_agg(line, '; ' ORDER BY line) FROM (SELECT nid || ' ' || text || CASE WHEN mean_points > 0 THEN '（一部）' ELSE '' END AS line FROM lost l WHERE l.setting = 'B' AND l.qid = d.qid)), '-') AS lost,
+         CASE WHEN EXISTS (SELECT 1 FROM scored s WHERE s.setting = 'B' AND s.qid = d.qid AND s.determined AND s.against) THEN 'Second.' ELSE '-' END AS contradictions
+       FROM (SELECT *, round(d, 9) AS key FROM differences WHERE comparison = 'B-A' ORDER BY key, qid LIMIT 10) d JOIN per_question q ON q.qid = d.qid AND q.setting = 'B'""",
+    ("differences", "per_question", "lost", "scored"),
+)
+def n24(i: Inputs) -> DataFrame:
+    s = Scores(i)
+    worst = s.differences.filter("comparison = 'B-A'").withColumn("d", F.round("d", 9))
+    in_b = F.col("setting") == "B"
+    table = nuggets.worst_questions(
+        worst, s.per_question.filter(in_b), nuggets.lost_facts(s.scored.filter(in_b)), nuggets.contradictions(s.scored.filter(in_b)), s.facts
+    )
+    return _rounded(table, "score_a", "score_b", "d").select("qid", "rule_id", "score_a", "score_b", "d", "head", "lost", "contradictions")
+
+
+view("raw_drafts", """
+  SELECT doc_id, text, n, doc_id % 7 = 0 AS broken, ['必須', 'okay', 'Vital ', 'strange'][1 + (doc_id + n) % 4] AS importance,
+    replace(replace(replace(substr(text, n * 30, 20), chr(92), ''), '"', ''), chr(10), ' ') AS bit FROM (SELECT *, unnest([1, 2]) AS n FROM rated)""", "rated")
+
+
+@query(
+    "n25_draft_clean_up",
+    r"""SELECT 'D' || doc_id AS qid, 'D' || doc_id || '-n' || n AS nid, 'fact ' || n AS text, CASE WHEN importance IN ('必須', 'Vital ') THEN 'vital' ELSE 'okay' END AS importance,
+          bit AS quote, CASE n WHEN 1 THEN 'a,b' ELSE '' END AS keywords,
+          concat_ws(',', CASE importance WHEN 'strange' THEN 'importance_unknown' END,
+            CASE WHEN regexp_replace(bit, '\s+', '', 'g') = '' OR NOT contains(regexp_replace(text, '\s+', '', 'g'), regexp_replace(bit, '\s+', '', 'g')) THEN 'quote_not_verbatim' END) AS flags
+        FROM raw_drafts WHERE NOT broken
+        UNION ALL SELECT DISTINCT 'D' || doc_id, '', '', '', '', '', 'draft_failed' FROM raw_drafts WHERE broken""",
+    ("raw_drafts",),
+)
+def n25(i: Inputs) -> DataFrame:
+    doc = F.col("doc_id")
+    rated = Scores(i).rated
+
+    def fact(n: int) -> Column:
+        bit = F.translate(F.replace(F.substring("text", n * 30, 20), F.lit("\n"), F.lit(" ")), '\\"', "")
+        words = F.lit('["a", "b"]') if n == 1 else F.lit('"a"')
+        return F.concat(
+            F.lit(f'{{"text": " fact {n} ", "importance": "'), F.element_at(F.lit(["必須", "okay", "Vital ", "strange"]), ((doc + n) % 4 + 1).cast("int")),
+            F.lit('", "quote": "'), bit, F.lit('", "keywords": '), words, F.lit("}"),
+        )
+
+    reply = F.concat(F.lit('{"nuggets": ['), fact(1), F.lit(", "), fact(2), F.lit("]}"))
+    rows = rated.select(
+        F.concat(F.lit("D"), doc.cast("string")).alias("qid"), F.concat(F.lit("rule"), doc.cast("string")).alias("rule_id"),
+        nuggets.extract_json(F.when(doc % 7 == 0, '{"nuggets": []}').otherwise(reply)).alias("found"),
+    )
+    corpus = rated.select(F.concat(F.lit("rule"), doc.cast("string")).alias("rule_id"), F.col("text").alias("body"))
+    return nuggets.clean_drafts(rows, corpus).select(
+        "qid", "nid", "text", "importance", "quote", F.array_join("keywords", ",").alias("keywords"), F.array_join("flags", ",").alias("flags")
+    )
+
+
+@query("n26_score_table", f"SELECT setting, qid, rule_id, {_r('s', 's_strict', 'c', 'm6')}, k_used || '/' || k_total AS used FROM per_question WHERE k_used > 0", ("per_question",))
+def n26(i: Inputs) -> DataFrame:
+    table = Scores(i).per_question.filter("k_used > 0").withColumn("used", F.concat_ws("/", F.col("k_used").cast("string"), F.col("k_total").cast("string")))
+    return _rounded(table, "s", "s_strict", "c", "m6").select("setting", "qid", "rule_id", "s", "s_strict", "c", "m6", "used")
