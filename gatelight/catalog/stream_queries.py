@@ -1 +1,125 @@
-"""Queries."""
+"""Stream operators in their batch form as queries; the tests run the streams themselves."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gatelight.catalog.base import query, view
+from gatelight.catalog.inputs import Inputs
+from gatelight.streaming import ingest, latency, lockout
+
+# Events are moved close together (1.3 s steps) so that bursts and locks occur.
+view("paced", """
+  SELECT event_id, user_id, event_type, props, (event_id * 7919 % 9973) * 1.3::DOUBLE AS s, '/watched/src' || (user_id % 20) || '/f' || user_id || '.txt' AS source_path
+  FROM events""")
+view("file_events", """
+  SELECT event_id, s, source_path, sha256(props) AS file_hash, CASE event_type WHEN 'click' THEN 'modified' WHEN 'view' THEN 'created' ELSE 'deleted' END AS kind
+  FROM paced WHERE event_type IN ('click', 'view', 'error')""", "paced")
+view("known_files", """
+  SELECT source_path, 'K' || min(user_id) AS document_id, CASE WHEN min(user_id) % 4 = 0 THEN 'old' ELSE sha256(arg_max(props, s)) END AS file_hash,
+    CASE WHEN min(user_id) % 9 = 0 THEN 'deleted' ELSE 'done' END AS status FROM paced WHERE user_id % 3 <> 0 GROUP BY source_path""", "paced")
+
+
+def _paced(i: Inputs) -> DataFrame:
+    user = F.col("user_id").cast("string")
+    return i.table("events").select(
+        "event_id", "user_id", "event_type", "props",
+        F.timestamp_micros(((F.col("event_id") * 7919 % 9973) * 1_300_000).cast("bigint")).alias("ts"),
+        F.concat(F.lit("/watched/src"), (F.col("user_id") % 20).cast("string"), F.lit("/f"), user, F.lit(".txt")).alias("source_path"),
+    )
+
+
+def file_events(i: Inputs) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "modified").when(F.col("event_type") == "view", "created").otherwise("deleted")
+    return _paced(i).filter(F.col("event_type").isin("click", "view", "error")).select(
+        "event_id", "ts", kind.alias("kind"), "source_path", F.sha2("props", 256).alias("file_hash")
+    )
+
+
+def _known(i: Inputs) -> DataFrame:
+    return _paced(i).filter("user_id % 3 <> 0").groupBy("source_path").agg(
+        F.min("user_id").alias("u"), F.max_by("props", "ts").alias("props")
+    ).select(
+        "source_path", F.concat(F.lit("K"), F.col("u").cast("string")).alias("document_id"),
+        F.when(F.col("u") % 4 == 0, "old").otherwise(F.sha2("props", 256)).alias("file_hash"),
+        F.when(F.col("u") % 9 == 0, "deleted").otherwise("done").alias("status"), F.lit(1).alias("index_version"),
+    )
+
+
+view("judged_events", """
+  SELECT source_path, e.event_id, coalesce(k.document_id, substr(sha256(source_path), 1, 32)) AS document_id,
+    CASE WHEN kind = 'deleted' THEN CASE WHEN k.status = 'done' THEN 'delete' ELSE 'none' END
+         WHEN regexp_extract(source_path, 'src(\\d+)', 1) = '18' THEN 'skip' WHEN k.document_id IS NULL THEN 'insert'
+         WHEN k.file_hash <> e.file_hash OR k.status = 'deleted' THEN 'requeue' ELSE 'none' END AS action
+  FROM (SELECT source_path, arg_max(kind, s * 1000000 + event_id) AS kind, arg_max(event_id, s * 1000000 + event_id) AS event_id,
+          arg_max(file_hash, s * 1000000 + event_id) AS file_hash FROM file_events GROUP BY source_path) e
+  LEFT JOIN known_files k USING (source_path)""".replace("\\\\", "\\"), "file_events", "known_files")
+
+
+@query("st1_event_ingest", "SELECT source_path, document_id, action FROM judged_events WHERE action <> 'none'", ("judged_events",))
+def st1(i: Inputs) -> DataFrame:
+    return ingest.effective(file_events(i), _known(i), i.folders).filter("action <> 'none'").select("source_path", "document_id", "action")
+
+
+@query(
+    "st2_settle_debounce",
+    """SELECT source_path, event_id, kind, changes FROM (
+         SELECT source_path, arg_max(event_id, s * 1000000 + event_id) AS event_id, arg_max(kind, s * 1000000 + event_id) AS kind, count(*) AS changes
+         FROM (SELECT *, sum(fresh) OVER (PARTITION BY source_path ORDER BY s, event_id) AS burst
+               FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY source_path ORDER BY s, event_id) <= 10 THEN 0 ELSE 1 END AS fresh FROM file_events))
+         GROUP BY source_path, burst)""",
+    ("file_events",),
+)
+def st2(i: Inputs) -> DataFrame:
+    return ingest.settle(file_events(i)).select("source_path", "event_id", "kind", "changes")
+
+
+view("logins", """
+  SELECT user_id, event_id, s, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS k
+  FROM paced WHERE event_type IN ('error', 'signup')""", "paced")
+view("fold", """
+  SELECT user_id, 0::BIGINT AS k, 0 AS failures, -1e9::DOUBLE AS last, NULL::BIGINT AS event_id, '' AS outcome FROM (SELECT DISTINCT user_id FROM logins)
+  UNION ALL
+  SELECT user_id, k, CASE WHEN locked THEN failures WHEN failed THEN CASE WHEN failures >= 5 THEN 0 ELSE failures END + 1 ELSE 0 END,
+    CASE WHEN NOT locked AND failed THEN s ELSE last END, event_id, CASE WHEN locked THEN 'locked' WHEN failed THEN 'failed' ELSE 'ok' END
+  FROM (SELECT l.user_id, l.k, f.failures, f.last, l.event_id, l.s, l.failed, f.failures >= 5 AND l.s - f.last < 60 AS locked
+        FROM fold f JOIN logins l ON l.user_id = f.user_id AND l.k = f.k + 1)""", "logins")
+
+
+def logins(i: Inputs) -> DataFrame:
+    return _paced(i).filter(F.col("event_type").isin("error", "signup")).select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), "event_id", "ts",
+        (F.col("event_type") == "error").alias("failed"),
+    )
+
+
+@query("st3_login_lockout", "SELECT 'u' || user_id AS username, event_id, outcome FROM fold WHERE k > 0", ("fold",))
+def st3(i: Inputs) -> DataFrame:
+    return lockout.lockout(logins(i))
+
+
+def token_events(i: Inputs) -> DataFrame:
+    kinds = F.when(F.col("event_type") == "signup", "request").when(F.col("event_type") == "click", "token").when(F.col("event_type") == "purchase", "done").otherwise("other")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return i.table("events").select(
+        F.concat_ws("@", F.col("user_id").cast("string"), day).alias("answer_id"), "ts", kinds.alias("kind")
+    )
+
+
+@query(
+    "st4_token_latency",
+    """SELECT answer_id, round(coalesce(greatest(token - start, 0), greatest(last - start, 0)), 3) AS first_token_latency, round(greatest(last - start, 0), 3) AS total_latency FROM (
+         SELECT user_id || '@' || strftime(ts, '%Y-%m-%d') AS answer_id, min(epoch_us(ts)) FILTER (WHERE event_type = 'signup') / 1e6 AS start,
+           min(epoch_us(ts)) FILTER (WHERE event_type = 'click') / 1e6 AS token, max(epoch_us(ts)) FILTER (WHERE event_type IN ('click', 'purchase')) / 1e6 AS last
+         FROM events GROUP BY ALL) WHERE start IS NOT NULL AND last IS NOT NULL""",
+)
+def st4(i: Inputs) -> DataFrame:
+    table = latency.answer_latency(token_events(i))
+    return table.select("answer_id", *[F.round(c, 3).alias(c) for c in ("first_token_latency", "total_latency")])
+
+
+@query("st5_repeat_suppression", "SELECT source_path, event_id FROM judged_events WHERE action IN ('none', 'skip')", ("judged_events",))
+def st5(i: Inputs) -> DataFrame:
+    judged = ingest.effective(file_events(i), _known(i), i.folders)
+    return judged.filter(F.col("action").isin("none", "skip")).select("source_path", "event_id")

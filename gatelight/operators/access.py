@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GONE = ("deleted", "purged")
+MAX_LOCAL_FOLDERS = 20_000
 
 
 def match_folders(df: DataFrame, folders: DataFrame, path: str = "source_path") -> DataFrame:
     """Adds folder_id, folder_level and folder_active of the deepest folder above each path.
 
     A path has one ancestor per depth, so each depth at which any folder lies is
-    one equi-join on that ancestor. Spark broadcasts the folder side by its own
-    size check and the documents are then not shuffled at all. Equal folders
-    (``/a`` and ``/a/``) count once, lowest id first.
+    one equi-join on that ancestor. Up to MAX_LOCAL_FOLDERS folders become a local
+    table whose exact size Spark knows when it plans: it broadcasts them and the
+    documents are not shuffled at all. A longer list stays distributed. Equal
+    folders (``/a`` and ``/a/``) count once, lowest id first.
     """
     rules = (
         folders.withColumn("rule_path", F.regexp_replace("path", "/+$", ""))
@@ -28,7 +30,12 @@ def match_folders(df: DataFrame, folders: DataFrame, path: str = "source_path")
         )
         .withColumn("depth", F.size(F.split("rule_path", "/")))
     )
-    depths = sorted(r.depth for r in rules.select("depth").distinct().collect())
+    local = rules.limit(MAX_LOCAL_FOLDERS + 1).toArrow()
+    if local.num_rows <= MAX_LOCAL_FOLDERS:
+        rules = df.sparkSession.createDataFrame(local)
+        depths = sorted(set(local.column("depth").to_pylist()))
+    else:
+        depths = sorted(r.depth for r in rules.select("depth").distinct().collect())
     parts = F.split(F.col(path), "/")
     out, found = df, []
     for depth in depths:

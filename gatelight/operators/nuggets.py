@@ -450,6 +450,10 @@ def judge_prompts(inputs: DataFrame) -> DataFrame:
 # ---- scores ---------------------------------------------------------------------
 
 
+def _times(labels: Column, name: str) -> Column:
+    return F.size(F.filter(labels, lambda x: x == name))
+
+
 def score_records(records: DataFrame, nuggets: DataFrame) -> DataFrame:
     """Points of each judged record; undetermined ones keep null scores.
 
@@ -488,7 +492,7 @@ def score_records(records: DataFrame, nuggets: DataFrame) -> DataFrame:
         against.alias("contradictions"),
         F.when(F.col("_ok"), (F.size(against) > 0).cast("double")).alias("c"),
         F.when(F.col("_ok") & (F.size(keywords) > 0), tx.keyword_share(F.coalesce("answer", F.lit("")), keywords)).alias("m6"),
-        *[F.size(F.filter(labels, lambda x, name=name: x == name)).alias(f"n_{name}") for name in LABELS],
+        *[_times(labels, name).alias(f"n_{name}") for name in LABELS],
         F.substring(F.coalesce("answer", F.lit("")), 1, HEAD_CHARS).alias("head"),
     )
 
