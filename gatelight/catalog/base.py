@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("documents", "benchmark", "embeddings", "conversations", "labels", "events", "lineitem")
+from gatelight.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -49,9 +49,12 @@ def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
     def register(fn: Callable[[Inputs], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = Query(
-            lambda spark, sf_dir: fn(Inputs(spark, sf_dir)), oracle(sql, *needs) if sql else None
-        )
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(Inputs(spark, sf_dir))
+
+        QUERIES[name] = Query(run, oracle(sql, *needs) if sql else None)
         return fn
 
     return register

@@ -328,9 +328,21 @@ class Inputs:
         )
         return chunk_text(spread(docs))
 
+    @cached_property
+    def search_store(self) -> DataFrame:
+        """The searchable part of the store. Whether a chunk is searchable is known per
+        document, so other documents are left out before they are chunked."""
+        docs = self.classified.select(
+            "document_id", F.col("source_path").alias("source_file"), F.col("access_level"),
+            F.lit(True).alias("is_active"), "unclassified", "content",
+        )
+        return chunk_text(spread(access.searchable(docs.filter("access_level is not null"))))
+
     @cached_property
     def vector_store(self) -> DataFrame:
-        return vectors.project_sparse(vectors.build_sparse(self.store))
+        """Keys, level and vectors of the searchable chunks; content stays in ``search_store``."""
+        keys = ["document_id", "chunk_index", "access_level", "is_active", "unclassified"]
+        return vectors.project_sparse(vectors.build_sparse(self.search_store).select(*keys, "sparse"))
 
     @cached_property
     def questions(self) -> DataFrame:
@@ -366,11 +378,13 @@ class Inputs:
 
     @cached_property
     def hits(self) -> DataFrame:
-        return retrieval.retrieve(self.asked, self.vector_store, self.registry_now)
+        return retrieval.retrieve(self.asked, self.vector_store, self.registry_now, payload=self.search_store)
 
     @cached_property
     def hits_plain(self) -> DataFrame:
-        return retrieval.retrieve(self.asked, self.vector_store, self.registry_now, use_rerank=False)
+        return retrieval.retrieve(
+            self.asked, self.vector_store, self.registry_now, use_rerank=False, payload=self.search_store
+        )
 
     def answers(self, hits: DataFrame) -> DataFrame:
         item = F.col("item_id")

@@ -63,9 +63,8 @@ def r3(i: Inputs) -> DataFrame:
     ("fused", "searchable"),
 )
 def r4(i: Inputs) -> DataFrame:
-    stored = searchable(i.vector_store)
-    fused = retrieval.fuse(ranking.nearest_chunks(i.asked, stored, 90), 30)
-    return retrieval.project_hits(fused, stored).select(
+    fused = retrieval.fuse(ranking.nearest_chunks(i.asked, searchable(i.vector_store), 90), 30)
+    return retrieval.project_hits(fused, searchable(i.search_store)).select(
         "question_id", "document_id", "chunk_index", "score", "content", "source_file", "access_level"
     )
 
@@ -73,7 +72,7 @@ def r4(i: Inputs) -> DataFrame:
 @query("r5_rerank", "SELECT question_id, document_id, chunk_index, rerank_score, place::INT AS rank FROM reranked", ("reranked",))
 def r5(i: Inputs) -> DataFrame:
     # All candidates in their new order: the cut is as wide as the candidate list.
-    hits = retrieval.retrieve(i.asked, i.vector_store, i.registry_now, top=retrieval.RERANK_CANDIDATES)
+    hits = retrieval.retrieve(i.asked, i.vector_store, i.registry_now, top=retrieval.RERANK_CANDIDATES, payload=i.search_store)
     return hits.select("question_id", "document_id", "chunk_index", "rerank_score", "rank")
 
 

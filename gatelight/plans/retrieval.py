@@ -89,17 +89,19 @@ def retrieve(
     fusion_k: int = FUSION_K,
     legs: tuple[str, ...] = ("dense", "sparse"),
     scorer: Callable[[Column, Column], Column] = overlap_score,
+    payload: DataFrame | None = None,
 ) -> DataFrame:
     """Prefilter, both legs, fusion, revalidation, rerank, cut: hits of every question.
 
     The store is read once for both legs (vectors and keys only) and once more
-    for the content of the fused rows.
+    for the content of the fused rows; ``payload`` names another table with that
+    content, where vectors and texts are kept apart.
     """
     stored = searchable(chunks)
     found = nearest_chunks(questions, stored, leg_limit(use_rerank, top, candidates), legs)
     fused = fuse(found, fetch_limit(use_rerank, top, candidates), fusion_k)
     asked = questions.select("question_id", "question", "user_access_level")
-    hits = revalidate(project_hits(fused, stored).join(asked, "question_id"), registry)
+    hits = revalidate(project_hits(fused, searchable(chunks if payload is None else payload)).join(asked, "question_id"), registry)
     if use_rerank:
         hits = rerank(hits, scorer)
     return final_cut(hits, top)

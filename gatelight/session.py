@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,22 @@ def saved(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Lets the Python workers of this session import the package, wherever they run.
+
+    What ``--py-files`` does at submit time, for a session somebody else started.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="gatelight-code-"), "gatelight"), "zip", root.parent, root.name
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
