@@ -238,9 +238,9 @@ view("evaluated", """
   LEFT JOIN (SELECT question_id, list(source_file ORDER BY rank) AS s, bool_and(access_level <= user_access_level) AS ok
              FROM hits GROUP BY question_id) h USING (question_id)
   JOIN (SELECT question_id, error,
-          coalesce(greatest(0, least(1, try_cast(json_extract_string(j, '$.context_relevance') AS DOUBLE))), 0) AS context_relevance,
-          coalesce(greatest(0, least(1, try_cast(json_extract_string(j, '$.answer_relevance') AS DOUBLE))), 0) AS answer_relevance,
-          coalesce(greatest(0, least(1, try_cast(json_extract_string(j, '$.faithfulness') AS DOUBLE))), 0) AS faithfulness
+          CASE WHEN try_cast(json_extract_string(j, '$.context_relevance') AS DOUBLE) IS NULL THEN 0 ELSE greatest(0, least(1, try_cast(json_extract_string(j, '$.context_relevance') AS DOUBLE))) END AS context_relevance,
+          CASE WHEN try_cast(json_extract_string(j, '$.answer_relevance') AS DOUBLE) IS NULL THEN 0 ELSE greatest(0, least(1, try_cast(json_extract_string(j, '$.answer_relevance') AS DOUBLE))) END AS answer_relevance,
+          CASE WHEN try_cast(json_extract_string(j, '$.faithfulness') AS DOUBLE) IS NULL THEN 0 ELSE greatest(0, least(1, try_cast(json_extract_string(j, '$.faithfulness') AS DOUBLE))) END AS faithfulness
         FROM (SELECT *, try_cast(nullif(regexp_extract(raw, '(?s)\\{.*\\}'), '') AS JSON) AS j FROM replies)) j USING (question_id)""".replace("\\\\", "\\"),
      "questions", "answers", "hits", "replies")
 

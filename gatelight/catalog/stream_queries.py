@@ -109,7 +109,7 @@ def token_events(i: Inputs) -> DataFrame:
 
 @query(
     "st4_token_latency",
-    """SELECT answer_id, round(coalesce(greatest(token - start, 0), greatest(last - start, 0)), 3) AS first_token_latency, round(greatest(last - start, 0), 3) AS total_latency FROM (
+    """SELECT answer_id, round(CASE WHEN token IS NULL THEN greatest(last - start, 0) ELSE greatest(token - start, 0) END, 3) AS first_token_latency, round(greatest(last - start, 0), 3) AS total_latency FROM (
          SELECT user_id || '@' || strftime(ts, '%Y-%m-%d') AS answer_id, min(epoch_us(ts)) FILTER (WHERE event_type = 'signup') / 1e6 AS start,
            min(epoch_us(ts)) FILTER (WHERE event_type = 'click') / 1e6 AS token, max(epoch_us(ts)) FILTER (WHERE event_type IN ('click', 'purchase')) / 1e6 AS last
          FROM events GROUP BY ALL) WHERE start IS NOT NULL AND last IS NOT NULL""",

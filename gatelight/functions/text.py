@@ -35,6 +35,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def json_value(text: Column) -> Column:
+    """The text read as exactly one JSON value (variant), null when it is anything else.
+
+    Read as the only element of an array, since the parser ignores what follows a value.
+    """
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(items) == 1, F.get(items, 0))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)\A{_SPACE}+|{_SPACE}+\z", "")
 

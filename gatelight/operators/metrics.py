@@ -131,12 +131,13 @@ def percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, floa
 
 def judge_scores(raw: Column) -> dict[str, Column]:
     """The three scores of a judge's reply: outermost braces, each clamped to 0..1, else 0."""
-    found = F.from_json(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), "map<string,string>")
-    return {name: _clamped(F.try_element_at(found, F.lit(name))) for name in JUDGE_SCORES}
+    found = tx.json_value(F.regexp_extract(raw, r"(?s)(\{.*\})", 1))
+    return {name: _clamped(F.try_variant_get(found, f"$.{name}", "string")) for name in JUDGE_SCORES}
 
 
 def _clamped(text: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tx.strip(text).try_cast("double"))), F.lit(0.0))
+    number = tx.strip(text).try_cast("double")
+    return F.when(number.isNull() | (number < 0), 0.0).when(number > 1, 1.0).otherwise(number)
 
 
 def judge_blocks(questions: DataFrame, hits: DataFrame) -> DataFrame:

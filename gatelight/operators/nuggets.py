@@ -214,8 +214,8 @@ def extract_json(reply: Column) -> Column:
         return replies.map(_first_json, na_action="ignore")
 
     whole = tx.strip(reply)
-    clean = (F.substring(whole, 1, 1).isin("{", "[")) & F.try_parse_json(whole).isNotNull()
-    return F.when(clean, whole).otherwise(salvage(F.when(~F.coalesce(clean, F.lit(False)), reply)))
+    clean = F.when(F.substring(whole, 1, 1).isin("{", "["), tx.json_value(whole))
+    return F.coalesce(F.to_json(clean), salvage(F.when(clean.isNull(), reply)))
 
 
 def _items(found: Column, field: str) -> Column:

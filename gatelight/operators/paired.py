@@ -14,6 +14,11 @@ NO_NOISE_BAND = "A/Aなし(判定保留)"
 TOO_FEW = "判定不能(n<2)"
 
 
+def _exact_mean() -> Column:
+    """Mean of x; of equal values, that value, without the rounding of sum and division."""
+    return F.when(F.min("x") == F.max("x"), F.min("x")).otherwise(F.avg("x"))
+
+
 def mean_and_error(scores: DataFrame, by: list[str], value: str = "value", cluster: str | None = None) -> DataFrame:
     """n, mean, variance, plain and clustered standard error per group.
 
@@ -25,7 +30,7 @@ def mean_and_error(scores: DataFrame, by: list[str], value: str = "value", clust
     rows = scores.filter(F.col(value).isNotNull()).select(
         *by, F.col(value).cast("double").alias("x"), *([F.col(cluster).alias("_c")] if cluster else [])
     )
-    base = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
+    base = rows.groupBy(*by).agg(F.count("*").alias("n"), _exact_mean().alias("mean"))
     centred = rows.join(base, by).withColumn("a", F.col("x") - F.col("mean"))
     groups = [*by, "n", "mean"]
     per = centred.groupBy(*groups, *(["_c"] if cluster else [])).agg(

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatelight.functions import text as tx
 from gatelight.operators.registry import supported_files
 
 # Encodings in the order they are tried.
@@ -68,8 +69,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     JSON object is an error row with its file and text."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line"))
     lines = lines.filter("line <> ''")
-    parsed = F.try_parse_json("line")
-    bad = parsed.isNull() | (F.substring("line", 1, 1) != "{")
+    bad = tx.json_value(F.col("line")).isNull() | (F.substring("line", 1, 1) != "{")
     rows = lines.filter(~bad).select("file", F.from_json("line", schema).alias("r")).select("file", "r.*")
     return rows, lines.filter(bad)
 

@@ -24,6 +24,8 @@ def answer_latency(events: DataFrame, idle: str = "10 minutes", watermark: str =
     total = F.greatest(F.col("last") - F.col("start"), F.lit(0.0))
     return spans.filter("start is not null and last is not null").select(
         "answer_id",
-        F.coalesce(F.greatest(F.col("token") - F.col("start"), F.lit(0.0)), total).alias("first_token_latency"),
+        F.when(F.col("token").isNull(), total)
+        .otherwise(F.greatest(F.col("token") - F.col("start"), F.lit(0.0)))
+        .alias("first_token_latency"),
         total.alias("total_latency"),
     )
