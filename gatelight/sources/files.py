@@ -81,7 +81,7 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rules(spark: SparkSession, folder: str) -> DataFrame:
     """``<rule_id>.md`` files as rule_id, body."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    texts = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return texts.select(
         F.regexp_extract("_metadata.file_name", r"\A(.*)\.md\z", 1).alias("rule_id"), F.col("value").alias("body")
     )
