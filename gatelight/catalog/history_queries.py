@@ -122,8 +122,8 @@ def h5(i: Inputs) -> DataFrame:
 
 @query(
     "h5_history",
-    """SELECT m.message_id, m.role, coalesce(string_agg(r.id || ':' || r.state, ',' ORDER BY r.position), '-') AS sources
-       FROM messages m LEFT JOIN resolved r USING (message_id) GROUP BY ALL""",
+    """SELECT m.message_id, m.role, coalesce(r.sources, '-') AS sources FROM messages m LEFT JOIN (
+         SELECT message_id, string_agg(id || ':' || state, ',' ORDER BY position) AS sources FROM resolved GROUP BY message_id) r USING (message_id)""",
     ("messages", "resolved"),
 )
 def h5_history(i: Inputs) -> DataFrame:

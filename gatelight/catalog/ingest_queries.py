@@ -247,7 +247,8 @@ def _store_parts(i: Inputs) -> tuple[DataFrame, DataFrame]:
 
 @query("x1_generation_switch", f"SELECT {_KEY_SQL}, content FROM store_after", ("store_after",))
 def x1(i: Inputs) -> DataFrame:
-    return store.apply_generation(*_store_parts(i)).select(*_KEYS, "content")
+    touched = i.corpus.filter("lang IN ('en', 'es')")
+    return store.apply_generation(*_store_parts(i), touched).select(*_KEYS, "content")
 
 
 @query(

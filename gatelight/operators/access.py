@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatelight.session import sized
+
 GONE = ("deleted", "purged")
 MAX_LOCAL_FOLDERS = 20_000
 
@@ -30,12 +32,8 @@ def match_folders(df: DataFrame, folders: DataFrame, path: str = "source_path")
         )
         .withColumn("depth", F.size(F.split("rule_path", "/")))
     )
-    local = rules.limit(MAX_LOCAL_FOLDERS + 1).toArrow()
-    if local.num_rows <= MAX_LOCAL_FOLDERS:
-        rules = df.sparkSession.createDataFrame(local)
-        depths = sorted(set(local.column("depth").to_pylist()))
-    else:
-        depths = sorted(r.depth for r in rules.select("depth").distinct().collect())
+    rules, _ = sized(rules, MAX_LOCAL_FOLDERS)
+    depths = sorted(r.depth for r in rules.select("depth").distinct().collect())
     parts = F.split(F.col(path), "/")
     out, found = df, []
     for depth in depths:
@@ -96,8 +94,14 @@ def may_read(user_level: Column, registry_level: Column, status: Column, unclass
     return F.coalesce(allowed, F.lit(False))
 
 
-def revalidate(hits: DataFrame, registry: DataFrame) -> DataFrame:
-    """Keeps hits whose document the registry still grants; null and unknown ids go."""
+def revalidate(hits: DataFrame, registry: DataFrame, few: DataFrame | None = None) -> DataFrame:
+    """Keeps hits whose document the registry still grants; null and unknown ids go.
+
+    ``few``: a table of bounded size with the hits' document ids; it is broadcast to
+    cut the registry down before the join.
+    """
+    if few is not None:
+        registry = registry.join(F.broadcast(few.select("document_id")), "document_id", "left_semi")
     live = registry.select(
         F.col("document_id").alias("_id"),
         F.col("access_level").alias("_level"),

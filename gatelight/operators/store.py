@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatelight.session import sized
+
 
 def next_generation(new_chunks: DataFrame, registry: DataFrame) -> DataFrame:
     """Numbers new chunks one above the version the registry knows for their document."""
@@ -12,21 +14,31 @@ def next_generation(new_chunks: DataFrame, registry: DataFrame) -> DataFrame:
     return new_chunks.drop("index_version").join(known, "document_id")
 
 
-def stage_generation(chunks: DataFrame, new_chunks: DataFrame) -> DataFrame:
+def _touched(new_chunks: DataFrame, touched: DataFrame | None) -> DataFrame:
+    if touched is None:
+        return new_chunks.select("document_id").distinct()
+    return sized(touched.select("document_id"))[0]
+
+
+def stage_generation(chunks: DataFrame, new_chunks: DataFrame, touched: DataFrame | None = None) -> DataFrame:
     """First half of a switch: residue of touched documents gone, new rows in but inactive.
 
     This is what a run that fails before the switch leaves behind: searches still
-    see the old generation.
+    see the old generation. ``touched``: see :func:`apply_generation`.
     """
-    touched = new_chunks.select("document_id").distinct()
+    touched = _touched(new_chunks, touched)
     other = chunks.join(touched, "document_id", "left_anti")
     old_active = chunks.filter("is_active").join(touched, "document_id", "left_semi")
     return other.unionByName(old_active).unionByName(new_chunks.withColumn("is_active", F.lit(False)))
 
 
-def apply_generation(chunks: DataFrame, new_chunks: DataFrame) -> DataFrame:
-    """A finished switch: the new rows are the touched documents' only rows, and active."""
-    touched = new_chunks.select("document_id").distinct()
+def apply_generation(chunks: DataFrame, new_chunks: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+    """A finished switch: the new rows are the touched documents' only rows, and active.
+
+    ``touched`` names the re-indexed documents where the caller has them apart from
+    their chunks; a short list is then broadcast and the store is not shuffled.
+    """
+    touched = _touched(new_chunks, touched)
     return chunks.join(touched, "document_id", "left_anti").unionByName(
         new_chunks.withColumn("is_active", F.lit(True))
     )
@@ -41,7 +53,7 @@ def current_generation(chunks: DataFrame) -> DataFrame:
 
 def deactivate(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Soft delete: the rows of these documents become inactive."""
-    off = documents.select("document_id").distinct().withColumn("_off", F.lit(True))
+    off = sized(documents.select("document_id").distinct())[0].withColumn("_off", F.lit(True))
     return (
         chunks.join(off, "document_id", "left")
         .withColumn("is_active", F.when(F.col("_off"), F.lit(False)).otherwise(F.col("is_active")))
@@ -51,7 +63,7 @@ def deactivate(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 def delete(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Hard delete: the rows of these documents go."""
-    return chunks.join(documents.select("document_id"), "document_id", "left_anti")
+    return chunks.join(sized(documents.select("document_id"))[0], "document_id", "left_anti")
 
 
 def purge(registry: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +110,7 @@ def commit_results(
 
 def propagate(chunks: DataFrame, changes: DataFrame) -> DataFrame:
     """Carries a resync into the chunk payloads: new level and flag, or inactive."""
-    change = changes.select("document_id", "action", "new_level", "new_unclassified")
+    change, _ = sized(changes.select("document_id", "action", "new_level", "new_unclassified"))
     return (
         chunks.join(change, "document_id", "left")
         .withColumns(
@@ -117,7 +129,7 @@ def lookup(chunks: DataFrame, keys: DataFrame) -> DataFrame:
 
     The store is cut to the asked keys before anything is grouped.
     """
-    asked = keys.select("document_id", "chunk_index").distinct()
+    asked, _ = sized(keys.select("document_id", "chunk_index").distinct())
     return (
         chunks.filter("is_active")
         .join(asked, ["document_id", "chunk_index"], "left_semi")

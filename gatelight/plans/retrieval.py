@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gatelight.functions import text as tx
 from gatelight.operators.access import revalidate, searchable
-from gatelight.operators.ranking import best_first, nearest_chunks, top_k
+from gatelight.operators.ranking import MAX_SHARED_QUESTIONS, best_first, nearest_chunks, top_k
+from gatelight.session import saved, sized
 
 TOP_K = 5
 RERANK_CANDIDATES = 30
@@ -98,10 +99,16 @@ def retrieve(
     content, where vectors and texts are kept apart.
     """
     stored = searchable(chunks)
+    questions, few = sized(questions.select("question_id", "question", "user_access_level", *legs), MAX_SHARED_QUESTIONS)
     found = nearest_chunks(questions, stored, leg_limit(use_rerank, top, candidates), legs)
     fused = fuse(found, fetch_limit(use_rerank, top, candidates), fusion_k)
-    asked = questions.select("question_id", "question", "user_access_level")
-    hits = revalidate(project_hits(fused, searchable(chunks if payload is None else payload)).join(asked, "question_id"), registry)
+    asked = fused.join(questions.select("question_id", "question", "user_access_level"), "question_id")
+    if few:
+        # At most MAX_SHARED_QUESTIONS times the fetch limit: written once, then broadcast,
+        # so that neither the content nor the registry is shuffled for them.
+        asked = F.broadcast(saved(asked))
+    hits = project_hits(asked, searchable(chunks if payload is None else payload))
+    hits = revalidate(hits, registry, asked if few else None)
     if use_rerank:
         hits = rerank(hits, scorer)
     return final_cut(hits, top)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,17 +30,21 @@ def local_session(app: str = "gatelight", cores: str = "*", shuffle_partitions:
     return spark
 
 
+_made: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it.
 
-    Only where the session names none (tests) a temporary folder is set.
+    Only where the session names none (tests) a temporary folder is made.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    made = tempfile.mkdtemp(prefix="gatelight-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _made:
+        _made[context.applicationId] = tempfile.mkdtemp(prefix="gatelight-shared-")
+    return _made[context.applicationId]
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -55,12 +60,28 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * cores, *keys)
 
 
+# Rows up to which an id list is looked at before it is joined to a large table.
+MAX_SMALL_ROWS = 100_000
+
+
+def sized(df: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` as a local table when it has at most ``max_rows`` rows, and whether it has.
+
+    Spark knows a local table's exact size when it plans, so it broadcasts it by its
+    own threshold and the large side of a join is not shuffled. Of a longer table no
+    more than ``max_rows`` + 1 rows are fetched, and it stays distributed.
+    """
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
+        return df, False
+    return df.sparkSession.createDataFrame(head), True
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, for results that several later steps read."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """``df`` written once as a table in the shared folder, for results that several later steps read."""
+    path = f"{shared_dir(df.sparkSession)}/gatelight-saved/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()
