@@ -58,6 +58,12 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norm == 0, 1, norm)
 
 
+def _rounded(scores: np.ndarray) -> np.ndarray:
+    """Nine digits, halves away from zero as SQL rounds them; never a negative zero."""
+    scaled = scores * 1e9
+    return np.trunc(scaled + np.copysign(0.5, scaled)) / 1e9 + 0.0
+
+
 def _dense_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lengths, flat = _flat(column)
     dims = int(lengths.max()) if len(lengths) else 0
@@ -94,7 +100,7 @@ def _dense_scores(q: _Questions, column: pa.Array) -> np.ndarray:
     rows, has = _dense_rows(column)
     if rows.shape[1] != q.dense.shape[1]:
         return np.full((len(rows), len(q.ids)), -np.inf)
-    scores = np.round(rows @ q.dense.T, 9) + 0.0
+    scores = _rounded(rows @ q.dense.T)
     scores[~has] = -np.inf
     scores[:, ~q.has_dense] = -np.inf
     return scores
@@ -110,7 +116,7 @@ def _sparse_scores(q: _Questions, column: pa.Array) -> np.ndarray:
     left[row[known], q.row_of[ids[known]]] = weights[known]
     raw = left @ q.sparse
     # Weights are positive, so a product of 0 means no shared id: not a hit at all.
-    scores = np.round(raw, 9)
+    scores = _rounded(raw)
     scores[raw <= 0] = -np.inf
     return scores
 
