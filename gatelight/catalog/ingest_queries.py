@@ -197,7 +197,7 @@ def v3(i: Inputs) -> DataFrame:
     ("chunks",),
 )
 def v4(i: Inputs) -> DataFrame:
-    counted = i.chunks.select(F.explode(tx.tokens(F.col("content"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counted = i.chunks.select(F.explode_outer(tx.tokens(F.col("content"))).alias("token")).filter("token is not null").groupBy("token").agg(F.count("*").alias("n"))
     return counted.withColumn("token_id", tx.token_id(F.col("token")))
 
 

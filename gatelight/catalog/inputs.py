@@ -429,7 +429,7 @@ def first_containing(documents: DataFrame, passages: DataFrame) -> DataFrame:
     )
     runs = spread(documents.select("doc_id", "text")).select(
         "doc_id", "text",
-        F.explode(
+        F.explode_outer(  # outer, so that the runs are not built twice to test their number
             tx.let(
                 words(F.col("text")),
                 lambda w: F.array_distinct(

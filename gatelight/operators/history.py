@@ -85,8 +85,8 @@ def resolve_sources(messages: DataFrame, registry: DataFrame, chunks: DataFrame)
     where their null keys would all meet in one task.
     """
     items = messages.select(
-        "message_id", "user_access_level", F.posexplode(F.from_json("sources", SOURCES_TYPE)).alias("position", "s")
-    ).select("message_id", "user_access_level", "position", "s.*")
+        "message_id", "user_access_level", F.posexplode_outer(F.from_json("sources", SOURCES_TYPE)).alias("position", "s")
+    ).filter("position is not null").select("message_id", "user_access_level", "position", "s.*")
     old = F.coalesce("document_id", F.lit("")) == ""
     legacy = items.filter(old).select(
         "message_id", "position", "id", F.lit("legacy").alias("state"),

@@ -39,9 +39,14 @@ def build_sparse(df: DataFrame, text: str = "content") -> DataFrame:
 
 
 def postings(df: DataFrame) -> DataFrame:
-    """Long form of the sparse column: one row per (chunk, id), the inverted index."""
+    """Long form of the sparse column: one row per (chunk, id), the inverted index.
+
+    The outer form, filtered after: for the plain one Spark also tests the array's size
+    first, and so builds an array that is not stored twice.
+    """
     keys = [c for c in df.columns if c != "sparse"]
-    return df.select(*keys, F.inline("sparse")).withColumnsRenamed({"i": "token_id", "v": "weight"})
+    long = df.select(*keys, F.inline_outer("sparse")).withColumnsRenamed({"i": "token_id", "v": "weight"})
+    return long.filter(F.col("token_id").isNotNull())
 
 
 def embed(

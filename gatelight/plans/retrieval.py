@@ -161,8 +161,8 @@ def citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
     redacted, legacy. state: ``source``, ``unavailable`` or ``text``.
     """
     marks = answers.select(
-        "answer_id", F.posexplode(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), 1)).alias("position", "number")
-    )
+        "answer_id", F.posexplode_outer(F.regexp_extract_all("answer", F.lit(r"\[(\d+)\]"), 1)).alias("position", "number")
+    ).filter("position is not null")
     known = sources.select(
         "answer_id",
         F.col("id").cast("string").alias("number"),
