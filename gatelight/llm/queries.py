@@ -41,3 +41,18 @@ def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gatelight.llm import piece_codec
 
     return piece_codec.digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+@_registered()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gatelight.llm import packing
+
+    return packing.packed_pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+@_registered()
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gatelight.llm import token_store
+    from gatelight.llm.common import new_folder
+
+    return token_store.stored_documents(_table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), _tokenizer("word_bpe_49k.json"))
