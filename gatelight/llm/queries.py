@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gatelight.llm import line_dedup
 from gatelight.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +57,8 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gatelight.llm.common import new_folder
 
     return token_store.stored_documents(_table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), _tokenizer("word_bpe_49k.json"))
+
+
+@_registered(line_dedup.KEPT_LINES_SQL)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.kept_lines(_table(spark, sf_dir, "documents"))
