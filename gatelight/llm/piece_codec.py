@@ -17,7 +17,6 @@ rows, other columns of the input are not read.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -77,10 +76,13 @@ def _char_length(lead: int) -> int:
 
 
 class PieceCodec:
-    """Encoder and decoder of one model file."""
+    """Encoder and decoder of one model file.
 
-    #: Runs remembered before the memory starts anew; it bounds memory, not results.
-    REMEMBERED = 400_000
+    Two generations of runs are remembered, at most ``MOST`` each; that bounds memory and
+    changes no result.
+    """
+
+    MOST, LONGEST = 150_000, 64
 
     def __init__(self, model_file: str) -> None:
         from sentencepiece import sentencepiece_model_pb2 as schema
@@ -91,6 +93,8 @@ class PieceCodec:
         self._set_up(model)
 
     def _set_up(self, model) -> None:
+        from sentencepiece import SentencePieceProcessor
+
         if model.trainer_spec.model_type != 2:
             raise ValueError("only BPE models can be read")
         spec = model.normalizer_spec
@@ -98,7 +102,6 @@ class PieceCodec:
         self.dummy_prefix, self.trims, self.escapes = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.fallback = model.trainer_spec.byte_fallback
         self.ids: dict[str, int] = {}
-        self.scores: dict[str, float] = {}
         self.byte_ids: dict[int, int] = {}
         self.surface: list[bytes | None] = []
         self.is_byte: list[bool] = []
@@ -109,7 +112,6 @@ class PieceCodec:
                 raise ValueError("models with user-defined or unused pieces are not read")
             if kind == 1:
                 self.ids[piece.piece] = number
-                self.scores[piece.piece] = piece.score
                 self.surface.append(piece.piece.encode().replace(_SPACE_BYTES, b" "))
             elif kind == 6:
                 self.byte_ids[int(piece.piece[3:5], 16)] = number
@@ -130,7 +132,14 @@ class PieceCodec:
             self.runs = re.compile(f"{cut}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
         else:
             self.runs = re.compile(r"(?s).+")
-        self._memory: dict[str, tuple] = {}
+        self.sizes = [len(piece.piece.encode()) for piece in model.pieces]
+        self.byte_set = set(self.byte_ids.values())
+        # The library segments what is normalised already.
+        spec.Clear()
+        spec.name, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = "identity", False, False, False
+        self.segmenter = SentencePieceProcessor(model_proto=model.SerializeToString())
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # Normalisation
 
@@ -189,70 +198,50 @@ class PieceCodec:
 
     # Segmentation
 
-    def _merge(self, run: str) -> list[str]:
-        """Merges the best-scored neighbours, leftmost first among equals, until none is left."""
-        n = len(run)
-        if n == 1:
-            return [run]
-        parts: list[str | None] = list(run)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        scores, heap = self.scores, []
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0:
-                both = parts[a] + parts[b]
-                if (score := scores.get(both)) is not None:
-                    heapq.heappush(heap, (-score, a, b, both))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, a, b, both = heapq.heappop(heap)
-            if parts[a] is None or parts[b] is None or right[a] != b or parts[a] + parts[b] != both:
-                continue
-            parts[a], parts[b] = both, None
-            right[a] = right[b]
-            if right[b] >= 0:
-                left[right[b]] = a
-            offer(left[a], a)
-            offer(a, right[a])
-        return [p for p in parts if p is not None]
-
-    def _run(self, run: str) -> tuple:
-        """Ids of one run, where each piece begins and ends in it, its length in bytes and the number of ids."""
-        ids, begins, ends, at = [], [], [], 0
-        for piece in self._merge(run):
-            data = piece.encode()
-            known = self.ids.get(piece)
-            if known is None and self.fallback:
-                # The last byte stands for the character, the others for its start.
-                for number, byte in enumerate(data):
-                    ids.append(self.byte_ids[byte])
-                    begins.append(at)
-                    ends.append(at + len(data) if number == len(data) - 1 else at)
-            else:
-                ids.append(self.unknown if known is None else known)
-                begins.append(at)
-                ends.append(at + len(data))
-            at += len(data)
-        made = (np.array(ids, "<i4").tobytes(), np.array(begins, "<i4").tobytes(), np.array(ends, "<i4").tobytes(), at, len(ids))
-        if len(self._memory) >= self.REMEMBERED:
-            self._memory.clear()
-        if len(run) <= 64:
-            self._memory[run] = made
-        return made
+    def _pairs(self, run: str, ids: list[int]) -> bytes:
+        """Pairs of id and length in bytes of the pieces of one run, as int32."""
+        sizes = [self.sizes[i] for i in ids]
+        if self.unknown in ids:
+            sizes = [len(p.encode()) for p in self.segmenter.encode(run, out_type=str)]
+        elif not self.byte_set.isdisjoint(ids):
+            # Of the bytes of one character the last stands for it, the others for its start.
+            rest = whole = 0
+            for at, number in enumerate(ids):
+                if self.is_byte[number]:
+                    if rest:
+                        rest -= 1
+                    else:
+                        whole = _char_length(self.surface[number][0])
+                        rest = whole - 1
+                    sizes[at] = 0 if rest else whole
+        return np.array([x for pair in zip(ids, sizes) for x in pair], "<i4").tobytes()
+
+    def _known(self, runs: set[str]) -> dict[str, bytes]:
+        """The pieces of every run; those not remembered are segmented in one call."""
+        known = {r: f for r in runs if (f := self.memory.get(r) or self.older.get(r)) is not None}
+        new = list(runs - known.keys())
+        if new:
+            known.update(zip(new, map(self._pairs, new, self.segmenter.encode(new, num_threads=1))))
+        self.memory.update((r, f) for r, f in known.items() if len(r) <= self.LONGEST)
+        if len(self.memory) > self.MOST:
+            self.older, self.memory = self.memory, {}
+        return known
+
+    def encode_batch(self, texts: list[str], end: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text the ids, and the span of source bytes (begin, end) of each."""
+        normal = [self.normalise(t) for t in texts]
+        runs = [self.runs.findall(n.decode()) for n, _ in normal]
+        known = self._known(set().union(*runs))
+        return [self._spans(b"".join(map(known.__getitem__, r)), align, end) for r, (_, align) in zip(runs, normal)]
 
     def encode(self, text: str, end: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and the span of source bytes (begin, end) of each."""
-        normal, align = self.normalise(text)
-        memory = self._memory
-        found = [memory.get(r) or self._run(r) for r in self.runs.findall(normal.decode())]
-        ids = np.frombuffer(b"".join([f[0] for f in found]), "<i4")
-        counts = np.fromiter([f[4] for f in found], np.int64, len(found))
-        sizes = np.fromiter([f[3] for f in found], np.int64, len(found))
-        base = np.repeat(np.cumsum(sizes) - sizes, counts)
-        begins = align[base + np.frombuffer(b"".join([f[1] for f in found]), "<i4")]
-        ends = align[base + np.frombuffer(b"".join([f[2] for f in found]), "<i4")]
+        return self.encode_batch([text], end)[0]
+
+    def _spans(self, found: bytes, align: np.ndarray, end: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        pairs = np.frombuffer(found, "<i4")
+        ids, sizes = pairs[::2], pairs[1::2]
+        until = np.cumsum(sizes)
+        begins, ends = align[until - sizes], align[until]
         if not self.fallback and len(ids):
             ids, begins, ends = self._join_unknown(ids, begins, ends)
         if end:
@@ -347,7 +336,7 @@ def encode(docs: DataFrame, model_file: str, end: bool = True) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in slices(batches, 256, "text"):
-            done = [own.encode(t, end) for t in texts_of(batch, "text")]
+            done = own.encode_batch(texts_of(batch, "text"), end)
             columns = [packed_ints([d[i] for d in done]) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "ids", "begins", "ends"])
 
@@ -360,7 +349,9 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in slices(batches, 256):
-            texts = [own.decode(ids or []) for ids in batch.column("ids").to_pylist()]
+            column = batch.column("ids")
+            ids, cuts = column.values.to_numpy().tolist(), column.offsets.to_pylist()
+            texts = [own.decode(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), batch.column("ends"), pa.array(texts, pa.string())], ["doc_id", "ids", "ends", "decoded"])
 
     return encoded.select("doc_id", "ids", "ends").mapInArrow(work, "doc_id long, ids array<int>, ends array<int>, decoded string")
