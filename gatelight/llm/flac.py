@@ -11,7 +11,7 @@ predictors, Rice partitions of both kinds with escapes. The encoder writes mono
 8-bit samples with a seek point for every ``seek_every`` frames.
 
 Null texts are empty; each payload is filled up to a positive multiple of 64 bytes, so no
-stream is empty. Texts of any length are stored whole; memory follows a few megabytes of
+stream is empty. Texts of any length are stored whole; memory follows a megabyte of
 payload or the longest text. Repeated rows give equal rows; ids may be null or repeat; an
 empty table gives an empty result; other columns are not read.
 """
@@ -209,8 +209,8 @@ def encode_streams(payloads: list[bytes], block: int = BLOCK, seek_every: int =
             places.setdefault(min(block, len(payload) - number * block), []).append((s, number))
     made: list[list[bytes]] = [[b""] * -(-len(p) // block) for p in payloads]
     for length, where in places.items():
-        for at in range(0, len(where), 1024):
-            part = where[at : at + 1024]
+        for at in range(0, len(where), 512):
+            part = where[at : at + 512]
             joined = b"".join(payloads[s][n * block : n * block + length] for s, n in part)
             samples = np.frombuffer(joined, np.uint8).astype(np.int64).reshape(len(part), length) - 128
             for (s, n), frame in zip(part, _frames(samples, np.array([n for _, n in part]))):
@@ -600,7 +600,7 @@ def store(docs: DataFrame) -> DataFrame:
     """Every text as a media column: ``doc_id``, ``n_bytes`` before filling up, and the FLAC ``media``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024, "text", 2 << 20):
+        for batch in slices(batches, 1024, "text", 1 << 20):
             texts = texts_of(batch, "text")
             media = encode_streams([payload(t) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
@@ -612,7 +612,7 @@ def load(media: DataFrame) -> DataFrame:
     """The decoded and verified ``media``: its PCM, where its blocks start, and a ``feature`` of its samples."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024, "media", 2 << 20):
+        for batch in slices(batches, 1024, "media", 1 << 20):
             done = decode_streams(batch.column("media").to_pylist())
             arrays = [batch.column(c) for c in ("doc_id", "n_bytes", "media")]
             arrays += [pa.array([d.pcm for d in done], pa.binary()), packed_longs([d.block_starts for d in done]), packed_longs([d.frame_starts for d in done]), pa.array([feature(d.samples) for d in done], pa.string())]

@@ -82,7 +82,7 @@ class PieceCodec:
     changes no result.
     """
 
-    MOST, LONGEST = 150_000, 64
+    MOST, LONGEST = 100_000, 64
 
     def __init__(self, model_file: str) -> None:
         from sentencepiece import sentencepiece_model_pb2 as schema
@@ -326,40 +326,47 @@ def codec(model_file: str) -> PieceCodec:
     return _codecs[model_file]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], model_file: str, end: bool) -> Iterator[pa.RecordBatch]:
+    own = codec(model_file)
+    for batch in slices(batches, 128, "text", 1 << 20):
+        done = own.encode_batch(texts_of(batch, "text"), end)
+        columns = [packed_ints([d[i] for d in done]) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "ids", "begins", "ends"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], model_file: str) -> Iterator[pa.RecordBatch]:
+    own = codec(model_file)
+    for batch in slices(batches, 128):
+        column = batch.column("ids")
+        texts = [own.decode(v.values.to_numpy().tolist() if v.is_valid else []) for v in column]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+
+
 def encode(docs: DataFrame, model_file: str, end: bool = True) -> DataFrame:
     """``doc_id``, ``ids`` and the byte spans ``begins`` and ``ends`` of every text.
 
     One pass without a shuffle. ``model_file`` is read by every worker and must be
     installed where the workers run.
     """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_file)
-        for batch in slices(batches, 256, "text"):
-            done = own.encode_batch(texts_of(batch, "text"), end)
-            columns = [packed_ints([d[i] for d in done]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "ids", "begins", "ends"])
-
-    return id_and_text(docs).mapInArrow(work, ENCODED)
+    return id_and_text(docs).mapInArrow(lambda batches: _encoded(batches, model_file, end), ENCODED)
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
-    """``doc_id``, ``ids``, ``ends`` and the ``decoded`` text; null ids decode to the empty text."""
+    """``doc_id``, ``ids`` and the ``decoded`` text; null ids decode to the empty text."""
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, model_file), "doc_id long, ids array<int>, decoded string")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_file)
-        for batch in slices(batches, 256):
-            column = batch.column("ids")
-            ids, cuts = column.values.to_numpy().tolist(), column.offsets.to_pylist()
-            texts = [own.decode(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), batch.column("ends"), pa.array(texts, pa.string())], ["doc_id", "ids", "ends", "decoded"])
 
-    return encoded.select("doc_id", "ids", "ends").mapInArrow(work, "doc_id long, ids array<int>, ends array<int>, decoded string")
+def digests(docs: DataFrame, model_file: str) -> DataFrame:
+    """Number and hash of the ids of every text, the hash of what they decode to, and the bytes the spans reach.
+
+    Encoding and decoding share one pass through the workers.
+    """
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _decoded(_encoded(batches, model_file, True), model_file):
+            yield batch.select(["doc_id", "ids", "ends", "decoded"])
 
-def digests(docs: DataFrame, model_file: str) -> DataFrame:
-    """Number and hash of the ids of every text, the hash of what they decode to, and the bytes the spans reach."""
-    return decode(encode(docs, model_file), model_file).select(
+    return id_and_text(docs).mapInArrow(work, "doc_id long, ids array<int>, ends array<int>, decoded string").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -62,3 +62,17 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_registered(line_dedup.KEPT_LINES_SQL)
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_lines(_table(spark, sf_dir, "documents"))
+
+
+@_registered()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gatelight.llm import quality
+
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_registered()
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gatelight.llm import flac
+
+    return flac.stored_media(_table(spark, sf_dir, "documents"))
