@@ -115,8 +115,8 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Network:
-    """Learns from the chunks and the label of each text, by Adam on the logistic loss."""
+def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 32, steps: int = 700, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Network:
+    """Learns from the chunks and the label of each text, by Adam on the logistic loss; few texts are gone over until ``steps`` are made."""
     share = float(labels.mean()) if len(labels) else 0.5
     if share in (0.0, 1.0) or not len(labels):
         return _constant(share)
@@ -125,6 +125,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: in
     first = {k: np.zeros_like(v) for k, v in network.weights.items()}
     second = {k: np.zeros_like(v) for k, v in network.weights.items()}
     step = 0
+    epochs = max(epochs, -(-steps * batch // len(texts)))
     for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for a in range(0, len(order), batch):

@@ -76,3 +76,10 @@ def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gatelight.llm import flac
 
     return flac.stored_media(_table(spark, sf_dir, "documents"))
+
+
+@_registered()
+def op10_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gatelight.llm import wrapper
+
+    return wrapper.main_texts(_table(spark, sf_dir, "pages"))
