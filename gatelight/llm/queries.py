@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelight.llm import line_dedup
+from gatelight.llm import line_dedup, vantage
 from gatelight.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op10_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gatelight.llm import wrapper
 
     return wrapper.main_texts(_table(spark, sf_dir, "pages"))
+
+
+@_registered(vantage.NEIGHBOURS_SQL)
+def op2_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.neighbours_of_every_hundredth(_table(spark, sf_dir, "embeddings"))
