@@ -30,7 +30,7 @@ class WordIds(dict):
     changes no result.
     """
 
-    MOST, LONGEST = 200_000, 64
+    MOST, LONGEST = 500_000, 64
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -44,6 +44,7 @@ class WordIds(dict):
         # Latin letters with ASCII signs behind them are two pre-tokens of the byte-level kind
         # read here: the library's model takes them without the steps before it. Tried on samples.
         self.parts: dict[str, bytes] = {}
+        self.model_tokens = self.library.model.tokenize
         self.simple = all(self._simple(w) == self._whole(w) for w in ("ab", "Über.", "ñandú***", "x,", "ABC!!", "éÀ"))
 
     def _whole(self, text: str) -> bytes:
@@ -58,15 +59,14 @@ class WordIds(dict):
         core = core.lower()
         if not core.isascii():
             core = core.translate(_LETTER_SIGNS)
-        return self._part(core) + self._part(signs) if signs else self._part(core)
+        ids = self.parts.get(core) or self._part(core)
+        return ids + (self.parts.get(signs) or self._part(signs)) if signs else ids
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = array("I", [t.id for t in self.library.model.tokenize(part)]).tobytes()
-            if len(self.parts) >= self.MOST:
-                self.parts.clear()
-            self.parts[part] = ids
+        ids = array("I", [t.id for t in self.model_tokens(part)]).tobytes()
+        if len(self.parts) >= self.MOST:
+            self.parts.clear()
+        self.parts[part] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
