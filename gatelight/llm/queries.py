@@ -88,3 +88,10 @@ def op10_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_registered(vantage.NEIGHBOURS_SQL)
 def op2_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage.neighbours_of_every_hundredth(_table(spark, sf_dir, "embeddings"))
+
+
+@_registered()
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gatelight.llm import near_dup
+
+    return near_dup.components_of(_table(spark, sf_dir, "documents"))

@@ -126,7 +126,7 @@ def _put(folder: str, name: str, write) -> None:
     files.move(draft, posixpath.join(path, name))
 
 
-def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 2, docs_per_shard: int = 65_536) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 2, docs_per_shard: int = 16_384) -> DataFrame:
     """Writes the store and returns its table of shards: ``shard``, ``n_docs``, ``n_tokens``, ``start``.
 
     There are at least as many shards as the session has cores, more as the table grows.
