@@ -95,3 +95,10 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gatelight.llm import near_dup
 
     return near_dup.components_of(_table(spark, sf_dir, "documents"))
+
+
+@_registered()
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gatelight.llm import secret_scan
+
+    return secret_scan.found_secrets(_table(spark, sf_dir, "documents"))
