@@ -287,7 +287,7 @@ def _frame_head(data: bytes, at: int, info: _Info) -> tuple[int, int, int, int,
         return None
     p, lead = at + 4, data[at + 4]
     extra = 0
-    while lead >> (7 - extra) & 1 and extra < 8:
+    while extra < 8 and lead >> (7 - extra) & 1:
         extra += 1
     if extra == 1 or extra == 8:
         return None
@@ -311,13 +311,16 @@ def _frame_head(data: bytes, at: int, info: _Info) -> tuple[int, int, int, int,
     return p + 1 - at, first, size, channels, mode if mode >= 8 else 0, _BITS_CODED.get(bits_code, info.bits)
 
 
-def _find_frames(data: bytes, info: _Info, stream: int, base: int) -> list[_Frame]:
-    """The frames of one stream: each ends where the next header stands that its sample count asks for."""
+def _find_frames(data: bytes, info: _Info, stream: int, base: int, strict: bool = False) -> list[_Frame]:
+    """The frames of one stream: each ends where the next header stands that its sample count asks for.
+
+    ``strict`` also wants the checksum before such a header, as samples may look like one.
+    """
     found: list[_Frame] = []
     at, wanted = info.first_frame, 0
     while at >= 0 and at < len(data):
         head = _frame_head(data, at, info)
-        if head is not None and head[1] == wanted:
+        if head is not None and head[1] == wanted and not (strict and found and not _ends_at(data, found[-1].start - base, at)):
             if found:
                 found[-1].end = base + at - 2
             size, first, samples, channels, mode, bits = head
@@ -333,6 +336,14 @@ def _find_frames(data: bytes, info: _Info, stream: int, base: int) -> list[_Fram
     return found
 
 
+def _ends_at(data: bytes, start: int, end: int) -> bool:
+    """Whether a frame from ``start`` to ``end`` holds its own checksum."""
+    if end - 2 <= start:
+        return False
+    part = np.frombuffer(data[start : end - 2], np.uint8)
+    return int(crc16_of(part, np.array([0]), np.array([len(part)]))[0]) == int.from_bytes(data[end - 2 : end], "big")
+
+
 class _Bits:
     """Reads bits at many places of one byte array at once."""
 
@@ -525,7 +536,12 @@ def decode_streams(streams: list[bytes]) -> list[Decoded]:
     frames = [f for i, (s, info) in enumerate(zip(streams, infos)) for f in _find_frames(s, info, i, bases[i])]
     joined = b"".join(streams)
     flat = np.frombuffer(joined, np.uint8)
-    frames = _checked(frames, flat)
+    failed = _failed_streams(frames, flat)
+    if failed:
+        # Samples that look like a header cut a frame short; else the stream is damaged.
+        frames = [f for f in frames if f.stream not in failed] + [f for i in failed for f in _find_frames(streams[i], infos[i], i, bases[i], strict=True)]
+        if _failed_streams(frames, flat):
+            raise ValueError("a frame fails its checksum")
     parts: list[np.ndarray | None] = [None] * len(frames)
     order = sorted(range(len(frames)), key=lambda i: (frames[i].channels, frames[i].mode, -frames[i].size))
     bits = _Bits(joined)
@@ -542,12 +558,14 @@ def decode_streams(streams: list[bytes]) -> list[Decoded]:
     return [_finished(info, [parts[i] for i in own], [frames[i].first for i in own], [frames[i].start - base for i in own]) for info, own, base in zip(infos, of_stream, bases)]
 
 
-def _checked(frames: list[_Frame], flat: np.ndarray) -> list[_Frame]:
+def _failed_streams(frames: list[_Frame], flat: np.ndarray) -> list[int]:
+    """Streams with a frame that fails its checksum."""
+    if not frames:
+        return []
     starts, ends = np.array([f.start for f in frames], np.int64), np.array([f.end for f in frames], np.int64)
     told = flat[ends].astype(np.uint32) << 8 | flat[ends + 1]
-    if len(frames) and (crc16_of(flat, starts, ends - starts) != told).any():
-        raise ValueError("a frame fails its checksum")
-    return frames
+    wrong = np.flatnonzero(crc16_of(flat, starts, ends - starts) != told)
+    return sorted({frames[i].stream for i in wrong})
 
 
 def _decode_frames(bits: _Bits, frames: list[_Frame]) -> list[np.ndarray]:

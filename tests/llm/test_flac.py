@@ -101,3 +101,15 @@ def test_query_over_hard_rows(spark):
     assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(wanted, key=repr)
     assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in got}) == len({r.payload_sha256 for r in got})
     assert flac.stored_media(no_documents(spark)).count() == 0
+
+
+def test_samples_that_look_like_a_header():
+    """A verbatim frame whose samples hold the header of the next frame, and one whose samples start like a header with an impossible number."""
+    noise = np.random.default_rng(8).integers(0, 256, 1024, dtype=np.uint8)
+    fake = np.frombuffer(flac._head(1, 1024), np.uint8) ^ 0x80
+    noise[500 : 500 + len(fake)] = fake
+    noise[700:706] = np.array([0xFF, 0xF8, 0x70, 0x02, 0xFF, 0xFF], np.uint8) ^ 0x80
+    payload = noise.tobytes() + np.random.default_rng(9).integers(0, 256, 1024, dtype=np.uint8).tobytes()
+    (stream,) = flac.encode_streams([payload])
+    assert stream.count(flac._head(1, 1024)) == 2
+    assert flac.decode_streams([stream, stream])[1].pcm == payload
