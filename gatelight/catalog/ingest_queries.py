@@ -44,11 +44,11 @@ def s3(i: Inputs) -> DataFrame:
          CASE WHEN d.action IN ('insert', 'requeue') THEN 'pending' WHEN d.action = 'delete' THEN 'deleted' ELSE r.status END AS status,
          CASE WHEN d.action IN ('insert', 'requeue') THEN d.file_hash ELSE r.file_hash END AS file_hash,
          CASE WHEN d.action IN ('insert', 'requeue') THEN d.access_level ELSE r.access_level END AS access_level
-       FROM diff d LEFT JOIN registry r USING (source_path) WHERE r.document_id IS NOT NULL OR d.action = 'insert'""",
-    ("diff", "registry"),
+       FROM diff d LEFT JOIN registry_before r USING (source_path) WHERE r.document_id IS NOT NULL OR d.action = 'insert'""",
+    ("diff", "registry_before"),
 )
 def s3_after(i: Inputs) -> DataFrame:
-    return registry.apply_diff(i.registry, i.diff).select("document_id", "source_path", "status", "file_hash", "access_level")
+    return registry.apply_diff(i.registry_before, i.diff).select("document_id", "source_path", "status", "file_hash", "access_level")
 
 
 @query(
@@ -223,6 +223,9 @@ def v6(i: Inputs) -> DataFrame:
 view("store_before", """
   SELECT document_id, chunk_index, content, 1 AS index_version, true AS is_active, 1 AS access_level, false AS unclassified FROM store WHERE lang <> 'es'
   UNION ALL SELECT document_id, chunk_index, content, 2, false, 1, false FROM store WHERE lang = 'fr'""", "store")
+view("store_whole", """
+  SELECT document_id, chunk_index, content, 1 AS index_version, true AS is_active, 1 AS access_level, false AS unclassified FROM store
+  UNION ALL SELECT document_id, chunk_index, content, 2, false, 1, false FROM store WHERE lang = 'fr'""", "store")
 view("store_new", """
   SELECT document_id, chunk_index, 'new ' || content AS content, 2 AS index_version, true AS is_active, access_level, unclassified
   FROM store WHERE lang IN ('en', 'es')""", "store")
@@ -233,16 +236,26 @@ _KEYS = ["document_id", "chunk_index", "index_version", "is_active", "access_lev
 _KEY_SQL = ", ".join(_KEYS)
 
 
+def _generations(base: DataFrame) -> DataFrame:
+    """One stored generation of every chunk, and an inactive second one of a part, from one walk over the texts."""
+    second = F.when(F.col("lang") == "fr", F.array(F.struct(F.lit(1).alias("v"), F.lit(True).alias("a")), F.struct(F.lit(2).alias("v"), F.lit(False).alias("a"))))
+    versions = F.coalesce(second, F.array(F.struct(F.lit(1).alias("v"), F.lit(True).alias("a"))))
+    rows = base.select("document_id", "chunk_index", "content", F.lit(1).alias("access_level"), F.lit(False).alias("unclassified"), F.explode(versions).alias("g"))
+    return rows.select("document_id", "chunk_index", "content", "access_level", "unclassified", F.col("g.v").alias("index_version"), F.col("g.a").alias("is_active"))
+
+
+def _store_whole(i: Inputs) -> DataFrame:
+    return _generations(i.store)
+
+
 def _store_parts(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """The store before a part of the corpus was added, and the chunks of what was added or changed."""
     base = i.store.select("document_id", "lang", "chunk_index", "content", "access_level", "unclassified")
-    old = base.filter("lang <> 'es'").withColumns({"access_level": F.lit(1), "unclassified": F.lit(False)})
-    before = old.withColumns({"index_version": F.lit(1), "is_active": F.lit(True)}).unionByName(
-        old.filter("lang = 'fr'").withColumns({"index_version": F.lit(2), "is_active": F.lit(False)})
-    )
+    before = _generations(base.filter("lang <> 'es'"))
     new = base.filter("lang IN ('en', 'es')").withColumns(
         {"content": F.concat(F.lit("new "), "content"), "index_version": F.lit(2), "is_active": F.lit(True)}
     )
-    return before.drop("lang"), new.drop("lang")
+    return before, new.drop("lang")
 
 
 @query("x1_generation_switch", f"SELECT {_KEY_SQL}, content FROM store_after", ("store_after",))
@@ -264,41 +277,40 @@ def x1_staged(i: Inputs) -> DataFrame:
 @query(
     "x2_current_generation",
     f"""SELECT {_KEY_SQL} FROM (SELECT *, max(coalesce(index_version, -1)) OVER (PARTITION BY document_id) AS top
-        FROM (SELECT * FROM store_before UNION ALL SELECT * FROM store_new) WHERE is_active) WHERE index_version = top""",
-    ("store_before", "store_new"),
+        FROM (SELECT * FROM store_whole UNION ALL SELECT * FROM store_new) WHERE is_active) WHERE index_version = top""",
+    ("store_whole", "store_new"),
 )
 def x2(i: Inputs) -> DataFrame:
-    before, new = _store_parts(i)
-    return store.current_generation(before.unionByName(new)).select(*_KEYS)
+    return store.current_generation(_store_whole(i).unionByName(_store_parts(i)[1])).select(*_KEYS)
 
 
 @query(
     "x3_soft_deactivate",
-    f"""SELECT {_KEY_SQL.replace('is_active', "is_active AND document_id NOT IN (SELECT document_id FROM corpus WHERE lang = 'de') AS is_active")} FROM store_before""",
-    ("store_before", "corpus"),
+    f"""SELECT {_KEY_SQL.replace('is_active', "is_active AND document_id NOT IN (SELECT document_id FROM corpus WHERE lang = 'de') AS is_active")} FROM store_whole""",
+    ("store_whole", "corpus"),
 )
 def x3(i: Inputs) -> DataFrame:
-    return store.deactivate(_store_parts(i)[0], i.corpus.filter("lang = 'de'")).select(*_KEYS)
+    return store.deactivate(_store_whole(i), i.corpus.filter("lang = 'de'")).select(*_KEYS)
 
 
 @query(
     "x4_hard_delete",
-    f"SELECT {_KEY_SQL} FROM store_before WHERE document_id NOT IN (SELECT document_id FROM corpus WHERE lang = 'de')",
-    ("store_before", "corpus"),
+    f"SELECT {_KEY_SQL} FROM store_whole WHERE document_id NOT IN (SELECT document_id FROM corpus WHERE lang = 'de')",
+    ("store_whole", "corpus"),
 )
 def x4(i: Inputs) -> DataFrame:
-    return store.delete(_store_parts(i)[0], i.corpus.filter("lang = 'de'")).select(*_KEYS)
+    return store.delete(_store_whole(i), i.corpus.filter("lang = 'de'")).select(*_KEYS)
 
 
 @query(
     "x5_purge",
     """SELECT r.document_id, CASE WHEN r.status = 'deleted' THEN 'purged' ELSE r.status END AS status, coalesce(n, 0) AS chunks_left
-       FROM registry r LEFT JOIN (SELECT document_id, count(*) AS n FROM store_before
+       FROM registry r LEFT JOIN (SELECT document_id, count(*) AS n FROM store_whole
          WHERE document_id NOT IN (SELECT document_id FROM registry WHERE status = 'deleted') GROUP BY ALL) USING (document_id)""",
-    ("registry", "store_before"),
+    ("registry", "store_whole"),
 )
 def x5(i: Inputs) -> DataFrame:
-    after, left = store.purge(i.registry, _store_parts(i)[0])
+    after, left = store.purge(i.registry, _store_whole(i))
     counts = left.groupBy("document_id").agg(F.count("*").alias("n"))
     return after.join(counts, "document_id", "left").select(
         "document_id", "status", F.coalesce("n", F.lit(0)).alias("chunks_left")
@@ -309,7 +321,7 @@ view("running", """
   SELECT document_id, file_hash, CASE WHEN doc_id % 2 = 0 THEN 'processing' ELSE 'pending' END AS status, index_version, 0 AS chunk_count FROM registry""", "registry")
 view("results", """
   SELECT document_id, doc_id, file_hash, 2 AS index_version, n AS chunk_count FROM corpus
-  JOIN (SELECT document_id, count(*) AS n FROM chunks GROUP BY ALL) USING (document_id) WHERE lang <> 'es'""", "corpus", "chunks")
+  JOIN (SELECT document_id, count(*) AS n FROM chunks GROUP BY ALL) USING (document_id)""", "corpus", "chunks")
 view("accepted", """
   SELECT s.document_id, s.chunk_count, r.status = 'processing' AND r.file_hash = s.file_hash AS ok
   FROM results s JOIN running r USING (document_id)""", "results", "running")
@@ -321,7 +333,7 @@ def _commit(i: Inputs):
         "index_version", F.lit(0).alias("chunk_count"),
     )
     counts = chunking.chunk_counts(i.chunks)
-    results = i.corpus.filter("lang <> 'es'").select("document_id", "file_hash", F.lit(2).alias("index_version")).join(counts, "document_id")
+    results = i.corpus.select("document_id", "file_hash", F.lit(2).alias("index_version")).join(counts, "document_id")
     return running, store.judge_results(running, results)
 
 
@@ -338,18 +350,18 @@ def x6(i: Inputs) -> DataFrame:
 )
 def x6_registry(i: Inputs) -> DataFrame:
     running, judged = _commit(i)
-    after, _, _ = store.commit_results(running, _store_parts(i)[0], i.tasks, judged)
+    after, _, _ = store.commit_results(running, _store_whole(i), i.tasks, judged)
     return after.select("document_id", "status", "index_version", "chunk_count")
 
 
 @query(
     "x6_chunks_after_commit",
-    f"SELECT {_KEY_SQL} FROM store_before WHERE document_id NOT IN (SELECT document_id FROM accepted WHERE NOT ok)",
-    ("store_before", "accepted"),
+    f"SELECT {_KEY_SQL} FROM store_whole WHERE document_id NOT IN (SELECT document_id FROM accepted WHERE NOT ok)",
+    ("store_whole", "accepted"),
 )
 def x6_chunks(i: Inputs) -> DataFrame:
     running, judged = _commit(i)
-    return store.commit_results(running, _store_parts(i)[0], i.tasks, judged)[1].select(*_KEYS)
+    return store.commit_results(running, _store_whole(i), i.tasks, judged)[1].select(*_KEYS)
 
 
 @query(
@@ -360,7 +372,7 @@ def x6_chunks(i: Inputs) -> DataFrame:
 )
 def x6_tasks(i: Inputs) -> DataFrame:
     running, judged = _commit(i)
-    return store.commit_results(running, _store_parts(i)[0], i.tasks, judged)[2].select("task_id", "status")
+    return store.commit_results(running, _store_whole(i), i.tasks, judged)[2].select("task_id", "status")
 
 
 view("changes", """
@@ -377,11 +389,11 @@ view("changes", """
     "x7_access_propagation",
     """SELECT s.document_id, chunk_index, index_version, coalesce(new_level, access_level) AS access_level,
          coalesce(new_unclassified, unclassified) AS unclassified, is_active AND action IS DISTINCT FROM 'deleted' AS is_active
-       FROM store_before s LEFT JOIN changes USING (document_id)""",
-    ("store_before", "changes"),
+       FROM store_whole s LEFT JOIN changes USING (document_id)""",
+    ("store_whole", "changes"),
 )
 def x7(i: Inputs) -> DataFrame:
-    return store.propagate(_store_parts(i)[0], registry.resync(i.registry, i.folders)).select(*_KEYS)
+    return store.propagate(_store_whole(i), registry.resync(i.registry, i.folders)).select(*_KEYS)
 
 
 @query(

@@ -63,7 +63,8 @@ view("registry", """
     CASE WHEN doc_id % 11 = 0 THEN 'old' ELSE file_hash END AS file_hash,
     CASE doc_id % 23 WHEN 0 THEN 'failed' WHEN 1 THEN 'deleted' WHEN 2 THEN 'purged' WHEN 3 THEN 'processing' ELSE 'done' END AS status,
     mtime_s AS updated_s
-  FROM corpus WHERE lang <> 'es'""", "corpus")
+  FROM corpus""", "corpus")
+view("registry_before", "SELECT r.* FROM registry r JOIN corpus c USING (document_id) WHERE c.lang <> 'es'", "registry", "corpus")
 view("scan", "SELECT source_path, file_hash FROM corpus WHERE lang <> 'de'", "corpus")
 view("diff", """
   SELECT source_path, coalesce(r.document_id, substr(sha256(source_path), 1, 32)) AS document_id,
@@ -73,9 +74,9 @@ view("diff", """
          WHEN r.file_hash <> s.file_hash OR r.status IN ('deleted', 'purged', 'failed') THEN 'requeue'
          ELSE 'none' END AS action,
     c.access_level, c.unclassified, coalesce(s.file_hash, r.file_hash) AS file_hash
-  FROM scan s FULL OUTER JOIN registry r USING (source_path)
+  FROM scan s FULL OUTER JOIN registry_before r USING (source_path)
   JOIN (SELECT source_path, access_level, unclassified FROM classified) c USING (source_path)""",
-     "scan", "registry", "classified")
+     "scan", "registry_before", "classified")
 view("tasks", """
   SELECT doc_id AS task_id, document_id, doc_id % 4 AS attempts, 1704067200 + doc_id * 7 AS created_s,
     CASE doc_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' WHEN 3 THEN 'failed' ELSE 'cancelled' END AS status
@@ -213,7 +214,7 @@ view("hits_plain", """
      "granted_plain")
 view("answers", """
   SELECT question_id, item_id, CASE WHEN h.content IS NULL THEN 'その質問に関連する資料が見つかりませんでした。'
-      ELSE 'From the files. ' || substr(h.content, 1, 200) || ' [1][2] and [9].' END AS answer,
+      ELSE 'From the files. ' || h.content || ' [1][2] and [9].' END AS answer,
     (item_id * 37 % 100) / 20.0::DOUBLE AS first_token_latency, (item_id * 37 % 100) / 20.0::DOUBLE + item_id % 13 AS total_latency,
     CASE WHEN item_id % 17 = 0 THEN 'timeout' END AS error
   FROM questions q LEFT JOIN (SELECT question_id, content FROM hits WHERE rank = 1) h USING (question_id)""", "questions", "hits")
@@ -275,9 +276,17 @@ class Inputs:
 
     @cached_property
     def registry(self) -> DataFrame:
+        return self._registered(self.corpus)
+
+    @cached_property
+    def registry_before(self) -> DataFrame:
+        """The registry before a part of the corpus was added, for change detection."""
+        return self._registered(self.corpus.filter("lang <> 'es'"))
+
+    def _registered(self, corpus: DataFrame) -> DataFrame:
         doc = F.col("doc_id")
         state = doc % 23
-        return self.corpus.filter("lang <> 'es'").select(
+        return corpus.select(
             "document_id", "doc_id", "source_path",
             F.lit(1).alias("access_level"), F.lit(False).alias("unclassified"), F.lit(1).alias("index_version"),
             F.when(doc % 11 == 0, "old").otherwise(F.col("file_hash")).alias("file_hash"),
@@ -292,7 +301,7 @@ class Inputs:
 
     @cached_property
     def diff(self) -> DataFrame:
-        return registry.diff_snapshot(self.registry, self.scan, self.folders)
+        return registry.diff_snapshot(self.registry_before, self.scan, self.folders)
 
     @cached_property
     def tasks(self) -> DataFrame:
@@ -389,7 +398,7 @@ class Inputs:
     def answers(self, hits: DataFrame) -> DataFrame:
         item = F.col("item_id")
         first = hits.filter("rank = 1").select("question_id", "content")
-        text = F.concat(F.lit("From the files. "), F.substring("content", 1, 200), F.lit(" [1][2] and [9]."))
+        text = F.concat(F.lit("From the files. "), F.col("content"), F.lit(" [1][2] and [9]."))
         wait = (item * 37 % 100) / 20.0
         base = self.table("benchmark").select(F.concat(F.lit("B"), item.cast("string")).alias("question_id"), "item_id")
         return base.join(first, "question_id", "left").select(

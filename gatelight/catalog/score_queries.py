@@ -18,13 +18,13 @@ from gatelight.session import saved
 
 view("rated", "SELECT d.doc_id, d.text, d.source, d.lang, l.toxic FROM documents d JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY ALL) l USING (doc_id)")
 view("facts", """
-  SELECT doc_id, lang, 'D' || doc_id AS qid, source AS rule_id, n, 'D' || doc_id || '-n' || n AS nid, substr(text, (n - 1) * 40 + 1, 40) AS text,
-    CASE WHEN n > 1 AND (doc_id + n) % 4 = 0 THEN 'okay' ELSE 'vital' END AS importance, substr(text, (n - 1) * 40 + 1, 5) AS keyword
-  FROM (SELECT *, unnest([1, 2, 3]) AS n FROM rated WHERE length(text) >= 120)""", "rated")
+  SELECT doc_id, lang, 'D' || doc_id AS qid, source AS rule_id, n, 'D' || doc_id || '-n' || n AS nid, substr(text, (n - 1) * third + 1, third) AS text,
+    CASE WHEN n > 1 AND (doc_id + n) % 4 = 0 THEN 'okay' ELSE 'vital' END AS importance, substr(text, (n - 1) * third + 1, 5) AS keyword
+  FROM (SELECT *, unnest([1, 2, 3]) AS n, (length(text) + 2) // 3 AS third FROM rated WHERE length(text) >= 5)""", "rated")
 view("runs", """
   SELECT doc_id, 'D' || doc_id AS qid, text, toxic, r, CASE WHEN r < 2 THEN 'A' WHEN r < 4 THEN 'AA' ELSE 'B' END AS setting,
     CASE WHEN r < 2 THEN 'A' WHEN r < 4 THEN 'AA' ELSE 'B' END || (r % 2 + 1) AS run,
-    doc_id % 31 <> 0 AND (doc_id + r) % 29 <> 0 AS determined, substr(text, 1, 100) || ' run ' || r AS answer, (doc_id + r) % 9 = 0 AS against
+    doc_id % 31 <> 0 AND (doc_id + r) % 29 <> 0 AS determined, text || ' run ' || r AS answer, (doc_id + r) % 9 = 0 AS against
   FROM (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS r FROM rated) WHERE toxic = 0 OR r < 4""", "rated")
 view("pts", """
   SELECT u.setting, u.run, u.qid, f.nid, f.text, CASE CASE WHEN u.r >= 4 THEN (u.doc_id * 5 + f.n * 3 + u.r) % 4 ELSE (u.doc_id * 7 + f.n * 3 + u.r) % 3 END
@@ -69,6 +69,8 @@ view("outside", """
   UNION ALL SELECT s.setting, f.qid, 'missing' FROM (SELECT DISTINCT qid FROM facts) f, (VALUES ('A'), ('AA'), ('B')) s(setting)
     WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.qid = f.qid AND u.setting = s.setting)""", "per_question", "runs", "facts")
 SETTINGS = ["A", "AA", "B"]
+# Texts shorter than this cannot be cut into three facts.
+SHORTEST = 5
 
 
 class Scores:
@@ -84,17 +86,19 @@ class Scores:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return self.fact_rows(self.rated.filter(F.length("text") >= 120)).drop("doc_id", "lang")
+        return self.fact_rows(self.rated.filter(F.length("text") >= SHORTEST)).drop("doc_id", "lang")
 
     def fact_rows(self, rated: DataFrame) -> DataFrame:
         doc, qid = F.col("doc_id"), F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+        # Three facts cover the whole text.
+        third = F.ceil(F.length("text") / 3).cast("int")
 
         def fact(n: int) -> Column:
             importance = F.lit("vital") if n == 1 else F.when((doc + n) % 4 == 0, "okay").otherwise("vital")
-            part = F.substring("text", (n - 1) * 40 + 1, 40)
+            part = F.substring(F.col("text"), third * (n - 1) + 1, third)
             return F.struct(
                 F.concat(qid, F.lit(f"-n{n}")).alias("nid"), part.alias("text"), importance.alias("importance"), part.alias("quote"),
-                F.array(F.substring("text", (n - 1) * 40 + 1, 5)).alias("keywords"),
+                F.array(F.substring(F.col("text"), third * (n - 1) + 1, F.lit(5))).alias("keywords"),
             )
 
         return rated.select(
@@ -110,7 +114,7 @@ class Scores:
         return rows.select(
             "doc_id", "r", "text", F.concat(F.lit("D"), doc.cast("string")).alias("qid"), setting.alias("setting"),
             F.concat(setting, (r % 2 + 1).cast("string")).alias("run"),
-            F.concat(F.substring("text", 1, 100), F.lit(" run "), r.cast("string")).alias("answer"),
+            F.concat(F.col("text"), F.lit(" run "), r.cast("string")).alias("answer"),
             F.when((doc % 31 != 0) & ((doc + r) % 29 != 0), "ok").otherwise("undetermined").alias("status"),
         )
 
@@ -169,13 +173,13 @@ def _r(*names: str) -> str:
 @query(
     "n1_verbatim_quote",
     r"""SELECT document_id, n, contains(regexp_replace(content, '\s+', '', 'g'), q) AND q <> '' AS verbatim FROM (
-          SELECT document_id, content, n, regexp_replace(CASE n WHEN 1 THEN ' ' || substr(content, 11, 60) || chr(10) WHEN 2 THEN substr(content, 1, 5) || '#' ELSE ' ' END, '\s+', '', 'g') AS q
+          SELECT document_id, content, n, regexp_replace(CASE n WHEN 1 THEN ' ' || substr(content, 11) || chr(10) WHEN 2 THEN substr(content, 1, 5) || '#' ELSE ' ' END, '\s+', '', 'g') AS q
           FROM corpus, (VALUES (1), (2), (3)) v(n))""",
     ("corpus",),
 )
 def n1(i: Inputs) -> DataFrame:
     quotes = F.array(
-        F.concat(F.lit(" "), F.substring("content", 11, 60), F.lit("\n")), F.concat(F.substring("content", 1, 5), F.lit("#")), F.lit(" ")
+        F.concat(F.lit(" "), F.expr("substring(content, 11)"), F.lit("\n")), F.concat(F.substring("content", 1, 5), F.lit("#")), F.lit(" ")
     )
     rows = i.corpus.select("document_id", "content", F.posexplode(quotes).alias("p", "quote"))
     return rows.select("document_id", (F.col("p") + 1).alias("n"), tx.quoted_verbatim(F.col("quote"), F.col("content")).alias("verbatim"))
@@ -187,7 +191,7 @@ view("drafted", """
     'D' || doc_id || '-n' || CASE WHEN doc_id % 59 = 0 AND n = 2 THEN 1 ELSE n END AS nid,
     CASE WHEN doc_id % 61 = 0 AND n = 2 THEN '  ' ELSE 'fact' END AS fact,
     CASE WHEN doc_id % 67 = 0 THEN 'maybe' WHEN doc_id % 71 = 0 THEN 'okay' ELSE 'vital' END AS importance,
-    substr(text, (n - 1) * 40 + 1, 40) || CASE WHEN doc_id % 37 = 0 AND n = 3 THEN '#x' ELSE '' END AS quote
+    substr(text, (n - 1) * ((length(text) + 2) // 3) + 1, (length(text) + 2) // 3) || CASE WHEN doc_id % 37 = 0 AND n = 3 THEN '#x' ELSE '' END AS quote
   FROM (SELECT *, unnest([1, 2, 3]) AS n FROM rated)""", "rated")
 
 
@@ -213,7 +217,8 @@ def n2(i: Inputs) -> DataFrame:
 
     def fact(n: int) -> Column:
         same = F.when(doc % 59 == 0, 1).otherwise(n) if n == 2 else F.lit(n)
-        quote = F.substring("text", (n - 1) * 40 + 1, 40)
+        third = F.ceil(F.length("text") / 3).cast("int")
+        quote = F.substring(F.col("text"), third * (n - 1) + 1, third)
         return F.struct(
             F.concat(F.lit("D"), doc.cast("string"), F.lit("-n"), same.cast("string")).alias("nid"),
             (F.when(doc % 61 == 0, "  ").otherwise("fact") if n == 2 else F.lit("fact")).alias("text"),
@@ -241,8 +246,9 @@ def n3(i: Inputs) -> DataFrame:
 
 
 view("frozen", r"""
-  SELECT qid, any_value(lang) AS lang, sha256(concat_ws(chr(31), qid, any_value(rule_id), 'v1',
-    regexp_replace(string_agg(concat_ws(chr(30), nid, text, importance, text, keyword), chr(29) ORDER BY n), '\r\n?', chr(10), 'g'))) AS sha256
+  SELECT qid, any_value(lang) AS lang, sha256(to_json({'qid': qid, 'set': NULL, 'rule_id': any_value(rule_id), 'question': 'About ' || qid || '?', 'excluded': NULL,
+    'drafted_by': NULL, 'reviewed_by': NULL, 'version': 'v1',
+    'nuggets': list({'nid': nid, 'text': text, 'importance': importance, 'quote': text, 'keywords': [keyword]} ORDER BY n)})) AS sha256
   FROM facts GROUP BY qid""", "facts")
 
 
@@ -264,7 +270,7 @@ def n4_versions(i: Inputs) -> DataFrame:
 )
 def n4_check(i: Inputs) -> DataFrame:
     s = Scores(i)
-    rows = s.fact_rows(s.rated.filter(F.length("text") >= 120))
+    rows = s.fact_rows(s.rated.filter(F.length("text") >= SHORTEST))
     manifest = nuggets.freeze(rows.filter("lang <> 'de'").drop("lang", "doc_id"))
     now = rows.filter("lang <> 'es'").withColumn("rule_id", F.when(F.col("lang") == "fr", "moved").otherwise(F.col("rule_id")))
     return nuggets.check_freeze(manifest, now.drop("lang", "doc_id"))
@@ -613,7 +619,7 @@ def n24(i: Inputs) -> DataFrame:
 
 view("raw_drafts", """
   SELECT doc_id, text, n, doc_id % 7 = 0 AS broken, ['必須', 'okay', 'Vital ', 'strange'][1 + (doc_id + n) % 4] AS importance,
-    replace(replace(replace(substr(text, n * 30, 20), chr(92), ''), '"', ''), chr(10), ' ') AS bit FROM (SELECT *, unnest([1, 2]) AS n FROM rated)""", "rated")
+    replace(replace(replace(substr(text, CASE n WHEN 1 THEN 1 ELSE (length(text) + 1) // 2 + 1 END, (length(text) + 1) // 2), chr(92), ''), '"', ''), chr(10), ' ') AS bit FROM (SELECT *, unnest([1, 2]) AS n FROM rated)""", "rated")
 
 
 @query(
@@ -631,7 +637,8 @@ def n25(i: Inputs) -> DataFrame:
     rated = Scores(i).rated
 
     def fact(n: int) -> Column:
-        bit = F.translate(F.replace(F.substring("text", n * 30, 20), F.lit("\n"), F.lit(" ")), '\\"', "")
+        half = F.ceil(F.length("text") / 2).cast("int")
+        bit = F.translate(F.replace(F.substring(F.col("text"), half * (n - 1) + 1, half), F.lit("\n"), F.lit(" ")), '\\"', "")
         words = F.lit('["a", "b"]') if n == 1 else F.lit('"a"')
         return F.concat(
             F.lit(f'{{"text": " fact {n} ", "importance": "'), F.element_at(F.lit(["必須", "okay", "Vital ", "strange"]), ((doc + n) % 4 + 1).cast("int")),

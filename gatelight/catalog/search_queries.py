@@ -429,7 +429,8 @@ def m18(i: Inputs) -> DataFrame:
 
 
 view("asked_set", """
-  SELECT 'Q' || CASE WHEN item_id = 7 THEN 6 ELSE item_id END AS question_id, category, should_refuse AND item_id % 5 <> 0 AS should_refuse,
+  SELECT 'Q' || CASE WHEN item_id % 13 = 0 OR item_id >= 1000 THEN (CASE WHEN item_id = 7 THEN 6 ELSE item_id END)::STRING
+      ELSE lpad((CASE WHEN item_id = 7 THEN 6 ELSE item_id END)::STRING, 3, '0') END AS question_id, category, should_refuse AND item_id % 5 <> 0 AS should_refuse,
     user_access_level + (item_id % 2)::INT AS user_access_level,
     CASE WHEN item_id % 11 = 0 THEN ['/nowhere/' || item_id] ELSE expected_sources END AS expected_sources,
     list_append(expected_answer_keywords, 'zzzzz') AS expected_answer_keywords FROM questions""", "questions")
@@ -439,8 +440,10 @@ view("cited_set", "SELECT question_id, should_refuse, unnest(expected_sources) A
 @query(
     "m19_dataset_checks",
     """SELECT 'repeated id' AS "check", question_id AS subject FROM asked_set GROUP BY question_id HAVING count(*) > 1
-       UNION ALL SELECT DISTINCT 'id out of sequence', question_id FROM asked_set WHERE substr(question_id, 2)::BIGINT NOT BETWEEN 1 AND (SELECT count(*) FROM asked_set)
-       UNION ALL SELECT 'category count', category FROM asked_set GROUP BY category HAVING count(*) <> CASE category WHEN 'general' THEN 20 WHEN 'hallucination_test' THEN 8 ELSE 0 END
+       UNION ALL SELECT DISTINCT 'id out of sequence', question_id FROM asked_set WHERE substr(question_id, 2)::BIGINT NOT BETWEEN 1 AND (SELECT count(*) FROM asked_set) OR length(question_id) < 4
+       UNION ALL SELECT 'category count', category FROM asked_set FULL JOIN (VALUES ('general', 20), ('hallucination_test', 8), ('expected but absent', 4)) w(category, wanted) USING (category)
+         GROUP BY category, wanted HAVING count(question_id) <> coalesce(wanted, 0)
+       UNION ALL SELECT 'question count', count(*)::STRING FROM asked_set HAVING count(*) <> 50
        UNION ALL SELECT 'refuse flag missing', question_id FROM asked_set WHERE category IN ('permission_test', 'hallucination_test') AND NOT should_refuse
        UNION ALL SELECT 'no expected source', question_id FROM asked_set WHERE category NOT IN ('permission_test', 'hallucination_test') AND length(expected_sources) = 0
        UNION ALL SELECT 'permission test at top level', question_id FROM asked_set WHERE category = 'permission_test' AND user_access_level >= 3
@@ -457,10 +460,10 @@ def m19(i: Inputs) -> DataFrame:
     item = F.col("item_id")
     number = F.when(item == 7, 6).otherwise(item)
     asked = i.questions.select(
-        F.concat(F.lit("Q"), number.cast("string")).alias("question_id"), "category",
+        F.concat(F.lit("Q"), F.when((item % 13 == 0) | (item >= 1000), number.cast("string")).otherwise(F.lpad(number.cast("string"), 3, "0"))).alias("question_id"), "category",
         (F.col("should_refuse") & (item % 5 != 0)).alias("should_refuse"),
         (F.col("user_access_level") + (item % 2).cast("int")).alias("user_access_level"),
         F.when(item % 11 == 0, F.array(F.concat(F.lit("/nowhere/"), item.cast("string")))).otherwise(F.col("expected_sources")).alias("expected_sources"),
         F.array_append("expected_answer_keywords", F.lit("zzzzz")).alias("expected_answer_keywords"),
     )
-    return metrics.dataset_problems(asked, i.corpus, {"general": 20, "hallucination_test": 8})
+    return metrics.dataset_problems(asked, i.corpus, {"general": 20, "hallucination_test": 8, "expected but absent": 4}, expected_total=50)

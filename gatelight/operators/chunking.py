@@ -10,15 +10,19 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Separators in order of preference, and how far around the
 # wished end a separator is looked for.
 SEPARATORS = ("。\n", "。", "\n\n", "\n", "．", ". ")
 REACH = 30
 
+# Documents whose chunks are held at once.
+DOCUMENTS_PER_STEP = 256
+
 _BREAKS = tuple(re.compile(re.escape(s)) for s in SEPARATORS)
 _MANY_NEWLINES = re.compile(r"\n{3,}")
 
@@ -57,22 +61,21 @@ def chunk_text(df: DataFrame, size: int = 500, overlap: int = 50, text: str = "c
         raise ValueError("overlap must be at least 0 and below size")
     kept = [f for f in df.schema.fields if f.name != text]
     names = [f.name for f in kept]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["content string"])
+    fields = [T.StructField(f.name, f.dataType, True) for f in kept]
+    schema = T.StructType([*fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType())])
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lists = [split_text(t or "", size, overlap) for t in batch[text]]
-            out = batch[names].copy()
-            out["chunk_index"] = [list(range(len(pieces))) for pieces in lists]
-            out["content"] = lists
-            out = out.explode(["chunk_index", "content"])
-            out = out[out["content"].notna()]
-            out["chunk_index"] = out["chunk_index"].astype("int32")
-            yield out
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCUMENTS_PER_STEP):
+                batch = whole.slice(at, DOCUMENTS_PER_STEP)
+                lists = [split_text(t or "", size, overlap) for t in batch.column(text).to_pylist()]
+                # The other columns stay as Arrow holds them; rows are only repeated.
+                row = pa.array([n for n, pieces in enumerate(lists) for _ in pieces], pa.int64())
+                place = pa.array([k for pieces in lists for k in range(len(pieces))], pa.int32())
+                content = pa.array([piece for pieces in lists for piece in pieces], pa.string())
+                yield pa.RecordBatch.from_arrays([*[batch.column(n).take(row) for n in names], place, content], [*names, "chunk_index", "content"])
 
-    return df.select(*names, text).mapInPandas(walk, f"{schema}, chunk_index int").select(
-        *names, "chunk_index", "content"
-    )
+    return df.select(*names, text).mapInArrow(walk, schema)
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:

@@ -78,7 +78,8 @@ def percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, floa
     A mergeable sketch first brackets each wanted rank between two values (a group
     of up to 10,000 rows is its own bracket). Rows below the bracket are only
     counted; the few inside it are counted per distinct value and ordered. So no
-    task ever holds or sorts a large group.
+    task ever holds or sorts a large group. A bracket that should miss its rank is an
+    error, never a missing value. A null key is a group like any other.
     """
     accuracy = 10_000
     margin = 4.0 / accuracy
@@ -95,7 +96,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, floa
         *[edge(points[n] / 100 - margin, F.min("x")).alias(f"low_{n}") for n in names],
         *[edge(points[n] / 100 + margin, F.max("x")).alias(f"high_{n}") for n in names],
     )
-    placed = rows.join(brackets, by)
+    placed = same_group(rows, brackets, by)
     below = placed.groupBy(*by, "total").agg(
         *[F.count_if(F.col("x") < F.col(f"low_{n}")).alias(f"below_{n}") for n in names]
     )
@@ -112,7 +113,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, floa
         F.count("*").alias("times")
     )
     upto = F.sum("times").over(Window.partitionBy(*by, "point").orderBy("x"))
-    near = near.withColumn("upto", upto).join(below, by)
+    near = same_group(near.withColumn("upto", upto), below, by)
     picks = []
     for n in names:
         at = (F.col("total") - 1) * (points[n] / 100.0)
@@ -122,13 +123,21 @@ def percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, floa
 
         def value_at(place: Column, n: str = n, first: Column = first, last: Column = last) -> Column:
             here = (F.col("point") == n) & (first <= place) & (place <= last)
-            return F.max(F.when(here, F.col("x")))
+            found = F.max(F.when(here, F.col("x")))
+            return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.lit("percentile: the bracket misses its rank")).cast("double"))
 
         low, high = value_at(down), value_at(up)
         picks.append((low + (high - low) * F.max(at - down)).alias(n))
     return near.groupBy(*by).agg(*picks)
 
 
+def same_group(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Joins on the group keys, where null equals null."""
+    named = right.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in right.columns if c not in by])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return left.join(named, same).drop(*[f"_{c}" for c in by])
+
+
 def judge_scores(raw: Column) -> dict[str, Column]:
     """The three scores of a judge's reply: outermost braces, each clamped to 0..1, else 0."""
     found = tx.json_value(F.regexp_extract(raw, r"(?s)(\{.*\})", 1))
@@ -258,10 +267,19 @@ def failures(results: DataFrame) -> DataFrame:
     return results.withColumn("reasons", F.array_join(reasons, "; ")).filter(F.size(reasons) > 0)
 
 
-def dataset_problems(questions: DataFrame, corpus: DataFrame, expected_counts: dict[str, int], prefix: str = "Q") -> DataFrame:
+def _filled(number: Column, digits: int) -> Column:
+    text = number.cast("string")
+    return F.when(F.length(text) < digits, F.lpad(text, digits, "0")).otherwise(text)
+
+
+def dataset_problems(
+    questions: DataFrame, corpus: DataFrame, expected_counts: dict[str, int], prefix: str = "Q", digits: int = 3, expected_total: int | None = None
+) -> DataFrame:
     """What is wrong with a question set, one row per finding: check, subject.
 
-    ``corpus``: source_path, content. Sequence numbers are compared with the count,
+    ``corpus``: source_path, content. Sequence numbers (at least ``digits`` digits, filled
+    up with zeros) are compared with the count, every expected category with its rows, the
+    number of rows with ``expected_total``,
     sources and documents by joins in both directions, keywords against the text of
     their question's sources.
     """
@@ -270,14 +288,16 @@ def dataset_problems(questions: DataFrame, corpus: DataFrame, expected_counts: d
     number = F.regexp_extract("question_id", rf"\A{prefix}(\d+)\z", 1).try_cast("bigint")
     total = questions.agg(F.count("*").alias("total")).scalar()
     unordered = ids.filter(
-        F.coalesce((number < 1) | (number > total), F.lit(True))
+        F.coalesce((number < 1) | (number > total) | (F.col("question_id") != F.concat(F.lit(prefix), _filled(number, digits))), F.lit(True))
     ).select(F.lit("id out of sequence").alias("check"), F.col("question_id").alias("subject"))
-    wanted = F.lit(0)
-    for name, count in expected_counts.items():
-        wanted = F.when(F.col("category") == name, F.lit(count)).otherwise(wanted)
-    counts = questions.groupBy("category").agg(F.count("*").alias("n")).filter(F.col("n") != wanted).select(
+    wanted = questions.sparkSession.createDataFrame(list(expected_counts.items()), "category string, wanted long")
+    there = questions.groupBy("category").agg(F.count("*").alias("n"))
+    counts = there.join(wanted, "category", "full_outer").filter(F.coalesce("n", F.lit(0)) != F.coalesce("wanted", F.lit(0))).select(
         F.lit("category count").alias("check"), F.col("category").alias("subject")
     )
+    if expected_total is not None:
+        whole = questions.agg(F.count("*").alias("n")).filter(F.col("n") != expected_total)
+        counts = counts.unionByName(whole.select(F.lit("question count").alias("check"), F.col("n").cast("string").alias("subject")))
     refusing = F.col("category").isin(*REFUSAL_CATEGORIES)
 
     def finding(check: str, condition: Column) -> DataFrame:

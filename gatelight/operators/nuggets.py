@@ -135,24 +135,36 @@ def content_hash(*fields: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *even), 256)
 
 
-def nugget_fields() -> list[Column]:
-    """The fields of a fact row that its hash covers."""
-    flat = F.array_join(
-        F.transform(
-            "nuggets",
-            lambda n: F.concat_ws(
-                "\u001e", n["nid"], n["text"], n["importance"], n["quote"],
-                F.array_join(F.coalesce(n["keywords"], F.array().cast("array<string>")), ","),
-            ),
-        ),
-        "\u001d",
-    )
-    return [F.col("qid"), F.col("rule_id"), F.col("version"), flat]
+FROZEN_FIELDS = ("qid", "set", "rule_id", "question", "excluded", "drafted_by", "reviewed_by", "version")
+
+
+def _even(text: Column) -> Column:
+    return F.regexp_replace(text, "\r\n?", "\n")
 
 
 def freeze(rows: DataFrame) -> DataFrame:
-    """Manifest of a fact list: version, qid, sha256."""
-    return rows.select("version", "qid", content_hash(*nugget_fields()).alias("sha256"))
+    """Manifest of a fact list: version, qid, sha256.
+
+    The hash covers every field as JSON, nulls included and line ends made equal, so
+    neither a border between fields nor a missing one can be mistaken. Fields the list
+    does not have count as null.
+    """
+    kinds = dict(rows.dtypes)
+    plain = [(_even(F.col(c)) if kinds.get(c) == "string" else F.col(c) if c in kinds else F.lit(None).cast("string")).alias(c) for c in FROZEN_FIELDS]
+    facts = F.transform("nuggets", lambda n: F.struct(*[_even(n[c]).alias(c) for c in ("nid", "text", "importance", "quote")], F.transform(n["keywords"], _even).alias("keywords")))
+    whole = F.to_json(F.struct(*plain, facts.alias("nuggets")), {"ignoreNullFields": "false"})
+    return rows.select("version", "qid", F.sha2(whole, 256).alias("sha256"))
+
+
+def freeze_head(rows: DataFrame, at: Column | None = None) -> DataFrame:
+    """One row per version: how many rows are frozen under it, and when."""
+    return rows.groupBy("version").agg(F.count("*").alias("rows")).withColumn("frozen_at", F.current_timestamp() if at is None else at)
+
+
+def refused_freezes(manifest: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows that may not be frozen: their version is frozen already with other content."""
+    taken = manifest.select("version").distinct()
+    return check_freeze(manifest, rows.join(taken, "version", "left_semi"))
 
 
 def freeze_versions(rows: DataFrame) -> DataFrame:
@@ -169,14 +181,15 @@ def check_freeze(manifest: DataFrame, rows: DataFrame) -> DataFrame:
     A changed row means the same version now stands for other content, so neither
     freezing nor scoring may go on.
     """
-    old = manifest.select("qid", F.col("sha256").alias("_old"))
-    new = freeze(rows).select("qid", F.col("sha256").alias("_new"))
+    versions = rows.select("version").distinct()
+    old = manifest.join(versions, "version", "left_semi").select("version", "qid", F.col("sha256").alias("_old"))
+    new = freeze(rows).select("version", "qid", F.col("sha256").alias("_new"))
     state = (
         F.when(F.col("_new").isNull(), "missing")
         .when(F.col("_old").isNull(), "added")
         .when(F.col("_old") != F.col("_new"), "changed")
     )
-    return old.join(new, "qid", "full_outer").select("qid", state.alias("state")).filter("state is not null")
+    return old.join(new, ["version", "qid"], "full_outer").select("qid", state.alias("state")).filter("state is not null")
 
 
 # ---- judge replies --------------------------------------------------------------
@@ -336,13 +349,30 @@ def judge_records(answers: DataFrame, nuggets: DataFrame, replies: DataFrame) ->
 
 
 def judge_inputs(answers: DataFrame, nuggets: DataFrame, corpus: DataFrame, questions: DataFrame | None = None) -> DataFrame:
-    """What a judge needs per answer; answers to unknown questions are left out."""
+    """What a judge needs per answer; answers to unknown questions are left out.
+
+    Answers whose rule has no text, or that have no question text, are no input either:
+    ``judge_input_errors`` lists them.
+    """
+    every = _judge_rows(answers, nuggets, corpus, questions)
+    return every.filter(F.col("body").isNotNull() & (F.col("question") != ""))
+
+
+def judge_input_errors(answers: DataFrame, nuggets: DataFrame, corpus: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """Answers that cannot be judged: run, qid, problem."""
+    every = _judge_rows(answers, nuggets, corpus, questions)
+    problem = F.when(F.col("body").isNull(), "rule without text").when(F.col("question") == "", "question without text")
+    return every.select("run", "qid", problem.alias("problem")).filter("problem is not null")
+
+
+def _judge_rows(answers: DataFrame, nuggets: DataFrame, corpus: DataFrame, questions: DataFrame | None) -> DataFrame:
     facts = nuggets.select("qid", "rule_id", "question", "nuggets", "version")
     if questions is not None:
         facts = facts.join(questions.select("qid", F.col("question").alias("_asked")), "qid", "left")
         own = F.when(F.coalesce("question", F.lit("")) != "", F.col("question"))
         facts = facts.withColumn("question", F.coalesce(own, F.col("_asked"), F.lit(""))).drop("_asked")
-    return answers.join(facts, "qid").join(corpus.select("rule_id", "body"), "rule_id")
+    facts = facts.withColumn("question", F.coalesce("question", F.lit("")))
+    return answers.join(facts, "qid").join(corpus.select("rule_id", "body"), "rule_id", "left")
 
 
 def skipped_answers(answers: DataFrame, nuggets: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatelight.operators.metrics import same_group
+
 Z95 = 1.96
 
 # The four outcomes.
@@ -31,7 +33,7 @@ def mean_and_error(scores: DataFrame, by: list[str], value: str = "value", clust
         *by, F.col(value).cast("double").alias("x"), *([F.col(cluster).alias("_c")] if cluster else [])
     )
     base = rows.groupBy(*by).agg(F.count("*").alias("n"), _exact_mean().alias("mean"))
-    centred = rows.join(base, by).withColumn("a", F.col("x") - F.col("mean"))
+    centred = same_group(rows, base, by).withColumn("a", F.col("x") - F.col("mean"))
     groups = [*by, "n", "mean"]
     per = centred.groupBy(*groups, *(["_c"] if cluster else [])).agg(
         F.sum("a").alias("s"), F.sum(F.col("a") * F.col("a")).alias("q")

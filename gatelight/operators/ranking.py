@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Questions handed to every task at once, and chunks scored at once.
+# Questions handed to every task at once, and chunks scored at once: at most so many
+# rows, and so many cells of (chunk, question) or (posting, question).
 MAX_SHARED_QUESTIONS = 4096
 CHUNKS_PER_STEP = 2048
+CELLS_PER_STEP = 2_000_000
 CHUNKS_PER_CELL = 50_000
+# Places a question's rows from all tasks are first merged in.
+MERGE_SALTS = 32
 
 _OUT = "leg string, question_id string, document_id string, chunk_index int, score double"
 
@@ -32,12 +36,12 @@ class _Questions:
     """A block of questions as matrices."""
 
     ids: np.ndarray
-    levels: np.ndarray
-    dense: np.ndarray | None
-    has_dense: np.ndarray
-    sparse: np.ndarray | None  # rows: ids the block uses, columns: questions
-    row_of: np.ndarray | None  # vocabulary id -> row of ``sparse``, or -1
-    has_sparse: np.ndarray
+    levels: np.ndarray  # NaN where a question has none
+    dense: dict[int, tuple[np.ndarray, np.ndarray]]  # vector length -> questions of that length, their unit vectors
+    used: np.ndarray  # vocabulary ids of the block, ascending
+    starts: np.ndarray  # where the postings of each used id start
+    posting: np.ndarray  # question of each posting
+    weight: np.ndarray
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -64,57 +68,70 @@ def _rounded(scores: np.ndarray) -> np.ndarray:
     return np.trunc(scaled + np.copysign(0.5, scaled)) / 1e9 + 0.0
 
 
-def _dense_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and unit vectors for each vector length; every row counts by its own length. Vectors with null or odd numbers are none."""
     lengths, flat = _flat(column)
-    dims = int(lengths.max()) if len(lengths) else 0
-    rows = np.zeros((len(lengths), dims))
-    has = lengths == dims
-    if dims:
-        rows[has] = _numbers(flat).astype(np.float64)[np.repeat(has, lengths)].reshape(-1, dims)
-    return _unit(rows), has & (lengths > 0)
+    numbers = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(lengths) - lengths
+    out = {}
+    for length in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == length)
+        vectors = numbers[starts[rows][:, None] + np.arange(length)]
+        sound = np.isfinite(vectors).all(axis=1)
+        out[length] = (rows[sound], _unit(vectors[sound]))
+    return out
 
 
 def _read_questions(table: pa.Table) -> _Questions:
-    n = table.num_rows
-    none = np.zeros(n, dtype=bool)
+    none = np.zeros(0, dtype=np.int64)
     q = _Questions(
         ids=np.array(table.column("question_id").to_pylist(), dtype=object),
-        levels=_numbers(_one(table, "user_access_level")).astype(np.int64),
-        dense=None, has_dense=none, sparse=None, row_of=None, has_sparse=none,
+        levels=_numbers(_one(table, "user_access_level")).astype(np.float64),
+        dense={}, used=none, starts=np.zeros(1, dtype=np.int64), posting=none, weight=np.zeros(0),
     )
     if "dense" in table.column_names:
-        q.dense, q.has_dense = _dense_rows(_one(table, "dense"))
+        q.dense = _by_length(_one(table, "dense"))
     if "sparse" in table.column_names:
         lengths, flat = _flat(_one(table, "sparse"))
         ids, weights = _numbers(flat.field("i")).astype(np.int64), _numbers(flat.field("v"))
-        used = np.unique(ids)
-        q.row_of = np.full(int(used.max()) + 1 if len(used) else 1, -1, dtype=np.int64)
-        q.row_of[used] = np.arange(len(used))
-        q.sparse = np.zeros((max(len(used), 1), n))
-        q.sparse[q.row_of[ids], np.repeat(np.arange(n), lengths)] = weights
-        q.has_sparse = lengths > 0
+        order = np.argsort(ids, kind="stable")
+        q.used, first = np.unique(ids[order], return_index=True)
+        q.starts = np.append(first, len(ids)).astype(np.int64)
+        q.posting, q.weight = np.repeat(np.arange(len(lengths)), lengths)[order], weights[order]
     return q
 
 
 def _dense_scores(q: _Questions, column: pa.Array) -> np.ndarray:
-    rows, has = _dense_rows(column)
-    if rows.shape[1] != q.dense.shape[1]:
-        return np.full((len(rows), len(q.ids)), -np.inf)
-    scores = _rounded(rows @ q.dense.T)
-    scores[~has] = -np.inf
-    scores[:, ~q.has_dense] = -np.inf
+    scores = np.full((len(column), len(q.ids)), -np.inf)
+    for length, (rows, vectors) in _by_length(column).items():
+        if length in q.dense:
+            asked, wanted = q.dense[length]
+            scores[np.ix_(rows, asked)] = _rounded(vectors @ wanted.T)
     return scores
 
 
 def _sparse_scores(q: _Questions, column: pa.Array) -> np.ndarray:
+    """Sums over shared ids only: each posting of a chunk meets the questions that use its id."""
     lengths, flat = _flat(column)
     ids, weights = _numbers(flat.field("i")).astype(np.int64), _numbers(flat.field("v"))
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    known = ids < len(q.row_of)
-    known[known] = q.row_of[ids[known]] >= 0
-    left = np.zeros((len(lengths), q.sparse.shape[0]))
-    left[row[known], q.row_of[ids[known]]] = weights[known]
-    raw = left @ q.sparse
+    row, n = np.repeat(np.arange(len(lengths)), lengths), len(q.ids)
+    raw = np.zeros(len(lengths) * n)
+    if len(q.used):
+        at = np.minimum(np.searchsorted(q.used, ids), len(q.used) - 1)
+        known = q.used[at] == ids
+        at, row, weights = at[known], row[known], weights[known]
+        fan = q.starts[at + 1] - q.starts[at]
+        reach = np.cumsum(fan)
+        low = 0
+        while low < len(at):
+            # At least one posting, and as many as fit.
+            high = max(low + 1, int(np.searchsorted(reach, (reach[low - 1] if low else 0) + CELLS_PER_STEP, side="right")))
+            part = fan[low:high]
+            place = np.repeat(q.starts[at[low:high]] - (np.cumsum(part) - part), part) + np.arange(part.sum())
+            cell = np.repeat(row[low:high] * n, part) + q.posting[place]
+            np.add.at(raw, cell, np.repeat(weights[low:high], part) * q.weight[place])
+            low = high
+    raw = raw.reshape(len(lengths), n)
     # Weights are positive, so a product of 0 means no shared id: not a hit at all.
     scores = _rounded(raw)
     scores[raw <= 0] = -np.inf
@@ -177,11 +194,13 @@ class _Best:
 def _score(batches: Iterable[pa.RecordBatch], q: _Questions, k: int, legs: tuple[str, ...]):
     best = {leg: _Best(len(q.ids), k) for leg in legs}
     for whole in batches:
-        for at in range(0, whole.num_rows, CHUNKS_PER_STEP):
-            step = whole.slice(at, CHUNKS_PER_STEP)
+        size = max(1, min(CHUNKS_PER_STEP, CELLS_PER_STEP // max(1, len(q.ids))))
+        for at in range(0, whole.num_rows, size):
+            step = whole.slice(at, size)
             documents = np.array(step.column("document_id").to_pylist(), dtype=object)
             indexes = _numbers(step.column("chunk_index"))
-            barred = _numbers(step.column("access_level"))[:, None] > q.levels[None, :]
+            # A level that is not known is barred, on either side.
+            barred = ~(_numbers(step.column("access_level")).astype(np.float64)[:, None] <= q.levels[None, :])
             for leg in legs:
                 scores = _LEGS[leg](q, step.column(leg))
                 scores[barred] = -np.inf
@@ -259,4 +278,19 @@ def nearest_chunks(
         found = _over_shared(first, stored, k, legs)
     else:
         found = _over_grid(asked, stored, k, legs, max_shared_questions)
-    return top_k(found, ["leg", "question_id"], best_first(), k)
+    # Rows of one question come from every task: cut in salted places first, then in one.
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(MERGE_SALTS)))
+    some = top_k(salted, ["leg", "question_id", "_salt"], best_first(), k, "_place").drop("_salt", "_place")
+    return top_k(some, ["leg", "question_id"], best_first(), k)
+
+
+def odd_vectors(questions: DataFrame, chunks: DataFrame, vector: str = "dense") -> DataFrame:
+    """Chunks no question can be compared with, as error rows: document_id, chunk_index, length.
+
+    Their vector has another length than every question's, is missing, or holds a null or non-finite number.
+    """
+    known = questions.select(F.size(vector).alias("length")).distinct()
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = chunks.select("document_id", "chunk_index", F.coalesce(F.size(vector), F.lit(-1)).alias("length"), F.coalesce(odd, F.lit(True)).alias("_odd"))
+    there = known.withColumn("_known", F.lit(True))
+    return rows.join(there, "length", "left").filter(F.col("_known").isNull() | F.col("_odd")).select("document_id", "chunk_index", "length")

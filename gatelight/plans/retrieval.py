@@ -104,9 +104,9 @@ def retrieve(
     fused = fuse(found, fetch_limit(use_rerank, top, candidates), fusion_k)
     asked = fused.join(questions.select("question_id", "question", "user_access_level"), "question_id")
     if few:
-        # At most MAX_SHARED_QUESTIONS times the fetch limit: written once, then broadcast,
-        # so that neither the content nor the registry is shuffled for them.
-        asked = F.broadcast(saved(asked))
+        # Written once: Spark then knows its size and broadcasts it by its own threshold,
+        # so that neither the content nor the registry is shuffled for a few questions.
+        asked = saved(asked)
     hits = project_hits(asked, searchable(chunks if payload is None else payload))
     hits = revalidate(hits, registry, asked if few else None)
     if use_rerank:

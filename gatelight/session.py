@@ -36,12 +36,14 @@ _made: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it.
 
-    Only where the session names none (tests) a temporary folder is made.
+    Only a local session that names none (tests) gets a temporary folder.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
+    if not (context.master or "").startswith("local") or (context.master or "").startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if context.applicationId not in _made:
         _made[context.applicationId] = tempfile.mkdtemp(prefix="gatelight-shared-")
     return _made[context.applicationId]

@@ -66,17 +66,22 @@ def decode_text(df: DataFrame, content: str = "content") -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Strict JSON lines: (rows, errors). Blank lines are skipped; a line that is no
-    JSON object is an error row with its file and text."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("line"))
-    lines = lines.filter("line <> ''")
+    JSON object is an error row with its file, its number in it (from 1) and its text.
+
+    Files are numbered whole, so a file is one value; data files are far smaller than that.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = files.select("file", F.posexplode(F.split("value", "\n", -1)).alias("place", "line"))
+    lines = lines.select("file", (F.col("place") + 1).alias("number"), F.btrim("line", F.lit(" \t\r")).alias("line")).filter("line <> ''")
     bad = tx.json_value(F.col("line")).isNull() | (F.substring("line", 1, 1) != "{")
     rows = lines.filter(~bad).select("file", F.from_json("line", schema).alias("r")).select("file", "r.*")
     return rows, lines.filter(bad)
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A question set; blank lines are skipped by the reader."""
-    return spark.read.schema(QUESTION_SCHEMA).json(path)
+def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A question set: (questions, errors). Blank lines are skipped; malformed lines are errors, not empty questions."""
+    rows, errors = read_jsonl(spark, path, QUESTION_SCHEMA)
+    return rows.drop("file"), errors
 
 
 def read_rules(spark: SparkSession, folder: str) -> DataFrame:

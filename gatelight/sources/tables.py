@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from gatelight.operators.vectors import STORE_PARTITIONING, STORE_SORTING
 
 
+def _missing(error: AnalysisException) -> bool:
+    """Whether an error only says that nothing has been written yet."""
+    return (error.getCondition() or "").startswith("PATH_NOT_FOUND")
+
+
 def write_results(results: DataFrame, path: str, by: str | None = None) -> None:
     """Raw or judged rows as JSON lines, one folder per run when ``by`` is given."""
     writer = results.write.mode("overwrite")
@@ -25,7 +30,9 @@ def versions(spark: SparkSession, base: str) -> list[int]:
     """Published versions of a table, oldest first."""
     try:
         found = spark.read.schema("version int").json(f"{base}/manifest").select("version").distinct().collect()
-    except AnalysisException:
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
         return []
     return sorted(r.version for r in found)
 
@@ -61,6 +68,8 @@ def read_log(spark: SparkSession, base: str, schema: str, before: int | None = N
     """Rows of every batch (or those before one), with their batch number."""
     try:
         log = spark.read.option("basePath", base).schema(f"{schema}, batch bigint").parquet(base)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
         log = spark.createDataFrame([], f"{schema}, batch bigint")
     return log.filter(F.col("batch") < before) if before is not None else log

@@ -133,6 +133,6 @@ def test_json_lines_answers_and_rules(spark, tmp_path):
     assert rows(files.read_rules(spark, str(tmp_path / "rules")), "rule_id", "body") == [("leave", "# 休暇\n5 日")]
     question = {"id": "Q001", "question": "?", "expected_answer_keywords": ["5"], "expected_sources": [], "user_access_level": 1, "category": "general", "should_refuse": False}
     (tmp_path / "q.json").write_text(json.dumps(question) + "\n\n", encoding="utf-8")
-    assert files.read_questions(spark, str(tmp_path / "q.json")).first().expected_answer_keywords == ["5"]
+    assert files.read_questions(spark, str(tmp_path / "q.json"))[0].first().expected_answer_keywords == ["5"]
     tables.write_results(good, str(tmp_path / "out"), by="run")
     assert rows(spark.read.json(str(tmp_path / "out")), "run", "qid") == [("other", "2"), ("run1", "1")]
