@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from gatelight.catalog.base import query, view
 from gatelight.catalog.inputs import EPOCH, Inputs, sql_tokens
 from gatelight.functions import text as tx
 from gatelight.operators import access, cells, chunking, registry, store, vectors
-from gatelight.sources import files
+from gatelight.session import shared_dir
+from gatelight.sources import files, tables
 
 # ---- sources --------------------------------------------------------------------
 
@@ -28,6 +31,61 @@ def s1(i: Inputs) -> DataFrame:
     return registry.supported_files(named).select("source_path", "file_type", F.length("content").cast("bigint").alias("chars"))
 
 
+def _folder(i: Inputs, name: str) -> str:
+    return f"{shared_dir(i.spark)}/gatelight-files/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "s11_strict_json_lines",
+    """SELECT doc_id, source AS field, false AS broken FROM documents WHERE lang <> 'de'
+       UNION ALL SELECT doc_id, 'no object ' || doc_id, true FROM documents WHERE lang = 'de'""",
+)
+def s11(i: Inputs) -> DataFrame:
+    folder = _folder(i, "lines")
+    line = F.when(F.col("lang") == "de", F.concat(F.lit("no object "), "doc_id")).otherwise(F.to_json(F.struct("doc_id", "source", "text")))
+    i.table("documents").select(line.alias("value")).write.text(folder)
+    rows, errors = files.read_jsonl(i.spark, folder, "doc_id long, source string, text string")
+    broken = errors.select(F.regexp_extract("line", r"(\d+)$", 1).cast("long").alias("doc_id"), F.col("line").alias("field"), F.lit(True).alias("broken"))
+    return rows.select("doc_id", F.col("source").alias("field"), F.lit(False).alias("broken")).unionByName(broken)
+
+
+@query(
+    "s12_question_file",
+    """SELECT item_id::STRING AS id, text AS question, item_id % 4 = 0 AS broken FROM benchmark WHERE item_id % 4 <> 0
+       UNION ALL SELECT '', '{"id": ' || item_id, true FROM benchmark WHERE item_id % 4 = 0""",
+)
+def s12(i: Inputs) -> DataFrame:
+    folder, item = _folder(i, "questions"), F.col("item_id")
+    good = F.to_json(F.struct(item.cast("string").alias("id"), F.col("text").alias("question")))
+    i.table("benchmark").select(F.when(item % 4 == 0, F.concat(F.lit('{"id": '), item)).otherwise(good).alias("value")).write.text(folder)
+    rows, errors = files.read_questions(i.spark, folder)
+    return rows.select("id", "question", F.lit(False).alias("broken")).unionByName(errors.select(F.lit("").alias("id"), F.col("line").alias("question"), F.lit(True).alias("broken")))
+
+
+@query("s15_result_sink", "SELECT doc_id, lang AS run, text FROM documents")
+def s15(i: Inputs) -> DataFrame:
+    folder = _folder(i, "results")
+    tables.write_results(i.table("documents").select("doc_id", F.col("lang").alias("run"), "text"), folder, "run")
+    return i.spark.read.schema("doc_id long, text string, run string").json(folder).select("doc_id", "run", "text")
+
+
+@query(
+    "s16_table_sinks",
+    """SELECT 'current' AS source, document_id, 0 AS batch, content AS text FROM corpus
+       UNION ALL SELECT 'log', document_id, CASE WHEN lang = 'en' THEN 1 ELSE 2 END, file_hash FROM corpus""",
+    ("corpus",),
+)
+def s16(i: Inputs) -> DataFrame:
+    table, log = _folder(i, "table"), _folder(i, "log")
+    tables.publish(i.corpus.select("document_id", F.lit("old").alias("text")), table)
+    tables.publish(i.corpus.select("document_id", F.col("content").alias("text")), table)
+    rows = i.corpus.select("document_id", F.col("file_hash").alias("text"), "lang")
+    for batch, part in ((1, "lang <> 'en'"), (1, "lang = 'en'"), (2, "lang <> 'en'")):  # batch 1 is written again
+        tables.append_batch(rows.filter(part).drop("lang"), log, batch)
+    current = tables.read_current(i.spark, table).select(F.lit("current").alias("source"), "document_id", F.lit(0).alias("batch"), "text")
+    return current.unionByName(tables.read_log(i.spark, log, "document_id string, text string").select(F.lit("log").alias("source"), "document_id", F.col("batch").cast("int").alias("batch"), "text"))
+
+
 @query("s2_content_fingerprint", "SELECT document_id, file_hash FROM corpus", ("corpus",))
 def s2(i: Inputs) -> DataFrame:
     return i.corpus.select("document_id", "file_hash")

@@ -438,6 +438,20 @@ def n11(i: Inputs) -> DataFrame:
     return found.select("qid", "run", "rule_id", "question", F.length("body").alias("body_chars"))
 
 
+@query(
+    "n11_input_errors",
+    """SELECT u.qid, u.run, CASE WHEN f.lang = 'fr' THEN 'rule without text' ELSE 'question without text' END AS problem
+       FROM runs u JOIN (SELECT DISTINCT qid, lang FROM facts) f USING (qid) WHERE f.lang IN ('fr', 'de')""",
+    ("runs", "facts"),
+)
+def n11_errors(i: Inputs) -> DataFrame:
+    s = Scores(i)
+    rated = s.rated.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("qid"), "lang", "text")
+    listed = s.facts.join(rated.select("qid", "lang"), "qid").withColumns({"rule_id": F.col("qid"), "question": F.when(F.col("lang") != "de", F.col("question"))}).drop("lang")
+    corpus = rated.filter("lang <> 'fr'").select(F.col("qid").alias("rule_id"), F.col("text").alias("body"))
+    return nuggets.judge_input_errors(s.runs.select("qid", "run", "answer"), listed, corpus)
+
+
 @query("n11_skipped_answers", "SELECT run, count(*) AS skipped FROM runs WHERE qid NOT IN (SELECT qid FROM facts) GROUP BY run", ("runs", "facts"))
 def n11_skipped(i: Inputs) -> DataFrame:
     s = Scores(i)

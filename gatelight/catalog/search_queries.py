@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelight.catalog.base import query, view
-from gatelight.catalog.inputs import Inputs, sql_basename, sql_strip
+from gatelight.catalog.inputs import Inputs, sql_basename, sql_strip, _PLACES
 from gatelight.functions import text as tx
 from gatelight.operators import metrics, ranking, store
 from gatelight.operators.access import searchable
@@ -33,6 +33,11 @@ view("centres", """
     ("points", "centres"),
 )
 def r1(i: Inputs) -> DataFrame:
+    return ranking.nearest_chunks(*_label_search(i), 90, ("dense",)).drop("leg")
+
+
+def _label_search(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """The mean vector of each label as a question, and all vectors as searchable chunks."""
     vec, label = i.table("embeddings"), F.col("label")
     points = vec.select(
         F.col("vec_id").cast("string").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("embedding").alias("dense"),
@@ -41,7 +46,55 @@ def r1(i: Inputs) -> DataFrame:
     means = vec.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda e: e["m"]).alias("dense"))
     asked = centres.select(F.concat(F.lit("L"), label.cast("string")).alias("question_id"), (1 + label % 3).alias("user_access_level"), "dense")
-    return ranking.nearest_chunks(asked, searchable(points), 90, ("dense",)).drop("leg")
+    return asked, searchable(points)
+
+
+def _with_odd_vectors(points: DataFrame) -> DataFrame:
+    """Some vectors one number too long, some missing: in between, whatever batch they fall into."""
+    at = F.col("document_id").cast("long") % 5
+    return points.withColumn("dense", F.when(at == 1, F.array_append("dense", F.lit(9.0))).when(at == 2, F.lit(None)).otherwise(F.col("dense")))
+
+
+@query(
+    "r1_odd_vectors",
+    """SELECT document_id, chunk_index, CASE WHEN document_id::BIGINT % 5 = 1 THEN length(embedding) + 1 ELSE -1 END AS length
+       FROM points WHERE document_id::BIGINT % 5 IN (1, 2) AND is_active AND NOT unclassified""",
+    ("points",),
+)
+def r1_odd(i: Inputs) -> DataFrame:
+    asked, points = _label_search(i)
+    return ranking.odd_vectors(asked, _with_odd_vectors(points))
+
+
+@query(
+    "r1_mixed_lengths",
+    """SELECT question_id, document_id, chunk_index, score, rank::INT AS rank FROM (
+         SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id, chunk_index) AS rank FROM (
+           SELECT c.question_id, p.document_id, p.chunk_index, round(list_cosine_similarity(c.v, p.embedding::DOUBLE[]), 9) AS score
+           FROM centres c JOIN points p ON p.access_level <= c.lvl AND p.is_active AND NOT p.unclassified
+           WHERE p.document_id::BIGINT % 5 NOT IN (1, 2))) WHERE rank <= 90""",
+    ("points", "centres"),
+)
+def r1_mixed(i: Inputs) -> DataFrame:
+    asked, points = _label_search(i)
+    return ranking.nearest_chunks(asked, _with_odd_vectors(points), 90, ("dense",)).drop("leg")
+
+
+view("sparse_leg_known", f"""
+  SELECT *, {_PLACES} AS rank FROM (
+    SELECT q.question_id, s.document_id, s.chunk_index, round(sum(p.weight * c.weight), 9) AS score
+    FROM question_postings p JOIN questions q USING (question_id)
+    JOIN chunk_postings c USING (token_id)
+    JOIN searchable s ON s.document_id = c.document_id AND s.chunk_index = c.chunk_index AND s.access_level <= q.user_access_level
+    WHERE s.chunk_index > 0
+    GROUP BY ALL) QUALIFY rank <= 90""", "question_postings", "questions", "chunk_postings", "searchable")
+
+
+@query("r6_null_levels", "SELECT question_id, document_id, chunk_index, score, rank::INT AS rank FROM sparse_leg_known", ("sparse_leg_known",))
+def r6_null_levels(i: Inputs) -> DataFrame:
+    # Every document's first chunk has lost its level; nobody may be shown it.
+    store = searchable(i.vector_store).withColumn("access_level", F.when(F.col("chunk_index") > 0, F.col("access_level")))
+    return ranking.nearest_chunks(i.asked, store, 90, ("sparse",)).drop("leg")
 
 
 @query("r2_sparse_top_k", "SELECT question_id, document_id, chunk_index, score, rank::INT AS rank FROM sparse_leg", ("sparse_leg",))

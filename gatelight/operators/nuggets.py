@@ -80,49 +80,44 @@ def validate_nuggets(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     named = F.coalesce("qid", F.lit("")) != ""
     first_row = rows.filter(named).groupBy("qid").agg(F.min("row_no").alias("_first"))
     bodies = corpus.select(F.col("rule_id").alias("_rule"), F.col("body").alias("_body"))
-    known = (
-        rows.filter(named)
-        .join(first_row, "qid")
-        .join(bodies, F.col("rule_id") == F.col("_rule"), "left")
-    )
-    none = F.lit(None).cast("string")
-
-    def found(df: DataFrame, problem: str, condition: Column, nid: Column = none) -> DataFrame:
-        return df.filter(F.coalesce(condition, F.lit(False))).select(
-            "row_no", F.coalesce("qid", F.lit("")).alias("qid"), nid.alias("nid"), F.lit(problem).alias("problem")
-        )
-
+    known = rows.join(first_row, "qid", "left").join(bodies, F.col("rule_id") == F.col("_rule"), "left")
     empty = F.coalesce(F.size("nuggets"), F.lit(0)) <= 0
     ruled = F.coalesce("rule_id", F.lit("")) != ""
-    facts = known.select(
-        "row_no", "qid", "_body", F.posexplode("nuggets").alias("place", "n")
-    ).select("row_no", "qid", "_body", "place", F.col("n").isNull().alias("_no_fact"), "n.*")
-    has_nid = F.coalesce("nid", F.lit("")) != ""
-    first_nid = facts.filter(has_nid).groupBy("nid").agg(F.min(F.struct("row_no", "place")).alias("_seen"))
-    repeats = facts.filter(has_nid).join(first_nid, "nid").filter(F.struct("row_no", "place") > F.col("_seen"))
-    real = facts.filter(~F.col("_no_fact"))
-    nid = F.coalesce("nid", F.lit(""))
-    blank_quote = tx.is_blank(F.col("quote"))
-    parts = [
-        found(rows, "qid missing", ~named),
-        found(known, "qid repeated", F.col("row_no") > F.col("_first")),
-        found(known, "rule_id missing", ~ruled),
-        found(known, "rule unknown", ruled & F.col("_rule").isNull()),
-        found(known, "no facts", empty),
-        found(facts, "fact is no object", F.col("_no_fact")),
-        found(real, "nid missing", ~has_nid),
-        found(repeats, "nid repeated", F.lit(True), nid),
-        found(real, "text empty", tx.is_blank(F.col("text")), nid),
-        found(real, "importance unknown", ~F.coalesce(F.col("importance").isin("vital", "okay"), F.lit(False)), nid),
-        found(real, "keywords not texts", F.exists("keywords", lambda k: k.isNull()), nid),
-        found(real, "quote empty", blank_quote, nid),
-        found(
-            real, "quote not verbatim",
-            ~blank_quote & F.col("_body").isNotNull() & ~tx.quoted_verbatim(F.col("quote"), F.col("_body")), nid,
-        ),
-        found(known, "no vital fact", ~empty & (F.size(vital(F.col("nuggets"))) == 0)),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    facts = rows.filter(named).select("row_no", "qid", F.posexplode("nuggets").alias("place", "n"))
+    firsts = facts.filter(F.coalesce("n.nid", F.lit("")) != "").groupBy(F.col("n.nid").alias("nid")).agg(F.min(F.struct("row_no", "place")).alias("_seen"))
+
+    def problem(name: str, condition: Column, nid: Column | None = None) -> Column:
+        row = F.struct((F.lit(None).cast("string") if nid is None else nid).alias("nid"), F.lit(name).alias("problem"))
+        return F.when(F.coalesce(condition, F.lit(False)), row)
+
+    def found(df: DataFrame, *problems: Column) -> DataFrame:
+        return df.select("row_no", F.coalesce("qid", F.lit("")).alias("qid"), F.inline(F.array_compact(F.array(*problems))))
+
+    # All problems of a row are found in one pass, and so are all of a fact.
+    of_rows = found(
+        known,
+        problem("qid missing", ~named),
+        problem("qid repeated", named & (F.col("row_no") > F.col("_first"))),
+        problem("rule_id missing", named & ~ruled),
+        problem("rule unknown", named & ruled & F.col("_rule").isNull()),
+        problem("no facts", named & empty),
+        problem("no vital fact", named & ~empty & (F.size(vital(F.col("nuggets"))) == 0)),
+    )
+    quoted = known.filter(named).select("row_no", "qid", "_body", F.posexplode("nuggets").alias("place", "n")).withColumn("nid", F.coalesce("n.nid", F.lit("")))
+    seen = quoted.join(firsts, "nid", "left")
+    nid, real, quote = F.col("nid"), F.col("n").isNotNull(), F.col("n.quote")
+    of_facts = found(
+        seen,
+        problem("fact is no object", ~real),
+        problem("nid missing", real & (nid == "")),
+        problem("nid repeated", F.struct("row_no", "place") > F.col("_seen"), nid),
+        problem("text empty", real & tx.is_blank(F.col("n.text")), nid),
+        problem("importance unknown", real & ~F.coalesce(F.col("n.importance").isin("vital", "okay"), F.lit(False)), nid),
+        problem("keywords not texts", real & F.exists("n.keywords", lambda k: k.isNull()), nid),
+        problem("quote empty", real & tx.is_blank(quote), nid),
+        problem("quote not verbatim", real & ~tx.is_blank(quote) & F.col("_body").isNotNull() & ~tx.quoted_verbatim(quote, F.col("_body")), nid),
+    )
+    return of_rows.unionByName(of_facts)
 
 
 def unreviewed(rows: DataFrame) -> DataFrame:
