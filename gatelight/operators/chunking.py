@@ -56,9 +56,9 @@ def split_text(text: str, size: int = 500, overlap: int = 50) -> list[str]:
 def chunk_text(df: DataFrame, size: int = 500, overlap: int = 50, text: str = "content") -> DataFrame:
     """One row per chunk: the other columns of ``df``, ``chunk_index`` and ``content``."""
     if size <= 0:
-        raise ValueError("size must be positive")
+        raise ValueError(f"a chunk of {size} characters holds nothing")
     if not 0 <= overlap < size:
-        raise ValueError("overlap must be at least 0 and below size")
+        raise ValueError(f"chunks of {size} characters cannot share {overlap}")
     kept = [f for f in df.schema.fields if f.name != text]
     names = [f.name for f in kept]
     fields = [T.StructField(f.name, f.dataType, True) for f in kept]

@@ -133,9 +133,10 @@ def percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, floa
 
 def same_group(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """Joins on the group keys, where null equals null."""
-    named = right.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in right.columns if c not in by])
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
-    return left.join(named, same).drop(*[f"_{c}" for c in by])
+    keys = {c: f"__{n}_right" for n, c in enumerate(by)}
+    named = right.select(*[F.col(c).alias(k) for c, k in keys.items()], *[c for c in right.columns if c not in by])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+    return left.join(named, same).drop(*keys.values())
 
 
 def judge_scores(raw: Column) -> dict[str, Column]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import re
+import string
 from functools import reduce
 
 import pandas as pd
@@ -124,12 +124,6 @@ def unreviewed(rows: DataFrame) -> DataFrame:
     return rows.filter(tx.is_blank(F.col("reviewed_by"))).select("qid")
 
 
-def content_hash(*fields: Column) -> Column:
-    """Hash of a row's fields with line ends made equal."""
-    even = [F.regexp_replace(F.coalesce(f.cast("string"), F.lit("")), "\r\n?", "\n") for f in fields]
-    return F.sha2(F.concat_ws("\u001f", *even), 256)
-
-
 FROZEN_FIELDS = ("qid", "set", "rule_id", "question", "excluded", "drafted_by", "reviewed_by", "version")
 
 
@@ -189,24 +183,31 @@ def check_freeze(manifest: DataFrame, rows: DataFrame) -> DataFrame:
 
 # ---- judge replies --------------------------------------------------------------
 
-_FENCE = re.compile(r"```[a-zA-Z]*\s*(.*?)```", re.S)
+_DECODER = json.JSONDecoder()
 
 
-def _first_json(reply: str) -> str | None:
-    """First JSON value of a reply: fenced blocks, the whole text, then whatever starts to decode."""
-    reader = json.JSONDecoder()
-    text = (reply or "").strip()
-    for part in [*_FENCE.findall(text), text]:
-        part = part.strip()
-        starts = [0] + [i for mark in "{[" for i, c in enumerate(part) if c == mark]
-        for n, at in enumerate(starts):
+def _salvaged(reply: str) -> str | None:
+    """A reply's JSON: of the first fenced part, else of the whole text, that holds any.
+
+    A part counts as it stands; where it is no JSON, the first object in it does, or else
+    the first array.
+    """
+    parts = reply.split("```")
+    closed = [p.lstrip(string.ascii_letters) for p in parts[1 : len(parts) - 1 : 2]]
+    for part in (p.strip() for p in (*closed, reply)):
+        places = [0] if part else []
+        for sign in "{[":
+            at = part.find(sign)
+            while at >= 0:
+                places.append(at)
+                at = part.find(sign, at + 1)
+        for turn, at in enumerate(places):
             try:
-                value, end = reader.raw_decode(part, at)
-            except ValueError:
+                value, end = _DECODER.raw_decode(part, at)
+            except (ValueError, RecursionError):
                 continue
-            if n == 0 and end != len(part):
-                continue  # only a text that is JSON as a whole counts from its start
-            return json.dumps(value, ensure_ascii=False)
+            if turn or end == len(part):
+                return json.dumps(value, ensure_ascii=False)
     return None
 
 
@@ -219,7 +220,7 @@ def extract_json(reply: Column) -> Column:
 
     @F.pandas_udf("string")
     def salvage(replies: pd.Series) -> pd.Series:
-        return replies.map(_first_json, na_action="ignore")
+        return replies.map(_salvaged, na_action="ignore")
 
     whole = tx.strip(reply)
     clean = F.when(F.substring(whole, 1, 1).isin("{", "["), tx.json_value(whole))

@@ -45,12 +45,12 @@ def test_short_and_empty():
 
 
 def test_long_text_without_separators():
-    pieces = split_text("あ" * 1200)
-    assert [len(p) for p in pieces] == [500, 500, 300]
+    pieces = split_text("波" * 1380)
+    assert [len(p) for p in pieces] == [500, 500, 480, 30]
 
 
 def test_bounds_and_sentence_ends():
-    pieces = split_text("あ。" * 500)
+    pieces = split_text("雨が降る。" * 260)
     assert all(0 < len(p) <= 530 for p in pieces) and pieces[0].endswith("。")
 
 
@@ -66,5 +66,8 @@ def test_table_form(spark):
     chunks = chunk_text(df)
     assert rows(chunk_counts(chunks)) == [("a", 2), ("b", 1), ("c", 3)]
     assert rows(chunks.filter("document_id = 'b'")) == [("b", 1, 0, "")]
+    large = [(9007199254740993, "x" * 700), (None, "y"), (-9007199254740995, "")]
+    kept = chunk_text(spark.createDataFrame(large, "level long, content string").coalesce(1))
+    assert rows(kept, "level", "chunk_index") == sorted([(9007199254740993, 0), (9007199254740993, 1), (None, 0), (-9007199254740995, 0)], key=repr)
     per = chunks.groupBy("document_id").agg(F.max("chunk_index").alias("m"), F.count("*").alias("n")).collect()
     assert all(r.m + 1 == r.n for r in per)

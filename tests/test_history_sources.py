@@ -134,5 +134,8 @@ def test_json_lines_answers_and_rules(spark, tmp_path):
     question = {"id": "Q001", "question": "?", "expected_answer_keywords": ["5"], "expected_sources": [], "user_access_level": 1, "category": "general", "should_refuse": False}
     (tmp_path / "q.json").write_text(json.dumps(question) + "\n\n", encoding="utf-8")
     assert files.read_questions(spark, str(tmp_path / "q.json"))[0].first().expected_answer_keywords == ["5"]
+    (tmp_path / "bad.json").write_text(json.dumps(question) + "\n\n{broken\n", encoding="utf-8")
+    asked, wrong = files.read_questions(spark, str(tmp_path / "bad.json"))
+    assert asked.count() == 1 and rows(wrong, "number", "line") == [(3, "{broken")]
     tables.write_results(good, str(tmp_path / "out"), by="run")
     assert rows(spark.read.json(str(tmp_path / "out")), "run", "qid") == [("other", "2"), ("run1", "1")]

@@ -12,7 +12,7 @@ def value(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
 
-@pytest.mark.parametrize("values,p,want", [([1, 2, 3, 4, 5], 95, 4.8), ([1, 2, 3, 4, 5], 50, 3.0), ([7], 95, 7.0), ([1, 2, 3, 10], 95, 8.95), ([2, 2, 2], 0, 2.0), ([1, 3], 100, 3.0)])
+@pytest.mark.parametrize("values,p,want", [([2, 4, 7, 11, 16], 95, 15.0), ([2, 4, 7, 11, 16], 50, 7.0), ([7], 95, 7.0), ([1, 2, 3, 10], 95, 8.95), ([2, 2, 2], 0, 2.0), ([1, 3], 100, 3.0)])
 def test_percentile(spark, values, p, want):
     df = spark.createDataFrame([("a", float(v)) for v in values], "g string, x double")
     assert metrics.percentiles(df, ["g"], "x", {"p": p}).first().p == pytest.approx(want)
@@ -31,6 +31,22 @@ def test_percentile_of_large_groups(spark):
             assert row[name] == pytest.approx(want), (row.g, name)
 
 
+def test_null_is_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, x double")
+    assert rows(metrics.percentiles(df, ["g"], "x", {"p": 50}), "g", "p") == sorted([(None, 2.0), ("a", 2.0)], key=repr)
+    assert rows(paired.mean_and_error(df, ["g"], "x"), "g", "n", "mean") == sorted([(None, 2, 2.0), ("a", 1, 2.0)], key=repr)
+
+
+def test_missing_categories_and_short_ids_are_found(spark):
+    questions = spark.createDataFrame(
+        [("Q001", "general", False, 1, ["/a"], ["x"]), ("Q2", "general", False, 1, ["/a"], ["x"])],
+        "question_id string, category string, should_refuse boolean, user_access_level int, expected_sources array<string>, expected_answer_keywords array<string>",
+    )
+    corpus = spark.createDataFrame([("/a", "x" * 1000)], "source_path string, content string")
+    found = rows(metrics.dataset_problems(questions, corpus, {"general": 2, "executive": 6}, expected_total=50), "check", "subject")
+    assert found == [("category count", "executive"), ("id out of sequence", "Q2"), ("question count", "2")]
+
+
 def test_recall_and_rank(spark):
     found, none = F.lit(["a", "b", "c", "d", "e", "f"]), F.array().cast("array<string>")
     assert value(spark, metrics.recall_at_k(found, F.lit(["e"]))) == 1.0
@@ -96,7 +112,7 @@ def test_failures(spark):
 
 
 def test_dataset_problems_of_a_sound_set(spark):
-    asked = spark.createDataFrame([("Q1", "general", False, 1, ["/a"], ["long"]), ("Q2", "permission_test", True, 1, [], [])], "question_id string, category string, should_refuse boolean, user_access_level int, expected_sources array<string>, expected_answer_keywords array<string>")
+    asked = spark.createDataFrame([("Q001", "general", False, 1, ["/a"], ["long"]), ("Q002", "permission_test", True, 1, [], [])], "question_id string, category string, should_refuse boolean, user_access_level int, expected_sources array<string>, expected_answer_keywords array<string>")
     corpus = spark.createDataFrame([("/a", "long " * 300)], "source_path string, content string")
     assert metrics.dataset_problems(asked, corpus, {"general": 1, "permission_test": 1}).count() == 0
 

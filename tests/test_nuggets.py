@@ -37,10 +37,30 @@ def test_freeze_notices_every_change(spark):
     old = spark.createDataFrame([(q, "r", "v1", [fact(f"{q}-1", quote="a\r\nb")]) for q in "abc"], schema)
     new = spark.createDataFrame([("a", "r", "v1", [fact("a-1", quote="a\nb")]), ("b", "r", "v1", [fact("b-1", quote="other")]), ("d", "r", "v1", [fact("d-1")])], schema)
     assert rows(ng.check_freeze(ng.freeze(old), new)) == [("b", "changed"), ("c", "missing"), ("d", "added")]
+    assert rows(ng.refused_freezes(ng.freeze(old), new), "state") == [("added",), ("changed",), ("missing",)]
+    assert ng.refused_freezes(ng.freeze(old), new.withColumn("version", F.lit("later"))).count() == 0
+    (head,) = ng.freeze_head(old).collect()
+    assert head.rows == old.count() and head.frozen_at is not None
     assert ng.freeze_versions(old).first() == (1, True)
     assert ng.freeze_versions(old.withColumn("version", F.lit(""))).first() == (1, False)
 
 
+def test_freeze_sees_borders_nulls_and_every_field(spark):
+    kind = "qid string, rule_id string, question string, version string, reviewed_by string, excluded array<struct<text:string,why:string>>, nuggets array<struct<nid:string,text:string,importance:string,quote:string,keywords:array<string>>>"
+
+    def fact(nid="n", text="t", keywords=("a", "b")):
+        return [(nid, text, "vital", "q", list(keywords))]
+
+    variants = [
+        ("q", "r", "w", "v", "me", None, fact()), ("q", "r", "other", "v", "me", None, fact()), ("q", "r", "w", "v", None, None, fact()), ("q", "r", "w", "v", "me", [("x", "y")], fact()),
+        ("q", "r", "w", "v", "me", None, fact(keywords=["a,b"])), ("q", "r", "w", "v", "me", None, fact(nid=None, text="nt")), ("q", "r", "w", "v", "me", None, fact(nid="nt", text=None)),
+    ]
+    hashes = [ng.freeze(spark.createDataFrame([v], kind)).first().sha256 for v in variants]
+    assert len(set(hashes)) == len(variants)
+    lines = [ng.freeze(spark.createDataFrame([("q", "r", t, "v", "me", None, fact())], kind)).first().sha256 for t in ("a\r\nb", "a\nb", "a\rb")]
+    assert len(set(lines)) == 1
+
+
 @pytest.mark.parametrize("reply,want", [
     ('{"a": 1}', '{"a": 1}'), ('```json\n{"a": 1}\n```', '{"a": 1}'), ('x {"a": [1]} y', '{"a": [1]}'), ("see [1] and {\"a\": 2}", '{"a": 2}'), ("see [1]", "[1]"),
     ("{broken [2]", "[2]"), ("nothing", None), ("", None), (None, None), ("```\nno\n``` [3]", "[3]"), ('["x", {"b": 1}] tail', '{"b": 1}'), ("7", "7"),

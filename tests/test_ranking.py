@@ -68,6 +68,17 @@ def test_question_without_tokens_has_no_sparse_leg(spark):
     assert rows(ranking.nearest_chunks(q, c, 5), "leg") == [("dense",)]
 
 
+def test_one_odd_vector_hides_no_other_and_unknown_levels_are_barred(spark, monkeypatch):
+    q = spark.createDataFrame([("q", 2, [1.0, 0.0], [(1, 1.0)]), ("null level", None, [1.0, 0.0], [(1, 1.0)])], QUESTION)
+    chunks = [("a", 0, 1, [1.0, 0.0], [(1, 1.0)]), ("b", 0, 1, [0.5, 0.5], [(1, 0.5)]), ("long", 0, 1, [1.0, 0.0, 0.0], []), ("none", 0, 1, None, None), ("nan", 0, 1, [float("nan"), 1.0], []), ("secret", 0, None, [1.0, 0.0], [(1, 1.0)])]
+    c = spark.createDataFrame(chunks, CHUNK).coalesce(1)
+    want = [("dense", "q", "a"), ("dense", "q", "b"), ("sparse", "q", "a"), ("sparse", "q", "b")]
+    for step in (2048, 2, 1):
+        monkeypatch.setattr(ranking, "CHUNKS_PER_STEP", step)
+        assert rows(ranking.nearest_chunks(q, c, 5), "leg", "question_id", "document_id") == want
+    assert rows(ranking.odd_vectors(q, c), "document_id", "length") == [("long", 3), ("nan", 2), ("none", -1)]
+
+
 def test_fusion(spark):
     legs = spark.createDataFrame(
         [("dense", "q", "a", 0, 1), ("dense", "q", "b", 0, 2), ("sparse", "q", "b", 0, 1), ("sparse", "q", "c", 0, 2)],
