@@ -12,9 +12,9 @@ from one hash function. Texts with equal sets are one class and go on as one nod
    filter), so only these go into inverted lists. A value of a passage that a third of all
    texts hold stands last in that order and enters a list only for texts made of little else.
 3. In each list every node meets one pivot, its most typical member; each node keeps the
-   pivot it meets in most lists. Sizes, then the similarity estimated on the sketch of the
-   union, then the exact similarity of the full sets decide. This joins nearly all of a large
-   group with one pair per node.
+   pivot it meets in most lists. Sizes and what the two can still share from that value on,
+   then the similarity estimated on the sketch of the union, then the exact similarity of
+   the full sets decide. This joins nearly all of a large group with one pair per node.
 4. In lists that still hold several components, all pairs from different components are
    confirmed in the same way. Pairs within a component would change nothing.
 
@@ -85,7 +85,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _lists(sets: DataFrame, wide: int) -> DataFrame:
-    """The inverted lists: ``value``, ``node``, ``n`` and how ``typical`` the node is (mean number of nodes that hold its values)."""
+    """The inverted lists: ``value``, ``node``, its size ``n``, how ``typical`` it is (mean number of nodes that hold its values), and how many values are left (``rest``) from this one on."""
     values = sets.select("node", "n", F.explode(F.slice("shingles", 1, wide)).alias("value"))
     held = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     rows = values.join(held, "value")
@@ -94,11 +94,20 @@ def _lists(sets: DataFrame, wide: int) -> DataFrame:
     ranked = rows.withColumn("rank", F.row_number().over(of_node.orderBy("df", "value"))).withColumn("met", F.count("*").over(of_node)).withColumn("typical", F.sum("df").over(of_node) / size)
     # Values that no other node holds come first in the order but make no list.
     first = size - _shared_at_least(F.col("n"), wide) + 1
-    return ranked.filter(F.col("rank") <= first - (size - F.col("met"))).select("value", "node", "n", "typical")
+    return ranked.filter(F.col("rank") <= first - (size - F.col("met"))).select("value", "node", "n", "typical", (F.col("met") - F.col("rank") + 1).alias("rest"))
 
 
-def _similar_sizes(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
+def _may_be_linked(n: Column, rest: Column, m: Column, others: Column, wide: int) -> Column:
+    """Whether two nodes that meet in a list can be linked.
+
+    Their sizes must be similar, and if the list's value is the first they share in the
+    order, they share at most what is left of either from there on. Linked nodes pass in
+    the list of their first shared value, so none is lost.
+    """
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    most = F.least(rest, others)
+    whole = most * 100 >= (n + m - most) * PERCENT
+    return sizes & F.when(F.greatest(n, m) <= wide, whole).otherwise(most >= F.greatest(_shared_at_least(n, wide), _shared_at_least(m, wide)))
 
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int) -> DataFrame:
@@ -126,29 +135,29 @@ def _unsigned(values: Column) -> Column:
     return F.transform(values, lambda x: x.bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
 
 
-def _star_pairs(lists: DataFrame) -> DataFrame:
+def _star_pairs(lists: DataFrame, wide: int) -> DataFrame:
     """Each node with the pivot it meets in most lists."""
-    pivots = lists.groupBy("value").agg(F.max(F.struct("typical", F.negative("node").alias("least"), "n")).alias("p"))
-    met = lists.join(pivots, "value").select("node", (-F.col("p.least")).alias("pivot"), "n", F.col("p.n").alias("m"))
-    counted = met.filter((F.col("node") != F.col("pivot")) & _similar_sizes(F.col("n"), F.col("m"))).groupBy("node", "pivot").agg(F.count("*").alias("times"))
+    pivots = lists.groupBy("value").agg(F.max(F.struct("typical", F.negative("node").alias("least"), "n", "rest")).alias("p"))
+    met = lists.join(pivots, "value").select("node", (-F.col("p.least")).alias("pivot"), _may_be_linked(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest"), wide).alias("possible"))
+    counted = met.filter((F.col("node") != F.col("pivot")) & F.col("possible")).groupBy("node", "pivot").agg(F.count("*").alias("times"))
     best = counted.groupBy("node").agg(F.max(F.struct("times", F.negative("pivot").alias("least"))).alias("p"))
     return best.select(F.least("node", -F.col("p.least")).alias("a"), F.greatest("node", -F.col("p.least")).alias("b")).distinct()
 
 
-def _cross_pairs(lists: DataFrame, known: DataFrame) -> DataFrame:
+def _cross_pairs(lists: DataFrame, known: DataFrame, wide: int) -> DataFrame:
     """All pairs of a list from different components: rows outside the list's largest component against the rest."""
-    rows = lists.join(known, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("component"))
+    rows = lists.join(known, "node", "left").select("value", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
     counts = rows.groupBy("value", "component").agg(F.count("*").alias("size"))
     mains = counts.groupBy("value").agg(F.max(F.struct("size", "component")).alias("p"), F.count("*").alias("several")).filter("several > 1").select("value", F.col("p.component").alias("main"))
     live = rows.join(mains, "value")
     a, b = live.filter("component <> main").alias("a"), live.alias("b")
     # Two rows outside the largest component meet once.
     once = (F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    pairs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.component") != F.col("b.component")) & once & _similar_sizes(F.col("a.n"), F.col("b.n")))
+    pairs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.component") != F.col("b.component")) & once & _may_be_linked(F.col("a.n"), F.col("a.rest"), F.col("b.n"), F.col("b.rest"), wide))
     return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
-def linked(docs: DataFrame, k: int = 32, wide: int = 256) -> DataFrame:
+def linked(docs: DataFrame, k: int = 32, wide: int = 1_024) -> DataFrame:
     """``doc_id``, ``version`` of the text, ``n_shingles``, ``component_id`` and whether the document is ``kept``."""
     own = written(_sketches(docs, k), "sketches")
     named = own.filter(F.col("doc_id").isNotNull())
@@ -163,9 +172,9 @@ def linked(docs: DataFrame, k: int = 32, wide: int = 256) -> DataFrame:
     sets = written(_sets(docs, hopeful), "sets")
     lists = written(_lists(sets, wide), "lists")
 
-    links = written(_confirmed(_star_pairs(lists), hopeful, sets, k), "links")
+    links = written(_confirmed(_star_pairs(lists, wide), hopeful, sets, k), "links")
     joined = components(links)
-    more = written(_confirmed(_cross_pairs(lists, joined), hopeful, sets, k), "links")
+    more = written(_confirmed(_cross_pairs(lists, joined, wide), hopeful, sets, k), "links")
 
     # A document with several texts stands in several classes.
     of_class = named.join(classes.select("s1", "s2", "node"), ["s1", "s2"], "left").select("doc_id", "version", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node"))
