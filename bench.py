@@ -18,6 +18,7 @@ HEADLINE = [
     "s3_change_detection", "a1_folder_match", "v1_chunk_text", "v5_sparse_vector", "x1_generation_switch", "x7_access_propagation",
     "r1_dense_top_k", "r2_sparse_top_k", "r6_hybrid_retrieve", "h5_resolved_sources", "m7_percentile", "m13_question_evaluation",
     "n15_question_score", "n21_compare", "s9_merged_range_fill", "st2_settle_debounce", "st3_login_lockout",
+    "n2_nugget_validation", "n24_worst_questions", "m18_rerank_on_off", "m19_dataset_checks", "x1_staged_generation",
 ]
 
 
