@@ -420,6 +420,25 @@ def n10(i: Inputs) -> DataFrame:
     return nuggets.judge_prompts(inputs)
 
 
+@query(
+    "n10_judge_messages",
+    """SELECT qid, run, 2 AS sent, 4 AS sent_again, 'あなたは社内規程の回答を採点する厳密な判定役です。JSON だけを返します。' AS first,
+         '形式が正しくありません（' || qid || '）。指定した JSON だけを、もう一度返してください。' AS last, text || run AS reply
+       FROM runs WHERE qid IN (SELECT qid FROM facts)""",
+    ("runs", "facts"),
+)
+def n10_messages(i: Inputs) -> DataFrame:
+    s = Scores(i)
+    inputs = s.runs.select("qid", "run", F.col("text").alias("body"), "answer").join(s.facts.select("qid", "question", "nuggets"), "qid")
+    replies = s.runs.select("qid", "run", F.concat("text", "run").alias("reply"))
+    both = nuggets.judge_messages(inputs).join(replies, ["qid", "run"])
+    again = nuggets.retry_messages(F.col("label_messages"), F.col("reply"), F.col("qid"))
+    return both.withColumn("again", again).select(
+        "qid", "run", F.size("fact_messages").alias("sent"), F.size("again").alias("sent_again"), F.col("fact_messages")[0]["content"].alias("first"),
+        F.col("again")[3]["content"].alias("last"), F.col("again")[2]["content"].alias("reply"),
+    )
+
+
 @query(
     "n11_judge_inputs",
     """SELECT u.qid, u.run, f.rule_id, CASE WHEN u.doc_id % 2 = 0 THEN 'About ' || u.qid || '?' ELSE 'From file' END AS question, length(u.text) AS body_chars

@@ -150,22 +150,26 @@ def audit_rows(questions: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def _page(rows: DataFrame, key: str, limit: int, offset: int) -> DataFrame:
+def _page(rows: DataFrame, key: str, limit: int, offset: int, before: int | None) -> DataFrame:
+    """A page counted from the newest, or the one after id ``before``: its cost does not grow with its depth."""
     if not 1 <= limit <= PAGE_MAX or offset < 0:
         raise ValueError(f"limit must be 1..{PAGE_MAX} and offset at least 0")
-    return rows.orderBy(F.desc(key)).offset(offset).limit(limit)
+    if before is not None:
+        rows = rows.filter(F.col(key) < before)
+    newest = rows.orderBy(F.desc(key))
+    return (newest.offset(offset) if offset else newest).limit(limit)
 
 
-def audit_page(logs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+def audit_page(logs: DataFrame, limit: int = 50, offset: int = 0, before: int | None = None) -> DataFrame:
     """A page of the audit log, newest id first; unreadable chunk lists read as empty."""
-    page = _page(logs.drop("answer"), "id", limit, offset)
+    page = _page(logs.drop("answer"), "id", limit, offset, before)
     empty = F.array().cast(CHUNKS_TYPE)
     return page.withColumn("retrieved_chunks", F.coalesce(F.from_json("retrieved_chunks", CHUNKS_TYPE), empty))
 
 
-def event_page(events: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+def event_page(events: DataFrame, limit: int = 50, offset: int = 0, before: int | None = None) -> DataFrame:
     """A page of admin events, newest id first; unreadable or missing details read as empty."""
-    return _page(events, "id", limit, offset).withColumn("detail", read_detail(F.col("detail")))
+    return _page(events, "id", limit, offset, before).withColumn("detail", read_detail(F.col("detail")))
 
 
 def read_detail(detail: Column) -> Column:

@@ -473,6 +473,27 @@ def judge_prompts(inputs: DataFrame) -> DataFrame:
     )
 
 
+# Who the judge is told to be, and how it is asked again.
+JUDGE_ROLE = "あなたは社内規程の回答を採点する厳密な判定役です。JSON だけを返します。"
+ASK_AGAIN = "形式が正しくありません（%s）。指定した JSON だけを、もう一度返してください。"
+
+
+def _message(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+
+def judge_messages(inputs: DataFrame) -> DataFrame:
+    """What is sent to a judge for both calls: (qid, run) with arrays of role and content."""
+    head = _message("system", F.lit(JUDGE_ROLE))
+    calls = [F.array(head, _message("user", F.col(f"{call}_prompt"))).alias(f"{call}_messages") for call in ("label", "fact")]
+    return judge_prompts(inputs).select("qid", "run", *calls)
+
+
+def retry_messages(messages: Column, reply: Column, error: Column) -> Column:
+    """The second and last try: the first one, its reply, and what was wrong with it."""
+    return F.concat(messages, F.array(_message("assistant", reply), _message("user", F.format_string(ASK_AGAIN, error))))
+
+
 # ---- scores ---------------------------------------------------------------------
 
 

@@ -83,7 +83,16 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder, for results that several later steps read."""
     path = f"{shared_dir(df.sparkSession)}/gatelight-saved/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.saved_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table made by :func:`saved`, once nothing reads it any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _shipped: set[str] = set()

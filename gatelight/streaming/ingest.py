@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gatelight.operators.access import GONE, classify
 from gatelight.operators.chunking import chunk_counts, chunk_text
 from gatelight.operators.registry import document_id, supported_files
-from gatelight.session import saved
+from gatelight.session import discard, saved
 from gatelight.sources.tables import append_batch, read_log
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp, kind string, source_path string, old_path string, content string"
@@ -118,6 +118,7 @@ def apply_batch(events: DataFrame, batch: int, base: str, folders: DataFrame) ->
         F.lit("deleted").alias("status"), F.col("_version").alias("index_version"), F.lit(0).cast("bigint").alias("chunk_count"),
     )
     append_batch(done.unionByName(removed), f"{base}/registry", batch)
+    discard(todo)
 
 
 def start_ingest(events: DataFrame, base: str, folders: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:

@@ -1,8 +1,10 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from gatelight import session
 from gatelight.operators import cells, history
 from gatelight.sources import files, tables
 from tests.conftest import rows
@@ -122,6 +124,28 @@ def test_corpus_scan_and_decoding(spark, tmp_path):
     assert all(p.startswith(str(tmp_path)) for p in paths)
 
 
+def test_pages_by_key_follow_each_other(spark):
+    logs = spark.createDataFrame([(n, "q", "[]") for n in range(1, 8)], "id long, question string, retrieved_chunks string")
+    first = [r.id for r in history.audit_page(logs, 3).collect()]
+    second = [r.id for r in history.audit_page(logs, 3, before=first[-1]).collect()]
+    assert (first, second) == ([7, 6, 5], [4, 3, 2])
+
+
+def test_saved_tables_can_be_discarded(spark):
+    table = session.saved(spark.range(5))
+    assert table.count() == 5 and os.path.isdir(table.saved_at.removeprefix("file://"))
+    session.discard(table)
+    assert not os.path.exists(table.saved_at.removeprefix("file://"))
+
+
+def test_an_unreadable_table_is_no_empty_table(spark, tmp_path):
+    assert tables.versions(spark, str(tmp_path / "none")) == []
+    (tmp_path / "log").mkdir()
+    spark.range(3).write.parquet(str(tmp_path / "log" / "batch=1"))
+    with pytest.raises(Exception):
+        tables.read_log(spark, str(tmp_path / "log"), "id array<string>").collect()
+
+
 def test_json_lines_answers_and_rules(spark, tmp_path):
     (tmp_path / "run1.jsonl").write_text('{"id": "1", "text": "a"}\n\n{"qid": "2", "answer": "b", "run": "other"}\n{"id": "3"}\nnot json\n[1]\n{"id": "4", "text": "c"} tail\n', encoding="utf-8")
     (tmp_path / "run2.jsonl").write_text('{"id": "1", "text": "a"}\n{"id": "1", "text": "b"}\n', encoding="utf-8")
