@@ -7,9 +7,13 @@ strings and one of ordinary identifiers; where the log-likelihood ratio is at le
 
 ``train`` counts character pairs of labelled samples, at most 2 x 129 x 128 rows after
 grouping, and turns them into one table of log ratios in thousandths of a nat. Samples come
-from ``labelled_samples``: values the patterns find (random) and words or numbers alone
-(ordinary) in about ``documents`` rows chosen by a hash of the id, and generated base64
-digests (random).
+from ``labelled_samples``, for the larger part of about ``documents`` rows chosen by a hash
+of the id. Random are the values the patterns find, and generated digests in both base64
+alphabets. Ordinary is every other token that is not plainly random (more than a third of its
+steps change between letters, digits and case), and compounds of words and numbers (hyphens,
+paths, options, camel case, dates): three words of the text each, and from a fixed list, as
+few texts hold such tokens themselves. Repeated characters and signs side by side never count
+as random.
 
 Places count code points, ends are exclusive. Null and empty texts have no spans. Texts are
 read whole, repeated rows give equal rows, ids may be null or repeat; other columns are not
@@ -18,6 +22,7 @@ read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -34,7 +39,28 @@ HEX = r"[0-9a-f]{24,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 LEAST_ASSIGNED, LEAST_ACCESS = 6, 20
 
+# A step of a token that changes between letters and digits, or to upper case.
+_CHANGE = r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])"
+# Words of identifiers, paths and titles, for compounds where texts have few.
+_WORDS = (
+    "the and for with from that this are was not you all have new more one some about long short title here there known well tested very good best first last next time year day world people news story page "
+    "get set put add user users name names id by to of in on at is has label labels value values key keys index count total size length type types list map table row rows column file files path folder home usr var etc lib local share bin "
+    "org com net apache spark sql functions function class method module package python java script source sources test tests main build target config configuration settings option options default data base database query queries schema "
+    "server client service request response session cache log logs error errors message messages event events job task worker queue thread process system network host port address http https api version release update final draft "
+    "profile image images video media content document documents report reports summary chapter section article post posts blog archive index home product products order orders item items customer account invoice number code state status "
+    "left right top bottom start end begin open close read write load save create delete remove insert select find search sort merge split join group filter transform convert parse format string text word words line lines char byte "
+    "north south east west prod dev stage staging zone region cluster node nodes pod volume disk memory core micro small large max min avg sum mean rate limit step batch stream window model train learning deep vector tree graph "
+    "quick brown fox jumps over lazy dog school house water light green black white state government business company market money health music paper book books question answer example example project team review change development"
+).split()
+# Forms of compounds of three words.
+_FORMS = (
+    "{a}-{b}-{c}", "{a}_{b}_{c}", "{a}/{b}/{c}", "{a}{B}{C}", "{a}{B}", "{A}{B}{C}", "{A}{B}{digit}{C}", "{a}{B}{digit}{C}", "{A}{B}", "{a}{U}{B}", "{A}{U}{digit}{B}", "{a}{B}{C}{year}", "/{a}/{b}_{c}/", "--{a}-{b}={c}", "{a}={year}/{b}={day}", "/{year}/{month}/{day}/{a}-{b}",
+    "{year}-{month}-{day}-{a}-{b}", "{a}_{b}_{year}_{c}", "{a}_{year}_{month}{day}", "{a}{digit}-{b}-v{day}-{c}", "{digit}{a}/{b}{day}", "{day}-{digit}-{year}-{month}-{year}", "{year}{month}{day}/{year}{month}{day}",
+    "{a}+{b}+{year}+{c}", "=={A}=={b}==", "_{a}__{b}/{C}-{digit}",
+)
+
 _CHARS = 128
+_MOST = 4.0  # nats that a single step may speak for randomness
 _START = 128  # row of the table for the first character
 
 
@@ -86,7 +112,7 @@ def _codes(token: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame, documents: int = 20_000, generated: int = 2_000) -> DataFrame:
-    """``token`` and ``is_random`` for training."""
+    """``token`` and ``is_random`` for training; ``generated`` digests and as many compounds of listed words."""
     own = id_and_text(docs)
     every = max(1, -(-own.select("doc_id").count() // documents))
     texts = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
@@ -96,10 +122,45 @@ def labelled_samples(docs: DataFrame, documents: int = 20_000, generated: int =
         F.expr(f"regexp_extract_all(text, {_literal(HEX)}, 0)"),
     )
     found = texts.select(F.explode(hits).alias("token")).filter(F.char_length("token") >= 12).withColumn("is_random", F.lit(True))
-    plain = texts.select(F.explode(F.expr(f"regexp_extract_all(text, {_literal('[A-Za-z0-9+/_=-]{8,}')}, 0)")).alias("token"))
-    plain = plain.filter(F.col("token").rlike("^([A-Za-z_]+|[0-9]+)$")).withColumn("is_random", F.lit(False))
-    made = docs.sparkSession.range(generated).select(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))).alias("token"), F.lit(True).alias("is_random"))
-    return found.unionByName(plain).unionByName(made)
+    # What no base pattern hits.
+    rest = texts.select(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ").alias("text"))
+    plain = rest.select(F.explode(F.expr(f"regexp_extract_all(text, {_literal('[A-Za-z0-9+/_=-]{8,}')}, 0)")).alias("token"))
+    plain = plain.filter(~_plainly_random(F.col("token")))
+    words = rest.select(F.expr("regexp_extract_all(text, '[A-Za-z]{2,}', 0)").alias("words"))
+    # Three of every twelve words, so that compounds and words of the text weigh about the same.
+    starts = F.when(F.size("words") >= 3, F.sequence(F.lit(0), F.size("words") - 3, F.lit(12)))
+    of_texts = words.select(F.explode(F.transform(starts, lambda i: F.struct(*[F.get("words", i + j).alias(w) for j, w in enumerate("abc")]))).alias("w"))
+
+    ids = docs.sparkSession.range(generated)
+    listed = F.from_json(F.lit(json.dumps(_WORDS)), "array<string>")
+    of_list = ids.select(*[F.get(listed, F.pmod(F.xxhash64("id", F.lit(j)), F.lit(len(_WORDS))).cast("int")).alias(w) for j, w in enumerate("abc")])
+    compounds = _compounds(of_texts.select("w.*").unionByName(of_list))
+    ordinary = plain.unionByName(compounds).withColumn("is_random", F.lit(False))
+    digest = F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256)))
+    made = ids.select(F.when(F.col("id") % 2 == 0, digest).otherwise(F.translate(digest, "+/", "-_")).alias("token"), F.lit(True).alias("is_random"))
+    return found.unionByName(ordinary).unionByName(made)
+
+
+def _plainly_random(token: Column) -> Column:
+    """Whether more than a third of the steps change between letters, digits and case."""
+    return 3 * F.size(F.split(token, _CHANGE, -1)) - 3 > F.char_length(token)
+
+
+def _compounds(words: DataFrame) -> DataFrame:
+    """The three words ``a``, ``b``, ``c`` of each row as one ``token``, in a form and with numbers chosen by their hash."""
+    turn = F.xxhash64("a", "b", "c")
+    number = F.pmod(F.shiftright("turn", 8), F.lit(9000)).cast("int")
+    form = F.get(F.from_json(F.lit(json.dumps(_FORMS)), "array<string>"), F.pmod("turn", F.lit(len(_FORMS))).cast("int"))
+    two = lambda n: F.lpad((number % n + 1).cast("string"), 2, "0")
+    parts = {"{year}": (1000 + number).cast("string"), "{month}": two(12), "{day}": two(31), "{digit}": (number % 10).cast("string")}
+    parts["{U}"] = F.upper(F.substring("c", 1, 4))
+    for w in "abc":
+        parts |= {f"{{{w}}}": F.lower(w), f"{{{w.upper()}}}": F.initcap(w)}
+    token = F.col("token")
+    for name, value in parts.items():
+        token = F.replace(token, F.lit(name), value)
+    made = words.withColumn("turn", turn).withColumn("token", form)
+    return made.select(F.when(F.pmod("turn", F.lit(7)) == 0, F.upper(token)).otherwise(token).alias("token"))
 
 
 def _literal(pattern: str) -> str:
@@ -124,15 +185,26 @@ def train(samples: DataFrame) -> list[int]:
         return [[math.log((row[b] + 20 * base[b]) / (sum(row) + 20)) for b in range(_CHARS)] for row in table]
 
     random, ordinary = logs(counts[True]), logs(counts[False])
-    return [round(1000 * (x - y)) for r, o in zip(random, ordinary) for x, y in zip(r, o)]
+    return [round(1000 * min(x - y, _MOST)) for r, o in zip(random, ordinary) for x, y in zip(r, o)]
+
+
+def _is_sign(code: Column) -> Column:
+    return code.isin(*map(ord, "+/_=-"))
 
 
 def _ratio(token: Column, table: Column) -> Column:
     """The log-likelihood ratio of a token, in thousandths."""
     start = F.struct(F.lit(_START).alias("last"), F.lit(0).cast("long").alias("sum"))
+
+    def step(s: Column, c: Column) -> Column:
+        ratio = F.get(table, s["last"] * _CHARS + c)
+        # However long a run of one character or a rule of signs is, it does not add up to a secret.
+        plain = (c == s["last"]) | (_is_sign(c) & _is_sign(s["last"]))
+        return F.struct(c.alias("last"), (s["sum"] + F.when(plain, F.least(ratio, F.lit(0))).otherwise(ratio)).alias("sum"))
+
     return F.aggregate(
         _codes(token), start,
-        lambda s, c: F.when(c == 0, s).otherwise(F.struct(c.alias("last"), (s["sum"] + F.get(table, s["last"] * _CHARS + c)).alias("sum"))),
+        lambda s, c: F.when(c == 0, s).otherwise(step(s, c)),
         lambda s: s["sum"],
     )
 

@@ -98,3 +98,27 @@ def test_masking(spark, table):
 def test_plan_is_native(spark, table):
     plan = secret_scan.scan(documents(spark, [(1, "x")]), table)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+CLEAN = [
+    "well-known-and-well-tested", "org/apache/spark/sql/functions", "/2021/03/14/some-long-title-here", "user_profile_2024_final", "getUserById2AndLabel", "--dry-run-without-writing=false", "MAX_RETRY_COUNT_PER_HOST_2",
+    "=" * 40, "-" * 300, "_" * 16, "x" * 5000, "+----------+------+---------+", "=-=-=-=-=-=-=-=-=-=-", "2024-01-31/2024-02-29", "555-0123/555-0199", "/usr/local/lib/python3/site-packages/", "state-of-the-art-2023-review",
+    "kubectl-ctx-prod-eu-west-1", "com/example/myapp/MainActivity", "mp4-h264-1080p-60fps", "2021-03-14T10-22-33", "ISBN-978-3-16-148410-0", "HTTPServerRequestHandler",
+]
+
+
+def test_clean_tokens_have_no_span_and_secrets_do(spark, table):
+    import corpus_pipeline
+
+    random.seed(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    randoms = ["".join(random.choices(letters + signs, k=k)) for signs in ("+/", "-_") for k in (24, 40) for _ in range(25)]
+    docs = documents(spark, list(enumerate([f"see {t} here" for t in CLEAN + randoms])))
+    # Models of the given documents, and of these few texts alone.
+    for scores in (table, secret_scan.train(secret_scan.labelled_samples(docs.filter(f"doc_id < {len(CLEAN)}")))):
+        got = secret_scan.scan(docs, scores).select("row.doc_id", "text", "spans").collect()
+        assert [r.text for r in got if r.doc_id < len(CLEAN) and r.spans] == []
+        assert sum(any(s.kind == 3 for s in r.spans) for r in got if r.doc_id >= len(CLEAN)) >= 95
+    clean = docs.filter(f"doc_id < {len(CLEAN)}")
+    masked = {r.doc_id: r.text for r in corpus_pipeline.mask_secrets(spark, clean, SF).collect()}
+    assert masked == {r.doc_id: r.text for r in clean.collect()}
