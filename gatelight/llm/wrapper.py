@@ -1,12 +1,12 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host are taken in blocks of at most ``pages_per_block``. Every page is parsed
-into a tree of block elements; runs of like siblings count as one repeated node. The first
-page of a block is its pattern, and the trees of the others are aligned with it by simple
-tree matching: two nodes match when their tags do, and the children of matching nodes are
-aligned in order with the largest number of matches. A text that stays the same in a slot
-over different pages of the block is template; slots whose text varies may be content. The
-wrapper of the block is the deepest container that still holds nearly all varying text
+into a tree of block elements; runs of like siblings count as one repeated node. The trees
+of a block are merged into its pattern one by one, aligned by simple tree matching: two nodes
+match when their tags do, and the children of matching nodes are aligned in order with the
+largest number of matches; nodes without a match join the pattern as slots of their own. A
+text that different pages have in one slot, and at least three quarters of the pages that
+have the slot, is template; slots whose text varies may be content. The wrapper of the block is the deepest container that still holds nearly all varying text
 outside menus, headers, footers, sidebars, notices, adverts, forms and comments. Each page
 gives the blocks inside its own copy of that container.
 
@@ -26,6 +26,7 @@ other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -225,22 +226,45 @@ def _slots(root: Slot) -> Iterator[Slot]:
         yield from _slots(child)
 
 
+def _empty_copy(slot: Slot, aligned: dict[int, Slot]) -> Slot:
+    """A slot of a pattern for a page's slot, entered in ``aligned``."""
+    made = Slot(slot.tag, slot.names, False, [], "", [_empty_copy(c, aligned) for c in slot.children])
+    aligned[id(made)] = slot
+    return made
+
+
 class Wrapper:
     """What a block of pages has in common: its pattern, the template texts, and the content container."""
 
     def __init__(self, pages: list[Slot]) -> None:
-        self.pattern = pages[0]
-        self.aligned = [{id(a): b for a, b in match(self.pattern, page)[1]} for page in pages]
-        varying = {id(s): self._varies(s) for s in _slots(self.pattern)}
-        self.constant = {key for key, size in varying.items() if size == 0}
+        self.pattern = Slot(pages[0].tag, "", False, [], "")
+        self.aligned = [self._merged(page) for page in pages]
+        varying = {id(s): 0.0 for s in _slots(self.pattern)}
+        self.constant: dict[int, str] = {}
+        for slot in _slots(self.pattern):
+            have = [page[id(slot)] for page in self.aligned if id(slot) in page]
+            slot.apart = 2 * sum(h.apart for h in have) > len(have)
+            own, times = Counter(h.own for h in have).most_common(1)[0]
+            if times > 1 and 4 * times >= 3 * len(have):
+                self.constant[id(slot)] = own
+            # Mean size of what is no template text.
+            varying[id(slot)] = sum(len(h.own) for h in have if h.own != self.constant.get(id(slot))) / len(pages)
         self.root = self._container(self.pattern, varying)
 
-    def _varies(self, slot: Slot) -> float:
-        """Mean size of the slot's text over the block's pages; 0 for a template text."""
-        texts = [(page[id(slot)].own if id(slot) in page else "") for page in self.aligned]
-        if len(texts) > 1 and len(set(texts)) == 1:
-            return 0.0
-        return sum(map(len, texts)) / len(texts)
+    def _merged(self, page: Slot) -> dict[int, Slot]:
+        """Adds a page's tree to the pattern; the page's slots by the pattern's."""
+        pairs = match(self.pattern, page)[1]
+        partner = {id(b): a for a, b in pairs}
+        aligned = {id(a): b for a, b in pairs}
+        for a, b in pairs:
+            at = 0
+            for child in b.children:
+                if id(child) in partner:
+                    at = next(i for i, c in enumerate(a.children) if c is partner[id(child)]) + 1
+                else:
+                    a.children.insert(at, _empty_copy(child, aligned))
+                    at += 1
+        return aligned
 
     def _mass(self, slot: Slot, varying: dict[int, float]) -> float:
         if slot.apart:
@@ -263,7 +287,8 @@ class Wrapper:
         page = self.aligned[number].get(id(self.root))
         blocks: list[str] = []
         if page is not None:
-            template = {id(n) for key in self.constant if key in self.aligned[number] for n in self.aligned[number][key].nodes}
+            slots = self.aligned[number]
+            template = {id(n) for key, own in self.constant.items() if key in slots and slots[key].own == own for n in slots[key].nodes}
             for node in page.nodes:
                 _blocks(node, template, blocks)
         return "\n".join(blocks)

@@ -27,6 +27,23 @@ def test_template_is_told_by_alignment():
     assert wrapper.texts_of_block(pages) == ["\n".join(b) for b in bodies]
 
 
+def test_first_page_null_or_of_another_layout():
+    bodies = [[f"text {i} {j} " + "river stone " * (3 + i) for j in range(1 + i % 3)] for i in range(12)]
+    bodies = [[p.strip() for p in b] for b in bodies]
+    pages = [_page(i, "".join(f"<p>{p}</p>" for p in b)) for i, b in enumerate(bodies)]
+    wanted = ["\n".join(b) for b in bodies]
+    index = "<body><div class='top'>Daily Post</div><ul><li>One<li>Two</ul><div>Page not found</div></body>"
+    for first in (None, "", "<p>", index):
+        assert wrapper.texts_of_block([first, *pages])[1:] == wanted, first
+
+
+def test_banner_on_some_pages():
+    bodies = [f"text {i} " + "river stone " * (3 + i) for i in range(12)]
+    banner = "<div>The Daily Post moves to another place in May</div>"
+    pages = [f"<body><div>{banner if i % 3 else ''}<p>{b}</p></div></body>" for i, b in enumerate(bodies)]
+    assert wrapper.texts_of_block(pages) == [b.strip() for b in bodies]
+
+
 def test_simple_tree_matching_counts():
     a = wrapper.slot_of(wrapper.parse("<div><p>x</p><ul><li>1</ul><h2>t</h2></div>"))
     b = wrapper.slot_of(wrapper.parse("<div><h2>t</h2><p>y</p><p>z</p><ul><li>1<li>2</ul></div>"))
