@@ -1,6 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are taken in blocks of at most ``pages_per_block``. Every page is parsed
+Pages of one host are taken in blocks of at most ``pages_per_block``; the last two blocks
+share their pages evenly, so that no block is short unless the host (or its part) is. Every page is parsed
 into a tree of block elements; runs of like siblings count as one repeated node. The trees
 of a block are merged into its pattern one by one, aligned by simple tree matching: two nodes
 match when their tags do, and the children of matching nodes are aligned in order with the
@@ -15,7 +16,7 @@ without the container is treated as if it were alone.
 
 Hosts with more than a thousandth of all pages (and more than a block) are split over
 several tasks; there can be at most a thousand such hosts, so their list is broadcast.
-Within a task pages stream by in host order and only one block is held. All pages are
+Within a task pages stream by in host order and at most two blocks are held. All pages are
 parsed whole.
 
 Null and empty pages give the empty text; pages without a URL or host share one group.
@@ -343,15 +344,25 @@ def extract(pages: DataFrame, pages_per_block: int = 64, most_hot: int = 1_000)
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         group = None
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            # The last two blocks share their pages evenly.
+            half = len(held) if len(held) <= pages_per_block else -(-len(held) // 2)
+            for at in range(0, len(held), half):
+                yield _extracted(held[at : at + half])
+            held.clear()
+
         for batch in slices(batches, 64, "html", 8 << 20):
             for host, part, page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "page_id", "url", "html"))):
-                if held and ((host, part) != group or len(held) == pages_per_block):
-                    yield _extracted(held)
-                    held = []
+                if held and (host, part) != group:
+                    yield from ended()
+                elif len(held) == 2 * pages_per_block:
+                    yield _extracted(held[:pages_per_block])
+                    del held[:pages_per_block]
                 group = (host, part)
                 held.append((page_id, url, html))
         if held:
-            yield _extracted(held)
+            yield from ended()
 
     return ordered.mapInArrow(work, EXTRACTED)
 

@@ -104,3 +104,12 @@ def test_hot_host_is_split(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = wrapper.extract(pages, pages_per_block=8, most_hot=10)
     assert sorted((r.page_id, r.text) for r in got.collect()) == [(i, f"page {i}") for i in range(400)]
+
+
+def test_tail_of_a_host_has_a_template(spark):
+    # One page more than a block holds, and than two, without semantic elements.
+    rows = [(i, f"http://h{n}.org/{i}", n, _page(i, f"<p>text {i} " + "stone " * (5 + i % 7) + "</p>")) for n in (8, 9, 16, 17, 65) for i in range(n)]
+    pages = spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "page_id long, url string, html string")
+    for size in (8, 64):
+        got = sorted((r.url, r.text) for r in wrapper.extract(pages, pages_per_block=size).collect())
+        assert got == sorted((url, f"text {i} " + " ".join(["stone"] * (5 + i % 7))) for i, url, _, _ in rows)
