@@ -48,6 +48,10 @@ class Tree:
         _, first, group = np.unique(rows, return_index=True, return_inverse=True)
         by = np.lexsort((ids, group.ravel()))
         self.all_ids, self.starts = ids[by], np.append(np.searchsorted(group.ravel()[by], np.arange(len(first))), len(ids))
+        # For each group its ids in order, as keys of group and number of the id.
+        self.known = np.unique(ids)
+        self.keys = group.ravel()[by] * len(self.known) + np.searchsorted(self.known, self.all_ids)
+        self.lone = self.all_ids[self.starts[:-1]] == self.all_ids[self.starts[1:] - 1]
         points = whole[first]
         order, self.vantage, self.bounds, self.leaves, self.paths = np.arange(len(points)), [], [], [], []
         todo = [(0, len(points), [])]
@@ -90,7 +94,7 @@ class Tree:
         m = len(queries)
         if not m or not len(self.points):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
-        # One slot more than k, for the query itself; fast squares decide with a margin, exact distances later.
+        # One slot more than k, as the query may stand among copies; fast squares decide with a margin, exact distances later.
         best, margin = np.full((m, k + 1), np.inf), 1e-9 * ((queries**2).sum(axis=1) + self.scale) + 1e-300
         limits, pairs, seen = self.bounds_of(queries), [], 0
         promising = limits.argmin(axis=1)
@@ -105,6 +109,9 @@ class Tree:
                     continue
                 squares = _squares(queries[some], self.points[low:high])
                 seen += squares.size
+                # A point with no other id than the query's own is no candidate.
+                held = self.place[low:high]
+                squares[self.lone[held] & (self.all_ids[self.starts[held]] == own_ids[some][:, None])] = np.inf
                 best[some] = np.partition(np.concatenate([best[some], squares], axis=1), k, axis=1)[:, : k + 1]
                 # The partition leaves the k + 1 smallest in front, the largest of them last.
                 near = squares <= (best[some, k] + margin[some])[:, None]
@@ -113,18 +120,25 @@ class Tree:
         q, x, squares = (np.concatenate([p[i] for p in pairs]) for i in range(3))
         keep = squares <= best[q, k] + margin[q]
         q, x = q[keep], self.place[x[keep]]
-        # Of copies only the smallest ids can be among the nearest.
-        counts = np.minimum(self.starts[x + 1] - self.starts[x], k + 1)
-        inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        ids, asked = self.all_ids[np.repeat(self.starts[x], counts) + inner], np.repeat(q, counts)
+        # Of copies only the smallest ids can be among the nearest, the query's own left out.
+        own_from, own_to = self._own_rows(x, own_ids[q])
+        counts = np.minimum(self.starts[x + 1] - self.starts[x] - (own_to - own_from), k)
+        at = np.repeat(self.starts[x], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at += np.where(at >= np.repeat(own_from, counts), np.repeat(own_to - own_from, counts), 0)
+        ids, asked = self.all_ids[at], np.repeat(q, counts)
         distance = np.repeat(_exact(queries[q], self.points_by_place(x)), counts)
-        other = ids != own_ids[asked]
-        asked, ids, distance = asked[other], ids[other], distance[other]
         order = np.lexsort((ids, distance, asked))
         asked, ids, distance = asked[order], ids[order], distance[order]
         rank = np.arange(len(asked)) - np.searchsorted(asked, asked)
         return asked[rank < k], ids[rank < k], distance[rank < k], seen
 
+    def _own_rows(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the rows with id ``own`` start and end in the group of each point ``x``."""
+        number = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        key = x * len(self.known) + number
+        start, end = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
+        return start, np.where(self.known[number] == own, end, start)
+
     def points_by_place(self, place: np.ndarray) -> np.ndarray:
         if not hasattr(self, "_back"):
             self._back = np.argsort(self.place)

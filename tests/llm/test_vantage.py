@@ -38,6 +38,16 @@ def test_hard_rows(spark):
     assert vantage.neighbours_of_every_hundredth(_table(spark, [(100, copy)])).count() == 0
 
 
+def test_repeated_query_rows_among_copies(spark):
+    rng = np.random.default_rng(8)
+    copy = [0.5, 1.0, -2.0]
+    rows = [(100, copy)] * 3 + [(1000 + i, copy) for i in range(40)] + [(i, rng.normal(size=3).round(1).tolist()) for i in range(1, 90)]
+    # An id with many vectors of its own around, and one that sorts between and after the copies.
+    rows += [(200, [0.5 + i / 64, 1.0, 4.0]) for i in range(15)] + [(1020, copy), (5000, copy), (5000, copy)]
+    got = sorted(map(tuple, vantage.nearest(_table(spark, rows), F.col("vec_id").isin(100, 200, 1020, 5000), k=10).collect()))
+    assert got == _brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], lambda i: i in (100, 200, 1020, 5000), 10)
+
+
 def test_pruning_and_recall():
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(40, 8)) * 5
