@@ -39,9 +39,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates."""
+    """One document, the one with the smallest id, of each group of near-duplicates: similarity of five-word shingles 0.8 or more."""
     ship_package(spark)
-    dropped = near_dup.linked(docs).filter(~F.col("kept")).select("doc_id").distinct()
+    dropped = near_dup.linked(docs, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 

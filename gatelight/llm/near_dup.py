@@ -41,7 +41,7 @@ from gatelight.llm.common import id_and_text, packed_longs, slices, texts_of, wr
 from gatelight.llm.graph import components
 from gatelight.llm.shingles import Shingles
 
-#: Links hold from this many hundredths of the union.
+#: Links hold from this many hundredths of the union, unless a caller asks for others.
 PERCENT = 85
 
 _SKETCH = "doc_id long, version long, n_shingles long, s1 long, s2 long, sketch array<long>"
@@ -62,11 +62,11 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
     return id_and_text(docs).withColumn("version", F.xxhash64("text")).mapInArrow(work, _SKETCH)
 
 
-def _shared_at_least(n: Column, k: int) -> Column:
+def _shared_at_least(n: Column, k: int, percent: int) -> Column:
     """How many of ``k`` retained values a set of ``n`` must share with any set it is linked to."""
-    p = PERCENT / 100
+    p = percent / 100
     most = max(1, int(np.floor(k * p - 6 * np.sqrt(k * p * (1 - p)))))
-    return F.least(F.floor((n * PERCENT + 99) / 100).cast("long"), F.lit(most).cast("long"))
+    return F.least(F.floor((n * percent + 99) / 100).cast("long"), F.lit(most).cast("long"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.select("node", "text").mapInArrow(work, _SET)
 
 
-def _lists(sets: DataFrame, wide: int) -> DataFrame:
+def _lists(sets: DataFrame, wide: int, percent: int) -> DataFrame:
     """The inverted lists: ``value``, ``node``, its size ``n``, how ``typical`` it is (mean number of nodes that hold its values), and how many values are left (``rest``) from this one on."""
     values = sets.select("node", "n", F.explode(F.slice("shingles", 1, wide)).alias("value"))
     held = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
@@ -93,24 +93,24 @@ def _lists(sets: DataFrame, wide: int) -> DataFrame:
     size = F.least(F.col("n"), F.lit(wide))
     ranked = rows.withColumn("rank", F.row_number().over(of_node.orderBy("df", "value"))).withColumn("met", F.count("*").over(of_node)).withColumn("typical", F.sum("df").over(of_node) / size)
     # Values that no other node holds come first in the order but make no list.
-    first = size - _shared_at_least(F.col("n"), wide) + 1
+    first = size - _shared_at_least(F.col("n"), wide, percent) + 1
     return ranked.filter(F.col("rank") <= first - (size - F.col("met"))).select("value", "node", "n", "typical", (F.col("met") - F.col("rank") + 1).alias("rest"))
 
 
-def _may_be_linked(n: Column, rest: Column, m: Column, others: Column, wide: int) -> Column:
+def _may_be_linked(n: Column, rest: Column, m: Column, others: Column, wide: int, percent: int) -> Column:
     """Whether two nodes that meet in a list can be linked.
 
     Their sizes must be similar, and if the list's value is the first they share in the
     order, they share at most what is left of either from there on. Linked nodes pass in
     the list of their first shared value, so none is lost.
     """
-    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
     most = F.least(rest, others)
-    whole = most * 100 >= (n + m - most) * PERCENT
-    return sizes & F.when(F.greatest(n, m) <= wide, whole).otherwise(most >= F.greatest(_shared_at_least(n, wide), _shared_at_least(m, wide)))
+    whole = most * 100 >= (n + m - most) * percent
+    return sizes & F.when(F.greatest(n, m) <= wide, whole).otherwise(most >= F.greatest(_shared_at_least(n, wide, percent), _shared_at_least(m, wide, percent)))
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (``a``, ``b``) those whose full sets are similar enough, after the estimate on the union's sketch."""
 
     def met(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
@@ -122,12 +122,12 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int) -
     common = F.array_intersect("sketch_a", "sketch_b")
     union = F.slice(F.array_sort(_unsigned(F.array_union("sketch_a", "sketch_b"))), 1, k)
     shared = F.size(F.array_intersect(union, _unsigned(common)))
-    sure = int(np.floor(k * PERCENT / 100 - 6 * np.sqrt(k * PERCENT / 100 * (1 - PERCENT / 100))))
+    sure = int(np.floor(k * percent / 100 - 6 * np.sqrt(k * percent / 100 * (1 - percent / 100))))
     # A union smaller than the sketch is known whole.
-    near = both.filter(F.when(F.size(union) < k, shared * 100 >= F.size(union) * PERCENT).otherwise(shared >= sure)).select("a", "b").distinct()
+    near = both.filter(F.when(F.size(union) < k, shared * 100 >= F.size(union) * percent).otherwise(shared >= sure)).select("a", "b").distinct()
     full = met(near, sets, ["n", "shingles"])
     inner = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return full.filter(inner * 100 >= (F.col("n_a") + F.col("n_b") - inner) * PERCENT).select("a", "b").distinct()
+    return full.filter(inner * 100 >= (F.col("n_a") + F.col("n_b") - inner) * percent).select("a", "b").distinct()
 
 
 def _unsigned(values: Column) -> Column:
@@ -135,16 +135,16 @@ def _unsigned(values: Column) -> Column:
     return F.transform(values, lambda x: x.bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
 
 
-def _star_pairs(lists: DataFrame, wide: int) -> DataFrame:
+def _star_pairs(lists: DataFrame, wide: int, percent: int) -> DataFrame:
     """Each node with the pivot it meets in most lists."""
     pivots = lists.groupBy("value").agg(F.max(F.struct("typical", F.negative("node").alias("least"), "n", "rest")).alias("p"))
-    met = lists.join(pivots, "value").select("node", (-F.col("p.least")).alias("pivot"), _may_be_linked(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest"), wide).alias("possible"))
+    met = lists.join(pivots, "value").select("node", (-F.col("p.least")).alias("pivot"), _may_be_linked(F.col("n"), F.col("rest"), F.col("p.n"), F.col("p.rest"), wide, percent).alias("possible"))
     counted = met.filter((F.col("node") != F.col("pivot")) & F.col("possible")).groupBy("node", "pivot").agg(F.count("*").alias("times"))
     best = counted.groupBy("node").agg(F.max(F.struct("times", F.negative("pivot").alias("least"))).alias("p"))
     return best.select(F.least("node", -F.col("p.least")).alias("a"), F.greatest("node", -F.col("p.least")).alias("b")).distinct()
 
 
-def _cross_pairs(lists: DataFrame, known: DataFrame, wide: int) -> DataFrame:
+def _cross_pairs(lists: DataFrame, known: DataFrame, wide: int, percent: int) -> DataFrame:
     """All pairs of a list from different components: rows outside the list's largest component against the rest."""
     rows = lists.join(known, "node", "left").select("value", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
     counts = rows.groupBy("value", "component").agg(F.count("*").alias("size"))
@@ -153,12 +153,12 @@ def _cross_pairs(lists: DataFrame, known: DataFrame, wide: int) -> DataFrame:
     a, b = live.filter("component <> main").alias("a"), live.alias("b")
     # Two rows outside the largest component meet once.
     once = (F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    pairs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.component") != F.col("b.component")) & once & _may_be_linked(F.col("a.n"), F.col("a.rest"), F.col("b.n"), F.col("b.rest"), wide))
+    pairs = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.component") != F.col("b.component")) & once & _may_be_linked(F.col("a.n"), F.col("a.rest"), F.col("b.n"), F.col("b.rest"), wide, percent))
     return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
-def linked(docs: DataFrame, k: int = 32, wide: int = 1_024) -> DataFrame:
-    """``doc_id``, ``version`` of the text, ``n_shingles``, ``component_id`` and whether the document is ``kept``."""
+def linked(docs: DataFrame, k: int = 32, wide: int = 1_024, percent: int = PERCENT) -> DataFrame:
+    """``doc_id``, ``version`` of the text, ``n_shingles``, ``component_id`` and whether the document is ``kept``; links hold from ``percent`` hundredths of the union."""
     own = written(_sketches(docs, k), "sketches")
     named = own.filter(F.col("doc_id").isNotNull())
     filled = named.filter("n_shingles > 0")
@@ -167,14 +167,14 @@ def linked(docs: DataFrame, k: int = 32, wide: int = 1_024) -> DataFrame:
     values = classes.select("node", F.explode("sketch").alias("value"))
     held = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
     shared = values.join(held, "value").groupBy("node").agg(F.count("*").alias("shared"))
-    hopeful = classes.join(shared, "node").filter(F.col("shared") >= _shared_at_least(F.col("n"), k)).select("node", "version", "sketch")
+    hopeful = classes.join(shared, "node").filter(F.col("shared") >= _shared_at_least(F.col("n"), k, percent)).select("node", "version", "sketch")
     hopeful = written(hopeful, "hopeful")
     sets = written(_sets(docs, hopeful), "sets")
-    lists = written(_lists(sets, wide), "lists")
+    lists = written(_lists(sets, wide, percent), "lists")
 
-    links = written(_confirmed(_star_pairs(lists, wide), hopeful, sets, k), "links")
+    links = written(_confirmed(_star_pairs(lists, wide, percent), hopeful, sets, k, percent), "links")
     joined = components(links)
-    more = written(_confirmed(_cross_pairs(lists, joined, wide), hopeful, sets, k), "links")
+    more = written(_confirmed(_cross_pairs(lists, joined, wide, percent), hopeful, sets, k, percent), "links")
 
     # A document with several texts stands in several classes.
     of_class = named.join(classes.select("s1", "s2", "node"), ["s1", "s2"], "left").select("doc_id", "version", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node"))

@@ -109,3 +109,39 @@ def test_components(spark):
 def test_copies_are_not_expanded(spark):
     docs = documents(spark, [(i, "the very same text that is here again and again " * 3) for i in range(500)])
     assert near_dup.components_of(docs).filter((F.col("component_id") == 0) & (F.col("kept") == (F.col("doc_id") == 0))).count() == 500
+
+
+def test_threshold_of_op7_and_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    # 59 words make 55 shingles; one changed word inside leaves 50 of 60 (0.83), two apart leave 45 of 65 (0.69).
+    words = [f"t{i}" for i in range(59)]
+    once = [*words[:30], "x", *words[31:]]
+    rows = [(1, " ".join(words)), (2, " ".join(once)), (3, " ".join([*once[:15], "y", *once[16:]]))]
+    docs = documents(spark, [*rows, (4, "text of its own with other words")])
+    assert {r.doc_id for r in near_dup.components_of(docs).filter("kept").collect()} == {1, 2, 3, 4}
+    # The third is as near to the second as that to the first.
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect()} == {1, 4}
+
+
+def test_percent_against_all_pairs(spark):
+    random.seed(21)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for size in (12, 40, 90, 400, 1500):
+        for _ in range(6):
+            base = random.choices(vocabulary, k=size)
+            for changes in (0, 1, 1, 2, size // 60, size // 45, size // 40):
+                variant = list(base)
+                for _ in range(changes):
+                    variant[random.randrange(size)] = random.choice(vocabulary)
+                rows.append((len(rows), " ".join(variant)))
+    sets = [shingle_set(t) for _, t in rows]
+    edges = [(i, j) for j in range(len(rows)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, j in edges:
+            group[i] = group[j] = min(group[i], group[j])
+    assert sum(85 * len(sets[i] | sets[j]) > 100 * len(sets[i] & sets[j]) for i, j in edges) > 5
+    got = {r.doc_id: r.component_id for r in near_dup.linked(documents(spark, rows), percent=80).collect()}
+    assert [got[i] for i in range(len(rows))] == group
