@@ -5,7 +5,7 @@ wide, slide over each chunk; each filter's strongest answer in the chunk is kept
 answers of all chunks are averaged, and one logistic unit turns them into a probability.
 
 ``train`` learns from at most ``max_documents`` labelled rows (those with the smallest hash
-of the id) and at most ``max_chunks`` evenly spaced chunks of each; both bounds limit what
+of the id; an id that documents repeat gives one row) and at most ``max_chunks`` evenly spaced chunks of each; both bounds limit what
 one task holds. Scoring reads every byte of every text in one pass without a shuffle.
 
 Null and empty texts are one chunk of padding and get a score like any other. Labels that
@@ -178,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, max_documents: int = 2_000, max_ch
         network = fit(chunks, np.array([y for _, y, _ in rows], np.float32))
         yield pa.RecordBatch.from_arrays([pa.array([network.to_bytes()], pa.binary())], ["weights"])
 
-    made = joined.mapInArrow(cut, "doc_id long, label int, chunks binary").repartition(1).mapInArrow(learn, "weights binary").collect()
+    # Rows that repeat an id count once, with the text of the smallest hash.
+    one = joined.mapInArrow(cut, "doc_id long, label int, chunks binary").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("chunks").alias("h"), "chunks")).alias("p")).select("doc_id", "label", "p.chunks")
+    made = one.repartition(1).mapInArrow(learn, "weights binary").collect()
     return bytes(made[0].weights) if made else _constant(0.5).to_bytes()
 
 

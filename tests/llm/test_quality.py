@@ -74,3 +74,14 @@ def test_learning_ignores_held_out_rows(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     turned = spark.createDataFrame([(i, 1 - i % 2 if i in held else i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     assert quality.train(docs, labels) == quality.train(docs, turned)
+
+
+def test_repeated_ids_are_learned_once(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert zlib.crc32(b"7") % 5
+    texts = [(i, f"text {i}") for i in range(40)]
+    once = quality.train(documents(spark, texts), labels)
+    # Learning is not dominated by an id that stands in many rows.
+    many = quality.train(documents(spark, texts + [texts[7]] * 300), labels)
+    first, second = quality.Network.from_bytes(once).weights, quality.Network.from_bytes(many).weights
+    assert all(np.array_equal(first[k], second[k]) for k in first)
