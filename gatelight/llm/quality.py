@@ -1,7 +1,7 @@
 """Text quality by a convolutional network over bytes, in NumPy.
 
 A text is cut into overlapping chunks that cover it whole. Learned filters, eight bytes
-wide, slide over each chunk; each filter's strongest answer in the chunk is kept, the
+wide, slide over each chunk byte by byte; each filter's strongest answer in the chunk is kept, the
 answers of all chunks are averaged, and one logistic unit turns them into a probability.
 
 ``train`` learns from at most ``max_documents`` labelled rows (those with the smallest hash
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, STEP, WIDE, STRIDE = 256, 192, 8, 4
+CHUNK, STEP, WIDE, STRIDE = 256, 192, 8, 1
 _EMBED, _FILTERS = 6, 16
 _WINDOWS = (CHUNK - WIDE) // STRIDE + 1
 

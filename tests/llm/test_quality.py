@@ -18,6 +18,15 @@ def test_chunks_cover_every_byte():
         assert whole[:size] == data and not any(whole[size:])
 
 
+def test_cue_counts_at_every_place():
+    network = quality.Network.fresh(3, 0.2)
+    chunks = np.zeros((40, quality.CHUNK), np.uint8)
+    for place, chunk in enumerate(chunks):
+        chunk[20 + place : 28 + place] = np.frombuffer(b"spam cue", np.uint8)
+    features, _ = network.pooled(chunks)
+    assert np.array_equal(features, np.repeat(features[:1], 40, axis=0))
+
+
 def test_slopes_are_right():
     rng = np.random.default_rng(2)
     network = quality.Network.fresh(3, 0.2)
