@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelight.llm import line_dedup, vantage
+from gatelight.llm import hard_negatives, line_dedup, vantage
 from gatelight.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gatelight.llm import secret_scan
 
     return secret_scan.found_secrets(_table(spark, sf_dir, "documents"))
+
+
+@_registered(hard_negatives.MINED_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined_of_every_hundredth(_table(spark, sf_dir, "embeddings"))
