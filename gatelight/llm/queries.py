@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelight.llm import hard_negatives, line_dedup, vantage
+from gatelight.llm import hard_negatives, line_dedup, phrases, vantage
 from gatelight.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_registered(hard_negatives.MINED_SQL)
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined_of_every_hundredth(_table(spark, sf_dir, "embeddings"))
+
+
+@_registered(phrases.COLLOCATIONS_SQL)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
