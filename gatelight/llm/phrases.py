@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from gatelight.llm.common import written
 from gatelight.llm.count_automaton import CountAutomaton
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 12 << 20
 RANGE_WEIGHT = 1 << 21
 #: What ends a piece, and what separates words.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
