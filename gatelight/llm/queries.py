@@ -112,3 +112,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_registered(phrases.COLLOCATIONS_SQL)
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+@_registered()
+def op13_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gatelight.llm import repeated_spans
+
+    return repeated_spans.kept_digests(_table(spark, sf_dir, "documents"))
