@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from gatelight.llm.common import written
 from gatelight.llm.count_automaton import CountAutomaton
 
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 RANGE_WEIGHT = 1 << 21
 #: What ends a piece, and what separates words.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _PLAIN = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"." * len(BREAKS) + b" " + bytes(range(97, 123)))
 _BREAK = re.compile(b"[" + re.escape(BREAKS) + b"]")
-_SHARD = "langs array<string>, words array<string>, counts array<long>, tokens binary"
+_SHARD = "vocabulary array<struct<lang: string, first: int, words: array<string>, counts: array<long>>>, tokens binary"
 _STATE = "shard long, steps binary, grams binary, ids binary, bases binary, splits binary"
 
 
@@ -70,21 +70,22 @@ def _parts(data: bytes, most: int) -> Iterator[bytes]:
 
 def _shard(numbers: dict[str, _Numbers], found: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
     """Vocabulary sorted by language and word, and all words as places in it, -1 between pieces."""
-    langs, words, places, before = [], [], {}, 0
-    for lang in sorted(numbers, key=str.encode):
-        known = [w for w in numbers[lang] if w != b"."]
-        known.sort()
+    langs, words, places, firsts = sorted(numbers, key=str.encode), [], {}, [0]
+    for lang in langs:
+        known = sorted(w for w in numbers[lang] if w != b".")
         place = np.full(len(known) + 1, -1, np.int32)
-        place[[numbers[lang][w] for w in known]] = np.arange(before, before + len(known), dtype=np.int32)
+        place[[numbers[lang][w] for w in known]] = np.arange(firsts[-1], firsts[-1] + len(known), dtype=np.int32)
         places[lang] = place
-        before += len(known)
-        langs += [lang] * len(known)
+        firsts.append(firsts[-1] + len(known))
         words += known
-    tokens = np.concatenate([places[lang][ids] for lang, ids in found]) if found else np.zeros(0, np.int32)
-    counts = np.bincount(tokens[tokens >= 0], minlength=before)
-    columns = [pa.array([x], pa.list_(kind)) for x, kind in ((langs, pa.string()), (counts, pa.int64()))]
-    named = pa.ListArray.from_arrays(pa.array([0, before], pa.int32()), pa.array(words, pa.binary()).cast(pa.string()))
-    return pa.RecordBatch.from_arrays([columns[0], named, columns[1], pa.array([tokens.astype("<i4").tobytes()], pa.binary())], ["langs", "words", "counts", "tokens"])
+    tokens = np.concatenate([places[lang][ids] for lang, ids in found])
+    counts = np.bincount(tokens[tokens >= 0], minlength=len(words))
+    edges = pa.array(firsts, pa.int32())
+    parts = pa.StructArray.from_arrays(
+        [pa.array(langs, pa.string()), pa.array(firsts[:-1], pa.int32()), pa.ListArray.from_arrays(edges, pa.array(words, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(edges, pa.array(counts, pa.int64()))],
+        ["lang", "first", "words", "counts"])
+    vocabulary = pa.ListArray.from_arrays(pa.array([0, len(langs)], pa.int32()), parts)
+    return pa.RecordBatch.from_arrays([vocabulary, pa.array([tokens.astype("<i4").tobytes()], pa.binary())], ["vocabulary", "tokens"])
 
 
 def shards(docs: DataFrame, text: str, lang: str, shard_bytes: int) -> DataFrame:
@@ -151,7 +152,8 @@ def _read_state(row: dict) -> tuple[np.ndarray, ...]:
 
 def _first_states(stored: DataFrame, frequent: DataFrame) -> DataFrame:
     """Each shard with the numbers of its frequent words."""
-    vocabulary = stored.select("shard", F.posexplode(F.arrays_zip("langs", "words")).alias("place", "w")).select("shard", "place", F.col("w.langs").alias("lang"), F.col("w.words").alias("word"))
+    listed = stored.select("shard", F.inline("vocabulary")).select("shard", "lang", "first", F.posexplode("words").alias("at", "word"))
+    vocabulary = listed.select("shard", (F.col("first") + F.col("at")).alias("place"), "lang", "word")
     known = vocabulary.join(frequent, ["lang", "word"]).select(F.col("shard").alias("of"), "place", "id", "base", "splits")
 
     def mark(tokens: pa.Table, words: pa.Table) -> pa.Table:
@@ -276,7 +278,7 @@ def _levels(docs: DataFrame, least: int, longest: int, text: str, lang: str, sha
     beginnings and endings, longest last and first, and the highest count of a phrase of one more word around it."""
     spark = docs.sparkSession
     stored = written(shards(docs, text, lang, shard_bytes), "phrase-shards")
-    long = stored.select(F.inline(F.arrays_zip(F.col("langs").alias("lang"), F.col("words").alias("word"), F.col("counts").alias("c"))))
+    long = stored.select(F.inline("vocabulary")).select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("c"))))
     counted = written(long.groupBy("lang", "word").agg(F.sum("c").alias("a")), "word-counts")
     totals = counted.groupBy("lang").agg(F.sum("a").alias("n"))
     numbered = written(_number_words(counted.filter(F.col("a") >= least), range_weight), "word-numbers")
