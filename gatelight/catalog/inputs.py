@@ -16,8 +16,9 @@ from gatelight.catalog.base import view
 from gatelight.functions import text as tx
 from gatelight.operators import access, registry, vectors
 from gatelight.operators.chunking import chunk_text
+from gatelight.operators.postings import build_postings
 from gatelight.plans import retrieval
-from gatelight.session import spread
+from gatelight.session import saved, spread
 
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 
@@ -348,10 +349,20 @@ class Inputs:
         return chunk_text(spread(access.searchable(docs.filter("access_level is not null"))))
 
     @cached_property
-    def vector_store(self) -> DataFrame:
-        """Keys, level and vectors of the searchable chunks; content stays in ``search_store``."""
+    def sparse_store(self) -> DataFrame:
+        """Keys, level and sparse vectors of the searchable chunks, stored as an ingest stores them."""
         keys = ["document_id", "chunk_index", "access_level", "is_active", "unclassified"]
-        return vectors.project_sparse(vectors.build_sparse(self.search_store).select(*keys, "sparse"))
+        return saved(vectors.build_sparse(self.search_store).select(*keys, "sparse"))
+
+    @cached_property
+    def vector_store(self) -> DataFrame:
+        """The same with both vectors; content stays in ``search_store``."""
+        return vectors.project_sparse(self.sparse_store)
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """The stored index of the sparse vectors."""
+        return saved(build_postings(access.searchable(self.sparse_store)))
 
     @cached_property
     def questions(self) -> DataFrame:
@@ -387,12 +398,12 @@ class Inputs:
 
     @cached_property
     def hits(self) -> DataFrame:
-        return retrieval.retrieve(self.asked, self.vector_store, self.registry_now, payload=self.search_store)
+        return retrieval.retrieve(self.asked, self.vector_store, self.registry_now, payload=self.search_store, postings=self.postings)
 
     @cached_property
     def hits_plain(self) -> DataFrame:
         return retrieval.retrieve(
-            self.asked, self.vector_store, self.registry_now, use_rerank=False, payload=self.search_store
+            self.asked, self.vector_store, self.registry_now, use_rerank=False, payload=self.search_store, postings=self.postings
         )
 
     def answers(self, hits: DataFrame) -> DataFrame:

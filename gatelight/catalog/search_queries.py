@@ -93,20 +93,20 @@ view("sparse_leg_known", f"""
 @query("r6_null_levels", "SELECT question_id, document_id, chunk_index, score, rank::INT AS rank FROM sparse_leg_known", ("sparse_leg_known",))
 def r6_null_levels(i: Inputs) -> DataFrame:
     # Every document's first chunk has lost its level; nobody may be shown it.
-    store = searchable(i.vector_store).withColumn("access_level", F.when(F.col("chunk_index") > 0, F.col("access_level")))
+    store = searchable(i.sparse_store).withColumn("access_level", F.when(F.col("chunk_index") > 0, F.col("access_level")))
     return ranking.nearest_chunks(i.asked, store, 90, ("sparse",)).drop("leg")
 
 
 @query("r2_sparse_top_k", "SELECT question_id, document_id, chunk_index, score, rank::INT AS rank FROM sparse_leg", ("sparse_leg",))
 def r2(i: Inputs) -> DataFrame:
-    return ranking.nearest_chunks(i.asked, searchable(i.vector_store), 90, ("sparse",)).drop("leg")
+    return ranking.nearest_chunks(i.asked, i.sparse_store, 90, ("sparse",), i.postings).drop("leg")
 
 
 @query(
     "r3_rank_fusion", "SELECT question_id, document_id, chunk_index, score, rank::INT AS rank FROM fused", ("fused",)
 )
 def r3(i: Inputs) -> DataFrame:
-    return retrieval.fuse(ranking.nearest_chunks(i.asked, searchable(i.vector_store), 90), 30)
+    return retrieval.fuse(ranking.nearest_chunks(i.asked, searchable(i.vector_store), 90, postings=i.postings), 30)
 
 
 @query(
@@ -116,7 +116,7 @@ def r3(i: Inputs) -> DataFrame:
     ("fused", "searchable"),
 )
 def r4(i: Inputs) -> DataFrame:
-    fused = retrieval.fuse(ranking.nearest_chunks(i.asked, searchable(i.vector_store), 90), 30)
+    fused = retrieval.fuse(ranking.nearest_chunks(i.asked, searchable(i.vector_store), 90, postings=i.postings), 30)
     return retrieval.project_hits(fused, searchable(i.search_store)).select(
         "question_id", "document_id", "chunk_index", "score", "content", "source_file", "access_level"
     )
@@ -125,7 +125,7 @@ def r4(i: Inputs) -> DataFrame:
 @query("r5_rerank", "SELECT question_id, document_id, chunk_index, rerank_score, place::INT AS rank FROM reranked", ("reranked",))
 def r5(i: Inputs) -> DataFrame:
     # All candidates in their new order: the cut is as wide as the candidate list.
-    hits = retrieval.retrieve(i.asked, i.vector_store, i.registry_now, top=retrieval.RERANK_CANDIDATES, payload=i.search_store)
+    hits = retrieval.retrieve(i.asked, i.vector_store, i.registry_now, top=retrieval.RERANK_CANDIDATES, payload=i.search_store, postings=i.postings)
     return hits.select("question_id", "document_id", "chunk_index", "rerank_score", "rank")
 
 

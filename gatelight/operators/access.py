@@ -97,11 +97,11 @@ def may_read(user_level: Column, registry_level: Column, status: Column, unclass
 def revalidate(hits: DataFrame, registry: DataFrame, few: DataFrame | None = None) -> DataFrame:
     """Keeps hits whose document the registry still grants; null and unknown ids go.
 
-    ``few``: a table of bounded size with the hits' document ids; it is broadcast to
-    cut the registry down before the join.
+    ``few``: a stored table with the hits' document ids, which cuts the registry down
+    before the join; Spark knows its size and chooses how.
     """
     if few is not None:
-        registry = registry.join(F.broadcast(few.select("document_id")), "document_id", "left_semi")
+        registry = registry.join(few.select("document_id"), "document_id", "left_semi")
     live = registry.select(
         F.col("document_id").alias("_id"),
         F.col("access_level").alias("_level"),

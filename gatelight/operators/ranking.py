@@ -1,17 +1,15 @@
-"""Exact top-k of chunks per question, for many questions in one pass.
-
-A question list is small next to the chunk store, so its vectors are handed to
-every task (behind a row count check) and each task keeps a running top-k per
-question while its chunks stream by. Nothing but those k rows per question and
-task is shuffled: no pair of question and chunk becomes a row, and a token that
-occurs in every chunk costs no more than any other. Beyond the check the same
-arithmetic runs over a grid of bounded blocks.
+"""Exact top-k of chunks per question, for any number of questions.
+
+Questions are written once to the shared folder. A task holds a bounded batch of chunks (or
+one shard of postings) and streams the questions past it, block by block, so nothing is
+replicated by a shuffle and the plan is the same for ten questions and for ten million. Only
+the k best rows of a question leave a batch: no pair of question and chunk becomes a row, and
+a token that occurs in every chunk costs no rows more than any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,31 +17,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Questions handed to every task at once, and chunks scored at once: at most so many
-# rows, and so many cells of (chunk, question) or (posting, question).
-MAX_SHARED_QUESTIONS = 4096
-CHUNKS_PER_STEP = 2048
-CELLS_PER_STEP = 2_000_000
-CHUNKS_PER_CELL = 50_000
+from gatelight.operators import postings as pl
+from gatelight.session import saved
+from gatelight.sources.shared import stored_blocks
+
+# Chunks held by a task at once, questions that stream past them at once, and chunks scored at once.
+CHUNKS_HELD = 16_384
+QUESTIONS_PER_BLOCK = 1_024
+CHUNKS_PER_STEP = 2_048
 # Places a question's rows from all tasks are first merged in.
 MERGE_SALTS = 32
 
 _OUT = "leg string, question_id string, document_id string, chunk_index int, score double"
 
 
-@dataclass
-class _Questions:
-    """A block of questions as matrices."""
-
-    ids: np.ndarray
-    levels: np.ndarray  # NaN where a question has none
-    dense: dict[int, tuple[np.ndarray, np.ndarray]]  # vector length -> questions of that length, their unit vectors
-    used: np.ndarray  # vocabulary ids of the block, ascending
-    starts: np.ndarray  # where the postings of each used id start
-    posting: np.ndarray  # question of each posting
-    weight: np.ndarray
-
-
 def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     return lengths, column.flatten()
@@ -82,72 +69,13 @@ def _by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _read_questions(table: pa.Table) -> _Questions:
-    none = np.zeros(0, dtype=np.int64)
-    q = _Questions(
-        ids=np.array(table.column("question_id").to_pylist(), dtype=object),
-        levels=_numbers(_one(table, "user_access_level")).astype(np.float64),
-        dense={}, used=none, starts=np.zeros(1, dtype=np.int64), posting=none, weight=np.zeros(0),
-    )
-    if "dense" in table.column_names:
-        q.dense = _by_length(_one(table, "dense"))
-    if "sparse" in table.column_names:
-        lengths, flat = _flat(_one(table, "sparse"))
-        ids, weights = _numbers(flat.field("i")).astype(np.int64), _numbers(flat.field("v"))
-        order = np.argsort(ids, kind="stable")
-        q.used, first = np.unique(ids[order], return_index=True)
-        q.starts = np.append(first, len(ids)).astype(np.int64)
-        q.posting, q.weight = np.repeat(np.arange(len(lengths)), lengths)[order], weights[order]
-    return q
-
-
-def _dense_scores(q: _Questions, column: pa.Array) -> np.ndarray:
-    scores = np.full((len(column), len(q.ids)), -np.inf)
-    for length, (rows, vectors) in _by_length(column).items():
-        if length in q.dense:
-            asked, wanted = q.dense[length]
-            scores[np.ix_(rows, asked)] = _rounded(vectors @ wanted.T)
-    return scores
-
-
-def _sparse_scores(q: _Questions, column: pa.Array) -> np.ndarray:
-    """Sums over shared ids only: each posting of a chunk meets the questions that use its id."""
-    lengths, flat = _flat(column)
-    ids, weights = _numbers(flat.field("i")).astype(np.int64), _numbers(flat.field("v"))
-    row, n = np.repeat(np.arange(len(lengths)), lengths), len(q.ids)
-    raw = np.zeros(len(lengths) * n)
-    if len(q.used):
-        at = np.minimum(np.searchsorted(q.used, ids), len(q.used) - 1)
-        known = q.used[at] == ids
-        at, row, weights = at[known], row[known], weights[known]
-        fan = q.starts[at + 1] - q.starts[at]
-        reach = np.cumsum(fan)
-        low = 0
-        while low < len(at):
-            # At least one posting, and as many as fit.
-            high = max(low + 1, int(np.searchsorted(reach, (reach[low - 1] if low else 0) + CELLS_PER_STEP, side="right")))
-            part = fan[low:high]
-            place = np.repeat(q.starts[at[low:high]] - (np.cumsum(part) - part), part) + np.arange(part.sum())
-            cell = np.repeat(row[low:high] * n, part) + q.posting[place]
-            np.add.at(raw, cell, np.repeat(weights[low:high], part) * q.weight[place])
-            low = high
-    raw = raw.reshape(len(lengths), n)
-    # Weights are positive, so a product of 0 means no shared id: not a hit at all.
-    scores = _rounded(raw)
-    scores[raw <= 0] = -np.inf
-    return scores
-
-
-_LEGS = {"dense": _dense_scores, "sparse": _sparse_scores}
-
-
 class _Best:
     """Running top-k per question: score down, then document_id and chunk_index up."""
 
     def __init__(self, questions: int, k: int):
         self.k, self.floor = k, np.full(questions, -np.inf)
         self.parts: list[pd.DataFrame] = []
-        self.rows, self.limit = 0, max(4 * k * questions, 4096)
+        self.held, self.limit = 0, max(4 * k * questions, 4096)
 
     def add(self, scores: np.ndarray, documents: np.ndarray, indexes: np.ndarray) -> None:
         if len(scores) > self.k:
@@ -160,25 +88,30 @@ class _Best:
                     {"q": question, "score": scores[row, question], "d": documents[row], "c": indexes[row]}
                 )
             )
-            self.rows += len(row)
-            if self.rows > self.limit:
+            self.held += len(row)
+            if self.held > self.limit:
                 self._cut()
 
+    @staticmethod
+    def cut(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+        best = rows.sort_values(["q", "score", "d", "c"], ascending=[True, False, True, True])
+        return best[best.groupby("q").cumcount() < k]
+
     def _cut(self) -> None:
-        best = pd.concat(self.parts, ignore_index=True).sort_values(
-            ["q", "score", "d", "c"], ascending=[True, False, True, True]
-        )
-        best = best[best.groupby("q").cumcount() < self.k]
+        best = self.cut(pd.concat(self.parts, ignore_index=True), self.k)
         full = best[best.groupby("q").cumcount() == self.k - 1]
         self.floor[full["q"].to_numpy()] = np.maximum(self.floor[full["q"].to_numpy()], full["score"].to_numpy())
-        self.parts, self.rows = [best], len(best)
-        self.limit = max(self.limit, 2 * self.rows)
+        self.parts, self.held = [best], len(best)
+        self.limit = max(self.limit, 2 * self.held)
 
     def result(self, leg: str, ids: np.ndarray) -> pa.RecordBatch | None:
         if not self.parts:
             return None
         self._cut()
-        best = self.parts[0]
+        return self.rows(leg, ids, self.parts[0])
+
+    @staticmethod
+    def rows(leg: str, ids: np.ndarray, best: pd.DataFrame) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([leg] * len(best), pa.string()),
@@ -191,59 +124,51 @@ class _Best:
         )
 
 
-def _score(batches: Iterable[pa.RecordBatch], q: _Questions, k: int, legs: tuple[str, ...]):
-    best = {leg: _Best(len(q.ids), k) for leg in legs}
-    for whole in batches:
-        size = max(1, min(CHUNKS_PER_STEP, CELLS_PER_STEP // max(1, len(q.ids))))
-        for at in range(0, whole.num_rows, size):
-            step = whole.slice(at, size)
-            documents = np.array(step.column("document_id").to_pylist(), dtype=object)
-            indexes = _numbers(step.column("chunk_index"))
-            # A level that is not known is barred, on either side.
-            barred = ~(_numbers(step.column("access_level")).astype(np.float64)[:, None] <= q.levels[None, :])
-            for leg in legs:
-                scores = _LEGS[leg](q, step.column(leg))
-                scores[barred] = -np.inf
-                best[leg].add(scores, documents, indexes)
-    for leg in legs:
-        out = best[leg].result(leg, q.ids)
+def _ranked(leg: str, k: int):
+    def cut(ids: np.ndarray, question: np.ndarray, scores: np.ndarray, documents: np.ndarray, indexes: np.ndarray) -> pa.RecordBatch:
+        """The ``k`` best rows of each question."""
+        rows = pd.DataFrame({"q": question, "score": _rounded(scores), "d": documents, "c": indexes})
+        return _Best.rows(leg, ids, _Best.cut(rows, k))
+
+    return cut
+
+
+def _dense_best(held: pa.Table, questions_at: str, k: int) -> Iterator[pa.RecordBatch]:
+    """Every block of questions past the held chunks; every vector is compared with those of its own length."""
+    documents, indexes = np.array(held.column("document_id").to_pylist(), dtype=object), _numbers(held.column("chunk_index"))
+    levels, vectors = _numbers(held.column("access_level")).astype(np.float64), _by_length(_one(held, "dense"))
+    for block in stored_blocks(questions_at, ["question_id", "user_access_level", "dense"], QUESTIONS_PER_BLOCK):
+        allowed = _numbers(_one(block, "user_access_level")).astype(np.float64)
+        best = _Best(len(allowed), k)
+        for length, (asked, wanted) in _by_length(_one(block, "dense")).items():
+            rows, units = vectors.get(length, (np.zeros(0, np.int64), None))
+            for at in range(0, len(rows), CHUNKS_PER_STEP):
+                some = rows[at : at + CHUNKS_PER_STEP]
+                scores = np.full((len(some), len(allowed)), -np.inf)
+                scores[:, asked] = _rounded(units[at : at + CHUNKS_PER_STEP] @ wanted.T)
+                # A level that is not known is barred, on either side.
+                scores[~(levels[some][:, None] <= allowed[None, :])] = -np.inf
+                best.add(scores, documents[some], indexes[some])
+        out = best.result("dense", np.array(block.column("question_id").to_pylist(), dtype=object))
         if out is not None:
             yield out
 
 
-def _over_shared(questions: pa.Table, chunks: DataFrame, k: int, legs: tuple[str, ...]) -> DataFrame:
-    block = chunks.sparkSession.sparkContext.broadcast(questions)
-
+def _dense_leg(questions_at: str, chunks: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _score(batches, _read_questions(block.value), k, legs)
-
-    return chunks.mapInArrow(run, _OUT)
-
-
-def _over_grid(questions: DataFrame, chunks: DataFrame, k: int, legs: tuple[str, ...], per_block: int) -> DataFrame:
-    """Every block of questions meets every slice of chunks in one task of bounded size."""
-    blocks = max(1, -(-questions.count() // per_block))
-    slices = max(1, -(-chunks.count() // CHUNKS_PER_CELL))
-    left = questions.withColumn("block", F.pmod(F.xxhash64("question_id"), F.lit(blocks))).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint")))
-    )
-    right = chunks.withColumn("slice", F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(slices))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    )
-
-    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        found = []
-        if asked.num_rows and stored.num_rows:
-            found = list(_score(stored.to_batches(), _read_questions(asked), k, legs))
-        empty = pa.schema(
-            [("leg", pa.string()), ("question_id", pa.string()), ("document_id", pa.string()),
-             ("chunk_index", pa.int32()), ("score", pa.float64())]
-        )
-        return pa.Table.from_batches(found, schema=empty)
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, CHUNKS_HELD - n)
+                held.append(part)
+                n, batch = n + part.num_rows, batch.slice(part.num_rows)
+                if n == CHUNKS_HELD:
+                    yield from _dense_best(pa.Table.from_batches(held), questions_at, k)
+                    held, n = [], 0
+        if n:
+            yield from _dense_best(pa.Table.from_batches(held), questions_at, k)
 
-    return (
-        left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(run, _OUT)
-    )
+    return chunks.select("document_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.col("access_level").cast("int").alias("access_level"), "dense").mapInArrow(run, _OUT)
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -258,32 +183,37 @@ def best_first(*before: Column) -> list[Column]:
 
 
 def nearest_chunks(
-    questions: DataFrame,
-    chunks: DataFrame,
-    k: int,
-    legs: tuple[str, ...] = ("dense", "sparse"),
-    max_shared_questions: int = MAX_SHARED_QUESTIONS,
+    questions: DataFrame, chunks: DataFrame, k: int, legs: tuple[str, ...] = ("dense", "sparse"), postings: DataFrame | None = None
 ) -> DataFrame:
     """Top ``k`` chunks per question and leg: cosine over ``dense``, dot product over ``sparse``.
 
     ``questions``: question_id, user_access_level and the leg columns; ``chunks``:
     document_id, chunk_index, access_level and the leg columns, already filtered to
-    searchable rows. A chunk above the user's level never enters a ranking.
+    searchable rows. A chunk above the user's level never enters a ranking. ``postings``
+    is the stored index of the chunks' sparse vectors (:func:`postings.build_postings`);
+    without it one is built and stored for this call. Sparse weights count where positive.
     Result: leg, question_id, document_id, chunk_index, score (9 digits), rank.
     """
-    asked = questions.select(F.col("question_id").cast("string"), F.col("user_access_level").cast("int"), *legs)
-    stored = chunks.select("document_id", F.col("chunk_index").cast("int"), "access_level", *legs)
-    first = asked.limit(max_shared_questions + 1).toArrow()
-    if first.num_rows <= max_shared_questions:
-        found = _over_shared(first, stored, k, legs)
-    else:
-        found = _over_grid(asked, stored, k, legs, max_shared_questions)
+    if getattr(questions, "saved_at", None) is None:
+        questions = saved(stored_questions(questions, legs))
+    found = []
+    if "dense" in legs:
+        found.append(_dense_leg(questions.saved_at, chunks, k))
+    if "sparse" in legs:
+        table = saved(pl.build_postings(chunks)) if postings is None else postings
+        found.append(pl.search(questions.saved_at, questions, table, k, _ranked("sparse", k), _OUT))
+    both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     # Rows of one question come from every task: cut in salted places first, then in one.
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(MERGE_SALTS)))
+    salted = both.withColumn("_salt", F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(MERGE_SALTS)))
     some = top_k(salted, ["leg", "question_id", "_salt"], best_first(), k, "_place").drop("_salt", "_place")
     return top_k(some, ["leg", "question_id"], best_first(), k)
 
 
+def stored_questions(questions: DataFrame, legs: tuple[str, ...], *others: str) -> DataFrame:
+    """The columns of a question that a search reads, in the types it reads them in."""
+    return questions.select(F.col("question_id").cast("string").alias("question_id"), F.col("user_access_level").cast("int").alias("user_access_level"), *legs, *others)
+
+
 def odd_vectors(questions: DataFrame, chunks: DataFrame, vector: str = "dense") -> DataFrame:
     """Chunks no question can be compared with, as error rows: document_id, chunk_index, length.
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from gatelight.functions import text as tx
 from gatelight.operators.access import revalidate, searchable
-from gatelight.operators.ranking import MAX_SHARED_QUESTIONS, best_first, nearest_chunks, top_k
-from gatelight.session import saved, sized
+from gatelight.operators.ranking import best_first, nearest_chunks, stored_questions, top_k
+from gatelight.session import saved
 
 TOP_K = 5
 RERANK_CANDIDATES = 30
@@ -91,24 +91,22 @@ def retrieve(
     legs: tuple[str, ...] = ("dense", "sparse"),
     scorer: Callable[[Column, Column], Column] = overlap_score,
     payload: DataFrame | None = None,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """Prefilter, both legs, fusion, revalidation, rerank, cut: hits of every question.
 
-    The store is read once for both legs (vectors and keys only) and once more
-    for the content of the fused rows; ``payload`` names another table with that
-    content, where vectors and texts are kept apart.
+    The store is read for its vectors and keys, and once more for the content of the
+    fused rows; ``payload`` names another table with that content, where vectors and texts
+    are kept apart, ``postings`` the stored index of the searchable chunks' sparse vectors.
     """
-    stored = searchable(chunks)
-    questions, few = sized(questions.select("question_id", "question", "user_access_level", *legs), MAX_SHARED_QUESTIONS)
-    found = nearest_chunks(questions, stored, leg_limit(use_rerank, top, candidates), legs)
+    asked = saved(stored_questions(questions, legs, "question"))
+    found = nearest_chunks(asked, searchable(chunks), leg_limit(use_rerank, top, candidates), legs, postings)
     fused = fuse(found, fetch_limit(use_rerank, top, candidates), fusion_k)
-    asked = fused.join(questions.select("question_id", "question", "user_access_level"), "question_id")
-    if few:
-        # Written once: Spark then knows its size and broadcasts it by its own threshold,
-        # so that neither the content nor the registry is shuffled for a few questions.
-        asked = saved(asked)
-    hits = project_hits(asked, searchable(chunks if payload is None else payload))
-    hits = revalidate(hits, registry, asked if few else None)
+    # Written once: Spark then knows its size and chooses the joins by it, so that neither
+    # the content nor the registry is shuffled for a few questions.
+    fused = saved(fused.join(asked.select("question_id", "question", "user_access_level"), "question_id"))
+    hits = project_hits(fused, searchable(chunks if payload is None else payload))
+    hits = revalidate(hits, registry, fused)
     if use_rerank:
         hits = rerank(hits, scorer)
     return final_cut(hits, top)

@@ -1,8 +1,10 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from gatelight.operators import ranking, vectors
+from gatelight.operators import postings, ranking, vectors
 from gatelight.plans import retrieval
+from gatelight.session import saved
 from tests.conftest import rows
 
 QUESTION = "question_id string, user_access_level int, dense array<double>, sparse array<struct<i:int,v:double>>"
@@ -38,18 +40,55 @@ def brute(questions, chunks, k):
     return sorted(want)
 
 
-def test_both_ways_equal_brute_force(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_equals_brute_force_in_blocks_of_any_size(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(ranking, "CHUNKS_HELD", 7)
+        monkeypatch.setattr(ranking, "QUESTIONS_PER_BLOCK", 2)
+        monkeypatch.setattr(postings, "QUESTIONS_PER_BLOCK", 4)
     questions = [(f"q{n}", 1 + n % 3, *v) for n, v in enumerate(made(1, 9))]
     chunks = [(f"d{n // 3}", n % 3, 1 + n % 3, *v) for n, v in enumerate(made(2, 150))]
     q, c = spark.createDataFrame(questions, QUESTION), spark.createDataFrame(chunks, CHUNK).repartition(5)
     want = brute(questions, chunks, 7)
-    for limit in (4096, 2):  # handed to every task; over the grid of blocks
-        got = ranking.nearest_chunks(q, c, 7, max_shared_questions=limit)
+    for table in (None, saved(postings.build_postings(c, 11))):
+        got = ranking.nearest_chunks(q, c, 7, postings=table)
         found = sorted((r.leg, r.question_id, r.document_id, r.chunk_index, r.score, r["rank"]) for r in got.collect())
         assert [f[:4] + f[5:] for f in found] == [w[:4] + w[5:] for w in want]
         assert np.allclose([f[4] for f in found], [w[4] for w in want], atol=1e-8)
 
 
+def test_ten_thousand_questions(spark):
+    vectors_ = made(3, 40)
+    chunks = [(f"d{n:02}", 0, 1, *v) for n, v in enumerate(vectors_)]
+    questions = [(f"q{n:05}", 1, *vectors_[n % 40]) for n in range(10_000)]
+    got = ranking.nearest_chunks(spark.createDataFrame(questions, QUESTION), spark.createDataFrame(chunks, CHUNK), 3)
+    few = brute([q for q in questions[:40]], chunks, 3)
+    found = {(r.leg, r.question_id, r["rank"]): r.document_id for r in got.collect()}
+    want = {(leg, qid, rank): d for leg, qid, d, _, _, rank in few}
+    assert len(found) == 250 * len(want)
+    assert all(found[leg, f"q{int(qid[1:]) + 40 * n:05}", rank] == d for (leg, qid, rank), d in want.items() for n in (0, 100, 249))
+
+
+def test_block_maxima_skip_lists_that_cannot_matter():
+    rng = np.random.default_rng(8)
+    n, lists = 4_000, {}
+    for token, (share, top) in enumerate([(1.0, 0.01), (0.9, 0.02), (0.02, 1.0), (0.01, 2.0)]):
+        held = np.flatnonzero(rng.random(n) < share).astype(np.int32)
+        weights = rng.random(len(held)) * top
+        lists[token] = held, weights, np.maximum.reduceat(weights, np.arange(0, len(held), postings.BLOCK))
+    levels = rng.integers(1, 4, n).astype(float)
+    levels[::50] = np.nan
+    shard = postings.Shard(lists, levels)
+    places, scores = shard.best(np.arange(5), np.array([1.0, 1.0, 0.7, 0.9, 3.0]), 2, 10)
+    whole = np.zeros(n)
+    for token, weight in zip(range(4), (1.0, 1.0, 0.7, 0.9)):
+        whole[lists[token][0]] += weight * lists[token][1]
+    whole[~(levels <= 2)] = -1
+    best = np.lexsort((np.arange(n), -whole))[:10]
+    assert set(best) <= set(places) and np.allclose(whole[places], scores)
+    assert shard.read < 0.1 * sum(len(x[0]) for x in lists.values())
+
+
 def test_many_equal_copies_are_ranked_by_key(spark):
     vec = ([1.0, 0.0], [(3, 1.0)])
     copies = spark.range(12_000).select(
@@ -73,7 +112,7 @@ def test_one_odd_vector_hides_no_other_and_unknown_levels_are_barred(spark, monk
     chunks = [("a", 0, 1, [1.0, 0.0], [(1, 1.0)]), ("b", 0, 1, [0.5, 0.5], [(1, 0.5)]), ("long", 0, 1, [1.0, 0.0, 0.0], []), ("none", 0, 1, None, None), ("nan", 0, 1, [float("nan"), 1.0], []), ("secret", 0, None, [1.0, 0.0], [(1, 1.0)])]
     c = spark.createDataFrame(chunks, CHUNK).coalesce(1)
     want = [("dense", "q", "a"), ("dense", "q", "b"), ("sparse", "q", "a"), ("sparse", "q", "b")]
-    for step in (2048, 2, 1):
+    for step in (2048, 1):
         monkeypatch.setattr(ranking, "CHUNKS_PER_STEP", step)
         assert rows(ranking.nearest_chunks(q, c, 5), "leg", "question_id", "document_id") == want
     assert rows(ranking.odd_vectors(q, c), "document_id", "length") == [("long", 3), ("nan", 2), ("none", -1)]
