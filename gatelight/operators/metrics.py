@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelight.functions import text as tx
+from gatelight.session import saved
 
 RECALL_DEPTH = 5
 RANK_DEPTH = 10
@@ -77,8 +78,10 @@ def percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, floa
 
     A mergeable sketch first brackets each wanted rank between two values (a group
     of up to 10,000 rows is its own bracket). Rows below the bracket are only
-    counted; the few inside it are counted per distinct value and ordered. So no
-    task ever holds or sorts a large group. A bracket that should miss its rank is an
+    counted; those inside are counted per distinct value, dealt into ranges of
+    values and stored. A range starts where the counts of the ranges before it end,
+    so ranks are told range by range: no task ever holds or orders a group, nor a
+    bracket, however many values are in it. A bracket that should miss its rank is an
     error, never a missing value. A null key is a group like any other.
     """
     accuracy = 10_000
@@ -96,39 +99,37 @@ def percentiles(df: DataFrame, by: list[str], value: str, points: dict[str, floa
         *[edge(points[n] / 100 - margin, F.min("x")).alias(f"low_{n}") for n in names],
         *[edge(points[n] / 100 + margin, F.max("x")).alias(f"high_{n}") for n in names],
     )
-    placed = same_group(rows, brackets, by)
-    below = placed.groupBy(*by, "total").agg(
-        *[F.count_if(F.col("x") < F.col(f"low_{n}")).alias(f"below_{n}") for n in names]
-    )
-    inside = F.filter(
+    # One pass tells a row's place for every point: below its bracket or in it. Only distinct values are kept of the latter.
+    places = F.filter(
         F.array(
             *[
-                F.when((F.col("x") >= F.col(f"low_{n}")) & (F.col("x") <= F.col(f"high_{n}")), F.lit(n))
+                F.when(F.col("x") < F.col(f"low_{n}"), F.struct(F.lit(n).alias("point"), F.lit(None).cast("double").alias("x")))
+                .when(F.col("x") <= F.col(f"high_{n}"), F.struct(F.lit(n).alias("point"), F.col("x").alias("x")))
                 for n in names
             ]
         ),
-        lambda n: n.isNotNull(),
-    )
-    near = placed.select(*by, "x", F.explode(inside).alias("point")).groupBy(*by, "point", "x").agg(
-        F.count("*").alias("times")
+        lambda e: e.isNotNull(),
     )
-    upto = F.sum("times").over(Window.partitionBy(*by, "point").orderBy("x"))
-    near = same_group(near.withColumn("upto", upto), below, by)
-    picks = []
-    for n in names:
-        at = (F.col("total") - 1) * (points[n] / 100.0)
-        down, up = F.floor(at), F.least(F.floor(at) + 1, F.col("total") - 1)
-        last = F.col("upto") + F.col(f"below_{n}") - 1
-        first = last - F.col("times") + 1
-
-        def value_at(place: Column, n: str = n, first: Column = first, last: Column = last) -> Column:
-            here = (F.col("point") == n) & (first <= place) & (place <= last)
-            found = F.max(F.when(here, F.col("x")))
-            return F.when(found.isNotNull(), found).otherwise(F.raise_error(F.lit("percentile: the bracket misses its rank")).cast("double"))
-
-        low, high = value_at(down), value_at(up)
-        picks.append((low + (high - low) * F.max(at - down)).alias(n))
-    return near.groupBy(*by).agg(*picks)
+    counted = same_group(rows, brackets, by).select(*by, "total", F.explode(places).alias("e")).groupBy(*by, "total", "e.point", "e.x").agg(F.count("*").alias("times"))
+    # A null value, the rows below, comes first.
+    ranged = saved(counted.repartitionByRange(*by, "point", F.asc_nulls_first("x")).withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy(*by, "point", "part").agg(F.sum("times").alias("held"))
+    order = Window.partitionBy(*by, "point").orderBy("part")
+    starts = parts.select(*by, "point", "part", (F.sum("held").over(order) - F.col("held")).alias("start"))
+    upto = F.sum("times").over(Window.partitionBy(*by, "point", "part").orderBy(F.asc_nulls_first("x")))
+    placed = same_group(ranged.withColumn("upto", upto), starts, [*by, "point", "part"])
+    share = F.element_at(F.create_map(*[F.lit(x) for n in names for x in (n, points[n] / 100.0)]), F.col("point"))
+    at = (F.col("total") - 1) * share
+    down, up = F.floor(at), F.least(F.floor(at) + 1, F.col("total") - 1)
+    last = F.col("start") + F.col("upto") - 1
+
+    def value_at(place: Column) -> Column:
+        return F.max(F.when((last - F.col("times") < place) & (place <= last), F.col("x")))
+
+    found = placed.groupBy(*by, "point").agg(value_at(down).alias("low"), value_at(up).alias("high"), F.max(at - down).alias("rest"))
+    missed = F.raise_error(F.lit("percentile: the bracket misses its rank")).cast("double")
+    each = found.withColumn("at", F.when(F.col("low").isNull() | F.col("high").isNull(), missed).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("rest")))
+    return each.groupBy(*by).agg(*[F.max(F.when(F.col("point") == n, F.col("at"))).alias(n) for n in names])
 
 
 def same_group(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
