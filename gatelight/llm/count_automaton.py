@@ -45,10 +45,3 @@ class CountAutomaton:
         """Only arcs that weigh ``least`` or more, and the new place of every old arc, -1 for none."""
         stay = self.weight >= least
         return CountAutomaton(self.state[stay], self.symbol[stay], self.weight[stay]), np.where(stay, np.cumsum(stay) - 1, -1)
-
-    def to_bytes(self) -> tuple[bytes, bytes, bytes]:
-        return self.state.astype("<i8").tobytes(), self.symbol.astype("<i8").tobytes(), self.weight.astype("<i8").tobytes()
-
-    @classmethod
-    def from_bytes(cls, state: bytes, symbol: bytes, weight: bytes) -> CountAutomaton:
-        return cls(*(np.frombuffer(b, "<i8") for b in (state, symbol, weight)))

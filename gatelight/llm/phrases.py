@@ -1,14 +1,15 @@
 """Phrase collocations of each language, from weighted acyclic automata.
 
 1. Texts become shards of bounded size: the sorted vocabulary and the words as places in it.
-2. Word counts are added over all shards. Words that occur ``least`` times or more get
-   numbers in the order of (language, word), dealt into prefix ranges of about equal weight;
-   a word heavier than a range is split over several by what follows it.
+2. Word counts are added over all shards, in ranges of words. Words that occur ``least``
+   times or more get numbers and are dealt into prefix ranges of about equal weight; a word
+   heavier than a range is split over several by what follows it.
 3. Level by level, from 2 words to ``longest``: each shard sorts the phrases whose first and
    last words (all but one) are frequent, and builds a count automaton per prefix range;
    the automata of a range are united, their weights added, and arcs below ``least`` pruned.
    A phrase can only be frequent if all its parts are, so nothing is lost. Each shard learns
-   which of its phrases stay, under which number.
+   which of its phrases stay, under which number. Shards stay where they are stored: what
+   they learn is stored by the task that wrote them, and read with them.
 4. Parts are looked up by composition: the state of an arc leads to the counts of the
    phrase's beginnings, its symbol to those of its endings, so a level joins the one before.
 5. A cut scores floor(1000 a n / (l r)) in decimals of 38 digits; the lowest cut counts.
@@ -28,21 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelight.llm.common import written
+from gatelight.llm.common import new_folder, written
 from gatelight.llm.count_automaton import CountAutomaton
+from gatelight.sources.shared import stored_blocks
 
 SHARD_BYTES = 6 << 20
 RANGE_WEIGHT = 1 << 21
+ENTRIES_PER_RANGE = 1 << 20
 #: What ends a piece, and what separates words.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _PLAIN = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"." * len(BREAKS) + b" " + bytes(range(97, 123)))
 _BREAK = re.compile(b"[" + re.escape(BREAKS) + b"]")
-_SHARD = "vocabulary array<struct<lang: string, first: int, words: array<string>, counts: array<long>>>, tokens binary"
-_STATE = "shard long, steps binary, grams binary, ids binary, bases binary, splits binary"
+_SHARD = "vocabulary array<struct<lang: string, first: int, words: array<string>, counts: array<long>>>, tokens binary, entries long"
 
 
 class _Numbers(dict):
@@ -69,23 +70,23 @@ def _parts(data: bytes, most: int) -> Iterator[bytes]:
 
 
 def _shard(numbers: dict[str, _Numbers], found: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
-    """Vocabulary sorted by language and word, and all words as places in it, -1 between pieces."""
+    """Vocabulary sorted by language and word, and all words as places in it from 1 on, 0 between pieces."""
     langs, words, places, firsts = sorted(numbers, key=str.encode), [], {}, [0]
     for lang in langs:
         known = sorted(w for w in numbers[lang] if w != b".")
-        place = np.full(len(known) + 1, -1, np.int32)
-        place[[numbers[lang][w] for w in known]] = np.arange(firsts[-1], firsts[-1] + len(known), dtype=np.int32)
+        place = np.zeros(len(known) + 1, np.int32)
+        place[[numbers[lang][w] for w in known]] = np.arange(firsts[-1] + 1, firsts[-1] + len(known) + 1, dtype=np.int32)
         places[lang] = place
         firsts.append(firsts[-1] + len(known))
         words += known
     tokens = np.concatenate([places[lang][ids] for lang, ids in found])
-    counts = np.bincount(tokens[tokens >= 0], minlength=len(words))
+    counts = np.bincount(tokens, minlength=len(words) + 1)[1:]
     edges = pa.array(firsts, pa.int32())
     parts = pa.StructArray.from_arrays(
         [pa.array(langs, pa.string()), pa.array(firsts[:-1], pa.int32()), pa.ListArray.from_arrays(edges, pa.array(words, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(edges, pa.array(counts, pa.int64()))],
         ["lang", "first", "words", "counts"])
     vocabulary = pa.ListArray.from_arrays(pa.array([0, len(langs)], pa.int32()), parts)
-    return pa.RecordBatch.from_arrays([vocabulary, pa.array([tokens.astype("<i4").tobytes()], pa.binary())], ["vocabulary", "tokens"])
+    return pa.RecordBatch.from_arrays([vocabulary, pa.array([_pack(tokens)], pa.binary()), pa.array([len(words)], pa.int64())], ["vocabulary", "tokens", "entries"])
 
 
 def shards(docs: DataFrame, text: str, lang: str, shard_bytes: int) -> DataFrame:
@@ -110,65 +111,188 @@ def shards(docs: DataFrame, text: str, lang: str, shard_bytes: int) -> DataFrame
     return given.mapInArrow(run, _SHARD).withColumn("shard", F.monotonically_increasing_id())
 
 
-def _number_words(counted: DataFrame, range_weight: int) -> DataFrame:
-    """(lang, word, a, part, rank, low, splits): ranks in sorted order, and the prefix ranges of each word, per part of the order."""
+def _pack(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers from 0 on, as steps where they ascend, in as few bytes as the largest needs, compressed."""
+    import zstandard
+
+    values = np.diff(values, prepend=0) if ascending else values
+    most = int(values.max(initial=0))
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if most < 1 << 8 * int(k[2]))
+    return kind[2].encode() + zstandard.ZstdCompressor(level=1).compress(values.astype(kind).tobytes())
+
+
+def _unpack(data: bytes, ascending: bool = False) -> np.ndarray:
+    import zstandard
+
+    values = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[:1].decode()}").astype(np.int64)
+    return np.cumsum(values) if ascending else values
+
+
+def _pack_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
+    return _pack(ids >> 32), _pack(ids & 0xFFFFFFFF)
+
+
+def _unpack_ids(high: bytes, low: bytes) -> np.ndarray:
+    return (_unpack(high) << 32) | _unpack(low)
+
+
+def _record(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+_LISTED = pa.schema([("range", pa.int64()), ("shard", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+_COUNTED = pa.schema([
+    ("range", pa.int64()), ("shard", pa.int64()), ("places", pa.binary()), ("ranks", pa.binary()), ("lows", pa.binary()), ("splits", pa.binary()),
+    ("used", pa.int64()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("all_langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
+
+
+def _spark_schema(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.string()): "array<string>", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def _listed_words(stored: DataFrame, ranges: int) -> DataFrame:
+    """Each shard's words and counts, dealt by a hash of language and word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, rank, low, filled, after = TaskContext.get().partitionId(), 0, 0, 0, 0
+        import xxhash
+
         for batch in batches:
-            lows, splits = [], []
-            for weight in batch.column("a").to_pylist():
-                own = -(-weight // range_weight)
-                if filled and filled + weight > range_weight:
-                    low, filled = after, 0
-                lows.append(low)
-                splits.append(own)
-                filled += weight
-                after = max(after, low + own)
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.full(n, part)), pa.array(np.arange(rank, rank + n)), pa.array(lows, pa.int64()), pa.array(splits, pa.int64())],
-                [*batch.schema.names, "part", "rank", "low", "splits"])
-            rank += n
+            for row in range(batch.num_rows):
+                shard = batch.column("shard")[row].as_py()
+                for part in batch.column("vocabulary")[row].as_py():
+                    lang, words, counts = part["lang"], [w.encode() for w in part["words"]], np.array(part["counts"], np.int64)
+                    seed = xxhash.xxh3_64_intdigest(lang)
+                    to = np.array([xxhash.xxh3_64_intdigest(w, seed) % ranges for w in words], np.int64)
+                    order = np.argsort(to, kind="stable")
+                    cuts = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1])) if len(order) else []
+                    rows = []
+                    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+                        at = order[a:b]
+                        rows.append((int(to[at[0]]), shard, lang, zstd(b"\n".join([words[i] for i in at.tolist()])), _pack(counts[at]), _pack(at + part["first"], True)))
+                    yield _record(_LISTED, rows)
+
+    return stored.select("shard", "vocabulary").mapInArrow(run, _spark_schema(_LISTED))
+
 
-    ordered = counted.repartitionByRange("lang", "word").sortWithinPartitions("lang", "word")
-    return ordered.mapInArrow(run, "lang string, word string, a long, part long, rank long, low long, splits long")
+def zstd(data: bytes) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
-def _packed(arrays: dict[str, np.ndarray]) -> list[pa.Array]:
-    return [pa.array([a.tobytes()], pa.binary()) for a in arrays.values()]
 
+def _counted_words(listed: DataFrame, least: int, range_weight: int) -> DataFrame:
+    """Per range of words one row without a shard: all frequent words in order, and per language the count of all words;
+    and one per shard: which of its words are frequent, their ranks, and their own ranges, counted from the first of this range."""
 
-def _state(shard: int, at: np.ndarray, grams: np.ndarray, ids: np.ndarray, bases: np.ndarray, splits: np.ndarray) -> pa.Table:
-    """One row: where the frequent phrases of a shard start (as steps), which they are, and their numbers and ranges."""
-    fields = {"steps": np.diff(at, prepend=0).astype("<i4"), "grams": grams.astype("<i4"), "ids": ids.astype("<i8"), "bases": bases.astype("<i8"), "splits": splits.astype("<i8")}
-    return pa.Table.from_arrays([pa.array([shard], pa.int64()), *_packed(fields)], ["shard", *fields])
+    def count(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        numbers: dict[str, dict[bytes, int]] = {}
+        total, n = np.zeros(1 << 16, np.int64), 0
+        held = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                known = numbers.setdefault(row["lang"], {})
+                words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n")
+                ids = np.empty(len(words), np.int64)
+                for i, w in enumerate(words):
+                    at = known.get(w)
+                    if at is None:
+                        known[w] = at = n
+                        n += 1
+                    ids[i] = at
+                if n > len(total):
+                    total = np.concatenate([total, np.zeros(max(n, len(total)), np.int64)])
+                total[ids] += _unpack(row["counts"])
+                held.append((row["shard"], ids, _unpack(row["places"], True)))
+        frequent = [(lang.encode(), w, lang, i) for lang, known in numbers.items() for w, i in known.items() if total[i] >= least]
+        frequent.sort()
+        rank, lows, splits = np.full(n + 1, -1, np.int64), np.zeros(len(frequent), np.int64), np.ones(len(frequent), np.int64)
+        low = filled = used = 0
+        for r, (_, _, _, i) in enumerate(frequent):
+            weight, rank[i] = int(total[i]), r
+            if filled and filled + weight > range_weight:
+                low, filled = used, 0
+            lows[r], splits[r] = low, -(-weight // range_weight)
+            filled += weight
+            used = max(used, low + int(splits[r]))
+        key = keys[0].as_py()
+        langs = sorted(numbers)
+        yield _record(_COUNTED, [(
+            key, None, None, None, _pack(lows, True), _pack(splits), used, [f[2] for f in frequent],
+            [f[1].decode() for f in frequent], [int(total[f[3]]) for f in frequent], langs, [int(sum(total[i] for i in numbers[x].values())) for x in langs])])
+        for shard, ids, places in held:
+            ranks = rank[ids]
+            stay = np.flatnonzero(ranks >= 0)
+            if len(stay):
+                r = ranks[stay]
+                yield _record(_COUNTED, [(key, shard, _pack(places[stay], True), _pack(r), _pack(lows[r]), _pack(splits[r]), *[None] * 6)])
+
+    return listed.groupBy("range").applyInArrow(count, _spark_schema(_COUNTED))
+
+
+def _state(shard: int, at: np.ndarray, grams: np.ndarray, ids: np.ndarray, bases: np.ndarray, splits: np.ndarray) -> tuple:
+    """Where the frequent phrases of a shard start, which of its own they are, and the numbers and ranges of those."""
+    return (shard, _pack(at, True), _pack(grams), *_pack_ids(ids), _pack(bases), _pack(splits))
+
+
+_STATE = pa.schema([("shard", pa.int64()), *((n, pa.binary()) for n in ("at", "grams", "high", "low", "bases", "splits"))])
 
 
 def _read_state(row: dict) -> tuple[np.ndarray, ...]:
-    steps, grams = (np.frombuffer(row[c], "<i4") for c in ("steps", "grams"))
-    return np.cumsum(steps, dtype=np.int64), grams.astype(np.int64), *(np.frombuffer(row[c], "<i8") for c in ("ids", "bases", "splits"))
+    return _unpack(row["at"], True), _unpack(row["grams"]), _unpack_ids(row["high"], row["low"]), _unpack(row["bases"]), _unpack(row["splits"])
 
 
-def _first_states(stored: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Each shard with the numbers of its frequent words."""
-    listed = stored.select("shard", F.inline("vocabulary")).select("shard", "lang", "first", F.posexplode("words").alias("at", "word"))
-    vocabulary = listed.select("shard", (F.col("first") + F.col("at")).alias("place"), "lang", "word")
-    known = vocabulary.join(frequent, ["lang", "word"]).select(F.col("shard").alias("of"), "place", "id", "base", "splits")
+def _by_group(marks: DataFrame, name: str) -> str:
+    """Marks stored by the task that wrote their shard, so that a task that reads it finds them in one folder."""
+    path = new_folder(marks.sparkSession, name)
+    marks.withColumn("group", F.shiftright("shard", 33)).repartition("group").write.partitionBy("group").parquet(path)
+    return path
+
+
+class _Marks:
+    """The marks of a shard, read from the folder of its group; one group is held at a time."""
+
+    def __init__(self, folder: str, columns: list[str]) -> None:
+        self.folder, self.columns, self.group, self.rows = folder, columns, None, {}
 
-    def mark(tokens: pa.Table, words: pa.Table) -> pa.Table:
-        if not tokens.num_rows:
-            raise ValueError("words of an unknown shard")
-        order = np.argsort(words.column("id").to_numpy())
-        place, ids, bases, splits = (words.column(c).to_numpy()[order] for c in ("place", "id", "base", "splits"))
-        said = np.frombuffer(tokens.column("tokens")[0].as_py(), "<i4")
-        local = np.full(max(int(said.max(initial=0)), int(place.max(initial=0))) + 2, -1, np.int64)
-        local[place] = np.arange(len(place))
-        grams = local[said]  # the end of a piece, -1, reads the last cell, which is -1
-        at = np.flatnonzero(grams >= 0)
-        return _state(tokens.column("shard")[0].as_py(), at, grams[at], ids, bases, splits)
+    def of(self, shard: int) -> list[dict]:
+        if self.group != shard >> 33:
+            self.group, self.rows = shard >> 33, {}
+            for block in stored_blocks(f"{self.folder}/group={self.group}", ["shard", *self.columns], 256):
+                for row in block.to_pylist():
+                    self.rows.setdefault(row["shard"], []).append(row)
+        return self.rows.get(shard, [])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _first_states(stored: DataFrame, marks_at: str) -> DataFrame:
+    """Each shard with the numbers of its frequent words."""
 
-    return stored.select("shard", "tokens").groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(mark, _STATE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = _Marks(marks_at, ["range", "places", "ranks", "lows", "splits", "offset"])
+        for row in _rows(batches):
+            found = marks.of(row["shard"])
+            if not found:
+                continue
+            place, low, splits = (np.concatenate(x) for x in zip(*((_unpack(m["places"], True), _unpack(m["lows"]) + m["offset"], _unpack(m["splits"])) for m in found)))
+            ids = np.concatenate([(m["range"] << 32) + _unpack(m["ranks"]) for m in found])
+            order = np.argsort(ids)
+            said = _unpack(row["tokens"])
+            local = np.full(max(int(said.max(initial=0)), int(place.max(initial=-1)) + 1) + 1, -1, np.int32)
+            local[place[order] + 1] = np.arange(len(order))  # words are counted from 1, 0 is the end of a piece
+            grams = local[said]
+            at = np.flatnonzero(grams >= 0)
+            yield _record(_STATE, [_state(row["shard"], at, grams[at], ids[order], low[order], splits[order])])
+
+    return stored.select("shard", "tokens").mapInArrow(run, _spark_schema(_STATE))
 
 
 class _Candidates:
@@ -194,69 +318,73 @@ class _Candidates:
         self.starts = np.flatnonzero(np.append(True, self.ranges[1:] != self.ranges[:-1])) if len(order) else np.zeros(0, np.int64)
 
 
+_AUTOMATON = pa.schema([("range", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("state", "high", "low", "weight"))])
+
+
 def _automata(states: DataFrame) -> DataFrame:
     """(range, shard, arcs): one automaton for each shard and prefix range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                found = _Candidates(row)
-                for a, b in zip(found.starts, [*found.starts[1:], len(found.ranges)]):
-                    arcs = CountAutomaton(*(x[a:b] for x in (found.arcs.state, found.arcs.symbol, found.arcs.weight)))
-                    state, symbol, weight = arcs.to_bytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(found.ranges[a])]), pa.array([row["shard"]], pa.int64()), *(pa.array([x], pa.binary()) for x in (state, symbol, weight))],
-                        ["range", "shard", "state", "symbol", "weight"])
+        for row in _rows(batches):
+            found = _Candidates(row)
+            arcs = found.arcs
+            for a, b in zip(found.starts, [*found.starts[1:], len(found.ranges)]):
+                packed = (_pack(arcs.state[a:b], True), *_pack_ids(arcs.symbol[a:b]), _pack(arcs.weight[a:b]))
+                yield _record(_AUTOMATON, [(int(found.ranges[a]), row["shard"], *packed)])
+
+    return states.mapInArrow(run, _spark_schema(_AUTOMATON))
 
-    return states.mapInArrow(run, "range long, shard long, state binary, symbol binary, weight binary")
+
+_UNITED = pa.schema([("range", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("stay", "place", "state", "high", "low", "weight"))])
 
 
 def _united(automata: DataFrame, least: int) -> DataFrame:
     """Per range one row without a shard, the pruned union, and one per shard: which of its arcs stay, and their places in the union."""
 
-    def unite(keys: tuple, table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        whole, places = CountAutomaton.union([CountAutomaton.from_bytes(r["state"], r["symbol"], r["weight"]) for r in rows])
+    def unite(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, parts = [], []
+        for row in _rows(batches):
+            shards.append(row["shard"])
+            parts.append(CountAutomaton(_unpack(row["state"], True), _unpack_ids(row["high"], row["low"]), _unpack(row["weight"])))
+        whole, places = CountAutomaton.union(parts)
         kept, renamed = whole.pruned(least)
-        out = []
-        if len(kept.state):
-            out.append((None, *kept.to_bytes()))
-            for row, place in zip(rows, places):
-                now = renamed[place]
-                stay = np.flatnonzero(now >= 0)
-                if len(stay):
-                    out.append((row["shard"], stay.astype("<i8").tobytes(), now[stay].astype("<i8").tobytes(), None))
-        columns = list(zip(*out)) or [(), (), (), ()]
-        return pa.Table.from_arrays(
-            [pa.array([keys[0].as_py()] * len(out), pa.int64()), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-            ["range", "shard", "state", "symbol", "weight"])
-
-    return automata.groupBy("range").applyInArrow(unite, "range long, shard long, state binary, symbol binary, weight binary")
-
-
-def _next_states(states: DataFrame, marks: DataFrame) -> DataFrame:
+        if not len(kept.state):
+            return
+        key = keys[0].as_py()
+        yield _record(_UNITED, [(key, None, None, None, _pack(kept.state, True), *_pack_ids(kept.symbol), _pack(kept.weight))])
+        for shard, place in zip(shards, places):
+            now = renamed[place]
+            stay = np.flatnonzero(now >= 0)
+            if len(stay):
+                yield _record(_UNITED, [(key, shard, _pack(stay, True), _pack(now[stay], True), None, None, None, None)])
+
+    return automata.groupBy("range").applyInArrow(unite, _spark_schema(_UNITED))
+
+
+def _next_states(states: DataFrame, marks_at: str) -> DataFrame:
     """Each shard with the phrases of one more word that stay; shards without any are left out."""
 
-    def mark(before: pa.Table, kept: pa.Table) -> pa.Table:
-        if not kept.num_rows:
-            return pa.table({n: pa.array([], pa.int64() if n == "shard" else pa.binary()) for n in ("shard", "steps", "grams", "ids", "bases", "splits")})
-        row = before.to_pylist()[0]
-        found = _Candidates(row)
-        start_of = {int(found.ranges[a]): int(a) for a in found.starts}
-        ids = np.full(len(found.ranges), -1, np.int64)
-        for r, stay, place in zip(*(kept.column(c).to_pylist() for c in ("range", "state", "symbol"))):
-            ids[start_of[r] + np.frombuffer(stay, "<i8")] = (r << 32) + np.frombuffer(place, "<i8")
-        stays = np.flatnonzero(ids >= 0)
-        stays = stays[np.argsort(ids[stays])]
-        local = np.full(len(ids), -1, np.int64)
-        local[stays] = np.arange(len(stays))
-        grams = local[found.of]
-        there = np.flatnonzero(grams >= 0)
-        first = found.first[stays]
-        return _state(row["shard"], found.at[there], grams[there], ids[stays], found.bases[first], found.splits[first])
-
-    return states.groupBy("shard").cogroup(marks.groupBy("of")).applyInArrow(mark, _STATE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = _Marks(marks_at, ["range", "stay", "place"])
+        for row in _rows(batches):
+            kept = marks.of(row["shard"])
+            if not kept:
+                continue
+            found = _Candidates(row)
+            start_of = {int(found.ranges[a]): int(a) for a in found.starts}
+            ids = np.full(len(found.ranges), -1, np.int64)
+            for m in kept:
+                ids[start_of[m["range"]] + _unpack(m["stay"], True)] = (m["range"] << 32) + _unpack(m["place"], True)
+            stays = np.flatnonzero(ids >= 0)
+            stays = stays[np.argsort(ids[stays])]
+            local = np.full(len(ids), -1, np.int64)
+            local[stays] = np.arange(len(stays))
+            grams = local[found.of]
+            there = np.flatnonzero(grams >= 0)
+            first = found.first[stays]
+            yield _record(_STATE, [_state(row["shard"], found.at[there], grams[there], ids[stays], found.bases[first], found.splits[first])])
+
+    return states.mapInArrow(run, _spark_schema(_STATE))
 
 
 def _arcs(united: DataFrame) -> DataFrame:
@@ -265,31 +393,28 @@ def _arcs(united: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                arcs = CountAutomaton.from_bytes(row["state"], row["symbol"], row["weight"])
-                ids = (row["range"] << 32) + np.arange(len(arcs.state))
+                state, symbol, weight = _unpack(row["state"], True), _unpack_ids(row["high"], row["low"]), _unpack(row["weight"])
+                ids = (row["range"] << 32) + np.arange(len(state))
                 for a in range(0, len(ids), 65_536):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 65_536]) for x in (ids, arcs.state, arcs.symbol, arcs.weight)], ["id", "state", "symbol", "a"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 65_536]) for x in (ids, state, symbol, weight)], ["id", "state", "symbol", "a"])
 
     return united.filter("shard IS NULL").mapInArrow(run, "id long, state long, symbol long, a long")
 
 
-def _levels(docs: DataFrame, least: int, longest: int, text: str, lang: str, shard_bytes: int, range_weight: int) -> tuple[DataFrame, list[DataFrame]]:
+def _levels(docs: DataFrame, least: int, longest: int, text: str, lang: str, shard_bytes: int, range_weight: int, entries_per_range: int) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n), and per level (id, lang, phrase, last, a, begins, ends, inside): the counts of all
     beginnings and endings, longest last and first, and the highest count of a phrase of one more word around it."""
-    spark = docs.sparkSession
     stored = written(shards(docs, text, lang, shard_bytes), "phrase-shards")
-    long = stored.select(F.inline("vocabulary")).select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("c"))))
-    counted = written(long.groupBy("lang", "word").agg(F.sum("c").alias("a")), "word-counts")
-    totals = counted.groupBy("lang").agg(F.sum("a").alias("n"))
-    numbered = written(_number_words(counted.filter(F.col("a") >= least), range_weight), "word-numbers")
-    # One number for each part of the order, of which there are as many as shuffle partitions.
-    parts = numbered.groupBy("part").agg(F.max(F.col("low") + F.col("splits")).alias("ranges")).orderBy("part").collect()
-    ends = np.cumsum([0, *[r.ranges for r in parts]]).tolist()
-    offsets = spark.createDataFrame([(r.part, e) for r, e in zip(parts, ends)], "part long, offset long")
-    words = numbered.join(F.broadcast(offsets), "part").select(
-        "lang", "word", "a", ((F.col("offset") + F.col("low")) * (1 << 32) + F.col("rank")).alias("id"), (F.col("offset") + F.col("low")).alias("base"), "splits")
-    words = written(words, "words")
-    states = written(_first_states(stored, words.select("lang", "word", "id", "base", "splits")), "phrase-states")
+    ranges = max(1, -(-(stored.agg(F.sum("entries")).first()[0] or 0) // entries_per_range))
+    counted = written(_counted_words(_listed_words(stored, ranges), least, range_weight), "word-counts")
+    whole = counted.filter("shard IS NULL")
+    # The prefix ranges of phrases stand one after the other, those of each range of words together.
+    offsets = whole.select("range", (F.sum("used").over(Window.orderBy("range")) - F.col("used")).alias("offset"))
+    marks = counted.filter("shard IS NOT NULL").select("range", "shard", "places", "ranks", "lows", "splits").join(offsets, "range")
+    states = written(_first_states(stored, _by_group(marks, "word-marks")), "phrase-states")
+    totals = whole.select(F.inline(F.arrays_zip(F.col("all_langs").alias("lang"), F.col("totals").alias("n")))).groupBy("lang").agg(F.sum("n").alias("n"))
+    numbered = whole.select("range", F.posexplode(F.arrays_zip(F.col("langs").alias("lang"), F.col("words").alias("word"), F.col("counts").alias("a"))).alias("rank", "w"))
+    words = numbered.select("w.lang", "w.word", "w.a", (F.shiftleft("range", 32) + F.col("rank")).alias("id"))
     none = F.array().cast("array<long>")
     level = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("begins"), none.alias("ends"))
     levels = []
@@ -305,17 +430,18 @@ def _levels(docs: DataFrame, least: int, longest: int, text: str, lang: str, sha
             F.concat("b1", F.array("a1")).alias("begins"), F.concat(F.array("a2"), "e2").alias("ends"))
         level = written(level, "phrases")
         if size < longest:
-            states = written(_next_states(states, united.filter("shard IS NOT NULL").select("range", F.col("shard").alias("of"), "state", "symbol")), "phrase-states")
+            marks = united.filter("shard IS NOT NULL").select("range", "shard", "stay", "place")
+            states = written(_next_states(states, _by_group(marks, "phrase-marks")), "phrase-states")
     levels.append(level.withColumn("inside", F.lit(None).cast("long")))
     return totals, levels
 
 
 def collocations(
     docs: DataFrame, least: int = 100, longest: int = 5, best: int = 2000, text: str = "text", lang: str = "lang",
-    shard_bytes: int = SHARD_BYTES, range_weight: int = RANGE_WEIGHT,
+    shard_bytes: int = SHARD_BYTES, range_weight: int = RANGE_WEIGHT, entries_per_range: int = ENTRIES_PER_RANGE,
 ) -> DataFrame:
     """The ``best`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    totals, levels = _levels(docs, least, longest, text, lang, shard_bytes, range_weight)
+    totals, levels = _levels(docs, least, longest, text, lang, shard_bytes, range_weight, entries_per_range)
     phrases = levels[1]
     for level in levels[2:]:
         phrases = phrases.unionByName(level)
