@@ -114,10 +114,22 @@ def test_lockout_keeps_no_group_in_memory(spark):
     assert rows(lockout.lockout(many).groupBy("outcome").count()) == [("failed", 30_000)]
 
 
-def test_lockout_stream_equals_batch(spark, tmp_path):
-    stream = feed(spark, str(tmp_path / "in"), LOGIN, LOGINS[:4], LOGINS[4:8], LOGINS[8:])
-    got = drain(lockout.lockout_stream(stream), tmp_path, "lockout")
-    assert rows(got) == rows(lockout.lockout(spark.createDataFrame(LOGINS, LOGIN)))
+def test_lockout_stream_equals_batch_in_any_order_of_arrival(spark, tmp_path):
+    later = [("w", 99, at(100_000), True)]  # moves the watermark past all others
+    for name, order in (("given", LOGINS), ("mixed", LOGINS[1::2] + LOGINS[::2])):
+        stream = feed(spark, str(tmp_path / name), LOGIN, order[:4], order[4:8], order[8:], later)
+        got = drain(lockout.lockout_stream(stream, "1 hour"), tmp_path, f"lockout_{name}")
+        assert rows(got) == rows(lockout.lockout(spark.createDataFrame(LOGINS, LOGIN)))
+
+
+def test_lockout_state_shrinks(spark, tmp_path):
+    users = [(f"u{n}", n, at(n % 50), True) for n in range(40)] + [(f"u{n}", 100 + n, at(300), False) for n in range(30)]
+    locked = [("locked", 200 + n, at(310 + n), True) for n in range(5)]
+    stream = feed(spark, str(tmp_path / "in"), LOGIN, users, locked, [("w", 500, at(2_000), True)], [("w", 501, at(9_000), False)])
+    drain(lockout.lockout_stream(stream, "10 seconds"), tmp_path, "shrinks")
+    left = spark.read.format("statestore").option("stateVarName", "count").load(str(tmp_path / "ck-shrinks"))
+    # Ten users have failed once and not come back; the lock has run out, all successes are forgotten.
+    assert rows(left.select(F.col("key.username").alias("u"))) == sorted((f"u{n}",) for n in range(30, 40)) + [("w",)]
 
 
 def test_latency_stream_equals_batch(spark, tmp_path):
