@@ -635,13 +635,15 @@ def n23(i: Inputs) -> DataFrame:
 @query(
     "n24_worst_questions",
     """SELECT d.qid, q.rule_id, round(score_a, 9) AS score_a, round(score_b, 9) AS score_b, round(d.d, 9) AS d, q.head,
-         coalesce((SELECT string_agg(line, '; ' ORDER BY line) FROM (SELECT nid || ' ' || text || CASE WHEN mean_points > 0 THEN '（一部）' ELSE '' END AS line FROM lost l WHERE l.setting = 'B' AND l.qid = d.qid)), '-') AS lost,
+         coalesce((SELECT string_agg(line, '; ' ORDER BY place) FROM (SELECT regexp_extract(nid, '[0-9]+$')::INT AS place, nid || ' ' || text || CASE WHEN mean_points > 0 THEN '（一部）' ELSE '' END AS line FROM lost l WHERE l.setting = 'B' AND l.qid = d.qid)), '-') AS lost,
          CASE WHEN EXISTS (SELECT 1 FROM scored s WHERE s.setting = 'B' AND s.qid = d.qid AND s.determined AND s.against) THEN 'Second.' ELSE '-' END AS contradictions
        FROM (SELECT *, round(d, 9) AS key FROM differences WHERE comparison = 'B-A' ORDER BY key, qid LIMIT 10) d JOIN per_question q ON q.qid = d.qid AND q.setting = 'B'""",
     ("differences", "per_question", "lost", "scored"),
 )
 def n24(i: Inputs) -> DataFrame:
     s = Scores(i)
+    s.scored = saved(s.scored.filter("setting in ('A', 'B')"))  # read by the means, the lost facts and the contradictions
+    s.per_question = saved(s.per_question)
     worst = s.differences.filter("comparison = 'B-A'").withColumn("d", F.round("d", 9))
     in_b = F.col("setting") == "B"
     table = nuggets.worst_questions(
@@ -660,9 +662,10 @@ view("raw_drafts", """
     r"""SELECT 'D' || doc_id AS qid, 'D' || doc_id || '-n' || n AS nid, 'fact ' || n AS text, CASE WHEN importance IN ('必須', 'Vital ') THEN 'vital' ELSE 'okay' END AS importance,
           bit AS quote, CASE n WHEN 1 THEN 'a,b' ELSE '' END AS keywords,
           concat_ws(',', CASE importance WHEN 'strange' THEN 'importance_unknown' END,
-            CASE WHEN regexp_replace(bit, '\s+', '', 'g') = '' OR NOT contains(regexp_replace(text, '\s+', '', 'g'), regexp_replace(bit, '\s+', '', 'g')) THEN 'quote_not_verbatim' END) AS flags
+            CASE WHEN regexp_replace(bit, '\s+', '', 'g') = '' OR NOT contains(regexp_replace(text, '\s+', '', 'g'), regexp_replace(bit, '\s+', '', 'g')) THEN 'quote_not_verbatim' END) AS flags,
+          CASE WHEN doc_id % 3 = 0 THEN 'rest ' || doc_id ELSE '' END AS left_out, '-' AS draft_error
         FROM raw_drafts WHERE NOT broken
-        UNION ALL SELECT DISTINCT 'D' || doc_id, '', '', '', '', '', 'draft_failed' FROM raw_drafts WHERE broken""",
+        UNION ALL SELECT DISTINCT 'D' || doc_id, '', '', '', '', '', 'draft_failed', '', CASE WHEN doc_id % 2 = 0 THEN 'nuggets の配列が無い' ELSE '事実に text が無い' END FROM raw_drafts WHERE broken""",
     ("raw_drafts",),
 )
 def n25(i: Inputs) -> DataFrame:
@@ -678,14 +681,17 @@ def n25(i: Inputs) -> DataFrame:
             F.lit('", "quote": "'), bit, F.lit('", "keywords": '), words, F.lit("}"),
         )
 
-    reply = F.concat(F.lit('{"nuggets": ['), fact(1), F.lit(", "), fact(2), F.lit("]}"))
+    rest = F.when(doc % 3 == 0, F.concat(F.lit('["no object", {"text": "rest '), doc.cast("string"), F.lit('"}]'))).otherwise(F.lit('"none"'))
+    reply = F.concat(F.lit('{"nuggets": ['), fact(1), F.lit(", "), fact(2), F.lit('], "excluded": '), rest, F.lit("}"))
+    broken = F.when(doc % 2 == 0, '{"nuggets": []}').otherwise('{"nuggets": [{"text": "one"}, {"quote": "two"}]}')
     rows = rated.select(
         F.concat(F.lit("D"), doc.cast("string")).alias("qid"), F.concat(F.lit("rule"), doc.cast("string")).alias("rule_id"),
-        nuggets.extract_json(F.when(doc % 7 == 0, '{"nuggets": []}').otherwise(reply)).alias("found"),
+        nuggets.extract_json(F.when(doc % 7 == 0, broken).otherwise(reply)).alias("found"),
     )
     corpus = rated.select(F.concat(F.lit("rule"), doc.cast("string")).alias("rule_id"), F.col("text").alias("body"))
     return nuggets.clean_drafts(rows, corpus).select(
-        "qid", "nid", "text", "importance", "quote", F.array_join("keywords", ",").alias("keywords"), F.array_join("flags", ",").alias("flags")
+        "qid", "nid", "text", "importance", "quote", F.array_join("keywords", ",").alias("keywords"), F.array_join("flags", ",").alias("flags"),
+        F.array_join(F.transform("excluded", lambda e: F.get_json_object(e, "$.text")), ",").alias("left_out"), F.coalesce("draft_error", F.lit("-")).alias("draft_error"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelight.functions import text as tx
+from gatelight.functions.json_scan import first_json
 from gatelight.operators.paired import mean_and_error
 
 HEAD_CHARS = 80
@@ -183,8 +184,6 @@ def check_freeze(manifest: DataFrame, rows: DataFrame) -> DataFrame:
 
 # ---- judge replies --------------------------------------------------------------
 
-_DECODER = json.JSONDecoder()
-
 
 def _salvaged(reply: str) -> str | None:
     """A reply's JSON: of the first fenced part, else of the whole text, that holds any.
@@ -193,22 +192,8 @@ def _salvaged(reply: str) -> str | None:
     the first array.
     """
     parts = reply.split("```")
-    closed = [p.lstrip(string.ascii_letters) for p in parts[1 : len(parts) - 1 : 2]]
-    for part in (p.strip() for p in (*closed, reply)):
-        places = [0] if part else []
-        for sign in "{[":
-            at = part.find(sign)
-            while at >= 0:
-                places.append(at)
-                at = part.find(sign, at + 1)
-        for turn, at in enumerate(places):
-            try:
-                value, end = _DECODER.raw_decode(part, at)
-            except (ValueError, RecursionError):
-                continue
-            if turn or end == len(part):
-                return json.dumps(value, ensure_ascii=False)
-    return None
+    closed = (p.lstrip(string.ascii_letters) for p in parts[1 : len(parts) - 1 : 2])
+    return next((found for found in map(first_json, (*closed, reply)) if found is not None), None)
 
 
 def extract_json(reply: Column) -> Column:
@@ -504,10 +489,17 @@ def _times(labels: Column, name: str) -> Column:
 def score_records(records: DataFrame, nuggets: DataFrame) -> DataFrame:
     """Points of each judged record; undetermined ones keep null scores.
 
+    A determined record that lacks the level of a vital fact stops the scoring: it was judged
+    by another list.
+
     ``records``: qid, run, answer, sentences, labels, facts, status (and e.g. setting).
     """
     rows = records.join(nuggets.select("qid", "rule_id", "nuggets"), "qid")
     levels = F.map_from_entries("facts")
+
+    def unjudged(nid: Column) -> Column:
+        return F.raise_error(F.concat(F.lit("no level of fact "), nid, F.lit(" in run "), F.coalesce("run", F.lit("")))).cast("double")
+
     rows = rows.withColumn("_ok", (F.col("status") == "ok") & (F.size(vital(F.col("nuggets"))) > 0))
     rows = rows.withColumn(
         "points",
@@ -515,7 +507,7 @@ def score_records(records: DataFrame, nuggets: DataFrame) -> DataFrame:
             F.col("_ok"),
             F.transform(
                 vital(F.col("nuggets")),
-                lambda n: F.struct(n["nid"].alias("nid"), points_of(F.try_element_at(levels, n["nid"])).alias("p")),
+                lambda n: F.struct(n["nid"].alias("nid"), F.coalesce(points_of(F.try_element_at(levels, n["nid"])), unjudged(n["nid"])).alias("p")),
             ),
         ).otherwise(F.array().cast("array<struct<nid:string,p:double>>")),
     )
@@ -621,21 +613,16 @@ def setting_summary(questions: DataFrame, outside: DataFrame, use_cluster: bool
 def worst_questions(
     differences: DataFrame, scores_b: DataFrame, lost: DataFrame, against: DataFrame, nuggets: DataFrame, top: int = 10
 ) -> DataFrame:
-    """The ``top`` questions that lost most (d, then qid), with what B lost and where it contradicts."""
+    """The ``top`` questions that lost most (d, then qid), with what B lost, in the order of the fact list, and where it contradicts."""
     worst = differences.orderBy("d", "qid").limit(top)
-    texts = nuggets.select("qid", F.inline("nuggets")).select("qid", "nid", "text")
+    facts = nuggets.join(worst.select("qid"), "qid", "left_semi").select("qid", F.posexplode("nuggets").alias("place", "n"))
+    texts = facts.select("qid", "place", F.col("n.nid").alias("nid"), F.col("n.text").alias("text"))
+    line = F.concat("nid", F.lit(" "), F.coalesce("text", F.lit("")), F.when(F.col("mean_points") > 0, "（一部）").otherwise(""))
     lines = (
         lost.join(worst.select("qid"), "qid", "left_semi")
         .join(texts, ["qid", "nid"], "left")
-        .withColumn(
-            "line",
-            F.concat(
-                "nid", F.lit(" "), F.coalesce("text", F.lit("")),
-                F.when(F.col("mean_points") > 0, "（一部）").otherwise(""),
-            ),
-        )
         .groupBy("qid")
-        .agg(F.array_join(F.array_sort(F.collect_list("line")), "; ").alias("lost"))
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda e: e["line"]), "; ").alias("lost"))
     )
     said = (
         against.join(worst.select("qid"), "qid", "left_semi")
@@ -657,22 +644,36 @@ def worst_questions(
     )
 
 
+# Why a draft cannot be used.
+DRAFT_WITHOUT_LIST = "nuggets の配列が無い"
+DRAFT_WITHOUT_TEXT = "事実に text が無い"
+
+
 def clean_drafts(drafts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Fact rows from raw drafts: qid, rule_id, found (JSON) -> nid, text, importance, quote, keywords, flags.
+    """Fact rows from raw drafts: qid, rule_id, found (JSON) -> nid, text, importance, quote, keywords, flags, excluded, draft_error.
 
-    One row per fact. A draft that cannot be used stays as one row flagged ``draft_failed``.
+    One row per fact; ``excluded`` repeats the objects the draft left out on purpose, as JSON texts.
+    A draft that cannot be used stays as one row flagged ``draft_failed`` with its reason: the
+    ``error`` of the drafts where they have such a column (a reply that never came), or what is wrong with it.
     """
     fact = "struct<text:string,importance:string,quote:string,keywords:string>"
-    rows = drafts.withColumn("_n", F.from_json("found", f"struct<nuggets:array<{fact}>>")["nuggets"])
-    usable = F.coalesce(
-        (F.size("_n") > 0) & ~F.exists("_n", lambda n: n.isNull() | tx.is_blank(n["text"])), F.lit(False)
-    )
+    given = F.col("error").cast("string") if "error" in drafts.columns else F.lit(None).cast("string")
+    inner = F.get_json_object("found", "$.nuggets")
+    left_out = F.get_json_object("found", "$.excluded")
     texts = F.array().cast("array<string>")
-    failed = rows.filter(~usable).select(
+    rows = drafts.select(
+        "qid", "rule_id", given.alias("_given"), F.from_json("found", f"struct<nuggets:array<{fact}>>")["nuggets"].alias("_n"),
+        F.coalesce(F.filter(F.from_json(F.when(F.substring(left_out, 1, 1) == "[", left_out), "array<string>"), _is_object), texts).alias("excluded"),
+        (F.substring(F.coalesce(inner, F.lit("")), 1, 1) == "[").alias("_list"),
+    )
+    without_list = ~F.col("_list") | F.coalesce(F.size("_n") <= 0, F.lit(True))
+    without_text = F.exists("_n", lambda n: n.isNull() | F.coalesce(tx.is_blank(n["text"]), F.lit(True)))
+    rows = rows.withColumn("draft_error", F.coalesce("_given", F.when(without_list, DRAFT_WITHOUT_LIST).when(without_text, DRAFT_WITHOUT_TEXT)))
+    failed = rows.filter("draft_error IS NOT NULL").select(
         "qid", "rule_id", F.lit("").alias("nid"), F.lit("").alias("text"), F.lit("").alias("importance"),
-        F.lit("").alias("quote"), texts.alias("keywords"), F.array(F.lit("draft_failed")).alias("flags"),
+        F.lit("").alias("quote"), texts.alias("keywords"), F.array(F.lit("draft_failed")).alias("flags"), texts.alias("excluded"), "draft_error",
     )
-    facts = rows.filter(usable).select("qid", "rule_id", F.posexplode("_n").alias("place", "n"))
+    facts = rows.filter("draft_error IS NULL").select("qid", "rule_id", "excluded", "draft_error", F.posexplode("_n").alias("place", "n"))
     known = _lookup(IMPORTANCE, F.lower(tx.strip(F.coalesce(F.col("n.importance"), F.lit("")))))
     quote = F.coalesce(F.col("n.quote"), F.lit(""))
     cleaned = facts.join(corpus.select("rule_id", "body"), "rule_id", "left").select(
@@ -689,5 +690,7 @@ def clean_drafts(drafts: DataFrame, corpus: DataFrame) -> DataFrame:
                 F.when(~tx.quoted_verbatim(quote, F.col("body")), "quote_not_verbatim"),
             )
         ).alias("flags"),
+        "excluded",
+        "draft_error",
     )
     return cleaned.unionByName(failed)

@@ -157,6 +157,47 @@ def test_drafts(spark):
     ], key=repr)
 
 
+def test_drafts_keep_what_was_left_out_and_why_they_failed(spark):
+    good = '{"nuggets": [{"text": "one"}], "excluded": [{"text": "x", "why": "y"}, 3, "z"]}'
+    df = spark.createDataFrame([("a", "r", good, None), ("b", "r", '{"nuggets": []}', None), ("c", "r", '{"nuggets": [{"text": " "}], "excluded": [{}]}', None), ("d", "r", None, "no answer"), ("e", "r", '{"nuggets": [{"text": "t"}], "excluded": "none"}', None)], "qid string, rule_id string, found string, error string")
+    got = ng.clean_drafts(df, spark.createDataFrame([("r", "b")], "rule_id string, body string"))
+    assert rows(got, "qid", "excluded", "draft_error") == sorted([
+        ("a", ['{"text":"x","why":"y"}'], None), ("b", [], ng.DRAFT_WITHOUT_LIST), ("c", [], ng.DRAFT_WITHOUT_TEXT), ("d", [], "no answer"), ("e", [], None)], key=repr)
+
+
+def test_lost_facts_stand_in_the_order_of_the_list(spark):
+    names = [f"q-n{n}" for n in range(1, 12)]
+    facts = spark.createDataFrame([("q", [fact(n) for n in names])], f"qid string, nuggets {LIST}")
+    lost = spark.createDataFrame([("B", "q", n, 0.5 if n == "q-n10" else 0.0) for n in reversed(names)], "setting string, qid string, nid string, mean_points double")
+    none = spark.createDataFrame([], "qid string, sentence string, first_seen struct<run:string,place:int>")
+    worst = ng.worst_questions(spark.createDataFrame([("q", -1.0)], "qid string, d double"), spark.createDataFrame([("q", "r", "h")], "qid string, rule_id string, head string"), lost, none, facts)
+    assert [x.split()[0] for x in worst.first().lost.split("; ")] == names
+
+
+def test_a_record_without_a_level_stops_the_scoring(spark):
+    nuggets = spark.createDataFrame([("q", "r", [fact("q-n1"), fact("q-n2")])], f"qid string, rule_id string, nuggets {LIST}")
+    records = spark.createDataFrame([("S", "q", "1", "x", ["x"], ["okay"], [("q-n1", "full")], "ok")], "setting string, qid string, run string, answer string, sentences array<string>, labels array<string>, facts array<struct<nid:string,level:string>>, status string")
+    with pytest.raises(Exception, match="no level of fact q-n2 in run 1"):
+        ng.score_records(records, nuggets).collect()
+
+
+def test_json_is_found_in_time_that_grows_with_the_text():
+    import json
+    import time
+
+    from gatelight.functions.json_scan import first_json
+
+    began = time.time()
+    assert first_json('{"a":' * 200_000) is None
+    assert first_json("[" * 1_000_000) is None
+    assert first_json('{"a":[' * 150_000 + '{"b": 1}') == '{"b": 1}'
+    assert first_json('{"a":' * 100_000 + "1" + "}" * 100_000) == json.dumps(json.loads('{"a":' * 500 + "1" + "}" * 500))
+    assert time.time() - began < 20
+    assert first_json('{"x": "open {"labels": ["a"]} y') == '{"labels": ["a"]}'
+    assert first_json('{"x": "{}" oops') == "{}" and first_json('a {b} {"c": [1, {"d": -0.5e3}], "e": null}') == '{"c": [1, {"d": -500.0}], "e": null}'
+    assert first_json('{"a" {"b": 2}}') == '{"b": 2}' and first_json("[1, 2,]") is None and first_json('{"a": 1,} [3]') == "[3]"
+
+
 def test_inputs_prompts_and_provenance(spark):
     nuggets = spark.createDataFrame([("q", "r", "Why?", "v1", [fact("1", text="5 日")]), ("p", "r", "", "v1", [fact("2")])], f"qid string, rule_id string, question string, version string, nuggets {LIST}")
     corpus = spark.createDataFrame([("r", "本文 100%")], "rule_id string, body string")
