@@ -90,8 +90,12 @@ def saved(df: DataFrame) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Removes a table made by :func:`saved`, once nothing reads it any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+    remove_folder(table.sparkSession, table.saved_at)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the shared one, by the file system it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
