@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelight.llm.common import new_folder, written
+from gatelight.llm.common import new_folder
 from gatelight.llm.count_automaton import CountAutomaton
+from gatelight.session import discard, remove_folder, saved
 from gatelight.sources.shared import stored_blocks
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 8 << 20
 RANGE_WEIGHT = 1 << 21
 ENTRIES_PER_RANGE = 1 << 20
 #: What ends a piece, and what separates words.
@@ -404,23 +405,29 @@ def _arcs(united: DataFrame) -> DataFrame:
 def _levels(docs: DataFrame, least: int, longest: int, text: str, lang: str, shard_bytes: int, range_weight: int, entries_per_range: int) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n), and per level (id, lang, phrase, last, a, begins, ends, inside): the counts of all
     beginnings and endings, longest last and first, and the highest count of a phrase of one more word around it."""
-    stored = written(shards(docs, text, lang, shard_bytes), "phrase-shards")
+    # Each table is stored once and goes as soon as the next ones are: a shard's own words and states are the bulk of it.
+    spark = docs.sparkSession
+    stored = saved(shards(docs, text, lang, shard_bytes))
     ranges = max(1, -(-(stored.agg(F.sum("entries")).first()[0] or 0) // entries_per_range))
-    counted = written(_counted_words(_listed_words(stored, ranges), least, range_weight), "word-counts")
+    counted = saved(_counted_words(_listed_words(stored, ranges), least, range_weight))
     whole = counted.filter("shard IS NULL")
     # The prefix ranges of phrases stand one after the other, those of each range of words together.
     offsets = whole.select("range", (F.sum("used").over(Window.orderBy("range")) - F.col("used")).alias("offset"))
-    marks = counted.filter("shard IS NOT NULL").select("range", "shard", "places", "ranks", "lows", "splits").join(offsets, "range")
-    states = written(_first_states(stored, _by_group(marks, "word-marks")), "phrase-states")
     totals = whole.select(F.inline(F.arrays_zip(F.col("all_langs").alias("lang"), F.col("totals").alias("n")))).groupBy("lang").agg(F.sum("n").alias("n"))
     numbered = whole.select("range", F.posexplode(F.arrays_zip(F.col("langs").alias("lang"), F.col("words").alias("word"), F.col("counts").alias("a"))).alias("rank", "w"))
-    words = numbered.select("w.lang", "w.word", "w.a", (F.shiftleft("range", 32) + F.col("rank")).alias("id"))
+    totals, words = saved(totals), saved(numbered.select("w.lang", "w.word", "w.a", (F.shiftleft("range", 32) + F.col("rank")).alias("id")))
+    marks = counted.filter("shard IS NOT NULL").select("range", "shard", "places", "ranks", "lows", "splits").join(offsets, "range")
+    marks_at = _by_group(marks, "word-marks")
+    discard(counted)
+    states = saved(_first_states(stored, marks_at))
+    discard(stored)
+    remove_folder(spark, marks_at)
     none = F.array().cast("array<long>")
     level = words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("begins"), none.alias("ends"))
     levels = []
     for size in range(2, longest + 1):
-        united = written(_united(_automata(states), least), "phrase-automata")
-        arcs = written(_arcs(united), "phrase-arcs")
+        united = saved(_united(_automata(states), least))
+        arcs = saved(_arcs(united))
         left = level.select(F.col("id").alias("state"), "lang", F.col("phrase").alias("p1"), F.col("a").alias("a1"), F.col("begins").alias("b1"))
         right = level.select(F.col("id").alias("symbol"), F.col("last").alias("p2"), F.col("a").alias("a2"), F.col("ends").alias("e2"))
         around = arcs.select(F.explode(F.array("state", "symbol")).alias("id"), "a").groupBy("id").agg(F.max("a").alias("inside"))
@@ -428,10 +435,14 @@ def _levels(docs: DataFrame, least: int, longest: int, text: str, lang: str, sha
         level = arcs.join(left, "state").join(right, "symbol").select(
             "id", "lang", F.concat_ws(" ", "p1", "p2").alias("phrase"), F.col("p2").alias("last"), "a",
             F.concat("b1", F.array("a1")).alias("begins"), F.concat(F.array("a2"), "e2").alias("ends"))
-        level = written(level, "phrases")
+        level = saved(level)
+        before = states
         if size < longest:
-            marks = united.filter("shard IS NOT NULL").select("range", "shard", "stay", "place")
-            states = written(_next_states(states, _by_group(marks, "phrase-marks")), "phrase-states")
+            marks_at = _by_group(united.filter("shard IS NOT NULL").select("range", "shard", "stay", "place"), "phrase-marks")
+            states = saved(_next_states(states, marks_at))
+            remove_folder(spark, marks_at)
+        discard(united)
+        discard(before)
     levels.append(level.withColumn("inside", F.lit(None).cast("long")))
     return totals, levels
 
