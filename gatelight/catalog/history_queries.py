@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from gatelight.catalog.inputs import EPOCH, Inputs, sql_basename, sql_strip
 from gatelight.catalog.search_queries import turn_pairs
 from gatelight.operators import history, registry
 from gatelight.plans import retrieval
+from gatelight.session import shared_dir
+from gatelight.sources import tables
 
 view("messages", """
   SELECT conv_id * 1000000 + turn AS message_id, conv_id AS conversation_id, turn, role, text AS content, (1 + conv_id % 3)::INT AS user_access_level,
@@ -284,7 +288,11 @@ def h15(i: Inputs) -> DataFrame:
     ("messages",),
 )
 def h16(i: Inputs) -> DataFrame:
-    return messages(i).select("message_id", history.scrub_sources(F.col("sources")).alias("sources"))
+    spark, base = i.spark, f"{shared_dir(i.spark)}/gatelight-messages/{uuid.uuid4().hex}"
+    tables.publish(messages(i).select("message_id", "sources"), base)
+    # The second run finds the key in the manifest and leaves the table alone.
+    assert [history.strip_legacy_sources(spark, base) for _ in range(2)] == [True, False]
+    return tables.read_current(spark, base).select("message_id", "sources")
 
 
 @query("h17_audit_scrub", "SELECT message_id AS id, '-' AS answer, -1 AS answer_chars FROM messages", ("messages",))

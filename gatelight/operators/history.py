@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelight.functions import text as tx
 from gatelight.operators.access import GONE, may_read
 from gatelight.operators.store import lookup
+from gatelight.sources import tables
 
 # Texts shown to the reader.
 DEFAULT_TITLE = "新しい会話"
@@ -247,6 +248,15 @@ def scrub_sources(sources: Column) -> Column:
     return F.when(F.coalesce(F.exists(items, holds), F.lit(False)), scrubbed).otherwise(sources)
 
 
+#: Fixed value: the key under which the scrub of old source lists is entered in a table's migrations.
+STRIP_LEGACY_SOURCES = "strip_legacy_message_sources_content"
+
+
+def strip_legacy_sources(spark: SparkSession, messages_at: str) -> bool:
+    """Scrubs the published message table once; later runs read no message. Says whether this run did it."""
+    return tables.migrate(spark, messages_at, STRIP_LEGACY_SOURCES, lambda rows: rows.withColumn("sources", scrub_sources(F.col("sources"))))
+
+
 def scrub_answers(logs: DataFrame) -> DataFrame:
     """First migration only: the log of old holds answers; from then on it holds their length."""
     if "answer_chars" in logs.columns:

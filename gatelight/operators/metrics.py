@@ -281,54 +281,61 @@ def dataset_problems(
 
     ``corpus``: source_path, content. Sequence numbers (at least ``digits`` digits, filled
     up with zeros) are compared with the count, every expected category with its rows, the
-    number of rows with ``expected_total``,
-    sources and documents by joins in both directions, keywords against the text of
-    their question's sources.
+    number of rows with ``expected_total``, sources and documents in both directions,
+    keywords against the text of their question's sources. The questions are stored once;
+    the corpus is read once, and no text is carried beyond the join with its citations.
     """
-    ids = questions.groupBy("question_id").agg(F.count("*").alias("n"))
-    repeated = ids.filter("n > 1").select(F.lit("repeated id").alias("check"), F.col("question_id").alias("subject"))
-    number = F.regexp_extract("question_id", rf"\A{prefix}(\d+)\z", 1).try_cast("bigint")
-    total = questions.agg(F.count("*").alias("total")).scalar()
-    unordered = ids.filter(
-        F.coalesce((number < 1) | (number > total) | (F.col("question_id") != F.concat(F.lit(prefix), _filled(number, digits))), F.lit(True))
-    ).select(F.lit("id out of sequence").alias("check"), F.col("question_id").alias("subject"))
-    wanted = questions.sparkSession.createDataFrame(list(expected_counts.items()), "category string, wanted long")
-    there = questions.groupBy("category").agg(F.count("*").alias("n"))
-    counts = there.join(wanted, "category", "full_outer").filter(F.coalesce("n", F.lit(0)) != F.coalesce("wanted", F.lit(0))).select(
-        F.lit("category count").alias("check"), F.col("category").alias("subject")
-    )
-    if expected_total is not None:
-        whole = questions.agg(F.count("*").alias("n")).filter(F.col("n") != expected_total)
-        counts = counts.unionByName(whole.select(F.lit("question count").alias("check"), F.col("n").cast("string").alias("subject")))
-    refusing = F.col("category").isin(*REFUSAL_CATEGORIES)
+    questions = saved(questions)
+    total = questions.count()
 
-    def finding(check: str, condition: Column) -> DataFrame:
-        return questions.filter(condition).select(F.lit(check).alias("check"), F.col("question_id").alias("subject"))
+    def found(check: str, condition: Column, subject: Column) -> Column:
+        return F.when(condition, F.struct(F.lit(check).alias("check"), subject.alias("subject")))
 
-    flag = finding("refuse flag missing", refusing & ~F.col("should_refuse"))
-    no_source = finding("no expected source", ~refusing & (F.size("expected_sources") <= 0))
-    level = finding("permission test at top level", (F.col("category") == "permission_test") & (F.col("user_access_level") >= 3))
-    cited = questions.select("question_id", "should_refuse", F.explode("expected_sources").alias("source_path"))
-    paths = corpus.select("source_path")
-    unknown = cited.join(paths, "source_path", "left_anti").select(
-        F.lit("unknown source").alias("check"), F.concat_ws(" ", "question_id", "source_path").alias("subject")
-    )
-    unused = paths.join(cited.select("source_path").distinct(), "source_path", "left_anti").select(
-        F.lit("document never expected").alias("check"), F.col("source_path").alias("subject")
-    )
-    short = corpus.filter(F.length("content") < 1000).select(
-        F.lit("short document").alias("check"), F.col("source_path").alias("subject")
-    )
-    words = questions.filter(~F.col("should_refuse")).select(
-        "question_id", "expected_sources", F.explode("expected_answer_keywords").alias("keyword")
-    )
-    texts = cited.join(corpus.select("source_path", "content"), "source_path").select("question_id", "content")
-    # A keyword may be in any of a question's sources.
-    grounded = words.join(texts, "question_id", "left").groupBy("question_id", "keyword").agg(
-        F.bool_or(F.contains(F.coalesce("content", F.lit("")), F.col("keyword"))).alias("found")
-    )
-    ungrounded = grounded.filter(~F.col("found")).select(
-        F.lit("keyword not in sources").alias("check"), F.concat_ws(" ", "question_id", "keyword").alias("subject")
+    def findings(rows: DataFrame, *checks: Column) -> DataFrame:
+        return rows.select(F.inline(F.array_compact(F.array(*checks))))
+
+    # Row by row.
+    refusing = F.col("category").isin(*REFUSAL_CATEGORIES)
+    asked = F.col("question_id")
+    parts = [findings(
+        questions,
+        found("refuse flag missing", refusing & ~F.col("should_refuse"), asked),
+        found("no expected source", ~refusing & (F.size("expected_sources") <= 0), asked),
+        found("permission test at top level", (F.col("category") == "permission_test") & (F.col("user_access_level") >= 3), asked),
+    )]
+    # By category, where every expected one has a row of its own that counts none.
+    wanted = questions.sparkSession.createDataFrame(list(expected_counts.items()), "category string, wanted long")
+    both = questions.select("category", F.lit(1).alias("n"), F.lit(None).cast("long").alias("wanted")).unionByName(wanted.withColumn("n", F.lit(0)))
+    counts = both.groupBy("category").agg(F.sum("n").alias("n"), F.coalesce(F.max("wanted"), F.lit(0)).alias("wanted"))
+    parts.append(findings(counts, found("category count", F.col("n") != F.col("wanted"), F.col("category"))))
+    if expected_total not in (None, total):
+        parts.append(questions.sparkSession.createDataFrame([("question count", str(total))], "check string, subject string"))
+    # By id: its rows, its sources, and the keywords of those rows that are to be answered.
+    number = F.regexp_extract("question_id", rf"\A{prefix}(\d+)\z", 1).try_cast("bigint")
+    out_of_order = F.coalesce((number < 1) | (number > total) | (asked != F.concat(F.lit(prefix), _filled(number, digits))), F.lit(True))
+    ids = questions.groupBy("question_id").agg(
+        F.count("*").alias("n"), F.flatten(F.collect_list("expected_sources")).alias("sources"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("should_refuse"), F.col("expected_answer_keywords"))))).alias("keywords"),
     )
-    parts = [repeated, unordered, counts, flag, no_source, level, unknown, unused, short, ungrounded]
+    cited = ids.select("question_id", "keywords", F.posexplode_outer(F.when(F.size("sources") > 0, F.col("sources"))).alias("place", "cited_path"), (F.col("n") > 1).alias("repeated"), out_of_order.alias("out_of_order"))
+    met = cited.join(corpus.select("source_path", "content"), F.col("cited_path") == F.col("source_path"), "full_outer")
+    path, first = F.col("source_path"), F.coalesce("place", F.lit(0)) == 0
+
+    def open_(check: str, condition: Column, subject: Column) -> Column:
+        return F.when(condition, F.struct(F.lit(check).alias("check"), subject.alias("subject"), F.lit(False).alias("settled")))
+
+    grounded = F.transform(
+        "keywords", lambda k: F.struct(
+            F.lit("keyword not in sources").alias("check"), F.concat_ws(" ", asked, k).alias("subject"), F.contains(F.coalesce("content", F.lit("")), k).alias("settled")))
+    entries = F.concat(F.coalesce(grounded, F.array().cast("array<struct<check:string,subject:string,settled:boolean>>")), F.array_compact(F.array(
+        open_("repeated id", first & F.col("repeated"), asked),
+        open_("id out of sequence", first & F.col("out_of_order"), asked),
+        open_("unknown source", F.col("cited_path").isNotNull() & path.isNull(), F.concat_ws(" ", asked, F.col("cited_path"))),
+        open_("document never expected", path.isNotNull() & F.col("cited_path").isNull(), path),
+        open_("short document", F.length("content") < 1000, path),
+    )))
+    # A keyword may be in any of a question's sources; a document is short once, however often it is cited.
+    settled = met.select(F.inline(entries)).groupBy("check", "subject").agg(F.bool_or("settled").alias("settled"), F.count("*").cast("int").alias("times"))
+    times = F.when(F.col("check") == "unknown source", F.col("times")).otherwise(1)
+    parts.append(settled.filter(~F.col("settled")).select("check", F.explode(F.array_repeat("subject", times)).alias("subject")))
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatelight.functions import text as tx
@@ -68,11 +68,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     """Strict JSON lines: (rows, errors). Blank lines are skipped; a line that is no
     JSON object is an error row with its file, its number in it (from 1) and its text.
 
-    Files are numbered whole, so a file is one value; data files are far smaller than that.
+    Files are read in splits of any size: a line's number is its place in its split, after
+    the lines of the file's earlier splits.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\n", -1)).alias("place", "line"))
-    lines = lines.select("file", (F.col("place") + 1).alias("number"), F.btrim("line", F.lit(" \t\r")).alias("line")).filter("line <> ''")
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    # A split is read by one task from its first line to its last, so its numbers are a row's own and without gaps.
+    read = spark.read.option("lineSep", "\n").text(path).select(*split, F.monotonically_increasing_id().alias("at"), "value")
+    blocks = read.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    earlier = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    lines = read.join(blocks.select("file", "block", (earlier - F.col("first") + 1).alias("shift")), ["file", "block"])
+    lines = lines.select("file", (F.col("at") + F.col("shift")).alias("number"), F.btrim("value", F.lit(" \t\r")).alias("line")).filter("line <> ''")
     bad = tx.json_value(F.col("line")).isNull() | (F.substring("line", 1, 1) != "{")
     rows = lines.filter(~bad).select("file", F.from_json("line", schema).alias("r")).select("file", "r.*")
     return rows, lines.filter(bad)

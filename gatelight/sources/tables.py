@@ -8,6 +8,8 @@ per batch; writing a batch again replaces it, so a retried batch counts once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,19 +44,43 @@ def read_current(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(f"{base}/version={known[-1]}") if known else None
 
 
-def publish(df: DataFrame, base: str, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()) -> int:
-    """Writes ``df`` beside the current version, then points the manifest at it."""
+def publish(df: DataFrame, base: str, partition_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (), applied: tuple[str, ...] = ()) -> int:
+    """Writes ``df`` beside the current version, then points the manifest at it.
+
+    The manifest entry also names every migration the table has seen: those of the version
+    before and the newly ``applied`` ones, so a migration counts exactly when its rows do.
+    """
     spark = df.sparkSession
     version = (versions(spark, base) or [0])[-1] + 1
+    known = sorted({*migrations(spark, base), *applied})
     ordered = df.sortWithinPartitions(*partition_by, *sort_by) if sort_by else df
     writer = ordered.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{base}/version={version}")
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode(
-        "append"
-    ).json(f"{base}/manifest")
+    entry = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"), F.lit(known).cast("array<string>").alias("migrations"))
+    entry.coalesce(1).write.mode("append").json(f"{base}/manifest")
     return version
 
 
+def migrations(spark: SparkSession, base: str) -> list[str]:
+    """Keys of the migrations the current version has seen."""
+    known = versions(spark, base)
+    if not known:
+        return []
+    entries = spark.read.schema("version int, migrations array<string>").json(f"{base}/manifest").filter(F.col("version") == known[-1])
+    return sorted({key for row in entries.collect() for key in row.migrations or ()})
+
+
+def migrate(spark: SparkSession, base: str, key: str, change: Callable[[DataFrame], DataFrame]) -> bool:
+    """Publishes the changed table once; where ``key`` has been applied, no row is read. Says whether it changed anything."""
+    if key in migrations(spark, base):
+        return False
+    table = read_current(spark, base)
+    if table is None:
+        return False
+    publish(change(table), base, applied=(key,))
+    return True
+
+
 def publish_store(chunks: DataFrame, base: str) -> int:
     """A chunk store in the layout retrieval prunes by."""
     return publish(chunks, base, STORE_PARTITIONING, STORE_SORTING)

@@ -163,3 +163,37 @@ def test_json_lines_answers_and_rules(spark, tmp_path):
     assert asked.count() == 1 and rows(wrong, "number", "line") == [(3, "{broken")]
     tables.write_results(good, str(tmp_path / "out"), by="run")
     assert rows(spark.read.json(str(tmp_path / "out")), "run", "qid") == [("other", "2"), ("run1", "1")]
+
+
+def test_old_sources_are_scrubbed_once(spark, tmp_path):
+    base = str(tmp_path / "messages")
+    assert not history.strip_legacy_sources(spark, base)
+    old = '[{"id": 1, "score": 0.5, "source_file": "/a/b.txt", "content": "copied"}]'
+    tables.publish(spark.createDataFrame([(1, old), (2, "[]")], "id int, sources string"), base)
+    assert history.strip_legacy_sources(spark, base)
+    got = {r.id: r.sources for r in tables.read_current(spark, base).collect()}
+    assert "content" not in got[1] and "b.txt" in got[1] and got[2] == "[]"
+    assert tables.migrations(spark, base) == [history.STRIP_LEGACY_SOURCES]
+
+    def never(rows):
+        raise AssertionError("read again")
+
+    assert not tables.migrate(spark, base, history.STRIP_LEGACY_SOURCES, never) and tables.versions(spark, base) == [1, 2]
+    tables.publish(tables.read_current(spark, base).withColumn("x", F.lit(1)), base)  # later versions keep the ledger
+    assert not history.strip_legacy_sources(spark, base) and tables.versions(spark, base) == [1, 2, 3]
+
+
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    for name, step in (("a", 1), ("b", 3)):
+        lines = [f'{{"qid": "{name}{n}"}}' if n % 7 else ("" if n % 2 else f"bad {n} äöü") for n in range(1, 400, step)]
+        (tmp_path / f"{name}.json").write_text("\n".join(lines) + "\r\n", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "257")
+    try:
+        good, errors = files.read_jsonl(spark, str(tmp_path), "qid string")
+        assert good.rdd.getNumPartitions() > 4
+        found = {(r.file[-6], r.line): r.number for r in errors.collect()}
+        assert found == {(name, f"bad {n} äöü"): at for name, step in (("a", 1), ("b", 3)) for at, n in enumerate(range(1, 400, step), 1) if n % 14 == 0}
+        assert good.count() == sum(n % 7 != 0 for step in (1, 3) for n in range(1, 400, step))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
