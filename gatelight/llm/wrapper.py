@@ -2,14 +2,19 @@
 
 Pages of one host are taken in blocks of at most ``pages_per_block``; the last two blocks
 share their pages evenly, so that no block is short unless the host (or its part) is. Every page is parsed
-into a tree of block elements; runs of like siblings count as one repeated node. The trees
-of a block are merged into its pattern one by one, aligned by simple tree matching: two nodes
-match when their tags do, and the children of matching nodes are aligned in order with the
-largest number of matches; nodes without a match join the pattern as slots of their own. A
-text that different pages have in one slot, and at least three quarters of the pages that
-have the slot, is template; slots whose text varies may be content. The wrapper of the block is the deepest container that still holds nearly all varying text
-outside menus, headers, footers, sidebars, notices, adverts, forms and comments. Each page
-gives the blocks inside its own copy of that container.
+into a tree of block elements; runs of like siblings, and runs of paragraphs, headings and
+items, count as one repeated node. The trees of a block are merged into its pattern one by
+one, aligned by simple tree matching: two nodes match when their tags do, and the children
+of matching nodes are aligned in order with the largest number of matches; nodes without a
+match join the pattern as slots of their own. Sub-trees of one shape share their score, and
+children are aligned row by row in linear memory, so pages of any length are aligned whole.
+
+A constant node is template, whatever its tag: a text that nine tenths of the different pages
+of a block (of eight pages or more) have in one slot. In bare containers it is enough that
+two and three quarters of those that have the slot agree. Slots whose text varies are
+content. The wrapper of the block is the deepest container that still holds nearly all
+varying text outside menus, headers, footers, sidebars, notices, adverts, forms and comments.
+Each page gives the blocks inside its own copy of that container, without template.
 
 A page alone in its block has no template, so all its text counts as varying. A page
 without the container is treated as if it were alone.
@@ -32,6 +37,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +51,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _UNSEEN = frozenset("script style noscript template iframe object svg math canvas audio video head title textarea select option button datalist".split())
 _APART = frozenset("nav header footer aside form dialog menu search".split())
+_BARE = frozenset("div section td center".split())
+_FLOW = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd figcaption address".split())
 _CONTAINERS = frozenset("html body div main article section center table tbody tr td".split())
 # What an open paragraph ends at, and items that end their like.
 _ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -52,6 +60,10 @@ _ENDS_LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _HOLDS_LIKE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 # Elements nested deeper become siblings, as in browsers.
 _DEEPEST = 200
+# Pages from which on a text that nearly all of them share is template whatever its tag.
+_FEWEST_PAGES = 8
+# Cells of an alignment kept at once, and pairs of shapes whose scores are worked out for one alignment.
+_MOST_CELLS, _MOST_PAIRS = 1 << 18, 10_000
 # Words in class, id and role that name what is not the article.
 _APART_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|"
@@ -180,45 +192,132 @@ class Slot:
     children: list = field(default_factory=list)
 
 
+def _run_on(last: Slot, node: Node) -> bool:
+    """Whether a leaf belongs to the run before it."""
+    if not (node.leaf() and last.nodes[0].leaf()) or last.apart != node.apart:
+        return False
+    return (last.tag, last.names) == (node.tag, node.names) or (last.tag in _FLOW and node.tag in _FLOW)
+
+
 def slot_of(node: Node) -> Slot:
     """The pattern of a node, repeated leaves taken together."""
     children: list[Slot] = []
     for child in node.children:
         if not isinstance(child, Node):
             continue
-        last = children[-1] if children else None
-        if last is not None and child.leaf() and last.nodes[0].leaf() and (last.tag, last.names) == (child.tag, child.names):
-            last.nodes.append(child)
-            last.own += "\n" + "\n".join(child.children)
+        if children and _run_on(children[-1], child):
+            children[-1].nodes.append(child)
+            children[-1].own += "\n" + "\n".join(child.children)
         else:
             children.append(slot_of(child))
     return Slot(node.tag, node.names, node.apart, [node], "\n".join(c for c in node.children if isinstance(c, str)), children)
 
 
+class Matcher:
+    """Simple tree matching of patterns: the number of matching nodes, where like names count once more.
+
+    A score depends on the shapes of two trees only, so it is worked out once for each pair of shapes.
+    """
+
+    def __init__(self) -> None:
+        self.shapes: dict[tuple, int] = {}
+        self.scores: dict[tuple[int, int], int] = {}
+        self.of: dict[int, int] = {}
+
+    def shape(self, slot: Slot) -> int:
+        key = (slot.tag if slot.tag not in _FLOW else "#flow", slot.names, tuple(self.shape(c) for c in slot.children))
+        found = self.of[id(slot)] = self.shapes.setdefault(key, len(self.shapes))
+        return found
+
+    def score(self, a: Slot, b: Slot) -> int:
+        if not _like(a, b):
+            return 0
+        key = self.of[id(a)], self.of[id(b)]
+        if key not in self.scores:
+            inner = sum(self.score(x, y) for x, y in self.aligned(a.children, b.children))
+            self.scores[key] = inner + 1 + (a.names == b.names)
+        return self.scores[key]
+
+    def pairs(self, a: Slot, b: Slot) -> list[tuple[Slot, Slot]]:
+        """All matching nodes of two trees, from the roots down."""
+        if not _like(a, b):
+            return []
+        return [(a, b)] + [pair for x, y in self.aligned(a.children, b.children) for pair in self.pairs(x, y)]
+
+    def aligned(self, left: list[Slot], right: list[Slot]) -> list[tuple[Slot, Slot]]:
+        """The children of two nodes that match, in order, with the largest sum of scores."""
+        # Trees of one shape at either end match in some best alignment.
+        head, most = 0, min(len(left), len(right))
+        while head < most and self.of[id(left[head])] == self.of[id(right[head])]:
+            head += 1
+        tail = 0
+        while tail < most - head and self.of[id(left[-1 - tail])] == self.of[id(right[-1 - tail])]:
+            tail += 1
+        inner = self._inner(left[head : len(left) - tail], right[head : len(right) - tail])
+        ends = list(zip(left[len(left) - tail :], right[len(right) - tail :])) if tail else []
+        return list(zip(left[:head], right[:head])) + inner + ends
+
+    def _inner(self, left: list[Slot], right: list[Slot]) -> list[tuple[Slot, Slot]]:
+        if not left or not right:
+            return []
+        kinds = [{}, {}]
+        rows, columns = (np.array([kind.setdefault(self.of[id(s)], (len(kind), s))[0] for s in slots]) for kind, slots in zip(kinds, (left, right)))
+        examples = [[s for _, s in kind.values()] for kind in kinds]
+        exact = len(examples[0]) * len(examples[1]) <= _MOST_PAIRS
+        # Of very many different shapes only the roots are compared when their order is sought.
+        weights = np.array([[(self.score(a, b) if exact else _like(a, b) * (1 + (a.names == b.names))) for b in examples[1]] for a in examples[0]], np.int32)
+        return [(left[i], right[j]) for i, j in best_order(weights, rows, columns)]
+
+
+def _like(a: Slot, b: Slot) -> bool:
+    return a.tag == b.tag or (a.tag in _FLOW and b.tag in _FLOW)
+
+
+def best_order(weights: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs (i, j), ascending in both, whose weights[rows[i], columns[j]] have the largest sum; pairs of weight 0 are none.
+
+    Small tables are kept whole; large ones are halved at the best column of their middle row, which needs two rows at a time.
+    """
+    if not len(rows) or not len(columns):
+        return []
+    if len(rows) == 1 or len(rows) * len(columns) <= _MOST_CELLS:
+        table = np.zeros((len(rows) + 1, len(columns) + 1), np.int32)
+        for i, kind in enumerate(rows):
+            _next_row(table[i], weights[kind][columns], table[i + 1])
+        out, i, j = [], len(rows), len(columns)
+        while i and j:
+            weight = weights[rows[i - 1], columns[j - 1]]
+            if weight and table[i, j] == table[i - 1, j - 1] + weight:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif table[i, j] == table[i - 1, j]:
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
+    middle = len(rows) // 2
+    before, after = _last_row(weights, rows[:middle], columns), _last_row(weights, rows[middle:][::-1], columns[::-1])
+    cut = int(np.argmax(before + after[::-1]))
+    return best_order(weights, rows[:middle], columns[:cut]) + [(i + middle, j + cut) for i, j in best_order(weights, rows[middle:], columns[cut:])]
+
+
+def _next_row(row: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
+    np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weight), out=out[1:])
+
+
+def _last_row(weights: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    row, spare = np.zeros(len(columns) + 1, np.int32), np.zeros(len(columns) + 1, np.int32)
+    for kind in rows:
+        _next_row(row, weights[kind][columns], spare)
+        row, spare = spare, row
+    return row
+
+
 def match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
-    """Simple tree matching: the number of matching nodes, and the pairs."""
-    if a.tag != b.tag:
-        return 0, []
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    below: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(m):
-        for j in range(n):
-            got = best[i][j + 1] if best[i][j + 1] >= best[i + 1][j] else best[i + 1][j]
-            if a.children[i].tag == b.children[j].tag:
-                below[i, j] = match(a.children[i], b.children[j])
-                got = max(got, best[i][j] + below[i, j][0])
-            best[i + 1][j + 1] = got
-    pairs, i, j = [(a, b)], m, n
-    while i and j:
-        if (i - 1, j - 1) in below and best[i][j] == best[i - 1][j - 1] + below[i - 1, j - 1][0]:
-            pairs += below[i - 1, j - 1][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[m][n] + 1 + (a.names == b.names), pairs
+    """The score of two patterns and their matching nodes."""
+    matcher = Matcher()
+    matcher.shape(a), matcher.shape(b)
+    return matcher.score(a, b), matcher.pairs(a, b)
 
 
 def _slots(root: Slot) -> Iterator[Slot]:
@@ -239,32 +338,45 @@ class Wrapper:
 
     def __init__(self, pages: list[Slot]) -> None:
         self.pattern = Slot(pages[0].tag, "", False, [], "")
+        self.matcher = Matcher()
         self.aligned = [self._merged(page) for page in pages]
-        varying = {id(s): 0.0 for s in _slots(self.pattern)}
-        self.constant: dict[int, str] = {}
+        varying: dict[int, float] = {}
+        #: The template texts of each slot.
+        self.constant: dict[int, set[str]] = {}
         for slot in _slots(self.pattern):
             have = [page[id(slot)] for page in self.aligned if id(slot) in page]
             slot.apart = 2 * sum(h.apart for h in have) > len(have)
-            own, times = Counter(h.own for h in have).most_common(1)[0]
-            if times > 1 and 4 * times >= 3 * len(have):
-                self.constant[id(slot)] = own
+            template: set[str] = set()
+            if slot.tag in _BARE:
+                own, times = Counter(h.own for h in have).most_common(1)[0]
+                if times > 1 and 4 * times >= 3 * len(have):
+                    template.update(own.split("\n"))
+            if len(pages) >= _FEWEST_PAGES and 10 * len(have) >= 9 * len(pages):
+                held = Counter(text for h in have for text in set(h.own.split("\n")))
+                template.update(text for text, times in held.items() if 10 * times >= 9 * len(pages))
+            self.constant[id(slot)] = template
             # Mean size of what is no template text.
-            varying[id(slot)] = sum(len(h.own) for h in have if h.own != self.constant.get(id(slot))) / len(pages)
+            varying[id(slot)] = sum(len(text) for h in have for text in h.own.split("\n") if text not in template) / len(pages)
         self.root = self._container(self.pattern, varying)
 
     def _merged(self, page: Slot) -> dict[int, Slot]:
         """Adds a page's tree to the pattern; the page's slots by the pattern's."""
-        pairs = match(self.pattern, page)[1]
+        self.matcher.of.clear()
+        self.matcher.shape(self.pattern), self.matcher.shape(page)
+        pairs = self.matcher.pairs(self.pattern, page)
         partner = {id(b): a for a, b in pairs}
         aligned = {id(a): b for a, b in pairs}
         for a, b in pairs:
-            at = 0
+            children, at = [], 0
             for child in b.children:
-                if id(child) in partner:
-                    at = next(i for i, c in enumerate(a.children) if c is partner[id(child)]) + 1
+                like = partner.get(id(child))
+                if like is None:
+                    children.append(_empty_copy(child, aligned))
                 else:
-                    a.children.insert(at, _empty_copy(child, aligned))
-                    at += 1
+                    end = next(i for i in range(at, len(a.children)) if a.children[i] is like) + 1
+                    children += a.children[at:end]
+                    at = end
+            a.children = children + a.children[at:]
         return aligned
 
     def _mass(self, slot: Slot, varying: dict[int, float]) -> float:
@@ -285,24 +397,24 @@ class Wrapper:
 
     def text(self, number: int) -> str:
         """The main text of one page of the block."""
-        page = self.aligned[number].get(id(self.root))
+        slots = self.aligned[number]
+        page = slots.get(id(self.root))
         blocks: list[str] = []
         if page is not None:
-            slots = self.aligned[number]
-            template = {id(n) for key, own in self.constant.items() if key in slots and slots[key].own == own for n in slots[key].nodes}
+            template = {id(n): self.constant[key] for key, slot in slots.items() for n in slot.nodes if self.constant[key]}
             for node in page.nodes:
                 _blocks(node, template, blocks)
         return "\n".join(blocks)
 
 
-def _blocks(node: Node, template: set[int], out: list[str]) -> None:
-    """Text blocks in page order, without what is set apart and without template texts in bare containers."""
+def _blocks(node: Node, template: dict[int, set[str]], out: list[str]) -> None:
+    """Text blocks in page order, without what is set apart and without template texts."""
+    constant = template.get(id(node), ())
     for child in node.children:
         if isinstance(child, Node):
             if not child.apart:
                 _blocks(child, template, out)
-        # Paragraphs and headings of an article may well be alike on several pages; they stay.
-        elif node.tag not in ("div", "section", "td", "center") or id(node) not in template:
+        elif child not in constant:
             out.append(child)
 
 

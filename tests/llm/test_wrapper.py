@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from gatelight.llm import wrapper
 from tests.llm.helpers import one_to_one
 
@@ -45,14 +47,73 @@ def test_banner_on_some_pages():
 
 
 def test_simple_tree_matching_counts():
-    a = wrapper.slot_of(wrapper.parse("<div><p>x</p><ul><li>1</ul><h2>t</h2></div>"))
-    b = wrapper.slot_of(wrapper.parse("<div><h2>t</h2><p>y</p><p>z</p><ul><li>1<li>2</ul></div>"))
+    a = wrapper.slot_of(wrapper.parse("<div><p>x</p><ul><li>1</ul><table><tr><td>t</table></div>"))
+    b = wrapper.slot_of(wrapper.parse("<div><table><tr><td>t</table><p>y</p><h2>z</h2><ul><li>1<li>2</ul></div>"))
     score, pairs = wrapper.match(a, b)
-    # The page, the division, the run of paragraphs, the list and the run of items match; the heading crosses.
-    assert [(x.tag, len(y.nodes)) for x, y in pairs if x.tag in ("p", "li")] in ([("p", 2), ("li", 2)], [("li", 2), ("p", 2)])
+    # The page, the division, the run of paragraphs and headings, the list and the run of items match; the table crosses.
+    assert [(x.tag, len(y.nodes)) for x, y in pairs if x.tag in ("p", "li")] == [("p", 2), ("li", 2)]
     assert len(pairs) == 5 and score == 10
 
 
+def _best_score(a, b):
+    """The largest number of matching nodes by trying every alignment of the children."""
+    if not wrapper._like(a, b):
+        return 0
+
+    def best(i, j):
+        if i == len(a.children) or j == len(b.children):
+            return 0
+        taken = _best_score(a.children[i], b.children[j])
+        return max(best(i + 1, j), best(i, j + 1), taken + best(i + 1, j + 1) if taken else 0)
+
+    return best(0, 0) + 1 + (a.names == b.names)
+
+
+def _random_tree(rng, depth):
+    children = [_random_tree(rng, depth - 1) for _ in range(rng.randrange(5))] if depth else []
+    return wrapper.Slot(rng.choice(["div", "table", "p", "ul"]), rng.choice(["", "x"]), False, [], "", children)
+
+
+@pytest.mark.parametrize("cells, pairs", [(1 << 18, 10_000), (2, 10_000)])
+def test_matching_equals_every_alignment(monkeypatch, cells, pairs):
+    monkeypatch.setattr(wrapper, "_MOST_CELLS", cells)
+    monkeypatch.setattr(wrapper, "_MOST_PAIRS", pairs)
+    rng = random.Random(7)
+    for _ in range(150):
+        a, b = _random_tree(rng, 2), _random_tree(rng, 2)
+        score, found = wrapper.match(a, b)
+        assert score == _best_score(a, b)
+        assert score == sum(1 + (x.names == y.names) for x, y in found)
+
+
+def test_constant_nodes_of_any_tag_are_template():
+    # No class names, no article: what all pages share in one place goes, whatever its tag.
+    random.seed(2)
+    body = lambda i: [" ".join(random.choices(["red", "green", "blue", "stone"], k=random.randrange(9, 30))) + f" {i} {j}" for j in range(1 + i % 4)]
+    bodies = [body(i) for i in range(64)]
+    page = lambda b: "<body><ul><li>Home<li>About</ul><h2>Daily Post</h2><div>" + "".join(f"<p>{p}</p>" for p in b) + "<p>Subscribe to our letter, it is free.</p></div><p>All rights reserved</p></body>"
+    pages = [page(b) for b in bodies]
+    assert wrapper.texts_of_block(pages) == ["\n".join(b) for b in bodies]
+    alone = [wrapper.texts_of_block([p])[0] for p in pages]
+    assert all("Subscribe" in t for t in alone) and any("Home" in t for t in alone)
+    # On few pages a paragraph that is alike may be the text itself.
+    assert all("Subscribe" in t for t in wrapper.texts_of_block(pages[:5]))
+
+
+def test_ten_thousand_siblings():
+    import resource
+    import time
+
+    rng = random.Random(1)
+    kinds = ["<h3>t{0}</h3>", "<div><p>text {0}</p></div>", "<table><tr><td>a{0}</table>", "<ul><li>x<li>{0}</ul>"]
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    mixed = ["<body><div>" + "".join(rng.choice(kinds).format(f"{i} {k}") for i in range(10_000)) + "</div></body>" for k in range(2)]
+    assert all(t.count("\n") > 9_000 for t in wrapper.texts_of_block(mixed))
+    rows = ["<body>" + "".join(f"<h3>t{i} {k}</h3><p>text {i} {k}</p>" for i in range(5_000 + k)) + "</body>" for k in range(4)]
+    assert [t.count("\n") + 1 for t in wrapper.texts_of_block(rows)] == [10_000, 10_002, 10_004, 10_006]
+    assert time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
 def test_what_is_set_apart():
     page = (
         "<body><header>Site</header><nav>Menu</nav><div class='cookie-notice'>We bake</div><main><article><header><h1>Ti&amp;tle &#233;</h1></header>"
