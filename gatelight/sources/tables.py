@@ -3,7 +3,10 @@
 Both table forms need nothing but a folder that every executor can reach. A
 switched table is a folder per version plus a manifest; readers follow the newest
 manifest entry, so a run that dies while writing changes nothing. A log is a folder
-per batch; writing a batch again replaces it, so a retried batch counts once.
+per batch; writing a batch again replaces it, so a retried batch counts once. A log of keyed
+rows is bucketed by a hash of the key, so that a batch reads only the buckets it touches, and
+is compacted into versions that its manifest names: a reader takes the newest version it
+finds and the batches after it, whatever is compacted meanwhile.
 """
 
 from __future__ import annotations
@@ -11,10 +14,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelight.operators.vectors import STORE_PARTITIONING, STORE_SORTING
+from gatelight.session import remove_folder
 
 
 def _missing(error: AnalysisException) -> bool:
@@ -86,16 +90,88 @@ def publish_store(chunks: DataFrame, base: str) -> int:
     return publish(chunks, base, STORE_PARTITIONING, STORE_SORTING)
 
 
-def append_batch(df: DataFrame, base: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{base}/batch={batch}")
+#: Buckets of a keyed log; fixed for the life of a log.
+BUCKETS = 64
 
 
-def read_log(spark: SparkSession, base: str, schema: str, before: int | None = None) -> DataFrame:
-    """Rows of every batch (or those before one), with their batch number."""
+def bucket_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def append_batch(df: DataFrame, base: str, batch: int, key: str | None = None) -> None:
+    """Writes one batch, in buckets of ``key`` where one is named; what the batch held before goes."""
+    if key is None:
+        df.write.mode("overwrite").parquet(f"{base}/batch={batch}")
+    else:
+        df.withColumn("bucket", bucket_of(F.col(key))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/batch={batch}")
+
+
+def batches(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of the batches that are there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    names = [entry.getPath().getName() for entry in store.listStatus(path)]
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def compactions(spark: SparkSession, base: str) -> list[tuple[int, int]]:
+    """(version, last batch in it) of every published compaction, oldest first."""
     try:
-        log = spark.read.option("basePath", base).schema(f"{schema}, batch bigint").parquet(base)
+        return sorted((r.version, r.upto) for r in spark.read.schema("version int, upto bigint").json(f"{base}/manifest").distinct().collect())
     except AnalysisException as error:
         if not _missing(error):
             raise
-        log = spark.createDataFrame([], f"{schema}, batch bigint")
-    return log.filter(F.col("batch") < before) if before is not None else log
+        return []
+
+
+def read_log(spark: SparkSession, base: str, schema: str, before: int | None = None, buckets: list[int] | None = None, with_bucket: bool = False) -> DataFrame:
+    """Rows of every batch (or those before one), with their batch number; of ``buckets`` only, where given."""
+    whole = f"{schema}, batch bigint, bucket int"
+    known = compactions(spark, base)
+    version, upto = known[-1] if known else (None, -1)
+    try:
+        log = spark.read.option("basePath", base).schema(whole).parquet(f"{base}/batch=*").filter(F.col("batch") > upto)
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+        log = spark.createDataFrame([], whole)
+    if before is not None:
+        log = log.filter(F.col("batch") < before)
+    if version is not None:
+        log = log.unionByName(spark.read.schema(whole).parquet(f"{base}/compact/version={version}"))
+    if buckets is not None:
+        log = log.filter(F.col("bucket").isin(buckets))
+    return log if with_bucket else log.drop("bucket")
+
+
+def compact_log(spark: SparkSession, base: str, schema: str, keep: Callable[[DataFrame], DataFrame]) -> bool:
+    """Publishes what ``keep`` leaves of all batches but the newest as a version. Says whether there was anything to do.
+
+    The newest batch stays as it is, since it may be written again; ``keep`` gets and gives
+    rows with their batch and bucket. Batches are not removed: :func:`vacuum` does that later.
+    """
+    there, known = batches(spark, base), compactions(spark, base)
+    version, upto = known[-1] if known else (0, -1)
+    last = max(there[:-1], default=-1)
+    if last <= upto:
+        return False
+    rows = keep(read_log(spark, base, schema, before=last + 1, with_bucket=True))
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/compact/version={version + 1}")
+    entry = spark.range(1).select(F.lit(version + 1).alias("version"), F.lit(last).alias("upto"))
+    entry.coalesce(1).write.mode("append").json(f"{base}/manifest")
+    return True
+
+
+def vacuum(spark: SparkSession, base: str) -> None:
+    """Removes what only readers older than the last compaction but one could still read."""
+    known = compactions(spark, base)
+    if len(known) < 2:
+        return
+    version, upto = known[-2]
+    for batch in batches(spark, base):
+        if batch <= upto:
+            remove_folder(spark, f"{base}/batch={batch}")
+    for old, _ in known[:-2]:
+        remove_folder(spark, f"{base}/compact/version={old}")

@@ -10,7 +10,7 @@ from gatelight.operators.access import GONE, classify
 from gatelight.operators.chunking import chunk_counts, chunk_text
 from gatelight.operators.registry import document_id, supported_files
 from gatelight.session import discard, saved
-from gatelight.sources.tables import append_batch, read_log
+from gatelight.sources.tables import append_batch, bucket_of, compact_log, compactions, read_log, vacuum
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp, kind string, source_path string, old_path string, content string"
 REGISTRY_SCHEMA = (
@@ -97,7 +97,9 @@ def apply_batch(events: DataFrame, batch: int, base: str, folders: DataFrame) ->
     """One micro-batch: writes only what changed. The registry rows come last and make the chunks count."""
     spark = events.sparkSession
     found = supported_files(split_moves(events)).withColumn("file_hash", F.sha2("content", 256))
-    log = read_log(spark, f"{base}/registry", REGISTRY_SCHEMA, before=batch)
+    # The few bucket numbers of the batch's paths: no other bucket of the log is read.
+    buckets = sorted(r.bucket for r in found.select(bucket_of(F.col("source_path")).alias("bucket")).distinct().collect())
+    log = read_log(spark, f"{base}/registry", REGISTRY_SCHEMA, before=batch, buckets=buckets)
     touched = log.join(found.select("source_path").distinct(), "source_path", "left_semi")
     # Read by the chunks and by the registry rows, and the log must not change between the two.
     todo = saved(effective(found, current_registry(touched), folders).filter(F.col("action").isin("insert", "requeue", "delete")))
@@ -107,8 +109,8 @@ def apply_batch(events: DataFrame, batch: int, base: str, folders: DataFrame) ->
             "document_id", F.col("source_path").alias("source_file"), "access_level", "unclassified", "index_version", "content"
         )
     )
-    append_batch(chunks, f"{base}/chunks", batch)
-    counts = chunk_counts(spark.read.parquet(f"{base}/chunks/batch={batch}"))
+    append_batch(chunks, f"{base}/chunks", batch, "document_id")
+    counts = chunk_counts(spark.read.schema(CHUNK_SCHEMA).parquet(f"{base}/chunks/batch={batch}"))
     done = fresh.join(counts, "document_id", "left").select(
         "document_id", "source_path", "file_hash", "access_level", "unclassified", F.lit("done").alias("status"),
         "index_version", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"),
@@ -117,7 +119,7 @@ def apply_batch(events: DataFrame, batch: int, base: str, folders: DataFrame) ->
         "document_id", "source_path", F.col("_hash").alias("file_hash"), F.coalesce("access_level", F.lit(1)).alias("access_level"), "unclassified",
         F.lit("deleted").alias("status"), F.col("_version").alias("index_version"), F.lit(0).cast("bigint").alias("chunk_count"),
     )
-    append_batch(done.unionByName(removed), f"{base}/registry", batch)
+    append_batch(done.unionByName(removed), f"{base}/registry", batch, "source_path")
     discard(todo)
 
 
@@ -137,8 +139,23 @@ def current_state(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]
     return registry, visible_chunks(read_log(spark, f"{base}/chunks", CHUNK_SCHEMA), registry)
 
 
-def compact(spark: SparkSession, base: str, target: str) -> None:
-    """The present state as the first batch of a new folder, without history."""
-    registry, chunks = current_state(spark, base)
-    append_batch(chunks.drop("is_active"), f"{target}/chunks", 0)
-    append_batch(registry, f"{target}/registry", 0)
+def compact(spark: SparkSession, base: str) -> bool:
+    """Publishes the state before the newest batch as a version of both logs, without history.
+
+    Streams and readers go on meanwhile: a batch that is written again, and whoever has
+    begun to read, still finds what it needs. Says whether there was anything to do.
+    """
+    def newest(log: DataFrame) -> DataFrame:
+        rest = [c for c in log.columns if c != "source_path"]
+        return log.groupBy("source_path").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("source_path", "r.*")
+
+    if not compact_log(spark, f"{base}/registry", REGISTRY_SCHEMA, newest):
+        return False
+    # Only generations that the state before the newest batch names, or that a later batch may still name.
+    last = compactions(spark, f"{base}/registry")[-1][1]
+    state = current_registry(read_log(spark, f"{base}/registry", REGISTRY_SCHEMA, before=last + 1))
+    live = state.filter("status = 'done'").select("document_id", "index_version")
+    compact_log(spark, f"{base}/chunks", CHUNK_SCHEMA, lambda log: log.join(live, ["document_id", "index_version"], "left_semi"))
+    for name in ("registry", "chunks"):
+        vacuum(spark, f"{base}/{name}")
+    return True

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,12 +68,48 @@ def test_ingest_stream(spark, tmp_path, folders):
     registry, chunks = ingest.current_state(spark, base)
     seen = rows(chunks.groupBy("source_file").count())
     stray = chunks.drop("is_active").withColumn("index_version", F.lit(99))
-    tables.append_batch(stray, f"{base}/chunks", 9)
+    tables.append_batch(stray, f"{base}/chunks", 9, "document_id")
     assert rows(ingest.current_state(spark, base)[1].groupBy("source_file").count()) == seen
-    registry, _ = ingest.current_state(spark, base)
-    target = str(tmp_path / "compact")
-    ingest.compact(spark, base, target)
-    assert rows(ingest.current_state(spark, target)[0], "source_path", "index_version") == rows(registry, "source_path", "index_version")
+
+
+def test_compaction_beside_readers_and_retries(spark, tmp_path, folders):
+    base = str(tmp_path / "base")
+
+    def write(batch, *events):
+        ingest.apply_batch(spark.createDataFrame(list(events), ingest.EVENT_SCHEMA), batch, base, folders)
+
+    def state():
+        registry, chunks = ingest.current_state(spark, base)
+        return rows(registry, "source_path", "file_hash", "status", "index_version"), rows(chunks, "source_file", "content", "index_version")
+
+    for batch in range(4):
+        write(batch, *[event(10 * batch + n, "modified", f"/w/f{n}.txt", f"text {batch} of {n}") for n in range(6) if (n + batch) % 3])
+    want = state()
+    begun = ingest.current_state(spark, base)  # a reader that has looked up its files and reads later
+    assert ingest.compact(spark, base) and state() == want and not ingest.compact(spark, base)
+    assert (rows(begun[0], "source_path", "file_hash", "status", "index_version"), rows(begun[1], "source_file", "content", "index_version")) == want
+    # The newest batch once more, as after a lost driver: it must not meet its own rows.
+    write(3, *[event(30 + n, "modified", f"/w/f{n}.txt", f"text 3 of {n}") for n in range(6) if n % 3])
+    assert state() == want
+    for batch in (4, 5):
+        write(batch, event(10 * batch, "deleted", "/w/f1.txt") if batch == 4 else event(50, "created", "/w/f1.txt", "back"))
+    want = state()
+    assert ingest.compact(spark, base) and state() == want
+    assert tables.batches(spark, f"{base}/registry") == [3, 4, 5] and [u for _, u in tables.compactions(spark, f"{base}/registry")] == [2, 4]
+    write(6, event(60, "modified", "/w/f1.txt", "again"))
+    assert ("/w/f1.txt", "again", 5) in state()[1]
+
+
+def test_a_batch_reads_only_its_buckets(spark, tmp_path):
+    base = str(tmp_path / "log")
+    for batch in range(3):
+        tables.append_batch(spark.range(400).select(F.concat(F.lit("p"), "id").alias("path")), base, batch, "path")
+    (bucket,) = spark.range(1).select(tables.bucket_of(F.lit("p7"))).first()
+    log = tables.read_log(spark, base, "path string", before=2, buckets=[bucket])
+    (filters,) = re.findall(r"PartitionFilters: \[([^\]]*)\]", log._jdf.queryExecution().executedPlan().toString())
+    assert f"= {bucket}" in filters and "batch" in filters  # folders of other buckets and batches are not opened
+    assert {f.split("bucket=")[1].split("/")[0] for (f,) in log.select(F.input_file_name()).distinct().collect()} == {str(bucket)}
+    assert log.filter("path = 'p7'").count() == 2
 
 
 def test_settle_stream_equals_batch(spark, tmp_path):
