@@ -119,7 +119,7 @@ def _pack(values: np.ndarray, ascending: bool = False) -> bytes:
     values = np.diff(values, prepend=0) if ascending else values
     most = int(values.max(initial=0))
     kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if most < 1 << 8 * int(k[2]))
-    return kind[2].encode() + zstandard.ZstdCompressor(level=1).compress(values.astype(kind).tobytes())
+    return kind[2].encode() + zstandard.ZstdCompressor(level=6).compress(values.astype(kind).tobytes())
 
 
 def _unpack(data: bytes, ascending: bool = False) -> np.ndarray:
@@ -133,6 +133,16 @@ def _pack_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
     return _pack(ids >> 32), _pack(ids & 0xFFFFFFFF)
 
 
+def _pack_arcs(arcs: CountAutomaton) -> tuple[bytes, bytes, bytes, bytes]:
+    """States as steps, the symbols in use and which of them each arc has, and weights."""
+    symbols, which = np.unique(arcs.symbol, return_inverse=True)
+    return _pack(arcs.state, True), _pack(symbols, True), _pack(which), _pack(arcs.weight)
+
+
+def _unpack_arcs(row: dict) -> CountAutomaton:
+    return CountAutomaton(_unpack(row["state"], True), _unpack(row["symbols"], True)[_unpack(row["which"])], _unpack(row["weight"]))
+
+
 def _unpack_ids(high: bytes, low: bytes) -> np.ndarray:
     return (_unpack(high) << 32) | _unpack(low)
 
@@ -180,7 +190,7 @@ def _listed_words(stored: DataFrame, ranges: int) -> DataFrame:
 def zstd(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=6).compress(data)
 
 
 def _counted_words(listed: DataFrame, least: int, range_weight: int) -> DataFrame:
@@ -319,7 +329,7 @@ class _Candidates:
         self.starts = np.flatnonzero(np.append(True, self.ranges[1:] != self.ranges[:-1])) if len(order) else np.zeros(0, np.int64)
 
 
-_AUTOMATON = pa.schema([("range", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("state", "high", "low", "weight"))])
+_AUTOMATON = pa.schema([("range", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("state", "symbols", "which", "weight"))])
 
 
 def _automata(states: DataFrame) -> DataFrame:
@@ -330,13 +340,13 @@ def _automata(states: DataFrame) -> DataFrame:
             found = _Candidates(row)
             arcs = found.arcs
             for a, b in zip(found.starts, [*found.starts[1:], len(found.ranges)]):
-                packed = (_pack(arcs.state[a:b], True), *_pack_ids(arcs.symbol[a:b]), _pack(arcs.weight[a:b]))
-                yield _record(_AUTOMATON, [(int(found.ranges[a]), row["shard"], *packed)])
+                part = CountAutomaton(arcs.state[a:b], arcs.symbol[a:b], arcs.weight[a:b])
+                yield _record(_AUTOMATON, [(int(found.ranges[a]), row["shard"], *_pack_arcs(part))])
 
     return states.mapInArrow(run, _spark_schema(_AUTOMATON))
 
 
-_UNITED = pa.schema([("range", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("stay", "place", "state", "high", "low", "weight"))])
+_UNITED = pa.schema([("range", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("stay", "place", "state", "symbols", "which", "weight"))])
 
 
 def _united(automata: DataFrame, least: int) -> DataFrame:
@@ -346,13 +356,13 @@ def _united(automata: DataFrame, least: int) -> DataFrame:
         shards, parts = [], []
         for row in _rows(batches):
             shards.append(row["shard"])
-            parts.append(CountAutomaton(_unpack(row["state"], True), _unpack_ids(row["high"], row["low"]), _unpack(row["weight"])))
+            parts.append(_unpack_arcs(row))
         whole, places = CountAutomaton.union(parts)
         kept, renamed = whole.pruned(least)
         if not len(kept.state):
             return
         key = keys[0].as_py()
-        yield _record(_UNITED, [(key, None, None, None, _pack(kept.state, True), *_pack_ids(kept.symbol), _pack(kept.weight))])
+        yield _record(_UNITED, [(key, None, None, None, *_pack_arcs(kept))])
         for shard, place in zip(shards, places):
             now = renamed[place]
             stay = np.flatnonzero(now >= 0)
@@ -394,10 +404,10 @@ def _arcs(united: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                state, symbol, weight = _unpack(row["state"], True), _unpack_ids(row["high"], row["low"]), _unpack(row["weight"])
-                ids = (row["range"] << 32) + np.arange(len(state))
+                arcs = _unpack_arcs(row)
+                ids = (row["range"] << 32) + np.arange(len(arcs.state))
                 for a in range(0, len(ids), 65_536):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 65_536]) for x in (ids, state, symbol, weight)], ["id", "state", "symbol", "a"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 65_536]) for x in (ids, arcs.state, arcs.symbol, arcs.weight)], ["id", "state", "symbol", "a"])
 
     return united.filter("shard IS NULL").mapInArrow(run, "id long, state long, symbol long, a long")
 
