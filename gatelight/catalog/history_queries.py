@@ -121,7 +121,7 @@ _DASHED = "coalesce(source_file, '-') AS source_file, score, coalesce(content, '
 
 @query("h5_resolved_sources", f"SELECT message_id, position, id, state, {_DASHED} FROM resolved", ("resolved",))
 def h5(i: Inputs) -> DataFrame:
-    return history.resolve_sources(messages(i), i.registry_now, i.store).fillna("-", ["source_file", "content"])
+    return history.resolve_sources(messages(i), i.registry_now, i.stored_content).fillna("-", ["source_file", "content"])
 
 
 @query(
@@ -132,7 +132,7 @@ def h5(i: Inputs) -> DataFrame:
 )
 def h5_history(i: Inputs) -> DataFrame:
     rows = messages(i)
-    shown = history.history(rows, history.resolve_sources(rows, i.registry_now, i.store))
+    shown = history.history(rows, history.resolve_sources(rows, i.registry_now, i.stored_content))
     each = F.transform("resolved_sources", lambda s: F.concat(s["id"].cast("string"), F.lit(":"), s["state"]))
     return shown.select("message_id", "role", F.coalesce(F.array_join(each, ","), F.lit("-")).alias("sources"))
 

@@ -12,7 +12,7 @@ from gatelight.catalog.inputs import EPOCH, Inputs, sql_tokens
 from gatelight.functions import text as tx
 from gatelight.operators import access, cells, chunking, registry, store, vectors
 from gatelight.session import shared_dir
-from gatelight.sources import files, tables
+from gatelight.sources import chunk_table, files, tables
 
 # ---- sources --------------------------------------------------------------------
 
@@ -342,13 +342,22 @@ def x2(i: Inputs) -> DataFrame:
     return store.current_generation(_store_whole(i).unionByName(_store_parts(i)[1])).select(*_KEYS)
 
 
+def _published(i: Inputs) -> tuple[str, object]:
+    """The store as a bucketed table: where it is and what it holds."""
+    base, rows = _folder(i, "chunk-table"), _store_whole(i)
+    chunk_table.publish(rows, base)
+    return base, rows.schema
+
+
 @query(
     "x3_soft_deactivate",
     f"""SELECT {_KEY_SQL.replace('is_active', "is_active AND document_id NOT IN (SELECT document_id FROM corpus WHERE lang = 'de') AS is_active")} FROM store_whole""",
     ("store_whole", "corpus"),
 )
 def x3(i: Inputs) -> DataFrame:
-    return store.deactivate(_store_whole(i), i.corpus.filter("lang = 'de'")).select(*_KEYS)
+    base, schema = _published(i)
+    chunk_table.deactivate(i.spark, base, schema, i.corpus.filter("lang = 'de'"))
+    return chunk_table.read(i.spark, base, schema).select(*_KEYS)
 
 
 @query(
@@ -357,7 +366,9 @@ def x3(i: Inputs) -> DataFrame:
     ("store_whole", "corpus"),
 )
 def x4(i: Inputs) -> DataFrame:
-    return store.delete(_store_whole(i), i.corpus.filter("lang = 'de'")).select(*_KEYS)
+    base, schema = _published(i)
+    chunk_table.delete(i.spark, base, schema, i.corpus.filter("lang = 'de'"))
+    return chunk_table.read(i.spark, base, schema).select(*_KEYS)
 
 
 @query(
@@ -451,7 +462,9 @@ view("changes", """
     ("store_whole", "changes"),
 )
 def x7(i: Inputs) -> DataFrame:
-    return store.propagate(_store_whole(i), registry.resync(i.registry, i.folders)).select(*_KEYS)
+    base, schema = _published(i)
+    chunk_table.propagate(i.spark, base, schema, registry.resync(i.registry, i.folders))
+    return chunk_table.read(i.spark, base, schema).select(*_KEYS)
 
 
 @query(

@@ -7,6 +7,7 @@ added or removed since) follow the documents' language, so both sides are large.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,10 @@ from gatelight.operators import access, registry, vectors
 from gatelight.operators.chunking import chunk_text
 from gatelight.operators.postings import build_postings
 from gatelight.plans import retrieval
-from gatelight.session import saved, spread
+from gatelight.session import saved, shared_dir, spread
+from gatelight.sources import chunk_table
 
+_LOOKED_UP = "document_id string, chunk_index int, is_active boolean, index_version int, content string"
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 
 # (folder_id, path, level, active): src0..src17 active, src18 inactive and written
@@ -338,6 +341,17 @@ class Inputs:
         )
         return chunk_text(spread(docs))
 
+    def stored_content(self, keys: DataFrame) -> DataFrame:
+        """Content of (document_id, chunk_index) keys from the store as a table in buckets, of which only theirs are read."""
+        base = self._chunk_table
+        return chunk_table.lookup(self.spark, base, _LOOKED_UP, keys)
+
+    @cached_property
+    def _chunk_table(self) -> str:
+        base = f"{shared_dir(self.spark)}/gatelight-files/chunk-table-{uuid.uuid4().hex}"
+        chunk_table.publish(self.store.select("document_id", "chunk_index", "is_active", "index_version", "content"), base)
+        return base
+
     @cached_property
     def search_store(self) -> DataFrame:
         """The searchable part of the store. Whether a chunk is searchable is known per

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gatelight.catalog.base import query, view
 from gatelight.catalog.inputs import Inputs, sql_basename, sql_strip, _PLACES
 from gatelight.functions import text as tx
-from gatelight.operators import metrics, ranking, store
+from gatelight.operators import metrics, ranking
 from gatelight.operators.access import searchable
 from gatelight.plans import retrieval
 from gatelight.session import saved
@@ -162,7 +162,7 @@ def r8(i: Inputs) -> DataFrame:
         "conv_id", "turn", (F.col("conv_id") * 3 + F.col("turn")).cast("string").alias("document_id"),
         (F.col("turn") % 3).cast("int").alias("chunk_index"),
     )
-    return keys.join(store.lookup(i.store, keys), ["document_id", "chunk_index"]).select("conv_id", "turn", "content")
+    return keys.join(i.stored_content(keys), ["document_id", "chunk_index"]).select("conv_id", "turn", "content")
 
 
 @query("r9_basename", f"SELECT url, {sql_basename('url')} AS name FROM pages")

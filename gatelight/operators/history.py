@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,13 +79,14 @@ def touch(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
-def resolve_sources(messages: DataFrame, registry: DataFrame, chunks: DataFrame) -> DataFrame:
+def resolve_sources(messages: DataFrame, registry: DataFrame, chunks: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Each cited source under present permissions, one row per citation.
 
     ``messages``: message_id, user_access_level, sources (JSON). state is
     ``legacy`` (no document id: name only), ``redacted`` (not allowed: id and
     score only) or ``open`` (content looked up now). Legacy rows skip the joins,
-    where their null keys would all meet in one task.
+    where their null keys would all meet in one task. ``chunks`` is the chunk table, or a
+    function that looks up the content of keys (as ``chunk_table.lookup`` does by bucket).
     """
     items = messages.select(
         "message_id", "user_access_level", F.posexplode_outer(F.from_json("sources", SOURCES_TYPE)).alias("position", "s")
@@ -100,7 +103,8 @@ def resolve_sources(messages: DataFrame, registry: DataFrame, chunks: DataFrame)
     checked = items.filter(~old).join(live, "document_id", "left").withColumn(
         "_open", may_read(F.col("user_access_level"), F.col("_level"), F.col("_status"), F.col("_loose"))
     )
-    found = lookup(chunks, checked.filter("_open"))
+    asked = checked.filter("_open").select("document_id", "chunk_index")
+    found = chunks(asked) if callable(chunks) else lookup(chunks, asked)
     shown = checked.join(found, ["document_id", "chunk_index"], "left").select(
         "message_id", "position", "id",
         F.when(F.col("_open"), "open").otherwise("redacted").alias("state"),

@@ -1,12 +1,13 @@
-"""Upkeep of the chunk table. Every function maps tables to tables; nothing is changed in place."""
+"""Upkeep of the chunk table. Every function maps tables to tables; nothing is changed in place.
+
+Over a stored table, ``sources.chunk_table`` hands these functions only the buckets they touch.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelight.session import sized
-
 
 def next_generation(new_chunks: DataFrame, registry: DataFrame) -> DataFrame:
     """Numbers new chunks one above the version the registry knows for their document."""
@@ -17,7 +18,7 @@ def next_generation(new_chunks: DataFrame, registry: DataFrame) -> DataFrame:
 def _touched(new_chunks: DataFrame, touched: DataFrame | None) -> DataFrame:
     if touched is None:
         return new_chunks.select("document_id").distinct()
-    return sized(touched.select("document_id"))[0]
+    return touched.select("document_id")
 
 
 def stage_generation(chunks: DataFrame, new_chunks: DataFrame, touched: DataFrame | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def apply_generation(chunks: DataFrame, new_chunks: DataFrame, touched: DataFram
     """A finished switch: the new rows are the touched documents' only rows, and active.
 
     ``touched`` names the re-indexed documents where the caller has them apart from
-    their chunks; a short list is then broadcast and the store is not shuffled.
+    their chunks, which are then not read for their ids.
     """
     touched = _touched(new_chunks, touched)
     return chunks.join(touched, "document_id", "left_anti").unionByName(
@@ -53,7 +54,7 @@ def current_generation(chunks: DataFrame) -> DataFrame:
 
 def deactivate(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Soft delete: the rows of these documents become inactive."""
-    off = sized(documents.select("document_id").distinct())[0].withColumn("_off", F.lit(True))
+    off = documents.select("document_id").distinct().withColumn("_off", F.lit(True))
     return (
         chunks.join(off, "document_id", "left")
         .withColumn("is_active", F.when(F.col("_off"), F.lit(False)).otherwise(F.col("is_active")))
@@ -63,7 +64,7 @@ def deactivate(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 def delete(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Hard delete: the rows of these documents go."""
-    return chunks.join(sized(documents.select("document_id"))[0], "document_id", "left_anti")
+    return chunks.join(documents.select("document_id"), "document_id", "left_anti")
 
 
 def purge(registry: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +111,7 @@ def commit_results(
 
 def propagate(chunks: DataFrame, changes: DataFrame) -> DataFrame:
     """Carries a resync into the chunk payloads: new level and flag, or inactive."""
-    change, _ = sized(changes.select("document_id", "action", "new_level", "new_unclassified"))
+    change = changes.select("document_id", "action", "new_level", "new_unclassified")
     return (
         chunks.join(change, "document_id", "left")
         .withColumns(
@@ -129,7 +130,7 @@ def lookup(chunks: DataFrame, keys: DataFrame) -> DataFrame:
 
     The store is cut to the asked keys before anything is grouped.
     """
-    asked, _ = sized(keys.select("document_id", "chunk_index").distinct())
+    asked = keys.select("document_id", "chunk_index").distinct()
     return (
         chunks.filter("is_active")
         .join(asked, ["document_id", "chunk_index"], "left_semi")

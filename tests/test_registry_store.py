@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from gatelight.operators import registry as rg, store
 from gatelight.operators.vectors import store_problems
-from gatelight.sources import tables
+from gatelight.sources import chunk_table, tables
 from tests.conftest import rows
 
 REG = "document_id string, source_path string, file_hash string, access_level int, unclassified boolean, status string, index_version int"
@@ -144,3 +144,30 @@ def test_store_layout_prunes(spark, tmp_path):
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(access_level" in plan
     assert rows(read, "document_id") == [("a",)]
+
+
+def test_chunk_table_reads_and_writes_only_touched_buckets(spark, tmp_path):
+    base = str(tmp_path / "chunks")
+    whole = spark.range(300).select(
+        F.concat(F.lit("d"), (F.col("id") % 100).cast("string")).alias("document_id"), (F.col("id") % 3).cast("int").alias("chunk_index"), F.lit(1).alias("index_version"),
+        F.lit(2).alias("access_level"), F.lit(False).alias("unclassified"), F.lit(True).alias("is_active"), F.concat(F.lit("c"), "id").alias("content"))
+    schema = whole.schema
+    assert chunk_table.publish(whole, base) == 1
+    assert rows(chunk_table.read(spark, base, schema)) == rows(whole)
+    some = spark.createDataFrame([("d1",), ("d2",), ("never",)], "document_id string")
+    buckets = chunk_table.buckets_of(some)
+    assert chunk_table.deactivate(spark, base, schema, some) == len(buckets) <= 3
+    changed = spark.read.parquet(f"{base}/version=2")
+    assert sorted(r.bucket for r in changed.select("bucket").distinct().collect()) == sorted(set(buckets) & set(chunk_table.buckets_of(whole)))
+    assert rows(chunk_table.read(spark, base, schema)) == rows(store.deactivate(whole, some))
+    keys = spark.createDataFrame([("d1", 1), ("d7", 1), ("d7", 9)], "document_id string, chunk_index int")
+    assert rows(chunk_table.lookup(spark, base, schema, keys)) == rows(store.lookup(store.deactivate(whole, some), keys))
+    read = {f.split("bucket=")[1].split("/")[0] for (f,) in chunk_table.read(spark, base, schema, [buckets[0]]).select(F.input_file_name()).distinct().collect()}
+    assert read == {str(buckets[0])}
+    chunk_table.delete(spark, base, schema, spark.createDataFrame([("d2",)], "document_id string"))
+    fresh = spark.createDataFrame([("d1", 0, 2, 1, False, True, "new"), ("d100", 0, 1, 1, False, True, "first")], schema)
+    chunk_table.apply_generation(spark, base, fresh)
+    got = {(r.document_id, r.chunk_index): r.content for r in chunk_table.read(spark, base, schema).filter("document_id in ('d1', 'd2', 'd100')").collect()}
+    assert got == {("d1", 0): "new", ("d100", 0): "first"} and chunk_table.read(spark, base, schema).count() == 300 - 6 + 2
+    nothing = spark.createDataFrame([], "document_id string")
+    assert chunk_table.delete(spark, base, schema, nothing) == 0 and chunk_table.read(spark, str(tmp_path / "none"), schema).count() == 0
