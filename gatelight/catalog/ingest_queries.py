@@ -62,6 +62,13 @@ def s12(i: Inputs) -> DataFrame:
     return rows.select("id", "question", F.lit(False).alias("broken")).unionByName(errors.select(F.lit("").alias("id"), F.col("line").alias("question"), F.lit(True).alias("broken")))
 
 
+@query("s13_rule_corpus", "SELECT 'rule-' || item_id AS rule_id, text AS body FROM benchmark")
+def s13(i: Inputs) -> DataFrame:
+    folder = _folder(i, "rules")
+    files.write_rules(i.table("benchmark").select(F.concat(F.lit("rule-"), F.col("item_id").cast("string")).alias("rule_id"), F.col("text").alias("body")), folder)
+    return files.read_rules(i.spark, folder)
+
+
 @query("s15_result_sink", "SELECT doc_id, lang AS run, text FROM documents")
 def s15(i: Inputs) -> DataFrame:
     folder = _folder(i, "results")
@@ -605,3 +612,16 @@ def a6(i: Inputs) -> DataFrame:
 @query("a7_admin_backfill", "SELECT username, access_level >= 3 AS is_admin FROM users", ("users",))
 def a7(i: Inputs) -> DataFrame:
     return access.backfill_admins(_users(i)).select("username", "is_admin")
+
+
+@query(
+    "v7_store_schema_check",
+    """SELECT t.name, coalesce(problem, '-') AS problem, (SELECT count(*) FROM store) AS chunks FROM (VALUES ('whole', NULL), ('without sparse', 'missing column sparse'),
+         ('text version', 'column index_version is string'), ('other length', 'dense vectors are not all of length 65')) t(name, problem)""",
+    ("store",),
+)
+def v7(i: Inputs) -> DataFrame:
+    whole = vectors.project_sparse(vectors.build_sparse(i.store)).select(*vectors.STORE_FIELDS)
+    cases = [("whole", whole, 64), ("without sparse", whole.drop("sparse"), 64), ("text version", whole.withColumn("index_version", F.col("index_version").cast("string")), 64), ("other length", whole, 65)]
+    found = [(name, problem) for name, table, dims in cases for problem in vectors.store_problems(table, dims) or ["-"]]
+    return i.spark.createDataFrame(found, "name string, problem string").withColumn("chunks", F.lit(i.store.count()).cast("long"))

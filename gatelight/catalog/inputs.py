@@ -18,6 +18,7 @@ from gatelight.functions import text as tx
 from gatelight.operators import access, registry, vectors
 from gatelight.operators.chunking import chunk_text
 from gatelight.operators.postings import build_postings
+from gatelight.operators.ranking import nearest_chunks
 from gatelight.plans import retrieval
 from gatelight.session import saved, shared_dir, spread
 from gatelight.sources import chunk_table
@@ -410,6 +411,15 @@ class Inputs:
         )
         return vectors.project_sparse(vectors.build_sparse(plain, "question"))
 
+    @cached_property
+    def found(self) -> DataFrame:
+        """Both legs at the depth that reranking asks for; a search without it takes their heads."""
+        return saved(nearest_chunks(self.asked, access.searchable(self.vector_store), retrieval.leg_limit(True), postings=self.postings))
+
+    def hits_of(self, **options) -> DataFrame:
+        """Hits of a setting whose legs are ranked once for all settings."""
+        return retrieval.retrieve(self.asked, self.vector_store, self.registry_now, payload=self.search_store, found=self.found, **options)
+
     @cached_property
     def hits(self) -> DataFrame:
         return retrieval.retrieve(self.asked, self.vector_store, self.registry_now, payload=self.search_store, postings=self.postings)

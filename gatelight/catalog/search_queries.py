@@ -472,8 +472,8 @@ def m17(i: Inputs) -> DataFrame:
     ("hits", "hits_plain", "questions"),
 )
 def m18(i: Inputs) -> DataFrame:
-    both = i.hits.select(F.lit("rerank_on").alias("setting"), "question_id", "source_file").unionByName(
-        i.hits_plain.select(F.lit("rerank_off").alias("setting"), "question_id", "source_file")
+    both = i.hits_of().select(F.lit("rerank_on").alias("setting"), "question_id", "source_file").unionByName(
+        i.hits_of(use_rerank=False).select(F.lit("rerank_off").alias("setting"), "question_id", "source_file")
     )
     right = F.array_contains("expected_sources", F.col("source_file"))
     return both.join(i.questions.select("question_id", "expected_sources"), "question_id").groupBy("setting").agg(

@@ -92,15 +92,18 @@ def retrieve(
     scorer: Callable[[Column, Column], Column] = overlap_score,
     payload: DataFrame | None = None,
     postings: DataFrame | None = None,
+    found: DataFrame | None = None,
 ) -> DataFrame:
     """Prefilter, both legs, fusion, revalidation, rerank, cut: hits of every question.
 
     The store is read for its vectors and keys, and once more for the content of the
     fused rows; ``payload`` names another table with that content, where vectors and texts
-    are kept apart, ``postings`` the stored index of the searchable chunks' sparse vectors.
+    are kept apart, ``postings`` the stored index of the searchable chunks' sparse vectors,
+    ``found`` legs that were ranked before, at this depth or a greater one.
     """
     asked = saved(stored_questions(questions, legs, "question"))
-    found = nearest_chunks(asked, searchable(chunks), leg_limit(use_rerank, top, candidates), legs, postings)
+    depth = leg_limit(use_rerank, top, candidates)
+    found = nearest_chunks(asked, searchable(chunks), depth, legs, postings) if found is None else found.filter(F.col("rank") <= depth)
     fused = fuse(found, fetch_limit(use_rerank, top, candidates), fusion_k)
     # Written once: Spark then knows its size and chooses the joins by it, so that neither
     # the content nor the registry is shuffled for a few questions.

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatelight.functions import text as tx
 from gatelight.operators.registry import supported_files
+from gatelight.sources.shared import opened
 
 # Encodings in the order they are tried.
 ENCODINGS = ("utf-8", "cp932", "utf-16")
@@ -97,6 +101,23 @@ def read_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def write_rules(rules: DataFrame, folder: str) -> int:
+    """One ``<rule_id>.md`` per row, written by the tasks; gives their number. Ids are file names, so they hold no slash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for rule_id, body in zip(batch.column("rule_id").to_pylist(), batch.column("body").to_pylist()):
+                if not rule_id or "/" in rule_id:
+                    raise ValueError(f"no file name: {rule_id!r}")
+                with store.open_output_stream(f"{root}/{rule_id}.md") as out:
+                    out.write((body or "").encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return rules.select("rule_id", "body").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_answers(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answers, errors) from rows of qid|id, text|answer, run and the file's stem.
 

@@ -12,15 +12,21 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 
+def opened(folder: str):
+    """The file system of a folder, and its path there."""
+    from pyarrow import fs
+
+    if "://" in folder or folder.startswith("file:"):
+        return fs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "file://", 1))
+    return fs.LocalFileSystem(), folder
+
+
 def stored_blocks(folder: str, columns: list[str], rows: int) -> Iterator[pa.Table]:
     """The named columns of a stored table, in blocks of at most ``rows`` rows, always in the same order; none where the folder is missing."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    if "://" in folder or folder.startswith("file:"):
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "file://", 1))
-    else:
-        store, root = fs.LocalFileSystem(), folder
+    store, root = opened(folder)
     listed = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
     names = sorted(f.path for f in listed if f.is_file and f.path.endswith(".parquet") and not f.base_name.startswith(("_", ".")))
     waiting, held = [], 0
