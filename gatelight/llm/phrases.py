@@ -134,13 +134,12 @@ def _pack_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def _pack_arcs(arcs: CountAutomaton) -> tuple[bytes, bytes, bytes, bytes]:
-    """States as steps, the symbols in use and which of them each arc has, and weights."""
-    symbols, which = np.unique(arcs.symbol, return_inverse=True)
-    return _pack(arcs.state, True), _pack(symbols, True), _pack(which), _pack(arcs.weight)
+    """States as steps, symbols by range and rank, and weights."""
+    return _pack(arcs.state, True), *_pack_ids(arcs.symbol), _pack(arcs.weight)
 
 
 def _unpack_arcs(row: dict) -> CountAutomaton:
-    return CountAutomaton(_unpack(row["state"], True), _unpack(row["symbols"], True)[_unpack(row["which"])], _unpack(row["weight"]))
+    return CountAutomaton(_unpack(row["state"], True), _unpack_ids(row["high"], row["low"]), _unpack(row["weight"]))
 
 
 def _unpack_ids(high: bytes, low: bytes) -> np.ndarray:
@@ -329,7 +328,7 @@ class _Candidates:
         self.starts = np.flatnonzero(np.append(True, self.ranges[1:] != self.ranges[:-1])) if len(order) else np.zeros(0, np.int64)
 
 
-_AUTOMATON = pa.schema([("range", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("state", "symbols", "which", "weight"))])
+_AUTOMATON = pa.schema([("range", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("state", "high", "low", "weight"))])
 
 
 def _automata(states: DataFrame) -> DataFrame:
@@ -346,7 +345,7 @@ def _automata(states: DataFrame) -> DataFrame:
     return states.mapInArrow(run, _spark_schema(_AUTOMATON))
 
 
-_UNITED = pa.schema([("range", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("stay", "place", "state", "symbols", "which", "weight"))])
+_UNITED = pa.schema([("range", pa.int64()), ("shard", pa.int64()), *((n, pa.binary()) for n in ("stay", "place", "state", "high", "low", "weight"))])
 
 
 def _united(automata: DataFrame, least: int) -> DataFrame:
