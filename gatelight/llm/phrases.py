@@ -44,7 +44,7 @@ ENTRIES_PER_RANGE = 1 << 20
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _PLAIN = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"." * len(BREAKS) + b" " + bytes(range(97, 123)))
 _BREAK = re.compile(b"[" + re.escape(BREAKS) + b"]")
-_SHARD = "vocabulary array<struct<lang: string, first: int, words: array<string>, counts: array<long>>>, tokens binary, entries long"
+_SHARD = "vocabulary array<struct<lang: string, first: int, words: binary, counts: binary>>, tokens binary, entries long"
 
 
 class _Numbers(dict):
@@ -72,22 +72,20 @@ def _parts(data: bytes, most: int) -> Iterator[bytes]:
 
 def _shard(numbers: dict[str, _Numbers], found: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
     """Vocabulary sorted by language and word, and all words as places in it from 1 on, 0 between pieces."""
-    langs, words, places, firsts = sorted(numbers, key=str.encode), [], {}, [0]
+    langs, lists, places, firsts = sorted(numbers, key=str.encode), [], {}, [0]
     for lang in langs:
         known = sorted(w for w in numbers[lang] if w != b".")
         place = np.zeros(len(known) + 1, np.int32)
         place[[numbers[lang][w] for w in known]] = np.arange(firsts[-1] + 1, firsts[-1] + len(known) + 1, dtype=np.int32)
         places[lang] = place
         firsts.append(firsts[-1] + len(known))
-        words += known
+        lists.append(known)
     tokens = np.concatenate([places[lang][ids] for lang, ids in found])
-    counts = np.bincount(tokens, minlength=len(words) + 1)[1:]
-    edges = pa.array(firsts, pa.int32())
-    parts = pa.StructArray.from_arrays(
-        [pa.array(langs, pa.string()), pa.array(firsts[:-1], pa.int32()), pa.ListArray.from_arrays(edges, pa.array(words, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(edges, pa.array(counts, pa.int64()))],
-        ["lang", "first", "words", "counts"])
-    vocabulary = pa.ListArray.from_arrays(pa.array([0, len(langs)], pa.int32()), parts)
-    return pa.RecordBatch.from_arrays([vocabulary, pa.array([_pack(tokens)], pa.binary()), pa.array([len(words)], pa.int64())], ["vocabulary", "tokens", "entries"])
+    counts = np.bincount(tokens, minlength=firsts[-1] + 1)[1:]
+    # A line end is no part of a word.
+    vocabulary = [{"lang": lang, "first": a, "words": zstd(b"\n".join(known)), "counts": _pack(counts[a:b])} for lang, known, a, b in zip(langs, lists, firsts, firsts[1:]) if known]
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())]))
+    return pa.RecordBatch.from_arrays([pa.array([vocabulary], kind), pa.array([_pack(tokens)], pa.binary()), pa.array([firsts[-1]], pa.int64())], ["vocabulary", "tokens", "entries"])
 
 
 def shards(docs: DataFrame, text: str, lang: str, shard_bytes: int) -> DataFrame:
@@ -167,12 +165,13 @@ def _listed_words(stored: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
+        import zstandard
 
         for batch in batches:
             for row in range(batch.num_rows):
                 shard = batch.column("shard")[row].as_py()
                 for part in batch.column("vocabulary")[row].as_py():
-                    lang, words, counts = part["lang"], [w.encode() for w in part["words"]], np.array(part["counts"], np.int64)
+                    lang, words, counts = part["lang"], zstandard.ZstdDecompressor().decompress(part["words"]).split(b"\n"), _unpack(part["counts"])
                     seed = xxhash.xxh3_64_intdigest(lang)
                     to = np.array([xxhash.xxh3_64_intdigest(w, seed) % ranges for w in words], np.int64)
                     order = np.argsort(to, kind="stable")

@@ -58,7 +58,7 @@ def texts(seed, n, words=("a", "B", "éa", "of the", "x;y", "new york city", "\t
     return [(" ".join(random.choices(words, weights=[9, 4, 3, 8, 1, 2, 1, 3, 4, 5], k=random.randrange(60))), random.choice(["en", "fr", None, "und", ""])) for _ in range(n)]
 
 
-@pytest.mark.parametrize("least, sizes", [(5, {}), (20, {"shard_bytes": 700, "range_weight": 50, "entries_per_range": 30}), (3, {"longest": 3, "best": 7, "shard_bytes": 3000})])
+@pytest.mark.parametrize("least, sizes", [(5, {"best": 7}), (20, {"shard_bytes": 700, "range_weight": 50, "entries_per_range": 30})])
 def test_equals_plain_counting(spark, least, sizes):
     rows = texts(least, 250)
     want = plain(rows, least, sizes.get("longest", 5), sizes.get("best", 2000))
