@@ -186,3 +186,26 @@ def test_projection_is_signed_folding(spark):
     df = spark.createDataFrame([([(1, 0.6), (65, 0.4)],), ([],)], "sparse array<struct<i:int,v:double>>")
     got = [r.dense for r in vectors.project_sparse(df).collect()]
     assert np.isclose(got[0][1], 1.0) and sum(map(abs, got[0])) == abs(got[0][1]) and not any(got[1])
+
+
+def test_chunks_without_dense_vectors_are_folded_where_they_are_compared(spark):
+    texts = [("d%d" % n, 0, 1 + n % 3, " ".join(f"w{n * m % 17}" for m in range(1, 9))) for n in range(60)]
+    chunks = vectors.build_sparse(spark.createDataFrame(texts, "document_id string, chunk_index int, access_level int, content string")).drop("content")
+    asked = spark.createDataFrame([("q%d" % n, 2, f"w{n} w{n + 3} w5") for n in range(5)], "question_id string, user_access_level int, question string")
+    asked = saved(ranking.stored_questions(vectors.project_sparse(vectors.build_sparse(asked, "question")), ("dense", "sparse")))
+    folded = ranking.nearest_chunks(asked, chunks, 7, ("dense",))
+    assert rows(folded) == rows(ranking.nearest_chunks(asked, vectors.project_sparse(chunks), 7, ("dense",)))
+    stored = saved(chunks)
+    plan = ranking.nearest_chunks(asked, stored, 7, ("dense",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # one Python worker in a task
+
+
+def test_a_sparse_store_takes_one_python_worker_per_task(spark):
+    from gatelight.operators.chunking import chunk_text
+
+    texts = ["Foo bar. " * 90 + "社内規定 の foo", "", None, "a\n\n\n\nB a"]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, content string")
+    both = chunk_text(docs, sparse=True)
+    assert rows(both) == rows(vectors.build_sparse(chunk_text(docs)))
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan

@@ -77,3 +77,15 @@ def test_strip_matches_python(texts):
 
     df = SparkSession.getActiveSession().createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(tx.strip(F.col("t"))).collect()] == [t.strip() for t in texts]
+
+
+def test_a_sparse_vector_counts_what_tokens_and_token_id_give(spark):
+    texts = ["b a b 社内規定", "Kİ où É9 ＡＢ", "社 x 内", "", None, "😀社😀内 Zz zZ " * 50]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", tx.sparse_vector(F.col("t")).alias("v"), F.transform(tx.tokens(F.col("t")), tx.token_id).alias("ids")
+    )
+    for row in got.collect():
+        want = None if row.ids is None else [(i, row.ids.count(i) / len(row.ids)) for i in sorted(set(row.ids))]
+        assert (None if row.v is None else [(e.i, e.v) for e in row.v]) == want
+    plan = got.select("v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan  # ids are hashed once per token, not by an expression per occurrence
