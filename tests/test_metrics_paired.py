@@ -162,3 +162,13 @@ def test_compare_and_verdict(spark):
     assert said(9, 0.5, 0.1, 0.9, 0.6) == paired.NOISE
     assert said(9, 0.5, 0.0, 0.9, 0.2) == paired.NOISE
     assert value(spark, paired.noise_width(F.lit(-0.3), F.lit(0.1))) == 0.3
+
+
+def test_passages_are_looked_up_without_a_row_per_run(spark):
+    from gatelight.catalog.inputs import first_containing
+
+    docs = [(9, "x a b c d e f g h i"), (3, "a b c d e f g h i"), (5, None), (6, ""), (7, "one two"), (8, "a b c d e f g h  i")]
+    asked = [(1, "a b c d e f g h i"), (2, "one two"), (3, "a b c d e f g h j"), (4, None), (5, "b c d e f g h i"), (5, "x a b c d e f g"), (6, "a b c d e f g h  i")]
+    found = first_containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 3), (2, 7), (5, 3), (6, 8)]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
