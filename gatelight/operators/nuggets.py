@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gatelight.functions import text as tx
 from gatelight.functions.json_scan import first_json
 from gatelight.operators.paired import mean_and_error
+from gatelight.session import saved
 
 HEAD_CHARS = 80
 JUDGE_VERSION = "NJ-1"
@@ -668,6 +669,7 @@ def clean_drafts(drafts: DataFrame, corpus: DataFrame) -> DataFrame:
     without_list = ~F.col("_list") | F.coalesce(F.size("_n") <= 0, F.lit(True))
     without_text = F.exists("_n", lambda n: n.isNull() | F.coalesce(tx.is_blank(n["text"]), F.lit(True)))
     rows = rows.withColumn("draft_error", F.coalesce("_given", F.when(without_list, DRAFT_WITHOUT_LIST).when(without_text, DRAFT_WITHOUT_TEXT)))
+    rows = saved(rows)  # replies are parsed once, for the test of the error and for both kinds of rows
     failed = rows.filter("draft_error IS NOT NULL").select(
         "qid", "rule_id", F.lit("").alias("nid"), F.lit("").alias("text"), F.lit("").alias("importance"),
         F.lit("").alias("quote"), texts.alias("keywords"), F.array(F.lit("draft_failed")).alias("flags"), texts.alias("excluded"), "draft_error",

@@ -213,3 +213,11 @@ def test_inputs_prompts_and_provenance(spark):
     stamped = ng.stamp(answers, manifest, "m", 0)
     assert rows(ng.foreign_records(stamped, manifest), "qid") == [("zz",)]
     assert ng.judge_mix(stamped).first() == (1, True)
+
+
+def test_drafts_are_parsed_once(spark):
+    drafts = spark.createDataFrame([("q", "r", '{"nuggets": [{"text": "a", "quote": "a b"}], "excluded": []}'), ("p", "r", "{}")], "qid string, rule_id string, found string")
+    cleaned = ng.clean_drafts(drafts, spark.createDataFrame([("r", "a b c")], "rule_id string, body string"))
+    assert sorted((r.qid, r.nid, r.flags) for r in cleaned.collect()) == [("p", "", ["draft_failed"]), ("q", "q-n1", ["importance_unknown"])]
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object(found" not in plan and "from_json(StructField(nuggets" not in plan
