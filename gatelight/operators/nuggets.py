@@ -432,8 +432,8 @@ JSON だけを返してください。説明は不要です。事実はすべて
 {"facts": [{"nid": "%5$s", "score": "full"}]}"""
 
 
-def judge_prompts(inputs: DataFrame) -> DataFrame:
-    """Both prompts per (qid, run) from :func:`judge_inputs`."""
+def judge_prompts(inputs: DataFrame, *others: str) -> DataFrame:
+    """Both prompts per (qid, run) from :func:`judge_inputs`, with ``others`` of its columns."""
     facts = F.array_join(
         F.transform(
             "nuggets",
@@ -455,6 +455,7 @@ def judge_prompts(inputs: DataFrame) -> DataFrame:
         "run",
         F.format_string(LABEL_PROMPT, F.col("body"), F.col("question"), facts, F.size("_s"), numbered).alias("label_prompt"),
         F.format_string(FACT_PROMPT, F.col("body"), F.col("question"), F.col("answer"), F.array_join(vitals, "\n"), first).alias("fact_prompt"),
+        *others,
     )
 
 
@@ -467,11 +468,11 @@ def _message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
-def judge_messages(inputs: DataFrame) -> DataFrame:
-    """What is sent to a judge for both calls: (qid, run) with arrays of role and content."""
+def judge_messages(inputs: DataFrame, *others: str) -> DataFrame:
+    """What is sent to a judge for both calls: (qid, run) with arrays of role and content, and ``others`` of the inputs' columns."""
     head = _message("system", F.lit(JUDGE_ROLE))
     calls = [F.array(head, _message("user", F.col(f"{call}_prompt"))).alias(f"{call}_messages") for call in ("label", "fact")]
-    return judge_prompts(inputs).select("qid", "run", *calls)
+    return judge_prompts(inputs, *others).select("qid", "run", *calls, *others)
 
 
 def retry_messages(messages: Column, reply: Column, error: Column) -> Column:

@@ -45,3 +45,16 @@ def test_entry_has_rows(spark):
     assert contract.entry(spark).count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
     assert rows(contract.entry(spark), "rank")[0] == (1,)
+
+
+@pytest.mark.parametrize("name", ["n10_judge_prompts", "n10_judge_messages"])
+def test_texts_are_joined_before_they_are_repeated_for_runs(spark, name):
+    plan = load()[name].run(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Generate explode")
+    assert len(above) == 2 and "Join" not in above[0] and "Join" in above[1]
+
+
+@pytest.mark.parametrize("name", ["n10_judge_prompts", "n10_judge_messages"])
+def test_judge_calls_equal_sql(spark, con, name):
+    _, _, _, note = compare(spark, con, SF_DIR, name, load()[name])
+    assert not note, note
