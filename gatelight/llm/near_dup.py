@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from gatelight.llm.common import id_and_text, packed_longs, slices, texts_of, written
 from gatelight.llm.graph import components
 from gatelight.llm.shingles import Shingles
+from gatelight.llm.word_ids import forget_words
 
 #: Links hold from this many hundredths of the union, unless a caller asks for others.
 PERCENT = 85
@@ -52,6 +53,7 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
     """Size, signature and sketch of the set of every text; ``version`` tells the texts of one id apart."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         shingles = Shingles()
         for batch in slices(batches, 512, "text"):
             sets = [shingles.of(t) for t in texts_of(batch, "text")]
@@ -76,6 +78,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     own = texts.join(nodes.select("node", "version"), ["node", "version"]).groupBy("node", "version").agg(F.first("text").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         shingles = Shingles()
         for batch in slices(batches, 512, "text"):
             sets = [shingles.of(t) for t in texts_of(batch, "text")]

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatelight.llm.word_ids import forget_words
+
 CHUNK, STEP, WIDE, STRIDE = 256, 192, 8, 1
 _EMBED, _FILTERS = 6, 16
 _WINDOWS = (CHUNK - WIDE) // STRIDE + 1
@@ -189,6 +191,7 @@ def scorer(weights: bytes):
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget_words()
         network = Network.from_bytes(weights)
         for series in texts:
             out, held, size = [], [], 0

@@ -4,11 +4,14 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
-from gatelight.llm import near_dup
+from gatelight.llm import near_dup, quality
 from gatelight.llm.graph import components
 from gatelight.llm.shingles import Shingles
+from gatelight.llm.word_ids import word_ids
 from tests.llm.helpers import documents, hard_documents, no_documents
 
 
@@ -145,3 +148,28 @@ def test_percent_against_all_pairs(spark):
     assert sum(85 * len(sets[i] | sets[j]) > 100 * len(sets[i] & sets[j]) for i, j in edges) > 5
     got = {r.doc_id: r.component_id for r in near_dup.linked(documents(spark, rows), percent=80).collect()}
     assert [got[i] for i in range(len(rows))] == group
+
+
+class Captured:
+    """Stands for a table and keeps the function that runs in its tasks."""
+
+    def withColumn(self, *_):
+        return self
+
+    withColumnRenamed = join = groupBy = agg = select = withColumn
+
+    def mapInArrow(self, work, _):
+        return work
+
+
+@pytest.mark.parametrize("step", ["sketches", "sets", "score"])
+def test_words_remembered_for_tokenizing_are_given_back(spark, monkeypatch, step):
+    monkeypatch.setattr(near_dup, "id_and_text", lambda docs: docs)
+    work = {"sketches": lambda: near_dup._sketches(Captured(), 4), "sets": lambda: near_dup._sets(Captured(), Captured()), "score": lambda: quality.scorer(quality._constant(0.5).to_bytes()).func}[step]()
+    own = word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    before = own.encode("some words, of a Packing task")
+    own.older["left"] = b""
+    assert own and own.parts
+    assert list(work(iter([]))) == []
+    assert not (own or own.older or own.parts)
+    assert own.encode("some words, of a Packing task") == before
