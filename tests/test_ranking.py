@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,33 @@ def test_a_sparse_store_takes_one_python_worker_per_task(spark):
     assert rows(both) == rows(vectors.build_sparse(chunk_text(docs)))
     plan = both._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_index_and_bounds_equal_plain_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = [[{"i": int(i), "v": float(v)} for i, v in zip(rng.choice(30, n, replace=False), rng.integers(-1, 9, n) / 8)] for n in rng.integers(0, 20, 300)]
+    monkeypatch.setattr(postings, "BLOCK", 8)
+    table = pa.table({"document_id": [f"d{n}" for n in range(300)], "chunk_index": pa.array(range(300), pa.int32()), "access_level": pa.array([1 + n % 3 for n in range(300)], pa.int32()), "sparse": pa.array(vectors, pa.list_(pa.struct([("i", pa.int32()), ("v", pa.float64())])))})
+    found = {r["token_id"]: r for r in postings._shard_rows(table, 5).to_pylist()}
+    want = {t: [(n, e["v"]) for n, v in enumerate(vectors) for e in v if e["i"] == t and e["v"] > 0] for t in range(30)}
+    assert found.pop(postings.CHUNKS)["documents"] == table.column("document_id").to_pylist() and set(found) == {t for t, held in want.items() if held}
+    for t, row in found.items():
+        places, weights = zip(*want[t])
+        assert np.frombuffer(row["places"], "<i4").tolist() == list(places) and np.frombuffer(row["weights"], "<f8").tolist() == list(weights)
+        assert np.frombuffer(row["most"], "<f8").tolist() == [max(weights[a : a + 8]) for a in range(0, len(weights), 8)]
+    assert len(postings._shard_rows(table.slice(0, 0), 5)) == 1
+
+
+def test_k_th_best_is_sought_among_few_places(monkeypatch):
+    rng = np.random.default_rng(9)
+    n = 16_384
+    lists = {}
+    for token in range(40):
+        held = np.flatnonzero(rng.random(n) < 0.05).astype(np.int32)
+        weights = rng.random(len(held))
+        lists[token] = held, weights, np.maximum.reduceat(weights, np.arange(0, len(held), postings.BLOCK))
+    sought = []
+    whole = np.partition
+    monkeypatch.setattr(postings.np, "partition", lambda values, at: sought.append(len(values)) or whole(values, at))
+    postings.Shard(lists, np.ones(n)).best(np.arange(40), np.ones(40), 1, 90)
+    assert sought and sum(sought) < 0.1 * 40 * n
