@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -93,6 +94,39 @@ def test_windows_of_contexts():
         assert starts.tolist() == want
 
 
+def test_scanning_takes_little_memory():
+    data = random.Random(4).randbytes(rs.SCANNED + rs.LENGTH - 1)
+    rs._powers.cache_clear()
+    tracemalloc.start()
+    try:
+        assert len(rs.runs_of([data], rs.LENGTH)[0]) > 1000
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 100 << 20  # with two workers and a heap of 1,800 MB an executor stays well below 3,000 MB
+
+
+def test_windows_counted_one_by_one_are_joined_to_runs(spark):
+    rng = random.Random(8)
+    core = "".join(rng.choices("abcdefgh", k=1000))
+    rows = [(i, f"{''.join(rng.choices('abcdefgh', k=40))}{core}{i}") for i in range(12)]
+    docs = documents(spark, rows)
+    keyed = docs.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("version"), "text")
+    found = rs.repeated_spans(keyed, 64, 3).collect()
+    windows = sum(r.windows for r in found)
+    assert windows > 8000 and len(found) < windows / 10
+    assert got(rs.deduped(docs, 64, 3)) == plain(rows, 64)
+
+
+def test_removed_runs():
+    rng = random.Random(6)
+    for _ in range(300):
+        runs = [(rng.randrange(200), rng.randrange(1, 9)) for _ in range(rng.randrange(1, 12))]
+        gone = sorted({k for s, n in runs for k in range(s, s + n + 31)})
+        cuts = [i for i, k in enumerate(gone) if not i or k > gone[i - 1] + 1] + [len(gone)]
+        assert rs.removed_runs(*map(np.array, zip(*runs)), 32) == [[gone[a], gone[b - 1] + 1] for a, b in zip(cuts, cuts[1:])]
+
+
 def test_suffix_sort():
     rng = random.Random(1)
     for _ in range(1500):
