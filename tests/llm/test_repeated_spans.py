@@ -106,16 +106,19 @@ def test_scanning_takes_little_memory():
     assert most < 100 << 20  # with two workers and a heap of 1,800 MB an executor stays well below 3,000 MB
 
 
-def test_windows_counted_one_by_one_are_joined_to_runs(spark):
+def test_windows_counted_one_by_one_leave_as_runs(spark):
     rng = random.Random(8)
-    core = "".join(rng.choices("abcdefgh", k=1000))
-    rows = [(i, f"{''.join(rng.choices('abcdefgh', k=40))}{core}{i}") for i in range(12)]
-    docs = documents(spark, rows)
-    keyed = docs.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("version"), "text")
-    found = rs.repeated_spans(keyed, 64, 3).collect()
-    windows = sum(r.windows for r in found)
-    assert windows > 8000 and len(found) < windows / 10
-    assert got(rs.deduped(docs, 64, 3)) == plain(rows, 64)
+    core = rng.randbytes(200)
+    rows = []
+    for i in range(6):
+        before = rng.randbytes(i)
+        content = before + core + rng.randbytes(70)
+        rows.append((7, 1, 6, 50 * i, len(content) - 63, 90 + i, i, 0, content))
+    contexts = spark.createDataFrame(rows, "anchor long, copies long, contexts long, start long, windows int, lead int, doc long, version long, content binary")
+    found = rs._counted_spans(contexts, 64).collect()
+    places = sorted((r.doc, r.start + k) for r in found for k in range(r.windows))
+    assert places == [(i, 51 * i + k) for i in range(6) for k in range(137)]
+    assert len(found) <= 6 * 4  # one row for each 64 places, not one for each place
 
 
 def test_removed_runs():
