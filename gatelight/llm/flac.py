@@ -45,7 +45,7 @@ def _table(width: int, poly: int) -> np.ndarray:
 
 
 _CRC8, _CRC16 = _table(8, 0x07), _table(16, 0x8005)
-_CRC8_LIST = _CRC8.tolist()
+_CRC8_LIST, _CRC16_LIST = _CRC8.tolist(), _CRC16.tolist()
 
 
 def crc8(data: bytes) -> int:
@@ -55,6 +55,13 @@ def crc8(data: bytes) -> int:
     return out
 
 
+def crc16(data: bytes) -> int:
+    out = 0
+    for byte in data:
+        out = (out << 8 & 0xFFFF) ^ _CRC16_LIST[out >> 8 ^ byte]
+    return out
+
+
 def crc16_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The 16-bit checksum of every part of ``data``, all parts side by side."""
     order = np.argsort(-lengths, kind="stable")
@@ -298,7 +305,7 @@ def _frame_head(data: bytes, at: int, info: _Info) -> tuple[int, int, int, int,
         number = number << 6 | data[p + i] & 0x3F
     p += max(1, extra)
     if size_code == 6:
-        size, p = data[p] + 1, p + 1
+        size, p = int.from_bytes(data[p : p + 1], "big") + 1, p + 1
     elif size_code == 7:
         size, p = int.from_bytes(data[p : p + 2], "big") + 1, p + 2
     else:
@@ -311,37 +318,70 @@ def _frame_head(data: bytes, at: int, info: _Info) -> tuple[int, int, int, int,
     return p + 1 - at, first, size, channels, mode if mode >= 8 else 0, _BITS_CODED.get(bits_code, info.bits)
 
 
-def _find_frames(data: bytes, info: _Info, stream: int, base: int, strict: bool = False) -> list[_Frame]:
+def _find_frames(data: bytes, info: _Info, stream: int, base: int) -> list[_Frame]:
     """The frames of one stream: each ends where the next header stands that its sample count asks for.
 
-    ``strict`` also wants the checksum before such a header, as samples may look like one.
+    Samples may look like such a header. Then the frame's own header comes after them and names
+    the same sample again, or the frames do not add up to all samples.
     """
     found: list[_Frame] = []
     at, wanted = info.first_frame, 0
     while at >= 0 and at < len(data):
         head = _frame_head(data, at, info)
-        if head is not None and head[1] == wanted and not (strict and found and not _ends_at(data, found[-1].start - base, at)):
+        if head is not None and head[1] == wanted:
             if found:
                 found[-1].end = base + at - 2
-            size, first, samples, channels, mode, bits = head
-            found.append(_Frame(stream, base + at, base + len(data) - 2, first, samples, channels, mode, bits, (base + at + size) * 8))
-            wanted += samples
-            at = data.find(b"\xff", at + size)
+            found.append(_frame_at(head, at, len(data), stream, base))
+            wanted += head[2]
         elif not found:
             raise ValueError("no frame where the first one must be")
-        else:
-            at = data.find(b"\xff", at + 1)
+        elif head is not None and head[1] == found[-1].first:
+            return _checked_frames(data, info, stream, base)
+        at = data.find(b"\xff", at + 1)
+    if wanted != info.total and info.total:
+        return _checked_frames(data, info, stream, base)
+    return found
+
+
+def _checked_frames(data: bytes, info: _Info, stream: int, base: int) -> list[_Frame]:
+    """The same where samples look like headers: a frame ends where its checksum stands, and of several such places where its codes end."""
+    heads: dict[int, tuple[int, int, int, int, int, int]] = {}
+    places: dict[int, list[int]] = {}
+    at = info.first_frame
+    while at >= 0 and at < len(data):
+        head = _frame_head(data, at, info)
+        if head is not None:
+            heads[at] = head
+            places.setdefault(head[1], []).append(at)
+        at = data.find(b"\xff", at + 1)
+    found: list[_Frame] = []
+    at, wanted = info.first_frame, 0
+    while at < len(data):
+        size, wanted = heads[at][0], wanted + heads[at][2]
+        ends = [p for p in places.get(wanted, ()) if p >= at + size + 2 and _ends_at(data, at, p)]
+        if wanted == (info.total or wanted) and _ends_at(data, at, len(data)):
+            ends.append(len(data))
+        if len(ends) > 1:
+            frame = _frame_at(heads[at], at, ends[-1], stream, -at)
+            codes = int(_channels(_Bits(data[at : ends[-1]]), [frame])[1][0])
+            ends = [p for p in ends if p == at + -(-codes // 8) + 2]
+        if not ends:
+            raise ValueError("a frame fails its checksum or samples are missing")
+        found.append(_frame_at(heads[at], at, ends[0], stream, base))
+        at = ends[0]
     if wanted != info.total and info.total:
         raise ValueError("samples are missing")
     return found
 
 
+def _frame_at(head: tuple[int, int, int, int, int, int], at: int, end: int, stream: int, base: int) -> _Frame:
+    size, first, samples, channels, mode, bits = head
+    return _Frame(stream, base + at, base + end - 2, first, samples, channels, mode, bits, (base + at + size) * 8)
+
+
 def _ends_at(data: bytes, start: int, end: int) -> bool:
     """Whether a frame from ``start`` to ``end`` holds its own checksum."""
-    if end - 2 <= start:
-        return False
-    part = np.frombuffer(data[start : end - 2], np.uint8)
-    return int(crc16_of(part, np.array([0]), np.array([len(part)]))[0]) == int.from_bytes(data[end - 2 : end], "big")
+    return crc16(data[start : end - 2]) == int.from_bytes(data[end - 2 : end], "big")
 
 
 class _Bits:
@@ -533,15 +573,12 @@ def decode_streams(streams: list[bytes]) -> list[Decoded]:
     """Decodes and verifies every stream."""
     infos = [_stream_info(s) for s in streams]
     bases = np.cumsum([0, *[len(s) for s in streams]]).tolist()
-    frames = [f for i, (s, info) in enumerate(zip(streams, infos)) for f in _find_frames(s, info, i, bases[i])]
+    found = [_find_frames(s, info, i, base) for i, (s, info, base) in enumerate(zip(streams, infos, bases))]
     joined = b"".join(streams)
     flat = np.frombuffer(joined, np.uint8)
-    failed = _failed_streams(frames, flat)
-    if failed:
-        # Samples that look like a header cut a frame short; else the stream is damaged.
-        frames = [f for f in frames if f.stream not in failed] + [f for i in failed for f in _find_frames(streams[i], infos[i], i, bases[i], strict=True)]
-        if _failed_streams(frames, flat):
-            raise ValueError("a frame fails its checksum")
+    for i in _failed_streams([f for own in found for f in own], flat):
+        found[i] = _checked_frames(streams[i], infos[i], i, bases[i])  # damage, or the number of samples is not known
+    frames = [f for own in found for f in own]
     parts: list[np.ndarray | None] = [None] * len(frames)
     order = sorted(range(len(frames)), key=lambda i: (frames[i].channels, frames[i].mode, -frames[i].size))
     bits = _Bits(joined)
@@ -558,18 +595,18 @@ def decode_streams(streams: list[bytes]) -> list[Decoded]:
     return [_finished(info, [parts[i] for i in own], [frames[i].first for i in own], [frames[i].start - base for i in own]) for info, own, base in zip(infos, of_stream, bases)]
 
 
-def _failed_streams(frames: list[_Frame], flat: np.ndarray) -> list[int]:
+def _failed_streams(frames: list[_Frame], flat: np.ndarray) -> set[int]:
     """Streams with a frame that fails its checksum."""
     if not frames:
-        return []
+        return set()
     starts, ends = np.array([f.start for f in frames], np.int64), np.array([f.end for f in frames], np.int64)
     told = flat[ends].astype(np.uint32) << 8 | flat[ends + 1]
     wrong = np.flatnonzero(crc16_of(flat, starts, ends - starts) != told)
-    return sorted({frames[i].stream for i in wrong})
+    return {frames[i].stream for i in wrong}
 
 
-def _decode_frames(bits: _Bits, frames: list[_Frame]) -> list[np.ndarray]:
-    """Samples (count x channels) of frames that share the number of channels and their mode."""
+def _channels(bits: _Bits, frames: list[_Frame]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The coded channels of frames that share their number and mode, and the bits where the frames' codes end."""
     at, sizes = np.array([f.body for f in frames], np.int64), np.array([f.size for f in frames], np.int64)
     width, mode = np.array([f.bits for f in frames], np.int64), frames[0].mode
     channels = []
@@ -577,6 +614,12 @@ def _decode_frames(bits: _Bits, frames: list[_Frame]) -> list[np.ndarray]:
         side = mode == 8 and c == 1 or mode == 9 and c == 0 or mode == 10 and c == 1
         samples, at = _subframes(bits, at, sizes, width + side)
         channels.append(samples)
+    return channels, at
+
+
+def _decode_frames(bits: _Bits, frames: list[_Frame]) -> list[np.ndarray]:
+    """Samples (count x channels) of frames that share the number of channels and their mode."""
+    mode, channels = frames[0].mode, _channels(bits, frames)[0]
     if mode == 8:
         channels[1] = channels[0] - channels[1]
     elif mode == 9:

@@ -113,3 +113,51 @@ def test_samples_that_look_like_a_header():
     (stream,) = flac.encode_streams([payload])
     assert stream.count(flac._head(1, 1024)) == 2
     assert flac.decode_streams([stream, stream])[1].pcm == payload
+
+
+def _noise_holding(seed, length, at, looks):
+    """Noise, stored as it is, whose samples hold ``looks`` at ``at``."""
+    noise = np.random.default_rng(seed).integers(0, 256, length, dtype=np.uint8)
+    noise[at : at + len(looks)] = np.frombuffer(looks, np.uint8) ^ 0x80
+    return noise.tobytes()
+
+
+def _headed(start):
+    return start + bytes([flac.crc8(start)])
+
+
+@pytest.mark.parametrize("at, looks", [
+    (500, _headed(b"\xff\xf8\x10\x02\x01")),  # the next number, 192 samples
+    (1500, _headed(b"\xff\xf9\x70\x02" + flac._coded_number(2048) + b"\x00\x07")),  # by its sample, in the last frame
+    (1500, _headed(b"\xff\xf8\x70\x02\x02\x03\xff")),  # one frame more than there are
+])
+def test_samples_that_look_like_a_header_of_another_length(at, looks):
+    payload = _noise_holding(8, 2048, at, looks)
+    stream, plain = flac.encode_streams([payload, b"plain text, " * 400])
+    assert looks in stream
+    assert [d.pcm for d in flac.decode_streams([plain, stream, plain, stream])] == [b"plain text, " * 400, payload] * 2
+
+
+def test_a_header_cut_off_by_the_end():
+    for seed in range(200):
+        payload = _noise_holding(seed, 1024, 1020, b"\xff\xf8\x60\x00")
+        (stream,) = flac.encode_streams([payload])
+        if stream[-2] >> 5 == 6:  # the checksum reads as the first of two bytes of a number
+            break
+    assert stream[-6:-2] == b"\xff\xf8\x60\x00" and stream[-2] >> 5 == 6
+    assert flac.decode_streams([stream])[0].pcm == payload
+
+
+def test_samples_that_hold_the_checksum_of_what_precedes_them():
+    """The false frame ends rightly; only the chain behind it does not."""
+    payload = bytearray(_noise_holding(8, 3072, 500, b""))
+    head = flac._head(0, 1024)
+    told = flac.crc16(head + b"\x02" + bytes(b ^ 0x80 for b in payload[:500])).to_bytes(2, "big")
+    payload[500 : 502 + len(flac._head(1, 1024))] = bytes(b ^ 0x80 for b in told + flac._head(1, 1024))
+    (stream,) = flac.encode_streams([bytes(payload)])
+    assert stream.count(flac._head(1, 1024)) == 2
+    assert flac.decode_streams([stream])[0].pcm == bytes(payload)
+    with pytest.raises(ValueError):
+        flac.decode_streams([stream[:-1] + bytes([stream[-1] ^ 1])])
+    with pytest.raises(ValueError):
+        flac.decode_streams([stream[: flac._stream_info(stream).first_frame]])
