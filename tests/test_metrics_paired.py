@@ -172,3 +172,44 @@ def test_passages_are_looked_up_without_a_row_per_run(spark):
     found = first_containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "item_id long, text string"))
     assert sorted(map(tuple, found.collect())) == [(1, 3), (2, 7), (5, 3), (6, 8)]
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_passages_are_found_wherever_they_begin_and_end(spark):
+    from gatelight.catalog.inputs import first_containing
+
+    long = "The hidden rule of the house, as it was written down long ago by somebody who is no longer here, says: wait."
+    docs = [(4, long), (2, "more, and then: " + long + "s and sees"), (7, "naïve résumé 😀 end"), (None, "unnumbered words"), (9, ""), (8, None), (6, "ends in blanks  \n"), (6, "twice the same id")]
+    asked = {
+        1: long, 2: long[2:-3], 3: long[20:] + "s and s", 4: " " + long[:80], 5: long[:80] + "x", 6: "ïve rés", 7: "é 😀", 8: "h", 9: "ds", 10: "blanks  \n", 11: "s  \n", 12: "blanks \n",
+        13: "", 14: None, 15: "unnumbered", 16: "numb", 17: "naive", 18: "twice the same id!", 19: "e the s", 20: long.upper(), 21: "longer here, says: wait.s",
+    }
+    rows = [*asked.items(), (5, "somebody wh"), (None, "house")]
+    found = first_containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string"))
+    lowest = {}
+    for item, passage in rows:
+        if held := [d for d, t in docs if t is not None and passage is not None and passage in t]:
+            numbers = [d for d in [*held, lowest.get(item)] if d is not None]
+            lowest[item] = min(numbers, default=None)
+    assert lowest[2] == lowest[3] == lowest[4] == lowest[21] == 2 and lowest[6] == lowest[7] == 7 and lowest[11] == lowest[19] == 6 and lowest[16] is None
+    assert dict(map(tuple, found.collect())) == lowest
+
+
+def test_passages_against_plain_search(monkeypatch):
+    """Windows of every width, over the ends of texts and of the places hashed at once."""
+    import random
+
+    import pyarrow as pa
+
+    from gatelight.functions import passages
+
+    rng = random.Random(7)
+    for places in (1, 64, 1000):
+        monkeypatch.setattr(passages, "_PLACES", places)
+        for letters in ("a", "ab", "aé 😀\0"):
+            texts = [None, "", *["".join(rng.choices(letters, k=k)) for k in (1, 5, 63, 64, 65, 200, 700)]]
+            asked = [None, "", "zz", "a" * 90]
+            for n in (1, 2, 3, 4, 7, 8, 9, 16, 31, 33, 64, 65, 130, 200):
+                begin = rng.randrange(700 - n + 1)
+                asked += [texts[-1][begin : begin + n], texts[-1][begin : begin + n] + "b"]
+            held = passages.Passages(asked).held_by(pa.array(["aaa", *texts, "a"], pa.string()).slice(1, len(texts)))
+            assert set(held) == {(i, j) for i, t in enumerate(texts) for j, p in enumerate(asked) if t is not None and p is not None and p in t}
