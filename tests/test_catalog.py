@@ -58,3 +58,37 @@ def test_texts_are_joined_before_they_are_repeated_for_runs(spark, name):
 def test_judge_calls_equal_sql(spark, con, name):
     _, _, _, note = compare(spark, con, SF_DIR, name, load()[name])
     assert not note, note
+
+
+@pytest.fixture(scope="module")
+def cut_passages(tmp_path_factory):
+    """Tables of a few documents, and passages of them that begin or end within a word."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path_factory.mktemp("cut")
+    words = "The files of this house are kept by the keeper who wrote them down and signed them every evening before leaving".split()
+    texts = [" ".join(words[i:] + words[:i]) + f". Record {i} ends here." for i in range(12)] + ["Éclairs à volonté pour tout le monde, servis le soir dans la salle."]
+    n = len(texts)
+    numbers = pa.array(range(n), pa.int64())
+    docs = {"doc_id": numbers, "text": texts, "lang": ["en"] * n, "source": [f"src{i % 20}" for i in range(n)], "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+    pq.write_table(pa.table(docs), folder / "documents.parquet")
+    asked = [texts[i][3:-2] for i in range(8)] + ["clairs à volonté pour tout le monde, ser", "not in any file", texts[4], texts[9][:50]]
+    pq.write_table(pa.table({"item_id": pa.array(range(1, len(asked) + 1), pa.int64()), "text": asked}), folder / "benchmark.parquet")
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def cut_con(cut_passages):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{cut_passages}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["m16_verdict"])
+def test_passages_cut_within_words_equal_sql(spark, cut_con, cut_passages, name):
+    _, _, _, note = compare(spark, cut_con, cut_passages, name, load()[name])
+    assert not note, note
