@@ -88,7 +88,7 @@ def cut_con(cut_passages):
     return con
 
 
-@pytest.mark.parametrize("name", ["m16_verdict"])
+@pytest.mark.parametrize("name", ["m16_verdict", "m18_rerank_on_off"])
 def test_passages_cut_within_words_equal_sql(spark, cut_con, cut_passages, name):
     _, _, _, note = compare(spark, cut_con, cut_passages, name, load()[name])
     assert not note, note
